@@ -86,3 +86,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return cur.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         cur.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
+
+
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Lower the session's Arrow batch to `rows`, so that a batch of long texts stays small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > rows or int(spark.conf.get(key, "10000")) <= 0:
+        spark.conf.set(key, str(rows))

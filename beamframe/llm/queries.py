@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from beamframe.llm import exact_dedup, url_reputation
-from beamframe.llm.common import table
+from beamframe.llm import chunked_bpe, exact_dedup, packing, token_rollup, url_reputation
+from beamframe.llm.common import scratch_path, table
 
 
 def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,8 +19,32 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunked_bpe.encode_digests(table(spark, sf_dir, "documents"))
+
+
+def op2_dp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commits all documents as one batch, delivers that batch again (nothing changes), gives the totals."""
+    counts = token_rollup.count_tokens(table(spark, sf_dir, "documents"))
+    events = token_rollup.insert_events(counts, "word_bpe_49k")
+    store = token_rollup.TokenRollup(spark, scratch_path(spark, "token-rollup"))
+    store.commit("documents", events)
+    store.commit("documents", events)
+    return store.totals()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_url_reputation": op6_url_reputation, "op10_exact_dedup": op10_exact_dedup}
+    return {
+        "op2_dp_packing": op2_dp_packing,
+        "op6_url_reputation": op6_url_reputation,
+        "op7_chunked_bpe": op7_chunked_bpe,
+        "op9_token_rollup": op9_token_rollup,
+        "op10_exact_dedup": op10_exact_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
