@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from beamframe.llm import chunked_bpe, exact_dedup, packing, token_rollup, url_reputation
+from beamframe.llm import chunked_bpe, cross_parsing, exact_dedup, packing, token_rollup, toxicity, url_reputation
 from beamframe.llm.common import scratch_path, table
 
 
+def op1_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_parsing.identify_languages(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     return url_reputation.judge_urls(table(spark, sf_dir, "pages"), url_reputation.outcomes_from_labels(labels))
@@ -39,9 +47,11 @@ def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_cross_parsing": op1_cross_parsing,
         "op2_dp_packing": op2_dp_packing,
         "op6_url_reputation": op6_url_reputation,
         "op7_chunked_bpe": op7_chunked_bpe,
+        "op8_toxicity": op8_toxicity,
         "op9_token_rollup": op9_token_rollup,
         "op10_exact_dedup": op10_exact_dedup,
     }
