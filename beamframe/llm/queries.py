@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from beamframe.llm import chunked_bpe, cross_parsing, exact_dedup, packing, token_rollup, toxicity, url_reputation
+from beamframe.llm import chat_format, chunked_bpe, cross_parsing, exact_dedup, packing, token_rollup, toxicity, url_reputation
 from beamframe.llm.common import scratch_path, table
 
 
@@ -14,6 +14,12 @@ def op1_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_parsing.identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and the probe -7, through the event log."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_format.format_digests(chat_format.events_of_turns(turns.unionByName(chat_format.probe_conversation(spark))))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_cross_parsing": op1_cross_parsing,
         "op2_dp_packing": op2_dp_packing,
+        "op3_chat_format": op3_chat_format,
         "op6_url_reputation": op6_url_reputation,
         "op7_chunked_bpe": op7_chunked_bpe,
         "op8_toxicity": op8_toxicity,
