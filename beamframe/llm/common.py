@@ -93,3 +93,14 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows or int(spark.conf.get(key, "10000")) <= 0:
         spark.conf.set(key, str(rows))
+
+
+def fold_columns(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and all other columns in one struct, so that no name can clash with an operator's own."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", *([F.struct(*others).alias("_others")] if others else []))
+
+
+def unfold_columns(folded: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of the table that `fold_columns` was given."""
+    return folded.select(*(c if c in ("doc_id", "text") else F.col("_others").getField(c).alias(c) for c in columns))

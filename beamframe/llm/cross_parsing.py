@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from beamframe.llm.common import id_fold, slot_sample_ids, small_batches
 
@@ -214,9 +215,8 @@ def predict_languages(docs: DataFrame, sample: list[tuple[str, str]], cfg: LangC
             out = [pa.array(langs, pa.string()), pa.array(score), pa.array(bits), pa.array([g == UND or s < cfg.min_score for g, s in zip(langs, score.tolist(), strict=True)])]
             yield pa.RecordBatch.from_arrays([*(b.column(cols.index(c)) for c in carried), *out], [*carried, "lang_pred", "score", "bits_per_letter", "rejected"])
 
-    given = {f.name: f for f in docs.schema.fields}
-    schema = ", ".join(f"`{c}` {given[c].dataType.simpleString()}" for c in carried)
-    return docs.select(*cols).mapInArrow(run, schema + ", lang_pred string, score double, bits_per_letter double, rejected boolean")
+    schema = StructType([docs.schema[c] for c in carried])
+    return docs.select(*cols).mapInArrow(run, schema.add("lang_pred", "string").add("score", "double").add("bits_per_letter", "double").add("rejected", "boolean"))
 
 
 def identify_languages(docs: DataFrame, cfg: LangConfig = LangConfig(), folds: int = 5) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from beamframe.llm import chat_format, chunked_bpe, cross_parsing, exact_dedup, packing, token_rollup, toxicity, url_reputation
+from beamframe.llm import bayes_jaccard, chat_format, chunked_bpe, cross_parsing, exact_dedup, multi_index_hashing, packing, token_rollup, toxicity, url_reputation
 from beamframe.llm.common import scratch_path, table
 
 
@@ -20,6 +21,14 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_digests(chat_format.events_of_turns(turns.unionByName(chat_format.probe_conversation(spark))))
 
 
+def op4_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index_hashing.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op5_bayes_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bayes_jaccard.similarity_classes(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -56,6 +65,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_cross_parsing": op1_cross_parsing,
         "op2_dp_packing": op2_dp_packing,
         "op3_chat_format": op3_chat_format,
+        "op4_multi_index_hashing": op4_multi_index_hashing,
+        "op5_bayes_jaccard": op5_bayes_jaccard,
         "op6_url_reputation": op6_url_reputation,
         "op7_chunked_bpe": op7_chunked_bpe,
         "op8_toxicity": op8_toxicity,

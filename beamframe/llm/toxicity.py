@@ -29,6 +29,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from beamframe.llm.common import id_fold, materialise, slot_sample_ids, small_batches
 
@@ -155,8 +156,7 @@ def with_features(docs: DataFrame, lexicon: frozenset[str], carried: list[str],
     """The columns `carried` of docs, and features array<double>."""
     small_batches(docs.sparkSession)
     cols = list(dict.fromkeys([*carried, "text"]))
-    given = {f.name: f for f in docs.schema.fields}
-    schema = ", ".join(f"`{c}` {given[c].dataType.simpleString()}" for c in carried) + ", features array<double>"
+    schema = StructType([docs.schema[c] for c in carried]).add("features", ArrayType(DoubleType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = TokenFlags(lexicon)
