@@ -1,5 +1,62 @@
-"""Corpus pipeline (stages are added with their operators)."""
+"""From raw documents to packed training sequences: five stages, each an operator of the library.
+
+    language    documents in no language (no letter, or no text) go
+    toxicity    documents that score as toxic go
+    exact       of equal texts, the row with the largest doc_id stays
+    near        of each class of near copies, the document with the smallest doc_id stays
+    packing     what is left becomes sequences of at most 4096 tokens
+
+Every stage but the last returns the columns of documents, and works on all that its predecessor kept.
+Rows without a doc_id pass the near stage, which can't name one of them to stay."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from beamframe.llm import bayes_jaccard, cross_parsing, exact_dedup, packing, toxicity
+from beamframe.llm.common import fold_columns, id_fold, materialise, table, unfold_columns
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    sample = cross_parsing.training_sample(docs, id_fold("doc_id", 5) != 0)
+    folded = fold_columns(docs)
+    judged = cross_parsing.predict_languages(folded, sample, keep=folded.columns)
+    return unfold_columns(judged.where(~F.col("rejected")), docs.columns)
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cfg = toxicity.ToxicityConfig()
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"), id_fold("doc_id", 3) != 1, cfg)
+    folded = fold_columns(docs)
+    scored = model.score(folded, folded.columns)
+    return unfold_columns(scored.where(F.col("score") < cfg.threshold), docs.columns)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    stay = exact_dedup.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("stay_id"), "text_sha256").distinct()
+    rows = fold_columns(docs).withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    met = rows.join(stay, rows.doc_id.eqNullSafe(stay.stay_id) & (rows.text_sha256 == stay.text_sha256), "left_semi")
+    return unfold_columns(met.dropDuplicates(["doc_id", "text_sha256"]), docs.columns)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    stay = bayes_jaccard.similarity_classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
+    stay = stay.select(F.col("doc_id").alias("stay_id"))
+    return docs.join(stay, docs.doc_id.eqNullSafe(stay.stay_id), "left_semi")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs)
+
+
+STAGES = [("language", language), ("toxicity", toxic), ("exact", exact), ("near", near), ("packing", pack)]
+#: the stages learn, hash and tokenize, which SQL can't express; tests compare them with brute force
 ORACLE_SQL = None
-STAGES = []
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
