@@ -1,6 +1,6 @@
 """The library's queries over the driver's tables, by name."""
 
-from beamframe.plans import arrays, counting, joins, selection, slow_control
+from beamframe.plans import arrays, counting, decoding, joins, online, reconstruction, selection, slow_control
 from beamframe.plans.registry import REGISTRY as ALL
 
-__all__ = ["ALL", "arrays", "counting", "joins", "selection", "slow_control"]
+__all__ = ["ALL", "arrays", "counting", "decoding", "joins", "online", "reconstruction", "selection", "slow_control"]
