@@ -97,7 +97,9 @@ def with_one(df: DataFrame, one: DataFrame) -> DataFrame:
 
 
 def robust_stats(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
-    """n, median, mad and sigma = 1.4826 mad, exact; is_valid where n > 1 and sigma > 0."""
+    """n, median, mad and sigma = 1.4826 mad, exact; is_valid where n > 1 and sigma > 0.
+
+    A group without values gives no row."""
     med = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(value).alias("n"), F.percentile(value, 0.5).alias("median"))
     rows = df.where(F.col(value).isNotNull())
     joined = rows.join(med, list(keys)) if keys else with_one(rows, med)

@@ -31,7 +31,7 @@ def firmware_pulses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def island_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of connected hits, split among their maxima."""
-    cfg = clusters.IslandConfig(least_centre=920.0, least_cluster=50.0, corners=True)
+    cfg = clusters.IslandConfig(least_centre=903.0, least_cluster=50.0, corners=True)
     c = clusters.form_clusters(grid_hits(spark, sf_dir), "event", "x", "y", "e", cfg)
     return c.select("event", "cluster", "n_blocks", *[F.round(n, 5).alias(n) for n in ("energy", "x", "y")])
 
@@ -39,7 +39,7 @@ def island_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def gaussian_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A Gaussian on every label's spectrum of vector components."""
-    v = table(spark, sf_dir, "embeddings").select("label", F.explode("embedding").cast("double").alias("v"))
+    v = table(spark, sf_dir, "embeddings").select("label", F.explode(F.col("embedding").cast("array<double>")).alias("v"))
     f = fits.fit_peaks(counting.histogram(v, "v", -0.6, 0.02, 60, ["label"]), ["label"], -0.6, 0.02)
     return f.select("label", "n", *[F.round(n, 5).alias(n) for n in ("amplitude", "mean", "sigma", "chi2_dof")])
 
