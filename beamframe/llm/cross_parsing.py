@@ -114,14 +114,18 @@ class CrossParser:
         shortest = min((len(t) for t in cleaned.values()), default=0)
         self.bits = math.log2(max(2, shortest))
         tables, base = [], 0
-        self.roots = []
+        self.starts = []
         for g in self.langs:
             t = suffix_automaton(cleaned[g][:shortest].tolist(), self.width)
             t[t >= 0] += base
-            root = np.where(t[0] >= 0, t[0], base)  # a letter that the language lacks is a phrase of its own
-            step = np.where(t >= 0, t, root[None, :]).astype(np.int64) * self.width * 2 + (t < 0)
+            # one more state, from which every letter starts a phrase: the first, and after a letter that
+            # the language lacks, which is a phrase of its own
+            start = base + len(t)
+            t = np.append(t, np.full((1, self.width), -1, t.dtype), 0)
+            fresh = np.where(t[0] >= 0, t[0], start)
+            step = np.where(t >= 0, t, fresh[None, :]).astype(np.int64) * self.width * 2 + (t < 0)
             step[:, PAD] = (np.arange(len(t)) + base) * self.width * 2
-            self.roots.append(base * self.width)
+            self.starts.append(start * self.width)
             tables.append(step)
             base += len(t)
         self.table = np.concatenate(tables).astype(np.int32 if base * self.width * 2 < 2**31 else np.int64).ravel() if tables else np.zeros(0, np.int32)
@@ -167,13 +171,13 @@ class CrossParser:
         for k, j in enumerate(order.tolist()):
             grid[: size[k], k] = rows[j]
         alive = np.searchsorted(-size, -np.arange(len(grid)), side="left")  # rows longer than each step
-        state = np.repeat(np.array(self.roots, self.table.dtype)[:, None], len(rows), 1)
-        missed = np.ones((len(self.roots), len(rows)), self.table.dtype)  # the last phrase of each row
+        state = np.repeat(np.array(self.starts, self.table.dtype)[:, None], len(rows), 1)
+        begun = np.zeros((len(self.starts), len(rows)), self.table.dtype)  # phrases
         for k, m in enumerate(alive.tolist()):
             v = self.table[state[:, :m] + grid[k, :m]]
-            missed[:, :m] += v & 1
+            begun[:, :m] += v & 1
             state[:, :m] = v >> 1
-        np.add.at(counts, np.array(owner)[order], missed.T)
+        np.add.at(counts, np.array(owner)[order], begun.T)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and bits per letter of each text. The score is the share of phrases that
