@@ -66,6 +66,16 @@ def neighbour(df: DataFrame, order: str, values: Sequence[str], keys: Sequence[s
     return x.join(carry, [*keys, _B], "left").select(*df.columns, F.coalesce("_in", "_carry").alias(name))
 
 
+def number_rows(df: DataFrame, order: str, block: int, name: str = "number") -> DataFrame:
+    """Add the row's number from 1 in the order of a number column, without one task seeing all rows:
+    numbers inside blocks, plus the rows of the blocks before."""
+    x = df.withColumn(_B, _block(order, block))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = x.groupBy(_B).agg(F.count(F.lit(1)).alias("_n")).select(_B, before.alias("_before"))
+    own = x.withColumn("_own", F.row_number().over(Window.partitionBy(_B).orderBy(order)))
+    return own.join(sizes, _B).select(*df.columns, (F.col("_own") + F.col("_before")).alias(name))
+
+
 def adjacent_intervals(checkpoints: DataFrame, order: str, good: str, keys: Sequence[str] = (), block: int | None = None) -> DataFrame:
     """keys, lo, hi of neighbouring checkpoints that are both good."""
     x = neighbour(checkpoints.select(*keys, order, good), order, [order, good], keys, block)

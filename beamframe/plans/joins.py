@@ -3,12 +3,11 @@ p_partkey % 34, energy p_retailprice; lineitem rows for time stamps; embeddings
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from beamframe.operators import matching as M
+from beamframe.operators import ordered as O
 from beamframe.plans.counting import peaks
 from beamframe.plans.registry import query, table
 
@@ -207,6 +206,6 @@ def luminosity_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events of one simulation and as many of another as its cross section asks for."""
     o = table(spark, sf_dir, "orders")
     a = o.where("o_orderstatus = 'F'").select("o_orderkey", F.lit("a").alias("source"))
-    n = math.floor(a.count() * 0.4)
-    b = o.where("o_orderstatus = 'O'").orderBy("o_orderkey").limit(n).select("o_orderkey", F.lit("b").alias("source"))
-    return a.unionByName(b)
+    wanted = a.agg(F.floor(F.count(F.lit(1)) * 0.4).alias("wanted"))
+    b = O.with_one(O.number_rows(o.where("o_orderstatus = 'O'").select("o_orderkey"), "o_orderkey", 1 << 20), wanted)
+    return a.unionByName(b.where("number <= wanted").select("o_orderkey", F.lit("b").alias("source")))

@@ -50,7 +50,7 @@ def gain_iteration(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("bigint").alias("channel"), F.col("l_quantity").alias("adc"))
     factor = hits.select("channel").distinct().withColumn("factor", F.lit(1.0))
     for _ in range(3):
-        h = counting.histogram(hits.join(F.broadcast(factor), "channel").withColumn("e", F.col("adc") * F.col("factor")), "e", 0.0, 2.0, 60, ["channel"])
+        h = counting.histogram(hits.join(factor, "channel").withColumn("e", F.col("adc") * F.col("factor")), "e", 0.0, 2.0, 60, ["channel"])
         peak = fits.fit_peaks(h, ["channel"], 0.0, 2.0).select("channel", "mean")
         step = F.greatest(F.lit(0.5), F.least(F.lit(2.0), 30.0 / F.col("mean")))
         factor = factor.join(peak, "channel", "left").select("channel", F.when(F.col("mean") > 0, F.col("factor") * step).otherwise(F.col("factor")).alias("factor"))

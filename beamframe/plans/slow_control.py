@@ -99,7 +99,7 @@ SELECT event_id, event_type, value FROM events JOIN d USING (event_type) WHERE v
 def absolute_and_relative_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     s = O.robust_stats(e, "value", ["event_type"])
-    kept = e.join(F.broadcast(s), "event_type").where(O.within(F.col("value"), 1.0) & O.within_sigma(F.col("value"), F.col("median"), F.col("sigma"), F.col("is_valid"), 2.0))
+    kept = e.join(s, "event_type").where(O.within(F.col("value"), 1.0) & O.within_sigma(F.col("value"), F.col("median"), F.col("sigma"), F.col("is_valid"), 2.0))
     return kept.select("event_id", "event_type", "value")
 
 

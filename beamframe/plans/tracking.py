@@ -60,5 +60,5 @@ def two_phase_time_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = p.groupBy("event", "channel").agg(F.min("time").alias("t"))
     pair = first.where("channel = 1").select("event", F.col("t").alias("t1")).join(first.where("channel > 1"), "event").select("event", "channel", (F.col("t1") - F.col("t")).alias("dt"))
     fit = fits.fit_peaks(C.histogram(pair, "dt", -50.0, 2.0, 50, ["channel"]), ["channel"], -50.0, 2.0).select("channel", "mean", "sigma")
-    kept = pair.join(F.broadcast(fit), "channel").where(F.abs(F.col("dt") - F.col("mean")) <= 3 * F.col("sigma"))
+    kept = pair.join(fit, "channel").where(F.abs(F.col("dt") - F.col("mean")) <= 3 * F.col("sigma"))
     return kept.groupBy("channel").agg(F.count(F.lit(1)).alias("n"), F.round(F.first("mean"), 4).alias("mean"), F.round(F.first("sigma"), 4).alias("sigma"))

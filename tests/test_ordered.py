@@ -72,3 +72,10 @@ def test_counter_resets(spark):
     df = spark.createDataFrame([("a", *r) for r in rows], "k string, t bigint, g bigint, u bigint")
     got = [r.live for r in df.select("t", O.counter_ratio(df, ["t"], "g", "u", ["k"]).alias("live")).orderBy("t").collect()]
     assert got == [0.5, 0.3, 0.5, -1.0]
+
+
+def test_row_numbers_over_blocks(spark):
+    r = random.Random(8)
+    xs = r.sample(range(1000), 100)
+    got = {x.t: x.number for x in O.number_rows(spark.createDataFrame([(x,) for x in xs], "t bigint"), "t", 37).collect()}
+    assert got == {x: i + 1 for i, x in enumerate(sorted(xs))}
