@@ -233,3 +233,23 @@ def deconvolve(samples: np.ndarray, pedestal: float, pulses: list[dict], shape:
         return None
     area = shape.fall * (1 - shape.rise / (shape.rise + shape.fall)) / clock
     return [{**q, "height": float(a * shape.height), "time": float(t0 + shape.top), "integral": float(a * area)} for q, (a, t0) in zip(pulses, p, strict=True)]
+
+
+def with_deconvolution(df: DataFrame, samples: str, shape: Template, cfg: PulseConfig = PulseConfig()) -> DataFrame:
+    """Rows of `with_pulses` with piled-up pulses taken apart; the others pass untouched, in the same
+    pass, so that only piled-up waveforms pay for the fit. `state`: 0 not piled, 1 fitted, 2 failed."""
+    schema = StructType([*df.schema.fields, StructField("state", IntegerType())])
+
+    def one(x: np.ndarray, ped: float, pulses: list) -> tuple[list, int]:
+        pulses = [p if isinstance(p, dict) else p.asDict() for p in pulses]
+        if not any(p["piled"] for p in pulses):
+            return pulses, 0
+        got = deconvolve(x, ped, pulses, shape, cfg.clock)
+        return (got, 1) if got else (pulses, 2)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = [one(x, m, p) for x, m, p in zip(pdf[samples], pdf["ped_mean"], pdf["pulses"], strict=True)]
+            yield pdf.assign(pulses=[p for p, _ in got], state=[s for _, s in got])
+
+    return df.mapInPandas(run, schema)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from beamframe.functions import arrays as A
 from beamframe.plans.counting import samples
-from beamframe.plans.registry import query
+from beamframe.plans.registry import query, table
 
 _W = "w AS (SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda v: 100.0 + round(500 * v)) AS s FROM embeddings)"
 _L = f"{_W}, x AS (SELECT vec_id, unnest(s) AS v, unnest(range(64)) AS i FROM w)"
@@ -75,3 +75,11 @@ def strip_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = samples(spark, sf_dir).select("vec_id", F.posexplode("samples").alias("i", "v")).where("v > 115").withColumn("i", F.col("i").cast("bigint"))
     g = runs_of(x, ["vec_id"], "i")
     return g.groupBy("vec_id", "run").agg(F.min("i").alias("first"), F.count(F.lit(1)).alias("n"), F.sum("v").alias("q"), F.round(F.sum(F.col("i") * F.col("v")) / F.sum("v"), 6).alias("centroid")).drop("run")
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(range(1, 7), lambda i: embedding[i]::DOUBLE ** 2 * 25 * (i - 1))) / list_sum(list_transform(range(1, 7), lambda i: embedding[i]::DOUBLE ** 2)), 6) AS seed_time FROM embeddings")
+def seed_mean_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Charge-weighted mean time of a strip's six samples, 25 ns apart."""
+    q = F.transform(F.slice("embedding", 1, 6), lambda v: F.pow(v.cast("double"), 2))
+    weighted = F.zip_with(q, F.sequence(F.lit(0), F.lit(5)), lambda a, i: a * 25 * i)
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(A.total(weighted) / A.total(q), 6).alias("seed_time"))

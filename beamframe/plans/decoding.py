@@ -96,3 +96,13 @@ def tag_path_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     parents = li.groupBy("l_returnflag").agg(F.countDistinct("l_orderkey").alias("parents"))
     n = li.groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n")).join(parents, "l_returnflag")
     return n.select(F.concat_ws("/", "l_returnflag", "l_linestatus").alias("path"), "n", F.round(F.col("n") / F.col("parents"), 6).alias("per_parent"))
+
+
+@query("""WITH w AS (SELECT o_orderkey AS event, list_transform(range(16), lambda i: ((o_orderkey * (i + 1)) % 97)::BIGINT) AS g, list_transform(range(16), lambda i: ((o_custkey * (i + 1)) % 101)::BIGINT) AS u FROM orders)
+SELECT event, g[3] AS gated, u[3] AS ungated, round(CASE WHEN g[3] > 0 AND u[3] >= g[3] THEN g[3] / u[3]::DOUBLE END, 9) AS live FROM w""")
+def scaler_readouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """16 gated and 16 ungated counters of a readout, and a channel's live fraction where it makes sense."""
+    numbers = F.sequence(F.lit(1), F.lit(16))
+    words = F.concat(F.transform(numbers, lambda i: (F.col("o_orderkey") * i) % 97), F.transform(numbers, lambda i: (F.col("o_custkey") * i) % 101))
+    s = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event"), D.scaler_block(words, 2).alias("s"))
+    return s.select("event", F.get("s.gated", F.lit(2)).alias("gated"), F.get("s.ungated", F.lit(2)).alias("ungated"), F.round("s.live", 9).alias("live"))

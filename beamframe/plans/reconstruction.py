@@ -55,3 +55,21 @@ def gain_iteration(spark: SparkSession, sf_dir: str) -> DataFrame:
         step = F.greatest(F.lit(0.5), F.least(F.lit(2.0), 30.0 / F.col("mean")))
         factor = factor.join(peak, "channel", "left").select("channel", F.when(F.col("mean") > 0, F.col("factor") * step).otherwise(F.col("factor")).alias("factor"))
     return factor.select("channel", F.round("factor", 5).alias("factor"))
+
+
+@query()
+def deconvolved_pulses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piled-up pulses taken apart by a fit of one shape."""
+    p = waveforms.with_pulses(samples(spark, sf_dir).select("vec_id", "samples"), "samples", waveforms.PulseConfig(order=1, n_pedestal=20))
+    d = waveforms.with_deconvolution(p, "samples", waveforms.Template(3.0, 12.0))
+    x = d.select("vec_id", "state", F.explode("pulses").alias("p")).where("state > 0")
+    return x.select("vec_id", "state", "p.pos", F.round("p.height", 3).alias("height"), F.round("p.time", 3).alias("time"))
+
+
+@query()
+def crystal_ball_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The right-most peak of every channel's spectrum, with a tail to the left."""
+    p = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("bigint").alias("channel"), "l_extendedprice")
+    h = counting.histogram(p, "l_extendedprice", 0.0, 2000.0, 60, ["channel"])
+    f = fits.fit_peaks(h, ["channel"], 0.0, 2000.0, fits.crystal_ball_fit)
+    return f.select("channel", "n", *[F.round(n, 3).alias(n) for n in ("amplitude", "mean", "sigma", "chi2_dof")])

@@ -116,3 +116,11 @@ def test_scaler_block(spark):
     words = list(range(1, 17)) + list(range(2, 34, 2))
     got = spark.createDataFrame([(words,)], "w array<bigint>").select(D.scaler_block(F.col("w"), 2).alias("s")).first().s
     assert got.gated[2] == 3 and got.ungated[2] == 6 and got.live == 0.5
+
+
+def test_crystal_ball_finds_peak_over_tail():
+    c = np.arange(0, 100, 1.0) + 0.5
+    truth = np.array([800.0, 70.0, 4.0, 1.2, 3.0])
+    n = np.random.default_rng(9).poisson(fits.crystal_ball(c, truth))
+    _, m, s, _ = fits.crystal_ball_fit(c, n)
+    assert abs(m - 70) < 0.5 and abs(s - 4) < 0.5
