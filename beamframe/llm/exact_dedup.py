@@ -10,6 +10,8 @@ Work and skew: distinct blocks and pairs are grouped with map-side combining, so
 row; names travel back in joins on small rows, which adaptive execution splits when a key is hot.
 Every level is written to the shared folder.
 
+The input is read more than once and must number its rows alike each time, as a written table does.
+
 Defined cases: a null text counts as empty; empty texts are equal to one another; repeated rows are
 copies of each other (each is returned); of equal texts the largest doc_id stays, and of its
 repeated rows all carry kept = true; extra columns are ignored; an empty table gives no rows."""
@@ -47,9 +49,10 @@ def block_identities(docs: DataFrame, cfg: BlockNamingConfig = BlockNamingConfig
     route = F.xxhash64(F.col("b.block"))
     if cfg.routing_bits < 64:
         route = F.pmod(route, F.lit(1 << cfg.routing_bits))
-    cut = docs.select(
-        F.monotonically_increasing_id().alias("row_id"), F.col("doc_id"), F.octet_length(body).alias("n_bytes"),
-        F.sha2(body, 256).alias("text_sha256"), F.explode(_blocks(body, cfg.block_bytes)).alias("b"),
+    # the row's number is taken before the blocks are exploded: Spark would number the blocks else
+    numbered = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", body.alias("body"))
+    cut = numbered.select(
+        "row_id", "doc_id", F.octet_length("body").alias("n_bytes"), F.sha2("body", 256).alias("text_sha256"), F.explode(_blocks(F.col("body"), cfg.block_bytes)).alias("b")
     ).withColumn("route", route)
     # 1. distinct blocks, sorted into names
     names = materialise(
