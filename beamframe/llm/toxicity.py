@@ -87,7 +87,7 @@ def fold(token: str) -> str:
 class TokenFlags(dict):
     """token -> flags, remembered; cleared when it holds `limit` tokens."""
 
-    def __init__(self, lexicon: frozenset[str], limit: int = 500_000):
+    def __init__(self, lexicon: frozenset[str], limit: int = 200_000):
         super().__init__()
         self.lexicon, self.limit = lexicon, limit
 
