@@ -86,3 +86,29 @@ def flatten_json(df: DataFrame, key: str, text: str, depth: int = 6) -> DataFram
         typed = F.coalesce(F.try_parse_json("s"), F.try_parse_json(F.to_json(F.array("s")).substr(F.lit(2), F.length(F.to_json(F.array("s"))) - 2)))
         level = inner.select(key, F.concat_ws(".", "path", "k").alias("path"), typed.alias("v"))
     return leaves
+
+
+MODULES = "n string, t string, geo struct<x double, y double, sx double, sy double>, daq struct<crate int, slot int, channel int>"
+
+
+def read_modules(spark: SparkSession, path: str) -> DataFrame:
+    """A JSON list of modules: name, type, position and size, readout address (null where there is none)."""
+    m = spark.read.option("multiLine", True).option("allowComments", True).schema(MODULES).json(path)
+    return m.select(F.col("n").alias("name"), F.col("t").alias("type"), "geo.x", "geo.y", "geo.sx", "geo.sy", "daq.crate", "daq.slot", "daq.channel")
+
+
+def read_pedestals(spark: SparkSession, path: str) -> DataFrame:
+    """Text lines `crate slot channel mean rms`; other lines are skipped."""
+    c = F.split(F.trim("value"), r"\s+")
+    rows = spark.read.text(path).select(c.alias("c")).where(F.size("c") == 5)
+    num = lambda i, kind, name: F.get("c", F.lit(i)).try_cast(kind).alias(name)
+    out = rows.select(num(0, "int", "crate"), num(1, "int", "slot"), num(2, "int", "channel"), num(3, "double", "mean"), num(4, "double", "rms"))
+    return out.where("crate IS NOT NULL AND slot IS NOT NULL AND channel IS NOT NULL AND mean IS NOT NULL")
+
+
+def remap(df: DataFrame, column: str, table: dict[int, int]) -> DataFrame:
+    """Replace values of a column by a small table; the others stay."""
+    if not table:
+        return df
+    pairs = F.create_map(*[F.lit(v) for kv in sorted(table.items()) for v in kv])
+    return df.withColumn(column, F.coalesce(F.try_element_at(pairs, F.col(column)), F.col(column)))

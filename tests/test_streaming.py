@@ -51,3 +51,11 @@ def test_flatten_json(spark):
     df = spark.createDataFrame([(1, '{"a": {"b": 1, "c": "x", "e": {}}, "d": [1, 2]}'), (2, "bad{"), (3, None)], "id bigint, j string")
     got = {(r.id, r.path): r.value for r in S.flatten_json(df, "id", "j").collect()}
     assert got == {(1, "a.b"): "1", (1, "a.c"): "x", (1, "a.e"): "{}", (1, "d"): "[1,2]"}
+
+
+def test_maps_and_pedestals(spark, tmp_path):
+    (tmp_path / "m.json").write_text('[{"n": "W1", "t": "crystal", "geo": {"sx": 2, "sy": 2, "x": 1, "y": -1}, "daq": {"crate": 1, "slot": 3, "channel": 7}}, // last\n {"n": "G2", "t": "glass", "geo": {"sx": 4, "sy": 4, "x": 9, "y": 9}}]')
+    assert [(r.name, r.slot, r.x) for r in S.read_modules(spark, str(tmp_path / "m.json")).orderBy("name").collect()] == [("G2", None, 9.0), ("W1", 3, 1.0)]
+    (tmp_path / "p.txt").write_text("# pedestals\n1 3 7 100.5 1.25\nbad line\n2 3 8 x 1\n2 4 8 99 2\n")
+    p = S.remap(S.read_pedestals(spark, str(tmp_path / "p.txt")), "crate", {2: 20})
+    assert sorted(map(tuple, p.collect())) == [(1, 3, 7, 100.5, 1.25), (20, 4, 8, 99.0, 2.0)]
