@@ -98,3 +98,48 @@ def form_clusters(hits: DataFrame, event: str, x: str, y: str, energy: str, cfg:
         return out
 
     return hits.select(event, x, y, energy).groupBy(event).applyInPandas(keyed, schema)
+
+
+def valley_cuts(charge: np.ndarray, depth: float) -> tuple[list[int], np.ndarray]:
+    """First strips of the parts of a run that is cut at its valleys, and the charges after the cuts.
+
+    A valley is the least strip between a fall and a rise of more than `depth`; half its charge goes,
+    and the rest belongs to the part on its right, which is looked at again from there."""
+    q = np.array(charge, float)
+    first = [0]
+    while len(q) - first[-1] >= 3:
+        a = first[-1]
+        step = np.diff(q[a:])
+        fall = np.flatnonzero(step < -depth)
+        if not len(fall):
+            break
+        low = int(fall[0]) + 1
+        rise = np.flatnonzero(step[low:] > depth)
+        if not len(rise):
+            break
+        m = a + low + int(q[a + low : a + low + int(rise[0]) + 1].argmin())
+        q[m] /= 2
+        first.append(m)
+    return first, q
+
+
+def strip_clusters(strips: DataFrame, keys: list[str], position: str, charge: str, depth: float = 14.0, gap: int = 1, sizes: tuple[int, int] = (1, 20)) -> DataFrame:
+    """Runs of neighbouring strips cut at their valleys: keys, first, size, total, peak, centre.
+
+    A key (event and plane) has few strips and one task holds them."""
+    schema = StructType([*(strips.schema[k] for k in keys), StructField("first", LongType()), StructField("size", LongType()), *(StructField(c, DoubleType()) for c in ("total", "peak", "centre"))])
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(position, kind="stable")
+        pos, all_q = pdf[position].to_numpy(), pdf[charge].to_numpy(float)
+        rows = []
+        for part in np.split(np.arange(len(pos)), np.flatnonzero(np.diff(pos) > gap) + 1):
+            first, q = valley_cuts(all_q[part], depth)
+            # a cut strip has lost half its charge before the part on its left ends, which leaves it out
+            for a, z in zip(first, [*first[1:], len(part)], strict=True):
+                x, w = pos[part][a:z], q[a:z]
+                if sizes[0] <= z - a <= sizes[1]:
+                    rows.append((*key, int(x[0]), z - a, w.sum(), w.max(), (x * w).sum() / w.sum() if w.sum() > 0 else float(x.mean())))
+        return pd.DataFrame(rows, columns=schema.names)
+
+    return strips.select(*keys, position, charge).groupBy(*keys).applyInPandas(run, schema)

@@ -73,3 +73,11 @@ def crystal_ball_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = counting.histogram(p, "l_extendedprice", 0.0, 2000.0, 60, ["channel"])
     f = fits.fit_peaks(h, ["channel"], 0.0, 2000.0, fits.crystal_ball_fit)
     return f.select("channel", "n", *[F.round(n, 3).alias(n) for n in ("amplitude", "mean", "sigma", "chi2_dof")])
+
+
+@query()
+def valley_split_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strips over threshold, grouped and cut at their valleys."""
+    s = samples(spark, sf_dir).select("vec_id", F.posexplode("samples").alias("strip", "q")).where("q > 95")
+    c = clusters.strip_clusters(s.withColumn("strip", F.col("strip").cast("bigint")), ["vec_id"], "strip", "q")
+    return c.select("vec_id", "first", "size", *[F.round(n, 5).alias(n) for n in ("total", "peak", "centre")])

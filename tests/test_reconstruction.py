@@ -124,3 +124,31 @@ def test_crystal_ball_finds_peak_over_tail():
     n = np.random.default_rng(9).poisson(fits.crystal_ball(c, truth))
     _, m, s, _ = fits.crystal_ball_fit(c, n)
     assert abs(m - 70) < 0.5 and abs(s - 4) < 0.5
+
+
+def test_valleys_against_a_walk():
+    def walk(q, depth):
+        q, out = list(q), []
+        start = 0
+        while True:
+            falling, low, found = False, start, None
+            for i in range(start, len(q) - 1) if len(q) - start >= 3 else ():
+                if falling:
+                    low = i if q[i] < q[low] else low
+                    if q[i + 1] - q[i] > depth:
+                        found = low
+                        break
+                elif q[i] - q[i + 1] > depth:
+                    falling, low = True, i + 1
+            if found is None:
+                return [*out, (start, len(q), sum(q[start:]))]
+            q[found] /= 2
+            out.append((start, found, sum(q[start:found])))
+            start = found
+
+    r = np.random.default_rng(11)
+    for _ in range(300):
+        q = r.integers(0, 100, r.integers(1, 15)).astype(float)
+        first, cut = clusters.valley_cuts(q, 14.0)
+        got = [(a, z, cut[a:z].sum()) for a, z in zip(first, [*first[1:], len(q)], strict=True)]
+        assert got == walk(q, 14.0)
