@@ -7,8 +7,8 @@ the better that language predicts it; phrases * log2(training length) / letters
 cross entropy in bits per letter, and the language with the least wins.
 
 Fitting reads a bounded sample (`LangConfig`): per language at most `sample_docs` documents, chosen
-by hash, and at most `sample_chars` letters of each, `train_chars` in all; every language uses the
-same number of letters, so that phrase counts compare. The sample goes to each Python worker, which
+by hash, a window of at most `sample_chars` characters at a hashed place of each, and `train_chars`
+letters in all; every language uses the same number of letters, so that phrase counts compare. The sample goes to each Python worker, which
 builds its automata once. Prediction reads whole texts and shuffles nothing: blocks of many texts
 advance through the automata together, one letter a step. A phrase ends at a block's end.
 
@@ -40,7 +40,7 @@ PAD, SPACE, OTHER = 0, 1, 2  # letter classes: after the end, between words, in
 @dataclass(frozen=True)
 class LangConfig:
     sample_docs: int = 128  # per language
-    sample_chars: int = 1000  # of a document, in training only
+    sample_chars: int = 1000  # of a document, in training only; prediction reads whole texts
     train_chars: int = 24_000  # per language
     block: int = 512  # letters parsed as one row
     rows: int = 4096  # rows that advance together
@@ -51,7 +51,9 @@ def training_sample(docs: DataFrame, labelled: Column, cfg: LangConfig = LangCon
     """(lang, text) pairs of the bounded sample, in a fixed order."""
     rows = docs.where(labelled).select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     ids = slot_sample_ids(rows, "doc_id", cfg.sample_docs, by="lang")
-    picked = rows.join(F.broadcast(ids), ["lang", "doc_id"]).select("lang", "sample_order", "doc_id", F.substring("text", 1, cfg.sample_chars).alias("text"))
+    room = F.greatest(F.lit(1), F.length("text") - cfg.sample_chars + 1)
+    window = F.substr("text", (1 + F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), room)).cast("int"), F.lit(cfg.sample_chars))
+    picked = rows.join(F.broadcast(ids), ["lang", "doc_id"]).select("lang", "sample_order", "doc_id", window.alias("text"))
     got = sorted((r.lang, r.sample_order, r.doc_id, r.text) for r in picked.distinct().collect())
     return [(lang, text) for lang, _, _, text in got]
 
