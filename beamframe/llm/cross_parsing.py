@@ -53,7 +53,7 @@ def training_sample(docs: DataFrame, labelled: Column, cfg: LangConfig = LangCon
     ids = slot_sample_ids(rows, "doc_id", cfg.sample_docs, by="lang")
     room = F.greatest(F.lit(1), F.length("text") - cfg.sample_chars + 1)
     window = F.substr("text", (1 + F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), room)).cast("int"), F.lit(cfg.sample_chars))
-    picked = rows.join(F.broadcast(ids), ["lang", "doc_id"]).select("lang", "sample_order", "doc_id", window.alias("text"))
+    picked = rows.join(ids, ["lang", "doc_id"]).select("lang", "sample_order", "doc_id", window.alias("text"))
     got = sorted((r.lang, r.sample_order, r.doc_id, r.text) for r in picked.distinct().collect())
     return [(lang, text) for lang, _, _, text in got]
 
