@@ -4,16 +4,24 @@ Each language's training text becomes a suffix automaton. A text is parsed greed
 automaton: a phrase is the longest match that starts where the last one ended, and a letter the
 automaton can't continue with starts the next phrase. The fewer phrases a text needs per letter,
 the better that language predicts it; phrases * log2(training length) / letters estimates the
-cross entropy in bits per letter, and the language with the least wins.
+cross entropy in bits per letter.
+
+Each language has its own training length, up to `train_chars`, and languages compare by the length of
+a code: a phrase costs log2(own training length), its place, and log2(letters of the alphabet), the
+letter that ends it. The language with the shortest code wins; with equal training lengths that is the
+one with the fewest phrases. The place alone would make a tiny sample cheap: with 12 letters a phrase
+costs 3.6 bits, and one or two letters a phrase then beat a well-trained language on its own text.
+Lengths that differ by at most `even` are made equal, so that those counts compare directly; no language
+gives up more than that share of its own letters, whatever the others have.
 
 Fitting reads a bounded sample (`LangConfig`): per language at most `sample_docs` documents, chosen
 by hash, a window of at most `sample_chars` characters at a hashed place of each, and `train_chars`
-letters in all; every language uses the same number of letters, so that phrase counts compare. The sample goes to each Python worker, which
-builds its automata once. Prediction reads whole texts and shuffles nothing: blocks of many texts
+letters in all. A language whose sample has no letter gets no automaton and is never predicted. The
+sample goes to each Python worker, which builds its automata once. Prediction reads whole texts and shuffles nothing: blocks of many texts
 advance through the automata together, one letter a step. A phrase ends at a block's end.
 
 Defined cases: a null text, an empty one and one without a letter are `und` with score 0 and are
-rejected; with no labelled text at all every text is `und`; a text of letters that no language has
+rejected; with no labelled text that has a letter every text is `und`; a text of letters that no language has
 counts one phrase a letter everywhere, ties go to the alphabetically first language with score 0;
 repeated rows are predicted each; texts of any length are read whole; extra columns are ignored;
 an empty table gives no rows."""
@@ -42,6 +50,7 @@ class LangConfig:
     sample_docs: int = 128  # per language
     sample_chars: int = 1000  # of a document, in training only; prediction reads whole texts
     train_chars: int = 24_000  # per language
+    even: float = 0.01  # share of its own letters a language gives up to have as many as another
     block: int = 512  # letters parsed as one row
     rows: int = 4096  # rows that advance together
     min_score: float = 0.0  # documents that score less are rejected
@@ -104,8 +113,7 @@ class CrossParser:
 
     def __init__(self, sample: list[tuple[str, str]], cfg: LangConfig):
         self.cfg = cfg
-        self.langs = sorted({lang for lang, _ in sample})
-        texts = {lang: letters_of("\n".join(t for g, t in sample if g == lang)) for lang in self.langs}
+        texts = {lang: letters_of("\n".join(t for g, t in sample if g == lang)) for lang in sorted({lang for lang, _ in sample})}
         known = np.unique(np.concatenate([np.zeros(0, np.uint32), *texts.values()]))
         known = np.array([c for c in known.tolist() if c < 0x110000 and chr(c).isalpha()], np.int64)
         letter = np.array([chr(c).isalpha() if not 0xD800 <= c < 0xE000 else False for c in range(0x33480)])
@@ -113,12 +121,16 @@ class CrossParser:
         self.classes[known] = np.arange(3, 3 + len(known))
         self.width = 3 + len(known)
         cleaned = {g: self._fold(t)[0][: cfg.train_chars] for g, t in texts.items()}
-        shortest = min((len(t) for t in cleaned.values()), default=0)
-        self.bits = math.log2(max(2, shortest))
+        cleaned = {g: t for g, t in cleaned.items() if len(t)}
+        self.langs = list(cleaned)
+        size = np.array([len(t) for t in cleaned.values()])
+        cleaned = {g: t[: size[size >= (1 - cfg.even) * len(t)].min()] for g, t in cleaned.items()}
+        self.bits = np.array([math.log2(max(2, len(t))) for t in cleaned.values()])  # of a place
+        self.cost = self.bits + math.log2(max(2, len(known)))  # of a phrase
         tables, base = [], 0
         self.starts = []
         for g in self.langs:
-            t = suffix_automaton(cleaned[g][:shortest].tolist(), self.width)
+            t = suffix_automaton(cleaned[g].tolist(), self.width)
             t[t >= 0] += base
             # one more state, from which every letter starts a phrase: the first, and after a letter that
             # the language lacks, which is a phrase of its own
@@ -182,16 +194,17 @@ class CrossParser:
         np.add.at(counts, np.array(owner)[order], begun.T)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language, score and bits per letter of each text. The score is the share of phrases that
-        the best language saves against the second."""
+        """Language, score and bits per letter of each text. The score is the share of its code that the
+        best language saves against the second."""
         counts, letters = self.phrases(texts)
         if not self.langs:
             return [UND] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
-        best = counts.argmin(1)
-        low = counts.min(1)
-        second = np.partition(counts, 1, axis=1)[:, 1] if len(self.langs) > 1 else np.maximum(letters, low)
-        score = np.where(letters > 0, 1 - low / np.maximum(second, 1), 0.0)
-        bits = np.where(letters > 0, low * self.bits / np.maximum(letters, 1), 0.0)
+        code = counts * self.cost
+        best = code.argmin(1)
+        low = code.min(1)
+        second = np.partition(code, 1, axis=1)[:, 1] if len(self.langs) > 1 else np.maximum(letters * self.cost[0], low)
+        score = np.where(letters > 0, 1 - low / np.where(second > 0, second, 1), 0.0)
+        bits = np.where(letters > 0, counts[np.arange(len(texts)), best] * self.bits[best] / np.maximum(letters, 1), 0.0)
         return [self.langs[b] if n else UND for b, n in zip(best.tolist(), letters.tolist(), strict=True)], score, bits
 
 

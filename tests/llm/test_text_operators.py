@@ -64,6 +64,23 @@ def test_languages_of_odd_texts(odd, none):
     assert {r.lang_pred for r in cross_parsing.identify_languages(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("rare", ["lorem ipsum dol", "e", "123 456", ""])
+def test_a_rare_language_leaves_the_others_whole(rare):
+    r = random.Random(4)
+    vocab = {g: ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(2, 8))) for _ in range(150)] for g in ("bb", "cc", "dd")}
+    text = lambda g, n: " ".join(r.choice(vocab[g]) for _ in range(n))
+    full = [(g, text(g, 150)) for g in vocab for _ in range(20)]
+    p = cross_parsing.CrossParser([("aa", rare), *full], cross_parsing.LangConfig())
+    assert p.langs == (["aa"] if any(c.isalpha() for c in rare) else []) + ["bb", "cc", "dd"] and p.bits[-3:].min() > 13
+    held = [(g, text(g, 30)) for g in vocab for _ in range(30)]
+    got, score, _ = p.predict([t for _, t in held])
+    assert got == [g for g, _ in held] and score.min() > 0
+    alone = cross_parsing.CrossParser(full, cross_parsing.LangConfig()).predict([t for _, t in held])
+    assert alone[0] == got
+    if len(rare) > 9:
+        assert p.predict([rare])[0] == ["aa"]
+
+
 def test_language_accuracy_held_out(spark):
     sf = "/root/testdata/sf0.01"
     got = queries.op1_cross_parsing(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id").where("held_out").toPandas()
