@@ -11,12 +11,15 @@ Groups of near copies are not expanded into all pairs. First every member of a b
 with the bucket's hub, the member that shares most buckets, and verified links are labelled by
 components. Then, in buckets that still hold more than one label, each pair with different labels
 is compared inside tasks, in cells of bounded size and by four times as many MinHash values, and the
-survivors are verified. So every candidate pair is compared or already joined, and no link between two
-classes is lost; the only misses are pairs that share no band (3 in a million at similarity 0.8) or
-fall to the tolerance.
+survivors are verified. So no link between two labels is lost; the only misses are pairs that share no
+band (3 in a million at similarity 0.8) or fall to the tolerance.
+
+Links between equal labels are counted, not written: the members of a label meet in cells of bounded size,
+each pair in one cell, all pairs there are verified on the whole sets, and a cell returns degrees. Nothing
+is missed there. That work, unlike the rows, grows with the square of a label's size.
 
 Result, one row per document: class_id, the smallest doc_id of its class (linked directly or through
-others); n_links, its other copies plus the different texts to which a verified link was kept;
+others); n_links, its other copies plus the different texts of a similarity that reaches the threshold;
 n_copies, documents with the same set; class_size, documents of the class.
 
 Defined cases: null, empty and blank texts have no shingle, link to nothing and are classes of their
@@ -52,6 +55,7 @@ class JaccardConfig:
     longer: int = 4  # times as many values where pairs are compared inside tasks
     cell: int = 4096  # members of a bucket that meet in one task
     small: int = 64  # buckets up to this share a task with others
+    shingles: int = 1 << 20  # of a label's members on one side of a cell
 
     @property
     def hashes(self) -> int:
@@ -297,6 +301,63 @@ def _across(members: DataFrame, sets: DataFrame, labels: DataFrame, cfg: Jaccard
     return cells.groupBy("cell", "x", "y").applyInArrow(compare, "a binary, b binary").distinct()
 
 
+def degrees(sets: list[np.ndarray], side: np.ndarray, across: bool, cfg: JaccardConfig) -> np.ndarray:
+    """Links of each set to the others (of the other side, if `across`), all pairs verified."""
+    out = np.zeros(len(sets), np.int64)
+    size = np.array([len(s) for s in sets])
+    order = np.argsort(size, kind="stable")
+    right = order[side[order] == side.max()] if across else order
+    left = order[side[order] != side.max()] if across else order
+    if not len(left) or not len(right):
+        return out
+    codes = np.unique(np.concatenate([sets[i] for i in [*right.tolist(), *(left.tolist() if across else [])]]), return_inverse=True)[1]
+    starts = np.append(0, np.cumsum(size[right]))
+    own = starts[-1] + np.append(0, np.cumsum(size[left])) if across else starts
+    met = np.zeros(int(codes.max()) + 1, np.uint8)
+    lo, hi = np.searchsorted(size[right], [size[left] * cfg.threshold - 1, size[left] / cfg.threshold + 1])
+    for n, i in enumerate(left.tolist()):
+        a, z = (int(lo[n]) if across else n + 1), int(hi[n])
+        if a >= z:
+            continue
+        mine = codes[own[n] : own[n + 1]]
+        met[mine] = 1
+        common = np.add.reduceat(met[codes[starts[a] : starts[z]]], starts[a:z] - starts[a], dtype=np.int64)
+        met[mine] = 0
+        js = right[a:z]
+        js = js[common / (size[i] + size[js] - common) >= cfg.threshold]
+        out[i] += len(js)
+        out[js] += 1
+    return out
+
+
+def _within(sets: DataFrame, labels: DataFrame, cfg: JaccardConfig) -> DataFrame:
+    """k, degree: links between nodes of one label, counted inside tasks in every cell where k is."""
+    half = cfg.cell // 2
+    members = labels.join(sets.select("k", "s"), "k")
+    sizes = members.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.expr("length(s) div 8")).alias("shingles")).where("n > 1")
+    sizes = materialise(sizes, "jaccard-label-sizes")
+    share = lambda n, shingles: F.ceil(F.greatest(n / F.lit(half), shingles / F.lit(cfg.shingles)))
+    bins = sizes.agg(share(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("shingles"), F.lit(0))).alias("bins")).first().bins
+    chunks = share(F.col("n"), F.col("shingles")).cast("int")
+    cell = F.when((F.col("n") <= cfg.small) & (chunks == 1), F.pmod(F.xxhash64("label"), F.lit(max(1, bins)))).otherwise(F.xxhash64("label"))
+    rows = members.join(sizes.select("label", chunks.alias("chunks"), cell.alias("cell")), "label")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("k", F.lit(7)), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    cells = rows.select("cell", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "k", "label", "s")
+
+    def count(t: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in t.column("s")]
+        label, side = t.column("label").combine_chunks().dictionary_encode().indices.to_numpy(), t.column("own").to_numpy()
+        across = t.column("x")[0].as_py() != t.column("y")[0].as_py()
+        order = np.argsort(label, kind="stable")
+        found = np.zeros(len(sets), np.int64)
+        for run in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
+            if len(run) > 1:
+                found[run] = degrees([sets[i] for i in run.tolist()], side[run], across, cfg)
+        return pa.table({"k": t.column("k").cast(pa.binary()), "degree": pa.array(found)})
+
+    return cells.groupBy("cell", "x", "y").applyInArrow(count, "k binary, degree bigint")
+
+
 def similarity_classes(docs: DataFrame, cfg: JaccardConfig = JaccardConfig()) -> DataFrame:
     """docs(doc_id, text) -> per row: doc_id, class_id, n_links, n_copies, class_size."""
     small_batches(docs.sparkSession)
@@ -325,13 +386,14 @@ def similarity_classes(docs: DataFrame, cfg: JaccardConfig = JaccardConfig()) ->
     links = links.unionByName(more)
 
     lab = lambda e: labels.select(F.col("k").alias(e), F.col("label").alias(f"label_{e}"))
-    apart = links.join(lab("a"), "a", "left").join(lab("b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")).where("a <> b").distinct()
-    roots = components(apart)
-    degree = links.select(F.explode(F.array("a", "b")).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("degree"))
+    apart = links.join(lab("a"), "a", "left").join(lab("b"), "b", "left").select("a", "b", F.coalesce("label_a", "a").alias("label_a"), F.coalesce("label_b", "b").alias("label_b")).where("label_a <> label_b")
+    roots = components(apart.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct())
+    counted = apart.select(F.explode(F.array("a", "b")).alias("k"), F.lit(1).cast("bigint").alias("degree"))
+    degree = counted.unionByName(_within(sets, labels, cfg)).groupBy("k").agg(F.sum("degree").alias("degree"))
     known = nodes.select("k", "doc_id", "n_copies").join(labels, "k", "left").withColumn("label", F.coalesce("label", "k"))
-    known = known.join(roots.select(F.col("node").alias("label"), "component"), "label", "left").join(degree, "k", "left")
-    known = materialise(known.select("k", "doc_id", "n_copies", F.coalesce("component", "label").alias("class"), F.coalesce("degree", F.lit(0)).alias("degree")), "jaccard-classes")
+    known = known.join(roots.select(F.col("node").alias("label"), "component"), "label", "left")
+    known = materialise(known.select("k", "doc_id", "n_copies", F.coalesce("component", "label").alias("class")), "jaccard-classes")
     classes = known.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.sum("n_copies").alias("class_size"))
-    per_node = known.join(classes, "class").select("k", "class_id", "class_size", "n_copies", "degree")
-    out = rows.select("doc_id", "k").join(per_node, "k", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce(F.col("n_copies") - 1 + F.col("degree"), F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
+    per_node = known.join(classes, "class").select("k", "class_id", "class_size", "n_copies")
+    out = rows.select("doc_id", "k").join(per_node, "k", "left").join(degree, "k", "left")
+    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce(F.col("n_copies") - 1 + F.coalesce("degree", F.lit(0)), F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("class_size", F.lit(1)).alias("class_size"))

@@ -109,6 +109,24 @@ def test_similarity_classes(spark, cfg):
     assert sorted(((r.doc_id, r.class_id, r.n_links > 0) for r in got), key=key) == sorted(brute_classes(pairs), key=key)
 
 
+def brute_links(pairs, threshold=0.8):
+    """Other copies and different texts that reach the threshold, of each row."""
+    shingles = lambda w: frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+    s = [shingles((t or "").lower().split()) for _, t in pairs]
+    near = {x: sum(x != y and len(x & y) >= threshold * len(x | y) for y in set(s)) for x in set(s)}
+    return [(i, s.count(x) - 1 + near[x] if x else 0) for x, (i, _) in zip(s, pairs, strict=True)]
+
+
+@pytest.mark.parametrize("cfg", [bayes_jaccard.JaccardConfig(), bayes_jaccard.JaccardConfig(cell=16, small=4), bayes_jaccard.JaccardConfig(shingles=1000)])
+def test_all_links_of_a_group_count(spark, cfg):
+    pairs = near_texts()
+    got = bayes_jaccard.similarity_classes(docs_of(spark, pairs), cfg).collect()
+    want = brute_links(pairs)
+    assert max(n for _, n in want) >= 60
+    key = lambda x: tuple(map(str, x))
+    assert sorted(((r.doc_id, r.n_links) for r in got), key=key) == sorted(want, key=key)
+
+
 def test_similarity_of_nothing(spark):
     assert bayes_jaccard.similarity_classes(spark.createDataFrame([], DOC)).collect() == []
 
