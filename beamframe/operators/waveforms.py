@@ -42,6 +42,7 @@ class PulseConfig:
     tail_samples: int = 2  # in a row under it
     gap: int = 2  # samples between windows that pile up
     max_peaks: int = 8
+    min_ratio: float = 0.3  # of an earlier peak's height, for a peak that overlaps it
     clock: float = 4.0
 
 
@@ -110,6 +111,49 @@ def smooth(x: np.ndarray, order: int) -> np.ndarray:
     return num / den
 
 
+def peaks(y: np.ndarray, z: np.ndarray, rms: float, least: float, cfg: PulseConfig) -> list[tuple[int, int]]:
+    """Accepted maxima of the smoothed samples y, and how far the raw maximum in z may lie from each.
+
+    A maximum, or the middle of a plateau, counts if it is `least` over the pedestal and over the line
+    between the ends of its range, and, where its range meets an earlier one's, `min_ratio` of that
+    peak's height over the line. Only accepted maxima count towards `max_peaks`."""
+    n = len(y)
+    tolerance = max(0.1, 0.5 * rms)
+    d = np.diff(y)
+    turn = np.where(np.abs(d) < tolerance, 0, np.sign(d)).astype(int).tolist()  # from each sample to the next
+    out: list[tuple[int, int]] = []
+    ranges: list[tuple[int, int, float]] = []
+    i = 0
+    while i < n - 2 and len(out) < cfg.max_peaks:
+        i += 1
+        up, down = turn[i - 1], -turn[i]
+        if up * down < 0 or up == down == 0:
+            continue
+        flat = i
+        if down == 0:
+            while flat < n - 1 and turn[flat] == 0:
+                flat += 1
+            if flat >= n - 1 or turn[flat] > 0:
+                continue
+        if up < 0 or down < 0:
+            continue
+        top, left, right = (i + flat) // 2, i, flat
+        while left > 0 and turn[left - 1] > 0:
+            left -= 1
+        while right < n - 1 and turn[right] <= 0:
+            right += 1
+        if right <= left:
+            continue
+        over = y[top] - (y[left] * (right - top) + y[right] * (top - left)) / (right - left)
+        reach = max(1, cfg.order) + (flat - i) // 2
+        small = any(left <= r and right >= l and over < cfg.min_ratio * h for l, r, h in ranges)
+        if min(over, y[top]) >= least and not small:
+            out.append((top, reach))
+            ranges.append((left, right, float(z[max(top - reach, 0) : top + reach + 1].max())))
+        i = right
+    return out
+
+
 def find_pulses(samples: np.ndarray, cfg: PulseConfig = PulseConfig()) -> tuple[tuple[float, float, int], list[dict]]:
     """Pedestal, and pulses over it: height, vertex time, tail-cut integral, pile-up flag.
 
@@ -123,12 +167,10 @@ def find_pulses(samples: np.ndarray, cfg: PulseConfig = PulseConfig()) -> tuple[
     y = smooth(x, cfg.order) - ped[0]
     z = x - ped[0]
     least = max(cfg.n_sigma * ped[1], cfg.min_height)
-    rising, falling = np.diff(y) > 0, np.diff(y) < 0
-    tops = [i for i in np.flatnonzero(rising[:-1] & ~rising[1:]) + 1 if y[i] > least and falling[i:].any() and not rising[i : i + int(falling[i:].argmax())].any()]
     out: list[dict] = []
-    for i in tops[: cfg.max_peaks]:
-        a = max(i - 1, 0)
-        i = a + int(z[a : i + 2].argmax())  # the raw sample under the smoothed one
+    for i, reach in peaks(y, z, ped[1], least, cfg):
+        a = max(i - reach, 0)
+        i = a + int(z[a : i + reach + 1].argmax())  # the raw sample under the smoothed one
         l, m, r = (z[i - 1] if i else z[i]), z[i], (z[i + 1] if i + 1 < n else z[i])
         bend = l - 2 * m + r
         shift = float(np.clip(0.5 * (l - r) / bend, -1, 1)) if bend < 0 else 0.0

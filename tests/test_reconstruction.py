@@ -45,6 +45,16 @@ def test_neighbouring_pulses_pile_up():
     assert [p["piled"] for p in pulses] == [1, 1]
 
 
+def test_ripple_does_not_crowd_out_later_pulses():
+    x = np.full(200, 100.0)
+    x[40:100] += np.concatenate([np.linspace(0, 400, 10), np.linspace(400, 0, 50)])
+    x[54] += 30  # overlaps the pulse and is small beside it
+    x[58:98:4] += 9.5  # ten ripples on the falling side, low over their own baseline
+    x[150:157] += [20, 80, 200, 300, 200, 80, 20]
+    _, pulses = waveforms.find_pulses(x, waveforms.PulseConfig(order=0))
+    assert [p["pos"] for p in pulses if p["pos"] > 100] == [153] and len(pulses) == 2
+
+
 def test_waveform_columns_take_nulls_and_short(spark):
     df = spark.createDataFrame([(1, None), (2, []), (3, [1.0, 2.0])], "id bigint, samples array<double>")
     assert [r.pulses for r in waveforms.with_pulses(df, "samples").orderBy("id").collect()] == [[], [], []]
