@@ -3,16 +3,18 @@
 A rolling polynomial hash over the last characters chooses cut points, so that passages shared by
 documents give the same chunks wherever they stand. A worker encodes each distinct chunk once and
 keeps it in a bounded cache that outlives the task; copies, near copies and shared passages are
-looked up. A chunk may cut a word. At a join the cut pieces on both sides are put together with
-whatever whole chunks lie between and encoded again, out to the nearest white space: the
-pre-tokenizer never joins across white space, so from there on both encodings agree exactly.
+looked up. A chunk may cut a word. At such a join the cut pieces of both sides and one more piece on
+either side are encoded again by the library: where the new ids begin and end with the ids that the
+chunks had for those outer pieces, both encodings agree and the ids between replace the join. If they
+don't agree, the window grows to the whole text, which is then encoded by the library alone.
 
 Nothing is shuffled: chunks are shared within a worker, not between workers (shuffling the text of
-chunks and their ids would cost more than twice the input).
+chunks and their ids would cost more than twice the input), so a passage is encoded once a worker.
 
 Defined cases: null and empty texts have no tokens and hash the empty string; texts of any length
 are encoded whole; repeated rows are encoded each; a special token's string inside a text becomes
-that token, as in the library; extra columns are ignored; an empty table gives no rows."""
+that token, as in the library; a doc_id of any type is returned as a long (null where it isn't one);
+extra columns are ignored; an empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -24,6 +26,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from beamframe.llm.common import small_batches
 from beamframe.llm.word_bpe import _ODD, _SPACE, default_vocab, unreachable_tokens, word_cache
@@ -68,55 +71,84 @@ def cut_points(text: str, cfg: ChunkConfig = ChunkConfig()) -> list[int]:
     return ends
 
 
+@dataclass(frozen=True)
+class Chunk:
+    """A chunk's pieces: those open at its ends, and between them whole ones with their ids."""
+
+    head: str  # text before the first white space; the whole chunk where it has none
+    ids: bytes  # of the whole pieces
+    first: str  # whole piece
+    last: str
+    tail: str  # text after the last white space
+    one: bool  # no white space in it
+
+
 class ChunkEncoder:
     """Encodes texts by cached chunks and repaired joins."""
 
     def __init__(self, path: str, cfg: ChunkConfig = ChunkConfig()):
         self.words, self.cfg = word_cache(path), cfg
-        self.chunks: dict[str, tuple[str, bytes, str] | None] = {}
+        self.chunks: dict[str, Chunk] = {}
         self.held = 0
-        self.encoded = self.reused = 0
+        self.encoded = self.reused = self.widened = 0
 
-    def _chunk(self, chunk: str) -> tuple[str, bytes, str] | None:
-        """(open piece at the start, ids between, open piece at the end); None if one piece fills it."""
-        if chunk in self.chunks:
+    def _chunk(self, text: str) -> Chunk:
+        if text in self.chunks:
             self.reused += 1
-            return self.chunks[chunk]
+            return self.chunks[text]
         self.encoded += 1
-        first = _SPACE.search(chunk)
+        first = _SPACE.search(text)
         if first is None:
-            out = None
+            out = Chunk(text, b"", "", "", "", True)
         else:
-            pieces = chunk.split() if not _ODD.search(chunk) else [p for p in _SPACE.split(chunk) if p]
-            head = chunk[: first.start()]
-            tail = pieces[-1] if pieces and not _SPACE.match(chunk[-1]) else ""
+            pieces = text.split() if not _ODD.search(text) else [p for p in _SPACE.split(text) if p]
+            head = text[: first.start()]
+            tail = pieces[-1] if pieces and not _SPACE.match(text[-1]) else ""
             inner = pieces[bool(head) : len(pieces) - bool(tail)]
-            out = (head, b"".join(map(self.words.__getitem__, inner)), tail)
-        self.held += len(chunk)
+            out = Chunk(head, b"".join(map(self.words.__getitem__, inner)), inner[0] if inner else "", inner[-1] if inner else "", tail, False)
+        self.held += len(text)
         if self.held > self.cfg.cache_chars:
             self.chunks.clear()
-            self.held = len(chunk)
-        self.chunks[chunk] = out
+            self.held = len(text)
+        self.chunks[text] = out
         return out
 
+    def _repaired(self, before: str, joint: str, after: str) -> bytes | None:
+        """Ids of the joint between two whole pieces (or the text's ends); None without agreement."""
+        got = self.words.library(" ".join(p for p in (before, joint, after) if p))
+        left, right = (self.words[p] if p else b"" for p in (before, after))
+        if len(got) < len(left) + len(right) or not got.startswith(left) or not got.endswith(right):
+            return None
+        return got[len(left) : len(got) - len(right)]
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian uint16, equal to the library's."""
         out: list[bytes] = []
-        joint, last = "", 0
+        before, joint, joined, last = "", "", False, 0  # the whole piece before an open one, the open one
         for end in cut_points(text, self.cfg):
-            chunk = text[last:end]
+            c = self._chunk(text[last:end])
             last = end
-            got = self._chunk(chunk)
-            if got is None:
-                joint += chunk
+            if c.one:
+                joined = joined or bool(joint)
+                joint += c.head
                 continue
-            head, ids, tail = got
-            if joint or head:
-                out.append(self.words[joint + head])
-            out.append(ids)
-            joint = tail
+            if joint or c.head:
+                joined = joined or bool(joint and c.head)
+                piece = joint + c.head
+                ids = self._repaired(before, piece, c.first) if joined else self.words[piece]
+                if ids is None:
+                    self.widened += 1
+                    return self.words.library(text)
+                out.append(ids)
+                before = piece
+            out.append(c.ids)
+            before, joint, joined = c.last or before, c.tail, False
         if joint:
-            out.append(self.words[joint])
+            ids = self._repaired(before, joint, "") if joined else self.words[joint]
+            if ids is None:
+                self.widened += 1
+                return self.words.library(text)
+            out.append(ids)
         return b"".join(out)
 
 
@@ -147,7 +179,7 @@ def encode_texts(docs: DataFrame, vocab: str | None = None, cfg: ChunkConfig = C
             offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(text, pa.string())], ["doc_id", "ids", "decoded"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids array<int>, decoded string")
+    return docs.select(F.col("doc_id").try_cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, ids array<int>, decoded string")
 
 
 def encode_digests(docs: DataFrame, vocab: str | None = None, cfg: ChunkConfig = ChunkConfig()) -> DataFrame:
@@ -174,4 +206,4 @@ def encode_digests(docs: DataFrame, vocab: str | None = None, cfg: ChunkConfig =
                 c.append(enc.encoded + enc.reused - before)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string()), pa.array(c, pa.int64())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_chunks"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_chunks bigint")
+    return docs.select(F.col("doc_id").try_cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_chunks bigint")

@@ -1,42 +1,18 @@
-"""Shared helpers of the training-data operators: scratch tables, folds, graph components."""
+"""Shared helpers of the training-data operators: samples, folds, graph components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from beamframe.plans.scratch import delete_path, scratch_path, scratch_scope
+from beamframe.plans.scratch import stored as materialise
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); a local one only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-scratch-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
+__all__ = ["components", "delete_path", "fold_columns", "id_fold", "materialise", "scratch_path", "scratch_scope", "slot_sample_ids", "small_batches", "table", "unfold_columns"]
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def id_fold(col: str | Column, folds: int) -> Column:
@@ -45,8 +21,9 @@ def id_fold(col: str | Column, folds: int) -> Column:
     return F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(folds))
 
 
-def slot_sample_ids(df: DataFrame, id_col: str, slots: int, by: str | None = None) -> DataFrame:
-    """At most `slots` ids (per value of `by`): the id of the smallest hash in each hash slot.
+def slot_sample_ids(df: DataFrame, id_col: str, slots: int, by: str | None = None, last: Column | None = None) -> DataFrame:
+    """At most `slots` ids (per value of `by`): the id of the smallest hash in each hash slot; rows where
+    `last` holds only if the slot has no other.
 
     A grouped minimum, so it combines before the shuffle and no group is gathered."""
     h = F.xxhash64(F.col(id_col), F.lit(17))
@@ -54,7 +31,7 @@ def slot_sample_ids(df: DataFrame, id_col: str, slots: int, by: str | None = Non
     return (
         df.withColumn("_slot", F.pmod(F.xxhash64(F.col(id_col), F.lit(5)), F.lit(slots)))
         .groupBy(*keys)
-        .agg(F.min(F.struct(h.alias("h"), F.col(id_col).alias("id"))).alias("_m"))
+        .agg(F.min(F.struct((last if last is not None else F.lit(False)).alias("last"), h.alias("h"), F.col(id_col).alias("id"))).alias("_m"))
         .select(*([by] if by else []), F.col("_m.id").alias(id_col), F.col("_m.h").alias("sample_order"))
     )
 

@@ -13,7 +13,8 @@ in the number of possible cuts. A stream is solved in windows of bounded size: a
 window but the last few are final, the rest goes into the next window. Nothing is shuffled.
 
 Defined cases: a null text counts as empty and is just the end id; a text longer than a sequence
-is cut; repeated rows are packed each; extra columns are ignored; an empty table gives no rows."""
+is cut; repeated rows are packed each; a doc_id of any type is returned as a long (null where it isn't
+one); extra columns are ignored; an empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -26,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from beamframe.llm.chunked_bpe import check_vocab
 from beamframe.llm.common import small_batches
@@ -198,4 +200,4 @@ def pack_documents(docs: DataFrame, vocab: str | None = None, cfg: PackConfig =
         if rows:
             yield batch(rows)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").try_cast("bigint").alias("doc_id"), "text").mapInArrow(run, SCHEMA)

@@ -83,6 +83,14 @@ def unreachable_tokens(path: str) -> list[str]:
     return bad
 
 
+def plain_letters(word: str) -> bool:
+    """Latin letters that stay letters when normalised and lower-cased one by one, so that whatever stands
+    beside the word can't join it. The dotted capital I doesn't: its small form ends in a combining mark."""
+    if not word.isalpha():
+        return False
+    return word.isascii() or (max(word) < "ɐ" and "İ" not in word and unicodedata.is_normalized("NFC", word))
+
+
 class WordCache(dict):
     """piece -> ids as little-endian uint16 bytes; cleared when it holds `limit` pieces."""
 
@@ -104,13 +112,15 @@ class WordCache(dict):
         return out
 
     def _encode(self, piece: str) -> bytes:
-        if len(piece) < 64:
-            if piece.isalpha():
-                if piece.isascii() or (max(piece) < "ɐ" and "İ" not in piece and unicodedata.is_normalized("NFC", piece)):
-                    return array("H", self.merge(piece.lower().encode() + b"\xff")).tobytes()
-            elif (m := _LETTERS_MARK.fullmatch(piece)) and m[1].isalpha() and "<|" not in m[2]:
-                return self[m[1]] + self[m[2]]
-        return array("H", self.tok.encode(piece, add_special_tokens=False).ids).tobytes()
+        if plain_letters(piece):
+            return array("H", self.merge(piece.lower().encode() + b"\xff")).tobytes()
+        if (m := _LETTERS_MARK.fullmatch(piece)) and plain_letters(m[1]) and "<|" not in m[2]:
+            return self[m[1]] + self[m[2]]
+        return self.library(piece)
+
+    def library(self, text: str) -> bytes:
+        """Ids by the library's whole pipeline."""
+        return array("H", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids of a text, as the library's encode(text, add_special_tokens=False) gives them."""
