@@ -6,25 +6,30 @@ automaton can't continue with starts the next phrase. The fewer phrases a text n
 the better that language predicts it; phrases * log2(training length) / letters estimates the
 cross entropy in bits per letter.
 
-Each language has its own training length, up to `train_chars`, and languages compare by the length of
-a code: a phrase costs log2(own training length), its place, and log2(letters of the alphabet), the
-letter that ends it. The language with the shortest code wins; with equal training lengths that is the
-one with the fewest phrases. The place alone would make a tiny sample cheap: with 12 letters a phrase
-costs 3.6 bits, and one or two letters a phrase then beat a well-trained language on its own text.
-Lengths that differ by at most `even` are made equal, so that those counts compare directly; no language
-gives up more than that share of its own letters, whatever the others have.
-
-Fitting reads a bounded sample (`LangConfig`): per language at most `sample_docs` documents, chosen
-by hash, a window of at most `sample_chars` characters at a hashed place of each, and `train_chars`
-letters in all. A language whose sample has no letter gets no automaton and is never predicted. The
-sample goes to each Python worker, which builds its automata once. Prediction reads whole texts and shuffles nothing: blocks of many texts
-advance through the automata together, one letter a step. A phrase ends at a block's end.
-
-Defined cases: a null text, an empty one and one without a letter are `und` with score 0 and are
-rejected; with no labelled text that has a letter every text is `und`; a text of letters that no language has
-counts one phrase a letter everywhere, ties go to the alphabetically first language with score 0;
-repeated rows are predicted each; texts of any length are read whole; extra columns are ignored;
-an empty table gives no rows."""
+Languages have training texts of their own lengths and are compared by the length of a code: a phrase
+costs log2(own training length), its place, and log2(letters of the alphabet), the letter that ends it.
+The language with the shortest code wins. The place alone would make a tiny sample cheap: with 12
+letters a phrase costs 3.6 bits, and one or two letters a phrase then beat a well-trained language on
+its own text.
+
+Fitting reads a bounded sample of labelled rows (`LangConfig`): at most `sample_docs` documents of a
+language, chosen by hash, whole; a document of more than `long_chars` characters only where its share
+of the hashes holds no other. A language whose sample has no letter gets no automaton and is never
+predicted. There may be at most `max_langs` labels, so the sample has a bounded number of rows; it goes
+to each Python worker, which builds its automata once. Transitions are kept sparse (rows laid over one
+another), so that alphabets of thousands of letters take no more room than the automata have edges.
+
+Prediction reads whole texts and shuffles nothing. Texts are cut into blocks that advance through the
+automata together, one letter a step; every block but a text's first starts where the block before it
+ended, not with a new phrase: blocks are first parsed from a fresh start, then from the true one until
+both parses meet, and the difference is corrected, as often as an end still changes.
+
+Defined cases: a null text, an empty one and one without a letter are `und` with score 0; with no
+labelled text that has a letter every text is `und`; a text of letters that no language has counts one
+phrase a letter everywhere; ties go to the alphabetically first language with score 0; rejected are
+`und` and texts whose best code, but for one phrase, is `worst` times as long as coding each letter by
+itself (so no trained language tells anything about them, as with texts in another script); repeated rows are predicted each; texts of any
+length are read whole; extra columns are ignored; an empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -47,23 +52,27 @@ PAD, SPACE, OTHER = 0, 1, 2  # letter classes: after the end, between words, in
 
 @dataclass(frozen=True)
 class LangConfig:
-    sample_docs: int = 128  # per language
-    sample_chars: int = 1000  # of a document, in training only; prediction reads whole texts
-    train_chars: int = 24_000  # per language
-    even: float = 0.01  # share of its own letters a language gives up to have as many as another
-    block: int = 512  # letters parsed as one row
+    sample_docs: int = 24  # labelled documents per language, whole
+    long_chars: int = 8192  # longer ones are chosen only where a slot holds no other
+    max_langs: int = 1000  # labels
+    worst: float = 2.0  # times as long as coding letters one by one: such texts are rejected
+    block: int = 1024  # letters of a text that advance as one row
     rows: int = 4096  # rows that advance together
-    min_score: float = 0.0  # documents that score less are rejected
 
 
 def training_sample(docs: DataFrame, labelled: Column, cfg: LangConfig = LangConfig()) -> list[tuple[str, str]]:
-    """(lang, text) pairs of the bounded sample, in a fixed order."""
+    """(lang, text) pairs of the bounded sample, in a fixed order.
+
+    Only ids go through the shuffle; they are at most sample_docs * max_langs, which are broadcast."""
     rows = docs.where(labelled).select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    ids = slot_sample_ids(rows, "doc_id", cfg.sample_docs, by="lang")
-    room = F.greatest(F.lit(1), F.length("text") - cfg.sample_chars + 1)
-    window = F.substr("text", (1 + F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), room)).cast("int"), F.lit(cfg.sample_chars))
-    picked = rows.join(ids, ["lang", "doc_id"]).select("lang", "sample_order", "doc_id", window.alias("text"))
-    got = sorted((r.lang, r.sample_order, r.doc_id, r.text) for r in picked.distinct().collect())
+    ids = slot_sample_ids(rows, "doc_id", cfg.sample_docs, by="lang", last=F.length("text") > cfg.long_chars)
+    chosen = ids.limit(cfg.sample_docs * cfg.max_langs + 1).collect()
+    if len(chosen) > cfg.sample_docs * cfg.max_langs:
+        raise ValueError(f"more than {cfg.max_langs} labels of languages")
+    if not chosen:
+        return []
+    told = docs.sparkSession.createDataFrame(chosen, ids.schema)
+    got = sorted((r.lang, r.sample_order, r.doc_id, r.text) for r in rows.join(F.broadcast(told), ["lang", "doc_id"]).distinct().collect())
     return [(lang, text) for lang, _, _, text in got]
 
 
@@ -72,9 +81,8 @@ def letters_of(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
 
 
-def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
-    """Transitions [state, symbol] of the suffix automaton, -1 where there is none."""
-    n = 2 * len(symbols) + 1
+def suffix_automaton(symbols: list[int]) -> tuple[int, np.ndarray]:
+    """Number of states, and the transitions as rows (state, symbol, next state), by state."""
     nxt: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
     last = 0
@@ -101,15 +109,45 @@ def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    out = np.full((min(n, len(nxt)), width), -1, np.int32)
-    for s, t in enumerate(nxt):
-        for c, d in t.items():
-            out[s, c] = d
-    return out
+    flat = np.fromiter((v for s, t in enumerate(nxt) for c, d in t.items() for v in (s, c, d)), np.int32)
+    return len(nxt), flat.reshape(-1, 3)
+
+
+class RowTable:
+    """Sparse transitions: the rows of all states laid over one another so that no two entries meet.
+    State s goes by letter c to `target[base[s] + c]` if `owner[base[s] + c]` is s, else nowhere."""
+
+    def __init__(self, states: int, edges: np.ndarray, width: int):
+        """edges: rows (state, letter, next state), by state."""
+        size = np.bincount(edges[:, 0], minlength=states)
+        begin = np.append(0, np.cumsum(size))
+        self.base = np.zeros(states, np.int32)
+        used = np.zeros(len(edges) + len(edges) // 8 + 4 * width + 64, bool)
+        low, span = width, 256  # every base is at least 0; slots below low are left to the single ones
+        for s in np.argsort(-size, kind="stable")[: np.count_nonzero(size > 1)].tolist():
+            letters = np.sort(edges[begin[s] : begin[s + 1], 1])
+            while True:
+                if low + span + width >= len(used):
+                    used = np.append(used, np.zeros(len(used) // 2 + span + width, bool))
+                free = np.flatnonzero(~used[low : low + span]) + low
+                ok = free[~used[free[:, None] - letters[0] + letters].any(1)] if len(free) else free
+                if len(ok):
+                    break
+                low += span
+            self.base[s] = ok[0] - letters[0]
+            used[self.base[s] + letters] = True
+        single = np.flatnonzero(size == 1)
+        free = np.flatnonzero(~used[width:])[: len(single)] + width
+        free = np.append(free, len(used) + np.arange(len(single) - len(free)))
+        self.base[single] = free - edges[begin[single], 1]
+        room = max(int(self.base.max(initial=0)) + width, len(used)) + 1
+        self.owner, self.target = np.full(room, -1, np.int32), np.zeros(room, np.int32)
+        at = self.base[edges[:, 0]] + edges[:, 1]
+        self.owner[at], self.target[at] = edges[:, 0], edges[:, 2]
 
 
 class CrossParser:
-    """Suffix automata of all languages in one table of steps."""
+    """Suffix automata of all languages in one sparse table of steps."""
 
     def __init__(self, sample: list[tuple[str, str]], cfg: LangConfig):
         self.cfg = cfg
@@ -120,29 +158,27 @@ class CrossParser:
         self.classes = np.where(letter, OTHER, SPACE).astype(np.int32)
         self.classes[known] = np.arange(3, 3 + len(known))
         self.width = 3 + len(known)
-        cleaned = {g: self._fold(t)[0][: cfg.train_chars] for g, t in texts.items()}
+        cleaned = {g: self._fold(t)[0] for g, t in texts.items()}
         cleaned = {g: t for g, t in cleaned.items() if len(t)}
         self.langs = list(cleaned)
-        size = np.array([len(t) for t in cleaned.values()])
-        cleaned = {g: t[: size[size >= (1 - cfg.even) * len(t)].min()] for g, t in cleaned.items()}
         self.bits = np.array([math.log2(max(2, len(t))) for t in cleaned.values()])  # of a place
-        self.cost = self.bits + math.log2(max(2, len(known)))  # of a phrase
-        tables, base = [], 0
+        self.letter_bits = math.log2(max(2, len(known)))
+        self.cost = self.bits + self.letter_bits  # of a phrase
+        states, edges = 0, [np.zeros((0, 3), np.int32)]
         self.starts = []
-        for g in self.langs:
-            t = suffix_automaton(cleaned[g].tolist(), self.width)
-            t[t >= 0] += base
+        first = np.zeros((len(cleaned), self.width), np.int32)  # state after a phrase's first letter
+        for g, t in enumerate(cleaned.values()):
+            n, e = suffix_automaton(t.tolist())
+            edges.append(e + np.array([states, 0, states], np.int32))
             # one more state, from which every letter starts a phrase: the first, and after a letter that
             # the language lacks, which is a phrase of its own
-            start = base + len(t)
-            t = np.append(t, np.full((1, self.width), -1, t.dtype), 0)
-            fresh = np.where(t[0] >= 0, t[0], start)
-            step = np.where(t >= 0, t, fresh[None, :]).astype(np.int64) * self.width * 2 + (t < 0)
-            step[:, PAD] = (np.arange(len(t)) + base) * self.width * 2
-            self.starts.append(start * self.width)
-            tables.append(step)
-            base += len(t)
-        self.table = np.concatenate(tables).astype(np.int32 if base * self.width * 2 < 2**31 else np.int64).ravel() if tables else np.zeros(0, np.int32)
+            first[g] = start = states + n
+            root = e[e[:, 0] == 0]
+            first[g, root[:, 1]] = root[:, 2] + states
+            self.starts.append(start)
+            states = start + 1
+        self.first = first.ravel()
+        self.table = RowTable(states, np.concatenate(edges), self.width)
 
     def _fold(self, points: np.ndarray) -> tuple[np.ndarray, int]:
         """Classes of letters with single spaces between words; how many are letters."""
@@ -167,45 +203,85 @@ class CrossParser:
             if not t:
                 continue
             c, letters[i] = self._fold(letters_of(t))
-            for a in range(0, len(c), size) if letters[i] else ():
-                rows.append(c[a : a + size])
-                owner.append(i)
-                if len(rows) == self.cfg.rows:
-                    self._advance(rows, owner, counts)
-                    rows, owner = [], []
+            if letters[i] and g:
+                rows += [c[a : a + size] for a in range(0, len(c), size)]
+                owner += [i] * (-(-len(c) // size))
+            if len(rows) >= self.cfg.rows:
+                self._parse(rows, owner, counts)
+                rows, owner = [], []
         if rows:
-            self._advance(rows, owner, counts)
+            self._parse(rows, owner, counts)
         return counts, letters
 
-    def _advance(self, rows: list[np.ndarray], owner: list[int], counts: np.ndarray) -> None:
+    def _step(self, state: np.ndarray, letter: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States [language, row] after a letter each, and where a phrase began."""
+        t = self.table
+        at = t.base[state] + letter
+        new = t.owner[at] != state
+        return np.where(new, self.first[offset + letter], t.target[at]), new
+
+    def _parse(self, rows: list[np.ndarray], owner: list[int], counts: np.ndarray) -> None:
+        """Adds the phrases of whole texts, given as their blocks in order."""
         size = np.array([len(r) for r in rows])
         order = np.argsort(-size, kind="stable")
-        size = size[order]
-        grid = np.zeros((int(size[0]), len(rows)), self.table.dtype)
+        grid = np.zeros((int(size.max()), len(rows)), np.int32)
         for k, j in enumerate(order.tolist()):
-            grid[: size[k], k] = rows[j]
+            grid[: size[j], k] = rows[j]
+        size, own = size[order], np.array(owner)[order]
+        place = np.empty(len(rows), np.int64)
+        place[order] = np.arange(len(rows))
         alive = np.searchsorted(-size, -np.arange(len(grid)), side="left")  # rows longer than each step
-        state = np.repeat(np.array(self.starts, self.table.dtype)[:, None], len(rows), 1)
-        begun = np.zeros((len(self.starts), len(rows)), self.table.dtype)  # phrases
+        offset = (np.arange(len(self.starts), dtype=np.int32) * self.width)[:, None]
+        fresh = np.repeat(np.array(self.starts, np.int32)[:, None], len(rows), 1)
+        state, begun = fresh.copy(), np.zeros(fresh.shape, np.int64)
         for k, m in enumerate(alive.tolist()):
-            v = self.table[state[:, :m] + grid[k, :m]]
-            begun[:, :m] += v & 1
-            state[:, :m] = v >> 1
-        np.add.at(counts, np.array(owner)[order], begun.T)
-
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language, score and bits per letter of each text. The score is the share of its code that the
-        best language saves against the second."""
+            state[:, :m], new = self._step(state[:, :m], grid[k, :m], offset)
+            begun[:, :m] += new
+        # blocks after a text's first start from the end of the block before
+        later = np.flatnonzero(np.append(False, np.diff(owner) == 0))
+        begin = fresh
+        while len(later):
+            before = state[:, place[later - 1]]
+            now = place[later]
+            g, c = np.nonzero(before != begin[:, now])
+            if not len(g):
+                break
+            # (language, block) pairs whose start was wrong: both parses side by side until they meet
+            col, at = now[c], g * self.width
+            true, was = before[g, c], begin[g, col]
+            begin = begin.copy() if begin is fresh else begin
+            begin[g, col] = true
+            lang = g
+            for k in range(len(grid)):
+                live = np.flatnonzero((size[col] > k) & (true != was))
+                ended = np.flatnonzero((size[col] <= k) & (true != was))
+                state[lang[ended], col[ended]] = true[ended]
+                lang, col, at = lang[live], col[live], at[live]
+                if not len(live):
+                    break
+                letter = grid[k, col]
+                true, new = self._step(true[live], letter, at)
+                was, old = self._step(was[live], letter, at)
+                np.add.at(begun, (lang, col), new.astype(np.int64) - old)
+            else:
+                apart = np.flatnonzero(true != was)
+                state[lang[apart], col[apart]] = true[apart]
+        np.add.at(counts, own, begun.T)
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Language, score, bits per letter of each text, and whether it is rejected. The score is the
+        share of its code that the best language saves against the second."""
         counts, letters = self.phrases(texts)
         if not self.langs:
-            return [UND] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+            return [UND] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.ones(len(texts), bool)
         code = counts * self.cost
         best = code.argmin(1)
         low = code.min(1)
         second = np.partition(code, 1, axis=1)[:, 1] if len(self.langs) > 1 else np.maximum(letters * self.cost[0], low)
         score = np.where(letters > 0, 1 - low / np.where(second > 0, second, 1), 0.0)
         bits = np.where(letters > 0, counts[np.arange(len(texts)), best] * self.bits[best] / np.maximum(letters, 1), 0.0)
-        return [self.langs[b] if n else UND for b, n in zip(best.tolist(), letters.tolist(), strict=True)], score, bits
+        rejected = (letters == 0) | (low - self.cost[best] >= self.cfg.worst * letters * self.letter_bits)
+        return [self.langs[b] if n else UND for b, n in zip(best.tolist(), letters.tolist(), strict=True)], score, bits, rejected
 
 
 _PARSERS: dict[tuple, CrossParser] = {}
@@ -230,8 +306,8 @@ def predict_languages(docs: DataFrame, sample: list[tuple[str, str]], cfg: LangC
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = parser_of(told.value, cfg)
         for b in batches:
-            langs, score, bits = parser.predict(b.column(cols.index("text")).to_pylist())
-            out = [pa.array(langs, pa.string()), pa.array(score), pa.array(bits), pa.array([g == UND or s < cfg.min_score for g, s in zip(langs, score.tolist(), strict=True)])]
+            langs, score, bits, rejected = parser.predict(b.column(cols.index("text")).to_pylist())
+            out = [pa.array(langs, pa.string()), pa.array(score), pa.array(bits), pa.array(rejected)]
             yield pa.RecordBatch.from_arrays([*(b.column(cols.index(c)) for c in carried), *out], [*carried, "lang_pred", "score", "bits_per_letter", "rejected"])
 
     schema = StructType([docs.schema[c] for c in carried])
