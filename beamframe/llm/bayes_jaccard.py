@@ -9,9 +9,9 @@ on the whole sets.
 
 Groups of near copies are not expanded into all pairs. First every member of a bucket is compared
 with the bucket's hub, the member that shares most buckets, and verified links are labelled by
-components. Then, in buckets that still hold more than one label, each pair with different labels
-is compared inside tasks, in cells of bounded size and by four times as many MinHash values, and the
-survivors are verified. So no link between two labels is lost; the only misses are pairs that share no
+components. Then, in buckets that still hold more than one label, the members without the commonest
+label meet all others inside tasks, in cells of bounded size, by four times as many MinHash values, and
+the survivors are verified. So no link between two labels is lost; the only misses are pairs that share no
 band (3 in a million at similarity 0.8) or fall to the tolerance.
 
 Links between equal labels are counted, not written: the members of a label meet in cells of bounded size,
@@ -259,14 +259,14 @@ def _labels(links: DataFrame, rounds: int = 3) -> DataFrame:
     return materialise(lab.select(F.col("a").alias("k"), "label"), "jaccard-labels")
 
 
-def compare_bucket(keys: list[bytes], label: np.ndarray, side: np.ndarray, sigs: np.ndarray, band: int, across: bool, cfg: JaccardConfig) -> list[tuple[bytes, bytes]]:
-    """Pairs with different labels (and sides, if `across`) that survive and share no earlier band."""
-    largest = np.bincount(label).argmax()
-    order = np.arange(len(keys))
+def compare_bucket(keys: list[bytes], label: np.ndarray, common: np.ndarray, asked: np.ndarray, sigs: np.ndarray, band: int, cfg: JaccardConfig) -> list[tuple[bytes, bytes]]:
+    """Pairs of an asked row and a row that isn't, with different labels, that survive and share no earlier
+    band. Rows of the bucket's commonest label (`common`) are never asked; of two others the lesser asks."""
+    base = np.flatnonzero(~asked)
+    names = np.array(keys, object)
     out = []
-    for i in np.flatnonzero(label != largest).tolist():
-        # each pair once: with the largest label always, with the others from the smaller index
-        js = order[(label != label[i]) & ((label == largest) | (order > i)) & ((side != side[i]) if across else True)]
+    for i in np.flatnonzero(asked).tolist():
+        js = base[(label[base] != label[i]) & (common[base] | (names[base] > keys[i]))]
         js = js[surviving(np.broadcast_to(sigs[i], (len(js), sigs.shape[1])), sigs[js], cfg)]
         same = (sigs[js, : cfg.hashes] == sigs[i, : cfg.hashes]).reshape(-1, cfg.bands, cfg.rows).all(2)
         js = js[~same[:, :band].any(1)]
@@ -274,30 +274,45 @@ def compare_bucket(keys: list[bytes], label: np.ndarray, side: np.ndarray, sigs:
     return out
 
 
-def _across(members: DataFrame, sets: DataFrame, labels: DataFrame, cfg: JaccardConfig) -> DataFrame:
-    """Pairs of a bucket with different labels that survive pruning, compared inside tasks."""
+def across_cells(members: DataFrame, sets: DataFrame, labels: DataFrame, cfg: JaccardConfig) -> DataFrame:
+    """Rows that are compared inside tasks: every member of a bucket with more than one label once a chunk
+    of those asked, and the members without the bucket's commonest label, which ask, once a chunk of all.
+
+    So a large group with few strays sends about its own number of rows, whatever its size."""
+    half = cfg.cell // 2
     m = members.select("band", "no", "k").join(labels, "k", "left").select("band", "no", "k", F.coalesce("label", "k").alias("label"))
-    mixed = materialise(m.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("band", "n"), "jaccard-mixed")
-    bins = mixed.agg(F.ceil(F.coalesce(F.sum("n"), F.lit(0)) / F.lit(cfg.cell // 2)).alias("bins")).first().bins
-    chunks = F.ceil(F.col("n") / F.lit(cfg.cell // 2)).cast("int")
+    by_label = m.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = by_label.groupBy("band").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top")).where(F.col("n") > F.col("top.n"))
+    mixed = materialise(mixed.select("band", "n", F.col("top.label").alias("common"), (F.col("n") - F.col("top.n")).alias("n_asked")), "jaccard-mixed")
+    bins = mixed.agg(F.ceil(F.coalesce(F.sum("n"), F.lit(0)) / F.lit(half)).alias("bins")).first().bins
+    chunks = lambda n: F.ceil(F.col(n) / F.lit(half)).cast("int")
     cell = F.when(F.col("n") <= cfg.small, F.pmod(F.xxhash64("band"), F.lit(max(1, bins)))).otherwise(F.col("band"))
-    rows = m.join(mixed.select("band", chunks.alias("chunks"), cell.alias("cell")), "band").join(sets.select("k", "long_sig"), "k")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("k"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    cells = rows.select("cell", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "band", "no", "own", "k", "label", "long_sig")
+    told = mixed.select("band", "common", chunks("n").alias("chunks"), chunks("n_asked").alias("asked_chunks"), cell.alias("cell"))
+    rows = materialise(m.join(told, "band").withColumn("is_common", F.col("label") == F.col("common")).drop("common"), "jaccard-mixed-members")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    part = lambda n: F.pmod(F.xxhash64("k"), F.col(n)).cast("int")
+    kept = ["cell", "band", "no", "k", "label", "is_common"]
+    base = rows.select(*kept, F.lit(False).alias("asked"), part("chunks").alias("x"), every("asked_chunks").alias("y"))
+    asked = rows.where(~F.col("is_common")).select(*kept, F.lit(True).alias("asked"), every("chunks").alias("x"), part("asked_chunks").alias("y"))
+    return base.unionByName(asked).join(sets.select("k", "long_sig"), "k")
+
+
+def _across(members: DataFrame, sets: DataFrame, labels: DataFrame, cfg: JaccardConfig) -> DataFrame:
+    """Pairs of a bucket with different labels that survive pruning, compared inside tasks."""
 
     def compare(t: pa.Table) -> pa.Table:
         band, no = t.column("band").to_numpy(), t.column("no").to_numpy()
-        keys, side = t.column("k").to_pylist(), t.column("own").to_numpy()
+        keys = t.column("k").to_pylist()
+        common, asked = (np.array(t.column(c).to_pylist(), bool) for c in ("is_common", "asked"))
         sigs = np.frombuffer(b"".join(t.column("long_sig").to_pylist()), "<u2").reshape(-1, cfg.long_hashes)
         label = t.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
-        across = t.column("x")[0].as_py() != t.column("y")[0].as_py()
         order = np.argsort(band, kind="stable")
         found = []
         for run in np.split(order, np.flatnonzero(np.diff(band[order])) + 1):
-            own = np.unique(label[run], return_inverse=True)[1]
-            found += compare_bucket([keys[i] for i in run.tolist()], own, side[run], sigs[run], int(no[run[0]]), across, cfg)
+            found += compare_bucket([keys[i] for i in run.tolist()], label[run], common[run], asked[run], sigs[run], int(no[run[0]]), cfg)
         return pa.table({"a": _binary([a for a, _ in found]), "b": _binary([b for _, b in found])})
 
+    cells = across_cells(members, sets, labels, cfg)
     return cells.groupBy("cell", "x", "y").applyInArrow(compare, "a binary, b binary").distinct()
 
 
