@@ -1,30 +1,37 @@
 """Chat formatting by event-sourced reconstruction.
 
 A conversation is a log of events: a message begins, text deltas are streamed onto it, it is edited,
-regenerated or removed. Events are partitioned by conversation and sorted by sequence number;
-folding them gives the final messages, which are rendered in turn order.
+regenerated or removed. Events are partitioned by conversation and sorted; folding them gives the
+final messages, which are rendered in turn order.
 
     message     a whole message of turn `turn` with `role` and `text`, after any that the turn has
-    begin       opens the turn with `role` and `text`, in place of what it has
-    delta       appends `text` to the last message of the turn
-    edit        replaces the text of the last message of the turn
-    regenerate  starts the turn again with `text`; all later turns go
-    remove      takes the turn away
+    begin       opens the message with `role` and `text`, in place of what it has
+    delta       appends `text` to the message
+    edit        replaces the text of the message
+    regenerate  starts the message again with `text`; all that later turns had by then goes
+    remove      takes the message away
+
+A turn may hold several messages; `message`, a number, tells which one an event is about, and null is
+the last one of the turn.
+
+Within a conversation events are sorted by turn, then by sequence number. Only regenerations reach
+beyond their own turn, and only forwards, so the fold keeps one number from turn to turn, the latest
+sequence number of a regeneration: events of later turns before it are void. A task therefore holds
+the messages of one turn, however long a conversation is; the sort spills.
 
 The template marks a turn by a line `### Role:` before its text and `</turn>` after it. Whatever
 looks like a mark inside a text is escaped by a backslash before its first character, and
 backslashes that stand before such a place are doubled, so `read_back` restores every text.
-Roles are escaped too. The loss mask covers the texts of assistant turns.
-
-A conversation's digest needs its messages in order, so one task streams its events, sorted with
-spilling. A conversation that holds nothing but `message` events in turn order (a finished transcript)
-is rendered message by message and none is kept, so it may be of any length; of other conversations
-the messages so far are held.
+Roles are escaped too. The loss mask covers the texts of assistant turns. Digests are taken from what
+`Reader` reads back out of the conversation's rendered string, which it gets in pieces that need not
+end where turns do.
 
 Defined cases: null texts and roles are empty; a null conversation id is a conversation of its own; a
-null sequence number sorts first; events with equal sequence numbers are folded in the order of turn,
-kind, role and text; a delta, edit or regeneration of a turn without a message opens it with an empty
-role; repeated rows are messages each; extra columns are ignored; an empty table gives no rows."""
+null turn comes first and is not voided by regenerations; a null sequence number sorts first; events
+of a turn with equal sequence numbers are folded in the order of message, kind, role and text; messages
+that began with equal sequence numbers are rendered in the order of role and text; a delta, edit or
+regeneration without a message opens one with an empty role; a null or unknown kind raises; repeated
+rows are messages each; extra columns are ignored; an empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -39,8 +46,8 @@ from pyspark.sql import functions as F
 from beamframe.llm.common import small_batches
 
 KINDS = ("message", "begin", "delta", "edit", "regenerate", "remove")
-MIXED = " mixed"  # a row before a conversation's events: it holds more than messages in turn order
-EVENTS = "conv_id bigint, seq bigint, kind string, turn bigint, role string, text string"
+EVENTS = "conv_id bigint, seq bigint, kind string, turn bigint, message bigint, role string, text string"
+PIECE = 1 << 16  # characters of a rendered string that are read at once
 DIGESTS = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
 #: control strings: at the place of a match a text could be taken for a mark
 _CONTROL = re.compile(r"(\\*)(###|</turn>)")
@@ -85,81 +92,123 @@ def read_back(formatted: str) -> Iterator[tuple[str, str, int, int]]:
         at = m.end()
 
 
-class Fold:
-    """The messages of one conversation so far."""
+class Reader:
+    """Reads turns back from a rendered string that comes in pieces."""
+
+    def __init__(self) -> None:
+        self.held: list[str] = []
+        self.size = 0
+
+    def feed(self, piece: str, last: bool = False) -> Iterator[tuple[str, str]]:
+        """(role, text) of the turns that are complete by now."""
+        self.held.append(piece)
+        self.size += len(piece)
+        if self.size < PIECE and not last:
+            return
+        joined, at = "".join(self.held), 0
+        while m := _TURN.match(joined, at):
+            yield unescape_role(m[1]), unescape(m[2] + m[3])
+            at = m.end()
+        if last and at < len(joined):
+            raise ValueError(f"no turn at {at} of the last {len(joined)} characters")
+        self.held, self.size = ([joined[at:]], len(joined) - at) if not last else ([], 0)
+
+
+class Message:
+    """One message of a turn while it is folded."""
+
+    def __init__(self, name: int | None, begun: int | None, role: str):
+        self.name, self.begun, self.role = name, begun, role
+        self.parts: list[str] = []
+
+
+class TurnFold:
+    """Folds the events of one turn, in their order, into its messages."""
 
     def __init__(self) -> None:
-        self.turns: dict[int | None, list[tuple[str, list[str]]]] = {}
+        self.messages: list[Message] = []
 
-    def apply(self, kind: str, turn: int | None, role: str | None, text: str | None) -> None:
+    def apply(self, seq: int | None, kind: str, name: int | None, role: str | None, text: str | None) -> None:
         role, text = role or "", text or ""
-        had = self.turns.setdefault(turn, [])
-        if kind == "message":
-            had.append((role, [text]))
-        elif kind == "begin":
-            self.turns[turn] = [(role, [text])]
-        elif kind == "delta":
-            if not had:
-                had.append(("", []))
-            had[-1][1].append(text)
-        elif kind == "edit":
-            self.turns[turn] = [*had[:-1], (had[-1][0] if had else "", [text])]
-        elif kind == "regenerate":
-            if turn is not None:
-                self.turns = {t: m for t, m in self.turns.items() if t is None or t <= turn}
-            self.turns[turn] = [(had[-1][0] if had else "", [text])]
-        elif kind == "remove":
-            del self.turns[turn]
-        else:
+        had = self.messages[-1:] if name is None else [m for m in self.messages if m.name == name][-1:]
+        if kind not in KINDS:
             raise ValueError(f"unknown kind of event {kind!r}")
-
-    def messages(self) -> Iterator[tuple[str, str]]:
-        for t in sorted(self.turns, key=lambda t: (t is not None, t or 0)):
-            for role, parts in self.turns[t]:
-                yield role, "".join(parts)
+        if kind == "remove":
+            self.messages = [m for m in self.messages if m not in had]
+            return
+        if kind == "message" or not had:
+            had = [Message(name, seq, role if kind in ("message", "begin") else "")]
+            self.messages += had
+        m = had[0]
+        if kind == "begin":
+            m.role = role
+        m.parts = [*m.parts, text] if kind == "delta" and len(m.parts) < 64 else ["".join(m.parts), text] if kind == "delta" else [text]
+
+    def final(self) -> list[tuple[str, str]]:
+        done = [(m.begun is not None, m.begun or 0, m.role, "".join(m.parts)) for m in self.messages]
+        if len(done) > 1 and len({d[:2] for d in done}) < len(done):
+            done.sort()
+        return [d[2:] for d in done]
 
 
 def _ordered(events: DataFrame) -> DataFrame:
-    """Every conversation in one partition, in the order of its events, a MIXED row before those
-    that are more than a finished transcript."""
+    """Every conversation in one partition, its events by turn and sequence number."""
     rows = events.select(*(F.col(c.split()[0]).cast(c.split()[1]) for c in EVENTS.split(", ")))
-    odd = rows.where((F.col("kind") != "message") | ~F.col("turn").eqNullSafe(F.col("seq"))).select("conv_id").distinct()
-    null = F.lit(None)
-    odd = odd.select("conv_id", null.cast("bigint").alias("seq"), F.lit(MIXED).alias("kind"), null.cast("bigint").alias("turn"), null.cast("string").alias("role"), null.cast("string").alias("text"))
-    marked = rows.unionByName(odd)
-    return marked.repartition("conv_id").sortWithinPartitions("conv_id", (F.col("kind") != MIXED), "seq", "turn", "kind", "role", "text")
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "seq", "message", "kind", "role", "text")
 
 
 def _messages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, bool, str, str]]:
     """(conv_id, whether it is the conversation's first, role, text) of final messages."""
-    conv: object = None
-    begun = False
-    fold: Fold | None = None  # of a conversation that is no finished transcript
-    sent = 0
-
-    def close() -> Iterator[tuple]:
-        if fold is not None:
-            for k, (role, text) in enumerate(fold.messages()):
-                yield conv, k == 0, role, text
+    at: tuple | None = None  # conversation and turn
+    fold, first = TurnFold(), True
+    void: int | None = None  # events of later turns before this sequence number are void
+    later: int | None = None  # the same from this turn on
 
     for b in batches:
-        for c, _, kind, turn, role, text in zip(*(x.to_pylist() for x in b.columns), strict=True):
-            if not begun or c != conv:
-                yield from close()
-                conv, begun, fold, sent = c, True, None, 0
-            if kind == MIXED:
-                fold = Fold()
-            elif fold is not None:
-                fold.apply(kind, turn, role, text)
-            else:
-                yield conv, sent == 0, role or "", text or ""
-                sent += 1
-    yield from close()
+        for c, seq, kind, turn, name, role, text in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            if (c, turn) != at:
+                for said in fold.final():
+                    yield at[0], first, *said
+                    first = False
+                fold, void = TurnFold(), later
+                if at is None or c != at[0]:
+                    first, void, later = True, None, None
+                at = (c, turn)
+            if void is not None and turn is not None and (seq is None or seq < void):
+                continue
+            if kind == "regenerate" and turn is not None and seq is not None:
+                later = seq if later is None else max(later, seq)
+            fold.apply(seq, kind, name, role, text)
+    if at is not None:
+        for said in fold.final():
+            yield at[0], first, *said
+            first = False
 
 
 def events_of_turns(conversations: DataFrame) -> DataFrame:
     """A finished table (conv_id, turn, role, text) as a log: a `message` a row, in turn order."""
-    return conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("seq"), F.lit("message").alias("kind"), F.col("turn").cast("bigint").alias("turn"), "role", "text")
+    turn = F.col("turn").cast("bigint")
+    return conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), turn.alias("seq"), F.lit("message").alias("kind"), turn.alias("turn"), F.lit(None).cast("bigint").alias("message"), "role", "text")
+
+
+def streamed_events(conversations: DataFrame) -> DataFrame:
+    """A finished table as the log of a chat that streamed it: an assistant's message begins as a draft, is
+    regenerated and streamed in two deltas; every other message begins with its first half and
+    is either streamed on or, in odd turns, opened with another text and edited. Folding the log gives the table."""
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+    left, right = F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.length(text))
+    event = lambda step, kind, said: F.struct(F.lit(step).alias("step"), F.lit(kind).alias("kind"), said.alias("text"))
+    draft = F.lit("(draft)")
+    log = (
+        F.when(F.col("role") == "assistant", F.array(event(0, "begin", draft), event(1, "delta", draft), event(2, "regenerate", F.lit("")), event(3, "delta", left), event(4, "delta", right)))
+        .when(F.col("turn") % 2 != 0, F.array(event(0, "begin", draft), event(1, "edit", text)))
+        .otherwise(F.array(event(0, "begin", left), event(1, "delta", right)))
+    )
+    # a row's own number tells messages of one turn apart
+    rows = conversations.select("conv_id", "turn", "role", "text", F.monotonically_increasing_id().alias("message"))
+    rows = rows.select("conv_id", "turn", "role", "message", F.explode(log).alias("e"))
+    return rows.select("conv_id", (F.coalesce("turn", F.lit(0)) * 8 + F.col("e.step")).alias("seq"), "e.kind", "turn", "message", F.when(F.col("e.step") == 0, F.col("role")).alias("role"), "e.text")
 
 
 def format_conversations(events: DataFrame) -> DataFrame:
@@ -193,38 +242,46 @@ def format_conversations(events: DataFrame) -> DataFrame:
 
 
 def format_digests(events: DataFrame) -> DataFrame:
-    """events -> per conversation the digests of what `read_back` finds in the rendered string."""
+    """events -> per conversation the digests of what `Reader` finds in the rendered string."""
     small_batches(events.sparkSession)
     names = [c.split()[0] for c in DIGESTS.split(", ")]
 
+    class Digest:
+        def __init__(self, conv: object):
+            self.conv, self.reader = conv, Reader()
+            self.n = self.loss_chars = self.chars = 0
+            self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
+
+        def add(self, piece: str, last: bool = False) -> None:
+            self.chars += len(piece)
+            for role, text in self.reader.feed(piece, last):
+                self.n += 1
+                self.turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+                if role == "assistant":
+                    self.loss_chars += len(text)
+                    self.loss.update(text.encode("utf-8", "surrogatepass"))
+
+        def row(self) -> tuple:
+            self.add("", True)
+            return self.conv, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if "sha" in n else pa.int64()) for n, c in zip(names, zip(*done, strict=True), strict=True)], names)
 
-        def close() -> None:
-            if n:
-                done.append((conv, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars))
-
         done: list[tuple] = []
-        conv, n, chars, loss_chars = None, 0, 0, 0
-        turns, loss = hashlib.sha256(), hashlib.sha256()
+        digest: Digest | None = None
         for c, first, role, text in _messages(batches):
             if first:
-                close()
-                conv, n, chars, loss_chars = c, 0, 0, 0
-                turns, loss = hashlib.sha256(), hashlib.sha256()
+                if digest is not None:
+                    done.append(digest.row())
+                digest = Digest(c)
                 if len(done) >= 20_000:
                     yield batch()
                     done = []
-            out = render_turn(role, text)
-            chars += len(out)
-            for got_role, got, _, _ in read_back(out):
-                n += 1
-                turns.update(f"{got_role}\n{got}\n".encode("utf-8", "surrogatepass"))
-                if got_role == "assistant":
-                    loss_chars += len(got)
-                    loss.update(got.encode("utf-8", "surrogatepass"))
-        close()
+            digest.add(render_turn(role, text))
+        if digest is not None:
+            done.append(digest.row())
         if done:
             yield batch()
 

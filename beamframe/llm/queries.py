@@ -16,9 +16,10 @@ def op1_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations and the probe -7, through the event log."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return chat_format.format_digests(chat_format.events_of_turns(turns.unionByName(chat_format.probe_conversation(spark))))
+    """All conversations and the probe -7, each turn told as a log of streamed, edited and regenerated
+    messages that is folded again."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), "role", "text")
+    return chat_format.format_digests(chat_format.streamed_events(turns.unionByName(chat_format.probe_conversation(spark))))
 
 
 def op4_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,13 +52,10 @@ def op2_dp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Commits all documents as one batch, delivers that batch again (nothing changes), gives the totals."""
-    counts = token_rollup.count_tokens(table(spark, sf_dir, "documents"))
-    events = token_rollup.insert_events(counts, "word_bpe_49k")
+    """All documents inserted with rough counts, revised to true ones, and what was inserted under
+    another version deleted again; a batch delivered twice changes nothing."""
     store = token_rollup.TokenRollup(spark, scratch_path(spark, "token-rollup"))
-    store.commit("documents", events)
-    store.commit("documents", events)
-    return store.totals()
+    return token_rollup.maintain(store, table(spark, sf_dir, "documents"), "word_bpe_49k")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -3,46 +3,56 @@
 Changes to a corpus arrive as batches of signed events: an insert adds a document's count, a delete
 takes it back, a revision carries the old and the new count (and keys, if they change). A batch is
 reduced to additive deltas by source, language and tokenizer version, with map-side combining, and
-committed once under its batch id: the deltas are written beside the store and renamed into place, and
-a batch id that is already there is not applied again. Totals are the sum of the committed deltas, so
-the order of batches does not matter and a retried or repeated batch changes nothing.
+committed once under its batch id. The deltas are written to a folder of their own; the commit itself is
+a small marker file, named by the batch and created without overwriting, that names that folder. Only
+folders named by markers are read, and a batch whose marker is there is not applied again. Totals are
+the sum of the committed deltas, so the order of batches does not matter, and a retried, repeated or
+cut-off batch changes nothing.
 
 Defined cases: a null source, language or version is a key of its own; a null count or text counts as
-0 tokens (the document still counts); repeated rows count each; totals that reach zero documents and
-tokens are left out; an empty batch commits and adds nothing; extra columns are ignored."""
+0 tokens (the document still counts); an op that is null or unknown raises; repeated rows count each;
+totals that reach zero documents and tokens are left out; an empty batch commits and adds nothing; an
+empty marker (its writer died while writing it) is not read, and committing that batch raises until the
+marker is deleted; extra columns are ignored."""
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from beamframe.llm.chunked_bpe import check_vocab
-from beamframe.llm.common import scratch_path, small_batches
+from beamframe.llm.common import small_batches
 from beamframe.llm.word_bpe import default_vocab, word_cache
+from beamframe.plans.scratch import delete_path, file_system
 
 KEYS = ["source", "lang", "tokenizer_version"]
 DELTAS = "source string, lang string, tokenizer_version string, docs bigint, tokens bigint"
 EVENTS = "op string, source string, lang string, tokenizer_version string, n_tokens bigint, old_source string, old_lang string, old_tokenizer_version string, old_n_tokens bigint"
 
 
-def count_tokens(docs: DataFrame, vocab: str | None = None) -> DataFrame:
-    """docs(doc_id, text, source, lang) -> doc_id, source, lang, n_tokens; whole texts."""
+def count_tokens(docs: DataFrame, vocab: str | None = None, keep: Column | None = None) -> DataFrame:
+    """docs(doc_id, text, source, lang) -> doc_id, source, lang, kept (the long column `keep`), n_tokens; whole texts."""
     path = vocab or default_vocab()
     check_vocab(path)
     small_batches(docs.sparkSession)
+    schema = StructType([docs.schema["doc_id"]]).add("source", "string").add("lang", "string").add("kept", "long").add("n_tokens", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_cache(path)
         for b in batches:
-            n = np.array([len(words.encode(t.as_py() or "")) // 2 for t in b.column(3)], np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(n)], ["doc_id", "source", "lang", "n_tokens"])
+            n = np.array([len(words.encode(t.as_py() or "")) // 2 for t in b.column(4)], np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(n)], schema.names)
 
-    return docs.select("doc_id", "source", "lang", "text").mapInArrow(run, "doc_id bigint, source string, lang string, n_tokens bigint")
+    kept = (keep if keep is not None else F.lit(None)).cast("bigint").alias("kept")
+    return docs.select("doc_id", F.col("source").cast("string"), F.col("lang").cast("string"), kept, "text").mapInArrow(run, schema)
 
 
 def deltas(events: DataFrame) -> DataFrame:
@@ -50,7 +60,8 @@ def deltas(events: DataFrame) -> DataFrame:
     plus = F.struct(*KEYS, F.lit(1).alias("docs"), F.coalesce("n_tokens", F.lit(0)).alias("tokens"))
     minus = F.struct(*KEYS, F.lit(-1).alias("docs"), (-F.coalesce("n_tokens", F.lit(0))).alias("tokens"))
     old = F.struct(*[F.col(f"old_{k}").alias(k) for k in KEYS], F.lit(-1).alias("docs"), (-F.coalesce("old_n_tokens", F.lit(0))).alias("tokens"))
-    signed = F.when(F.col("op") == "insert", F.array(plus)).when(F.col("op") == "delete", F.array(minus)).when(F.col("op") == "revise", F.array(old, plus))
+    unknown = F.raise_error(F.concat(F.lit("unknown op "), F.coalesce("op", F.lit("null")))).cast("array<struct<source:string,lang:string,tokenizer_version:string,docs:int,tokens:bigint>>")
+    signed = F.when(F.col("op") == "insert", F.array(plus)).when(F.col("op") == "delete", F.array(minus)).when(F.col("op") == "revise", F.array(old, plus)).otherwise(unknown)
     return events.select(F.explode(signed).alias("d")).groupBy(*[F.col(f"d.{k}").alias(k) for k in KEYS]).agg(F.sum("d.docs").alias("docs"), F.sum("d.tokens").alias("tokens"))
 
 
@@ -60,43 +71,82 @@ class TokenRollup:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _fs(self, path: str):
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return hadoop, hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _batch_path(self, batch_id: str) -> str:
+    def _marker(self, batch_id: str) -> str:
         if not re.fullmatch(r"[\w.-]+", batch_id):
             raise ValueError(f"batch id {batch_id!r} is not a plain name")
-        return f"{self.path}/batch={batch_id}"
+        return f"{self.path}/commits/{batch_id}.commit"
+
+    def _named(self) -> dict[str, str]:
+        """Batch id -> name of the folder of its deltas, from the markers; empty for a cut-off one."""
+        folder, fs = file_system(self.spark, f"{self.path}/commits")
+        if not fs.exists(folder):
+            return {}
+        out = {}
+        for status in fs.listStatus(folder):
+            stream = fs.open(status.getPath())
+            try:
+                name = bytes(stream.readNBytes(200)).decode()
+            finally:
+                stream.close()
+            out[status.getPath().getName().removesuffix(".commit")] = name
+        return out
 
     def committed(self, batch_id: str) -> bool:
-        p, fs = self._fs(self._batch_path(batch_id))
-        return fs.exists(p)
+        self._marker(batch_id)
+        name = self._named().get(batch_id)
+        if name == "":
+            raise RuntimeError(f"the commit of batch {batch_id} was cut off: delete {self._marker(batch_id)} and deliver the batch again")
+        return name is not None
 
     def commit(self, batch_id: str, events: DataFrame) -> bool:
-        """Apply a batch once; False if it was there already. A crash before the rename leaves nothing."""
+        """Apply a batch once; False if it was there already. A crash before the marker leaves nothing."""
         if self.committed(batch_id):
             return False
-        tmp = scratch_path(self.spark, f"rollup-{batch_id}")
-        deltas(events).write.parquet(tmp)
-        target, fs = self._fs(self._batch_path(batch_id))
-        source, _ = self._fs(tmp)
-        fs.mkdirs(target.getParent())
-        if not fs.exists(target) and fs.rename(source, target):
-            return True
-        fs.delete(source, True)  # another writer was first
-        return False
+        name = f"{batch_id}-{uuid.uuid4().hex}"
+        deltas(events).write.parquet(f"{self.path}/deltas/{name}")
+        marker, fs = file_system(self.spark, self._marker(batch_id))
+        fs.mkdirs(marker.getParent())
+        try:
+            stream = fs.create(marker, False)  # fails where another writer was first
+        except Py4JJavaError:
+            if not fs.exists(marker):
+                raise
+            delete_path(self.spark, f"{self.path}/deltas/{name}")
+            return False
+        stream.write(bytearray(name.encode()))
+        stream.close()
+        return True
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer_version, docs, tokens over all committed batches."""
-        p, fs = self._fs(self.path)
-        rows = self.spark.read.schema(DELTAS).parquet(f"{self.path}/batch=*") if fs.exists(p) else self.spark.createDataFrame([], DELTAS)
+        folders = [f"{self.path}/deltas/{name}" for name in self._named().values() if name]
+        rows = self.spark.read.schema(DELTAS).parquet(*folders) if folders else self.spark.createDataFrame([], DELTAS)
         return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 OR tokens <> 0")
 
 
-def insert_events(counts: DataFrame, version: str) -> DataFrame:
-    none = F.lit(None)
+def events_of(counts: DataFrame, op: str, version: str, n_tokens: str | Column = "n_tokens", old_version: str | None = None, old_n_tokens: Column | None = None) -> DataFrame:
+    """counts(source, lang, count columns) as events of one kind; the old keys of a revision are the same
+    source and language."""
+    revised = op == "revise"
+    n = F.col(n_tokens) if isinstance(n_tokens, str) else n_tokens
+    text = lambda c: (c if revised else F.lit(None)).cast("string")
     return counts.select(
-        F.lit("insert").alias("op"), "source", "lang", F.lit(version).alias("tokenizer_version"), "n_tokens",
-        *[none.cast("string").alias(f"old_{k}") for k in KEYS], none.cast("bigint").alias("old_n_tokens"),
+        F.lit(op).alias("op"), "source", "lang", F.lit(version).alias("tokenizer_version"), n.cast("bigint").alias("n_tokens"),
+        text(F.col("source")).alias("old_source"), text(F.col("lang")).alias("old_lang"), text(F.lit(old_version or version)).alias("old_tokenizer_version"),
+        (old_n_tokens if old_n_tokens is not None else F.lit(None)).cast("bigint").alias("old_n_tokens"),
     )
+
+
+def maintain(store: TokenRollup, docs: DataFrame, version: str, vocab: str | None = None) -> DataFrame:
+    """A corpus' life in the store: documents are inserted with a rough count (characters / 4), each is
+    revised to its true count, and what was inserted under another version is deleted again. The
+    second batch is delivered twice, as after a retry. Only true counts of `version` are left."""
+    rough = docs.select("source", "lang", F.floor(F.coalesce(F.length("text"), F.lit(0)) / 4).alias("rough"))
+    counts = count_tokens(docs, vocab, keep=F.floor(F.coalesce(F.length("text"), F.lit(0)) / 4))
+    store.commit("load", events_of(rough, "insert", "rough", "rough"))
+    store.commit("load-again", events_of(rough, "insert", version, "rough"))
+    revised = events_of(counts, "revise", version, "n_tokens", version, F.col("kept"))
+    store.commit("count", revised)
+    store.commit("count", revised)
+    store.commit("withdraw", events_of(rough, "delete", "rough", "rough"))
+    return store.totals()
