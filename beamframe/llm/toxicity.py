@@ -3,16 +3,18 @@
 The features of a text are densities and counts of insulting words (a fixed seed list and a lexicon
 induced from labelled rows), their nearness to second-person words, and rates of capitals,
 punctuation and obfuscation (letters swapped for digits or marks, marks between letters, stretched
-letters). Trees are boosted on them, and an isotonic fit on rows that the trees have not seen turns
-their margin into a probability.
+letters, words spelt letter by letter). Trees are boosted on them, and an isotonic fit on rows that
+neither the lexicon nor the trees have seen turns their margin into a probability.
 
 Fitting reads a bounded sample of labelled rows (`ToxicityConfig.sample_rows` of each class, chosen
-by hash), split by hash into a part for the lexicon and the calibration, and one for the trees.
-Scoring reads whole texts and shuffles nothing.
+by hash), split by hash into three parts: for the lexicon, for the trees and for the calibration. The
+lexicon takes every word and stem that passes its thresholds; as each must stand in a share of the
+sampled toxic rows, the sample bounds it. Scoring reads whole texts and shuffles nothing: what a word
+tells is worked out once for each distinct word of a batch, the rest is arithmetic on arrays.
 
 Defined cases: a null text counts as empty; an empty text has all-zero features and gets the score
 that these have; null labels and labels of unknown documents do not count, a document with
-differing labels counts as toxic; where a class has no labelled row, texts are scored by the seed
+differing labels counts as toxic; rows that share a doc_id share its label, each with its own text; where a class has no labelled row, texts are scored by the seed
 list alone; repeated rows are scored each; extra columns are ignored; an empty table gives no rows."""
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +54,9 @@ LEET = str.maketrans("013457@$!", "oieastasi")
 _EDGES = re.compile(r"^\W+|\W+$", re.UNICODE)
 _NOT_LETTER = re.compile(r"[\W\d_]+", re.UNICODE)
 _STRETCH = re.compile(r"(.)\1{2,}")
-_SPELT = re.compile(r"(?<!\w)(?:\w[ .*_-]){3,}\w(?!\w)", re.UNICODE)
-HIT, HIDDEN, SEEDED, SECOND, CAPS, MIXED, STRETCHED, LOUD = (1 << k for k in range(8))
+_SINGLE = re.compile(r"[^\W_](?:[.*_-][^\W_])*", re.UNICODE)  # letters standing alone, or with a mark between
+SPELT_LETTERS = 4  # so many letters in a row spell a word
+HIT, HIDDEN, SEEDED, SECOND, CAPS, MIXED, STRETCHED, LOUD, SINGLE = (1 << k for k in range(9))
 
 FEATURES = (
     "lexicon_density", "lexicon_count", "lexicon_distinct", "hidden_count", "seed_density", "seed_count", "lexicon_peak",
@@ -64,7 +68,6 @@ FEATURES = (
 @dataclass(frozen=True)
 class ToxicityConfig:
     sample_rows: int = 6000  # labelled rows of each class
-    lexicon_words: int = 2000
     least_docs: int = 3  # toxic documents with the word or stem
     least_share: float = 0.01  # of the toxic documents
     least_ratio: float = 10.0  # toxic rate over clean rate
@@ -89,31 +92,46 @@ class TokenFlags(dict):
 
     def __init__(self, lexicon: frozenset[str], limit: int = 200_000):
         super().__init__()
-        self.lexicon, self.limit = lexicon, limit
+        self.words = SEED | {s[:-1] for s in lexicon if s.endswith(" ")}
+        self.stems = frozenset(s for s in lexicon if not s.endswith(" "))
+        self.lengths = sorted({len(s) for s in self.stems})
+        self.limit = limit
 
     def listed(self, word: str) -> bool:
-        return any(s in self.lexicon for s in stems_of(word))
+        if word in self.words:
+            return True
+        n = len(word)
+        for k in self.lengths:
+            if k < n and word[:k] in self.stems:
+                return True
+        return False
 
     def __missing__(self, token: str) -> int:
         if len(self) >= self.limit:
             self.clear()
-        bare = _EDGES.sub("", token)
-        low, f = bare.lower(), 0
-        folded = fold(token)
-        if low in SEED or self.listed(low):
+        bare = token if token[:1].isalnum() and token[-1:].isalnum() else _EDGES.sub("", token)
+        low, letters = bare.lower(), bare.isalpha()
+        stretched = _STRETCH.search(low) is not None
+        folded = low if letters and not stretched else fold(token)
+        f = STRETCHED if stretched else 0
+        if self.listed(low):
             f |= HIT
-        elif folded in SEED or self.listed(folded):
+        elif folded != low and self.listed(folded):
             f |= HIT | HIDDEN
         if folded in SEED:
             f |= SEEDED
         if low in SECOND_PERSON:
             f |= SECOND
-        if len(bare) > 1 and bare.isupper() and bare.isalpha():
-            f |= CAPS
-        if bare and not bare.isalpha() and not bare.isdigit() and any(c.isalpha() for c in bare):
-            f |= MIXED
-        if _STRETCH.search(low):
-            f |= STRETCHED
+        if letters:
+            if len(bare) == 1:
+                f |= SINGLE
+            elif bare.isupper():
+                f |= CAPS
+        elif bare:
+            if not bare.isdigit() and any(c.isalpha() for c in bare):
+                f |= MIXED
+            if _SINGLE.fullmatch(bare):
+                f |= SINGLE
         if len(token) - len(bare) > 1:
             f |= LOUD
         if len(token) <= 40:
@@ -121,18 +139,28 @@ class TokenFlags(dict):
         return f
 
 
+def spelt_words(tokens: list[str], single: np.ndarray) -> list[str]:
+    """Words that neighbouring tokens of single letters spell; `single` are the tokens' places."""
+    out = []
+    for run in np.split(single, np.flatnonzero(np.diff(single) != 1) + 1):
+        letters = "".join(_NOT_LETTER.sub("", tokens[i].translate(LEET)) for i in run.tolist())
+        if len(letters) >= SPELT_LETTERS:
+            out.append(letters)
+    return out
+
+
 def features_of(text: str | None, flags: TokenFlags, cfg: ToxicityConfig) -> list[float]:
     """Dense features of a whole text, in the order of FEATURES."""
     out = [0.0] * len(FEATURES)
-    if not text:
+    tokens = (text or "").split()
+    if not tokens:
         return out
-    tokens = text.split()
-    if _SPELT.search(text):  # words spelt letter by letter
-        tokens += [_NOT_LETTER.sub("", m[0]) for m in _SPELT.finditer(text)]
+    f = np.fromiter(map(flags.__getitem__, tokens), np.int16, len(tokens))
+    single = np.flatnonzero(f & SINGLE)
+    if len(single) and (spelt := spelt_words(tokens, single)):
+        tokens += spelt
+        f = np.append(f, np.fromiter(map(flags.__getitem__, spelt), np.int16, len(spelt)))
     n = len(tokens)
-    if not n:
-        return out
-    f = np.fromiter(map(flags.__getitem__, tokens), np.int16, n)
     hits = np.flatnonzero(f & HIT)
     second = np.flatnonzero(f & SECOND)
     share = lambda bit: float(np.count_nonzero(f & bit)) / n
@@ -152,6 +180,12 @@ def features_of(text: str | None, flags: TokenFlags, cfg: ToxicityConfig) -> lis
     return [float(x) for x in out]
 
 
+@lru_cache(maxsize=1)
+def token_flags(lexicon: frozenset[str]) -> TokenFlags:
+    """One per Python worker and lexicon, kept between tasks."""
+    return TokenFlags(lexicon)
+
+
 def with_features(docs: DataFrame, lexicon: frozenset[str], carried: list[str], cfg: ToxicityConfig = ToxicityConfig()) -> DataFrame:
     """The columns `carried` of docs, and features array<double>."""
     small_batches(docs.sparkSession)
@@ -159,7 +193,7 @@ def with_features(docs: DataFrame, lexicon: frozenset[str], carried: list[str],
     schema = StructType([docs.schema[c] for c in carried]).add("features", ArrayType(DoubleType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = TokenFlags(lexicon)
+        flags = token_flags(lexicon)
         for b in batches:
             got = [features_of(t.as_py(), flags, cfg) for t in b.column(cols.index("text"))]
             yield pa.RecordBatch.from_arrays([*(b.column(cols.index(c)) for c in carried), pa.array(got, pa.list_(pa.float64()))], [*carried, "features"])
@@ -168,11 +202,11 @@ def with_features(docs: DataFrame, lexicon: frozenset[str], carried: list[str],
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, usable: Column, cfg: ToxicityConfig) -> DataFrame:
-    """The bounded sample: doc_id, toxic 0/1, part (lexicon, trees), text; written once."""
+    """The bounded sample: doc_id, toxic 0/1, part (lexicon, trees, calibration), text; written once."""
     known = labels.where(usable).select("doc_id", "toxic").where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     ids = slot_sample_ids(known, "doc_id", cfg.sample_rows, by="toxic").select("doc_id", "toxic")
-    part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(23)), F.lit(2))
-    name = F.when(part == 0, "lexicon").otherwise("trees")
+    part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(23)), F.lit(3))
+    name = F.when(part == 0, "lexicon").when(part == 1, "trees").otherwise("calibration")
     texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     return materialise(texts.select("doc_id", "toxic", name.alias("part"), "text"), "toxicity-sample")
 
@@ -200,7 +234,7 @@ def induced_lexicon(rows: DataFrame, cfg: ToxicityConfig) -> frozenset[str]:
         return frozenset()
     c = rows.select("toxic", "text").mapInArrow(stems, "stem string, c0 bigint, c1 bigint").groupBy("stem").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
     rate1, rate0 = F.col("c1") / F.lit(n1), (F.col("c0") + 0.5) / F.lit(n0)
-    top = c.where((F.col("c1") >= cfg.least_docs) & (rate1 >= cfg.least_share) & (rate1 >= cfg.least_ratio * rate0)).orderBy(F.desc("c1"), "c0", "stem").limit(cfg.lexicon_words)
+    top = c.where((F.col("c1") >= cfg.least_docs) & (rate1 >= cfg.least_share) & (rate1 >= cfg.least_ratio * rate0))
     found = {r.stem for r in top.collect()}
     return frozenset(s for s in found if not any(s[:k] in found for k in STEM_LETTERS if k < len(s)))
 
@@ -238,9 +272,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, cfg: Toxici
     ready = x.withColumn("label", F.col("toxic").cast("double")).coalesce(2)
     gbt = GBTClassifier(labelCol="label", featuresCol="features", maxIter=cfg.trees, maxDepth=cfg.depth, stepSize=cfg.step, maxBins=64, seed=7)
     model = ToxicityModel(lexicon, gbt.fit(ready.where("part = 'trees'").select("label", array_to_vector("features").alias("features"))), None, cfg)
-    if {y for part, y in seen if part != "trees"} == {0, 1}:
+    if {y for part, y in seen if part == "calibration"} == {0, 1}:
         iso = IsotonicRegression(featuresCol="margin", labelCol="label", predictionCol="calibrated")
-        model.calibration = iso.fit(model._margin(ready.where("part <> 'trees'")).select("label", "margin"))
+        model.calibration = iso.fit(model._margin(ready.where("part = 'calibration'")).select("label", "margin"))
     return model
 
 
