@@ -175,12 +175,12 @@ def _binary(values: list) -> pa.Array:
 
 
 def describe(docs: DataFrame, cfg: JaccardConfig) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, k (null without shingles), sig, bands."""
+    """docs(doc_id, text) -> doc_id, text_hash, k (null without shingles), sig, bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, sigs, bands = [], [], []
-            for t in b.column(1):
+            for t in b.column(2):
                 s = shingle_set(t.as_py(), cfg.words)
                 if not len(s):
                     keys.append(None)
@@ -191,9 +191,10 @@ def describe(docs: DataFrame, cfg: JaccardConfig) -> DataFrame:
                 keys.append(set_key(s))
                 sigs.append(signature(least).tobytes())
                 bands.append(band_keys(least, cfg))
-            yield pa.RecordBatch.from_arrays([b.column(0), _binary(keys), _binary(sigs), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "k", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _binary(keys), _binary(sigs), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "text_hash", "k", "sig", "bands"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, k binary, sig binary, bands array<bigint>")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, k binary, sig binary, bands array<bigint>")
 
 
 def _prune(pairs: DataFrame, nodes: DataFrame, cfg: JaccardConfig) -> DataFrame:
@@ -374,7 +375,8 @@ def _within(sets: DataFrame, labels: DataFrame, cfg: JaccardConfig) -> DataFrame
 
 
 def similarity_classes(docs: DataFrame, cfg: JaccardConfig = JaccardConfig()) -> DataFrame:
-    """docs(doc_id, text) -> per row: doc_id, class_id, n_links, n_copies, class_size."""
+    """docs(doc_id, text) -> per row: doc_id, class_id, n_links, n_copies, class_size, text_hash (xxhash64 of
+    the text, to tell rows with one doc_id apart)."""
     small_batches(docs.sparkSession)
     rows = materialise(describe(docs, cfg), "jaccard-rows")
     nodes = materialise(
@@ -410,5 +412,5 @@ def similarity_classes(docs: DataFrame, cfg: JaccardConfig = JaccardConfig()) ->
     known = materialise(known.select("k", "doc_id", "n_copies", F.coalesce("component", "label").alias("class")), "jaccard-classes")
     classes = known.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.sum("n_copies").alias("class_size"))
     per_node = known.join(classes, "class").select("k", "class_id", "class_size", "n_copies")
-    out = rows.select("doc_id", "k").join(per_node, "k", "left").join(degree, "k", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce(F.col("n_copies") - 1 + F.coalesce("degree", F.lit(0)), F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
+    out = rows.select("doc_id", "text_hash", "k").join(per_node, "k", "left").join(degree, "k", "left")
+    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce(F.col("n_copies") - 1 + F.coalesce("degree", F.lit(0)), F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("class_size", F.lit(1)).alias("class_size"), "text_hash")

@@ -1,28 +1,38 @@
 """Approximate nearest neighbours by multi-index hashing of learned rotated binary codes.
 
 Vectors are centred and rotated by several rotations learned so that signs lose little (iterative
-quantisation); the signs are the code. Codes are split into substrings of 16 bits and each substring
-is indexed: rows sorted by its value, with the start of each value's run. Two codes that differ in
-fewer than substrings * (k + 1) bits agree in some substring up to k bits (pigeonhole), so probing
-the values within k bits of the query's in every substring retrieves every code within that radius.
-k grows until the radius holds `candidates` codes; all of them are ranked by exact distance.
+quantisation); the signs are the code. Codes are split into substrings, each long enough that its values
+outnumber the vectors, and each substring is an inverted index: its value leads to the vectors that have
+it. A query probes, in every substring, the values within `flips` bits of its own. By the pigeonhole
+principle this retrieves every code within substrings * (flips + 1) - 1 bits (and many beyond). What is
+retrieved and lies within a Hamming radius of a short code is ranked by exact distance.
 
-The table is cut into blocks of bounded size by a hash of the id, and the queries into chunks; a
-block and a chunk meet in one task, which returns each query's best, and these are ranked again.
-Every block gives at least `candidates` codes, so recall doesn't fall as the table grows. Blocks hold
-equal shares whatever the vectors are, so many copies of one vector make no task larger.
+How many substrings are needed depends on the data: nearest neighbours of evenly spread vectors share
+few bits, those of clustered ones many. Fitting finds the exact neighbours of a few sampled rows in one
+pass over the table, and takes as many substrings as retrieve the share `target` of them, and the radius
+that keeps nearly all of those. Both samples are bounded (`sample_rows`, `tuning_rows`, chosen by hash);
+every vector is indexed.
 
-Fitting reads a bounded sample of the table (`sample_rows`, chosen by hash); every row is indexed.
+The index is dealt out by substring and by its value's first bits, and queries go only where their probes
+fall, so a task holds a part of one substring's index; parts over `part_rows` are divided further by a
+hash of the id, and their queries go to each division. Equal vectors are one item with its smallest ids,
+so many copies of one vector are one entry.
+
+A query that gets fewer than k items this way is compared with all vectors, in blocks of bounded size:
+an exact way for the rest.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no
-part, nor do those whose length is not the commonest one's; null ids take no part; rows that share an id
-are one item, the one with the least vector; ties go to the smaller id; a query with fewer than k candidates
-gets them all; extra columns are ignored; an empty table gives no rows."""
+part; null ids take no part; vectors are neighbours only of vectors of the same length, each length
+having an index of its own; rows that share an id are one item, the one with the least vector; ties go to
+the smaller id; a query with fewer than k candidates gets them all; extra columns are ignored; an empty
+table gives no rows."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,19 +41,26 @@ from pyspark.sql import functions as F
 
 from beamframe.llm.common import materialise, slot_sample_ids
 
-RESULT = "query_id bigint, vec_id bigint, score double"
-_POP16 = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
+PAIRS = "query bigint, item bigint"
+SCORED = "query bigint, item bigint, score double"
+RESULT = "query_id bigint, rank int, vec_id bigint, score double"
 
 
 @dataclass(frozen=True)
 class MihConfig:
-    sample_rows: int = 4096
-    code_bits: int = 256
-    rounds: int = 25  # of learning a rotation
-    candidates: int = 400  # codes that the radius must hold, in every block
-    block_rows: int = 32_768
-    chunk_queries: int = 8_192
     k: int = 10
+    flips: int = 2  # bits of a substring that probes may differ by
+    sample_rows: int = 4096  # for the rotations
+    rounds: int = 12  # of learning a rotation
+    tuning_rows: int = 256  # whose exact neighbours tell how many substrings are needed
+    target: float = 0.97  # share of the sampled neighbours that probing must retrieve
+    keep: float = 0.995  # share of the retrieved sampled neighbours that the radius must keep
+    most_substrings: int = 192
+    least_bits: int = 16  # of a substring; more where the table has more rows than values
+    short_bits: int = 256  # of the code that the radius is about
+    part_rows: int = 1 << 18  # rows of an index in one task
+    block_rows: int = 32_768  # of the exact way
+    chunk_queries: int = 8_192
 
 
 def usable(vector: Column) -> Column:
@@ -52,126 +69,261 @@ def usable(vector: Column) -> Column:
     return F.coalesce(x.isNotNull() & ~bad & F.exists(x, lambda v: v != 0), F.lit(False))
 
 
-def learn_rotations(sample: np.ndarray, cfg: MihConfig) -> tuple[np.ndarray, np.ndarray]:
+def learn_rotations(sample: np.ndarray, bits: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """Mean, and rotations side by side [dimension, bits]: each is principal axes times an orthogonal
     matrix that brings the data near to the corners of the cube."""
     mean = sample.mean(0)
     x = sample - mean
     axes = np.linalg.eigh(x.T @ x)[1][:, ::-1]
     v = x @ axes
-    d, out, bits = v.shape[1], [], 0
-    while bits < cfg.code_bits:
+    d, out = v.shape[1], []
+    while len(out) * d < bits:
         r = np.linalg.qr(np.random.default_rng(len(out)).normal(size=(d, d)))[0]
-        for _ in range(cfg.rounds):
+        for _ in range(rounds):
             u, _, w = np.linalg.svd(np.where(v @ r > 0, 1.0, -1.0).T @ v)
             r = (u @ w).T
         out.append(axes @ r)
-        bits += d
-    return mean, np.concatenate(out, 1)[:, : cfg.code_bits]
-
-
-def encode(vectors: np.ndarray, mean: np.ndarray, rotations: np.ndarray) -> np.ndarray:
-    """Codes as 16-bit substrings [row, substring]."""
-    bits = np.packbits((vectors - mean) @ rotations > 0, axis=1)
-    return np.ascontiguousarray(bits).view("<u2")
-
-
-class BlockIndex:
-    """Multi-index of one block of codes."""
-
-    def __init__(self, codes: np.ndarray):
-        self.codes, self.n = codes, len(codes)
-        self.parts = []
-        for s in range(codes.shape[1]):
-            order = np.argsort(codes[:, s], kind="stable").astype(np.int32)
-            values, starts = np.unique(codes[order, s], return_index=True)
-            self.parts.append((order, values, np.append(starts, self.n)))
-
-    def probe(self, code: np.ndarray, k: int) -> np.ndarray:
-        """Rows that agree with the code up to k bits in some substring."""
-        seen = np.zeros(self.n, bool)
-        for s, (order, values, starts) in enumerate(self.parts):
-            near = np.flatnonzero(_POP16[values ^ code[s]] <= k)
-            if not len(near):
-                continue
-            runs = starts[near + 1] - starts[near]
-            ends = np.cumsum(runs)
-            seen[order[np.arange(ends[-1]) + np.repeat(starts[near] - (ends - runs), runs)]] = True
-        return np.flatnonzero(seen)
-
-    def within(self, code: np.ndarray, enough: int) -> np.ndarray:
-        """All rows within the least probed radius that holds `enough` of them."""
-        m = len(self.parts)
-        for k in (0, *range(3, 16)):  # between, a radius holds few more
-            rows = self.probe(code, k)
-            if len(rows) < enough:
-                continue
-            far = _POP16[self.codes[rows] ^ code].sum(1, dtype=np.int32)
-            radius = m * (k + 1) - 1
-            if (far <= radius).sum() >= enough:
-                # every code up to this radius was retrieved; the nearest ones suffice, with ties
-                limit = np.partition(far, enough - 1)[enough - 1]
-                return rows[far <= limit]
-        return np.arange(self.n)
-
-
-def search_block(ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, query_codes: np.ndarray, cfg: MihConfig) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query, ids, distances) of each query's best in the block."""
-    index = BlockIndex(codes)
-    for q, x, c in zip(query_ids.tolist(), queries, query_codes, strict=True):
-        rows = index.within(c, min(cfg.candidates + 1, len(ids)))
-        rows = rows[ids[rows] != q]
-        d = np.sqrt(np.square(vectors[rows] - x).sum(1))
-        best = np.lexsort((ids[rows], d))[: cfg.k]
-        yield q, ids[rows[best]], d[best]
+    return mean, np.concatenate(out, 1)[:, :bits]
+
+
+@dataclass(frozen=True)
+class Codes:
+    """A fitted index: rotations, substrings of `bits` bits, the radius of the short code."""
+
+    mean: np.ndarray
+    rotations: np.ndarray
+    bits: int
+    substrings: int
+    radius: int
+    short_bits: int
+
+    def of(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Substring values [row, substring] and short codes [row, word]."""
+        x = (vectors - self.mean) @ self.rotations > 0
+        own = x[:, : self.substrings * self.bits].reshape(len(x), self.substrings, self.bits)
+        values = own @ (1 << np.arange(self.bits, dtype=np.int64))
+        short = np.packbits(x[:, : self.short_bits], axis=1)
+        return values, np.ascontiguousarray(short).view("<u8")
+
+
+def masks(bits: int, flips: int) -> np.ndarray:
+    """All values with at most `flips` bits set."""
+    return np.array([sum(1 << b for b in c) for n in range(flips + 1) for c in combinations(range(bits), n)], np.int64)
+
+
+def first_bits(values: np.ndarray, bits: int, prefix: int) -> np.ndarray:
+    return values >> (bits - prefix)
+
+
+def probe(values: np.ndarray, short: np.ndarray, asked: np.ndarray, asked_short: np.ndarray, near: np.ndarray, radius: int, step: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query row, index row) of the rows whose value is within `near` of the query's and whose short code
+    lies within the radius. `values` are sorted."""
+    for a in range(0, len(asked), step):
+        want = (asked[a : a + step, None] ^ near).ravel()
+        lo, hi = np.searchsorted(values, want, "left"), np.searchsorted(values, want, "right")
+        runs = hi - lo
+        ends = np.cumsum(runs)
+        if not len(ends) or not ends[-1]:
+            continue
+        rows = np.arange(ends[-1]) + np.repeat(lo - (ends - runs), runs)
+        q = np.repeat(np.repeat(np.arange(a, min(a + step, len(asked))), len(near)), runs)
+        ok = np.bitwise_count(short[rows] ^ asked_short[q]).sum(1, dtype=np.int64) <= radius
+        yield q[ok], rows[ok]
+
+
+def fit(vectors: np.ndarray, near: list[tuple[np.ndarray, np.ndarray]], n: int, cfg: MihConfig) -> Codes:
+    """vectors: the sample of rows; near: sampled vectors, each with its exact nearest ones; n: all rows."""
+    bits = max(cfg.least_bits, math.ceil(math.log2(max(2, n))))
+    most = max(cfg.most_substrings * bits, cfg.short_bits)
+    mean, rotations = learn_rotations(vectors, most, cfg.rounds)
+    every = Codes(mean, rotations, bits, cfg.most_substrings, cfg.short_bits, cfg.short_bits)
+    found, far = [], []
+    for q, x in near:
+        if not len(x):
+            continue
+        v, s = every.of(np.concatenate([q[None], x]))
+        found.append(np.bitwise_count(v[1:] ^ v[0]) <= cfg.flips)
+        far.append(np.bitwise_count(s[1:] ^ s[0]).sum(1))
+    if not found:
+        return Codes(mean, rotations[:, : max(bits, cfg.short_bits)], bits, 1, cfg.short_bits, cfg.short_bits)
+    got = np.maximum.accumulate(np.concatenate(found), axis=1)
+    enough = np.flatnonzero(got.mean(0) >= cfg.target)
+    m = int(enough[0]) + 1 if len(enough) else cfg.most_substrings
+    kept = np.concatenate(far)[got[:, m - 1]]
+    radius = int(np.quantile(kept, cfg.keep, method="higher")) if len(kept) else cfg.short_bits
+    return Codes(mean, rotations[:, : max(m * bits, cfg.short_bits)], bits, m, radius, cfg.short_bits)
+
+
+def nearest(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query, ids, distances) of each query's k nearest rows, itself included, by exact distance."""
+    for q, x in zip(query_ids.tolist(), queries, strict=True):
+        d = np.sqrt(np.square(vectors - x).sum(1))
+        best = np.lexsort((ids, d))[:k]
+        yield q, ids[best], d[best]
+
+
+def _packed(x: np.ndarray) -> pa.Array:
+    """Rows of an array as binaries."""
+    x = np.ascontiguousarray(x)
+    width = x.shape[1] * x.itemsize
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(x), [None, pa.py_buffer(x.tobytes())]).cast(pa.binary())
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
+def _table(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.Table:
+    flat = lambda a, kind: np.concatenate(a).astype(kind) if a else np.zeros(0, kind)
+    return pa.table({"query": flat([np.full(len(i), q) for q, i, _ in rows], np.int64), "item": flat([i for _, i, _ in rows], np.int64), "score": flat([d for *_, d in rows], float)})
+
+
+def _exact(items: DataFrame, queries: DataFrame, n: int, n_queries: int, k: int, cfg: MihConfig) -> DataFrame:
+    """items(item, v), queries(query, v) -> query, item, score: each query's k nearest of all items, found
+    block by block."""
+    blocks, chunks = max(1, -(-n // cfg.block_rows)), max(1, -(-n_queries // cfg.chunk_queries))
+    each = lambda m: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(m - 1).cast("bigint")))
+    part = lambda c, m, seed: F.pmod(F.xxhash64(F.col(c), F.lit(seed)), F.lit(m))
+    held = items.select(part("item", blocks, 3).alias("block"), each(chunks).alias("chunk"), "item", "v")
+    asked = queries.select(each(blocks).alias("block"), part("query", chunks, 4).alias("chunk"), "query", "v")
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _table([])
+        return _table(list(nearest(right.column("query").to_numpy(), _matrix(right.column("v"), "<f8"), left.column("item").to_numpy(), _matrix(left.column("v"), "<f8"), k)))
+
+    met = held.groupBy("block", "chunk").cogroup(asked.groupBy("block", "chunk")).applyInArrow(meet, SCORED)
+    return _best(met, k)
+
+
+def _best(scored: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query").orderBy("score", "item")
+    return scored.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n")
+
+
+def _probed(items: DataFrame, queries: DataFrame, n: int, codes: Codes, cfg: MihConfig) -> DataFrame:
+    """items(item, v), queries(query, v) -> query, item: pairs that probing retrieves within the radius."""
+    prefix = min(codes.bits, max(0, math.ceil(math.log2(max(1.0, n / cfg.part_rows)))))
+    near = masks(codes.bits, cfg.flips)
+    reach = np.unique(first_bits(near, codes.bits, prefix))
+
+    def index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, x = b.column(0), _matrix(b.column(1), "<f8")
+            values, short = codes.of(x)
+            code = _packed(short)
+            for s in range(codes.substrings):
+                v = values[:, s]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), s, np.int32)), pa.array(first_bits(v, codes.bits, prefix)), ids, pa.array(v), code], ["substring", "prefix", "item", "value", "code"])
+
+    def query_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = _matrix(b.column(1), "<f8")
+            values, short = codes.of(x)
+            row = np.repeat(np.arange(len(x)), len(reach))
+            code, ids = _packed(short[row]), b.column(0).take(pa.array(row))
+            for s in range(codes.substrings):
+                p = (first_bits(values[:, s], codes.bits, prefix)[:, None] ^ reach).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), s, np.int32)), pa.array(p), ids, pa.array(values[row, s]), code], ["substring", "prefix", "query", "value", "code"])
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"query": pa.array([], pa.int64()), "item": pa.array([], pa.int64())})
+        values = left.column("value").to_numpy()
+        order = np.argsort(values, kind="stable")
+        ids, short = left.column("item").to_numpy()[order], _matrix(left.column("code"), "<u8")[order]
+        asked = right.column("query").to_numpy()
+        # the probes that fall under this prefix
+        at = int(left.column("prefix")[0].as_py())
+        found = []
+        own = right.column("value").to_numpy()
+        for q, r in probe(values[order], short, own, _matrix(right.column("code"), "<u8"), near, codes.radius):
+            found.append((asked[q], ids[r]))
+        assert prefix == 0 or (first_bits(values, codes.bits, prefix) == at).all()
+        flat = lambda i: np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64)
+        return pa.table({"query": flat(0), "item": flat(1)})
+
+    kept = "substring int, prefix bigint, {} bigint, value bigint, code binary"
+    index = materialise(items.mapInArrow(index_rows, kept.format("item")), "mih-index")
+    asked = queries.mapInArrow(query_rows, kept.format("query"))
+    # parts that are too large for a task are divided, and their queries go to every division
+    parts = index.groupBy("substring", "prefix").agg(F.ceil(F.count(F.lit(1)) / F.lit(cfg.part_rows)).alias("divisions"))
+    parts = materialise(parts, "mih-parts")
+    held = index.join(parts, ["substring", "prefix"]).withColumn("division", F.pmod(F.xxhash64("item"), F.col("divisions")))
+    asked = asked.join(parts, ["substring", "prefix"]).withColumn("division", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("divisions") - 1)))
+    keys = ["substring", "prefix", "division"]
+    return held.drop("divisions").groupBy(*keys).cogroup(asked.drop("divisions").groupBy(*keys)).applyInArrow(meet, PAIRS).distinct()
+
+
+def _rerank(pairs: DataFrame, items: DataFrame, queries: DataFrame) -> DataFrame:
+    """pairs(query, item) -> query, item, score by exact distance."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            d = np.sqrt(np.square(_matrix(b.column(2), "<f8") - _matrix(b.column(3), "<f8")).sum(1)) if b.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d)], ["query", "item", "score"])
+
+    met = pairs.join(queries.select("query", F.col("v").alias("vq")), "query").join(items.select("item", "v"), "item")
+    return met.select("query", "item", "v", "vq").mapInArrow(run, SCORED)
+
+
+def _search(items: DataFrame, queries: DataFrame, dim: int, cfg: MihConfig) -> DataFrame:
+    """items(item, v), queries(query, v) of one length -> query, item, score: the nearest k + 1 distinct
+    vectors found, the query's own one among them."""
+    spark = items.sparkSession
+    n = items.count()
+    sampled = lambda m: items.join(F.broadcast(slot_sample_ids(items, "item", m).select("item")), "item").orderBy("item")
+    sample = np.array([np.frombuffer(r.v, "<f8") for r in sampled(cfg.sample_rows).collect()]).reshape(-1, dim)
+    tuning = materialise(sampled(cfg.tuning_rows).select(F.col("item").alias("query"), "v"), "mih-tuning")
+    true = _exact(items, tuning, n, cfg.tuning_rows, cfg.k + 1, cfg).where("query <> item")
+    rows = true.join(tuning.select("query", F.col("v").alias("vq")), "query").join(items, "item").select("query", "vq", "v").collect()
+    near: dict[int, tuple[bytes, list[bytes]]] = {}
+    for r in rows:
+        near.setdefault(r.query, (r.vq, []))[1].append(r.v)
+    double = lambda b: np.frombuffer(b, "<f8")
+    codes = fit(sample, [(double(q), np.array([double(v) for v in near[i][1]])) for i, (q, _) in sorted(near.items())], n, cfg)
+    found = _best(_rerank(_probed(items, queries, n, codes, cfg), items, queries), cfg.k + 1)
+    found = materialise(found, "mih-found")
+    few = queries.join(found.groupBy("query").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > min(cfg.k, n - 1)), "query", "left_anti")
+    few = materialise(few, "mih-few")
+    n_few = few.count()
+    if not n_few:
+        return found
+    rest = _exact(items, few, n, n_few, cfg.k + 1, cfg)
+    return spark.createDataFrame([], SCORED).unionByName(found.join(few.select("query"), "query", "left_anti")).unionByName(rest)
 
 
 def neighbours(vectors: DataFrame, is_query: Column, cfg: MihConfig = MihConfig(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vectors(id, vector) -> query_id, rank, vec_id, score: the nearest found of every query row."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
-    rows = rows.where(usable(F.col("v")) & F.col("vec_id").isNotNull())
-    common = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
-    if common is None:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    dim = common.d
-    rows = rows.where(F.size("v") == dim)
-    sample = rows.join(F.broadcast(slot_sample_ids(rows, "vec_id", cfg.sample_rows).select("vec_id")), "vec_id").groupBy("vec_id").agg(F.min("v").alias("v")).orderBy("vec_id")
-    mean, rotations = learn_rotations(np.array([r.v for r in sample.collect()], float), cfg)
-
-    def with_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = rows.where(usable(F.col("v")) & F.col("vec_id").isNotNull()).groupBy("vec_id").agg(F.min("v").alias("v"), F.max("q").alias("q"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-            codes = encode(x, mean, rotations)
-            width = codes.shape[1] * 2
-            packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(codes), [None, pa.py_buffer(codes.tobytes())]).cast(pa.binary())
-            raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(dim * 8), len(codes), [None, pa.py_buffer(np.ascontiguousarray(x, "<f8").tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), raw, b.column(2), packed], ["vec_id", "v", "q", "code"])
-
-    items = rows.groupBy("vec_id").agg(F.min("v").alias("v"), F.max("q").alias("q"))
-    coded = materialise(items.mapInArrow(with_codes, "vec_id bigint, v binary, q boolean, code binary"), "mih-codes")
-    n, n_queries = coded.agg(F.count(F.lit(1)), F.count_if("q")).first()
-    blocks, chunks = max(1, -(-n // cfg.block_rows)), max(1, -(-n_queries // cfg.chunk_queries))
-    block = F.pmod(F.xxhash64(F.col("vec_id"), F.lit(3)), F.lit(blocks))
-    chunk = F.pmod(F.xxhash64(F.col("vec_id"), F.lit(4)), F.lit(chunks))
-    each = lambda k: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint")))
-    index = coded.select(block.alias("block"), each(chunks).alias("chunk"), "vec_id", "v", "code")
-    asked = coded.where("q").select(each(blocks).alias("block"), chunk.alias("chunk"), "vec_id", "v", "code")
+            v = [np.asarray(x, "<f8").tobytes() for x in b.column(1).to_numpy(zero_copy_only=False)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(v, pa.binary()), b.column(2)], ["vec_id", "v", "q"])
 
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        def arrays(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            ids = t.column("vec_id").to_numpy()
-            return ids, np.frombuffer(b"".join(t.column("v").to_pylist()), "<f8").reshape(-1, dim), np.frombuffer(b"".join(t.column("code").to_pylist()), "<u2").reshape(len(ids), -1)
-
-        q, v, s = [], [], []
-        if left.num_rows and right.num_rows:
-            for query, ids, d in search_block(*arrays(left), *arrays(right), cfg):
-                q.append(np.full(len(ids), query))
-                v.append(ids)
-                s.append(d)
-        flat = lambda a, kind: np.concatenate(a).astype(kind) if a else np.zeros(0, kind)
-        return pa.table({"query_id": flat(q, np.int64), "vec_id": flat(v, np.int64), "score": flat(s, float)})
-
-    found = index.groupBy("block", "chunk").cogroup(asked.groupBy("block", "chunk")).applyInArrow(meet, RESULT)
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cfg.k).select("query_id", "rank", "vec_id", "score")
+    # equal vectors are one item, named by the smallest id; minus zero is packed as zero
+    rows = rows.select("vec_id", F.transform("v", lambda x: x + F.lit(0.0)).alias("v"), "q")
+    packed = materialise(rows.mapInArrow(pack, "vec_id bigint, v binary, q boolean"), "mih-vectors")
+    named = packed.groupBy("v").agg(F.min("vec_id").alias("item"))
+    items = materialise(named.select("item", "v", F.octet_length("v").alias("size")), "mih-items")
+    member = materialise(packed.join(named, "v").select("vec_id", "item", "q"), "mih-members")
+    sizes = sorted(r.size for r in items.select("size").distinct().limit(1001).collect())
+    if len(sizes) > 1000:
+        raise ValueError("vectors of more than 1000 lengths")
+    found = spark.createDataFrame([], SCORED)
+    asked = member.where("q").select(F.col("item").alias("query")).distinct()
+    for size in sizes:
+        own = items.where(F.col("size") == size).select("item", "v")
+        queries = materialise(own.withColumnRenamed("item", "query").join(asked, "query"), "mih-queries")
+        if not queries.isEmpty():
+            found = found.unionByName(_search(own, queries, size // 8, cfg))
+    # from items back to rows: the k + 1 smallest ids of each item are all that any query can need
+    least = member.withColumn("_n", F.row_number().over(Window.partitionBy("item").orderBy("vec_id"))).where(F.col("_n") <= cfg.k + 1).select("item", "vec_id")
+    near = _best(found.join(least, "item").select("query", F.col("vec_id").alias("item"), "score"), cfg.k + 1)
+    mine = member.where("q").select(F.col("vec_id").alias("query_id"), F.col("item").alias("query"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    out = mine.join(near, "query").select("query_id", F.col("item").alias("vec_id"), "score").where("query_id <> vec_id")
+    return out.withColumn("rank", rank).where(F.col("rank") <= cfg.k).select("query_id", "rank", "vec_id", "score")

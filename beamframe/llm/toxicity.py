@@ -14,8 +14,8 @@ tells is worked out once for each distinct word of a batch, the rest is arithmet
 
 Defined cases: a null text counts as empty; an empty text has all-zero features and gets the score
 that these have; null labels and labels of unknown documents do not count, a document with
-differing labels counts as toxic; rows that share a doc_id share its label, each with its own text; where a class has no labelled row, texts are scored by the seed
-list alone; repeated rows are scored each; extra columns are ignored; an empty table gives no rows."""
+differing labels counts as toxic; rows that share a doc_id share its label, each with its own text; where a class has fewer than `least_rows` labelled rows for
+the trees, texts are scored by the seed list alone, where it has fewer for the calibration, by the trees; repeated rows are scored each; extra columns are ignored; an empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -76,6 +76,7 @@ class ToxicityConfig:
     trees: int = 20
     depth: int = 3
     step: float = 0.3
+    least_rows: int = 8  # of each class, to grow trees or to calibrate
     threshold: float = 0.7
 
 
@@ -266,7 +267,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, cfg: Toxici
     rows = training_rows(docs, labels, usable, cfg)
     lexicon = induced_lexicon(rows, cfg)
     x = materialise(with_features(rows.coalesce(8), lexicon, ["doc_id", "toxic", "part"], cfg), "toxicity-features")
-    seen = {(r.part, r.toxic) for r in x.select("part", "toxic").distinct().collect()}
+    seen = {(r.part, r.toxic) for r in x.groupBy("part", "toxic").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= cfg.least_rows).collect()}
     if not {("trees", 0), ("trees", 1)} <= seen:
         return ToxicityModel(lexicon, None, None, cfg)
     ready = x.withColumn("label", F.col("toxic").cast("double")).coalesce(2)

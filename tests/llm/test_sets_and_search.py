@@ -127,6 +127,21 @@ def test_all_links_of_a_group_count(spark, cfg):
     assert sorted(((r.doc_id, r.n_links) for r in got), key=key) == sorted(want, key=key)
 
 
+def test_a_stray_label_costs_few_rows(spark):
+    """A bucket of 5000 members of one label and one stray: about as many rows as members, all pairs found."""
+    cfg = bayes_jaccard.JaccardConfig(cell=512, small=4)
+    r = np.random.default_rng(1)
+    sig = r.integers(0, 1 << 16, cfg.long_hashes).astype("<u2")
+    key = lambda i: int(i).to_bytes(16, "big")
+    members = spark.createDataFrame([(7, 0, key(i)) for i in range(5001)], "band bigint, no int, k binary")
+    sets = spark.createDataFrame([(key(i), bytearray(sig.tobytes())) for i in range(5001)], "k binary, long_sig binary")
+    labels = spark.createDataFrame([(key(i), key(0)) for i in range(5000)], "k binary, label binary")
+    cells = bayes_jaccard.across_cells(members, sets, labels, cfg)
+    assert cells.count() == 5001 + -(-5001 // 256)
+    got = {(bytes(x.a), bytes(x.b)) for x in bayes_jaccard._across(members, sets, labels, cfg).collect()}
+    assert got == {(key(i), key(5000)) for i in range(5000)}
+
+
 def test_similarity_of_nothing(spark):
     assert bayes_jaccard.similarity_classes(spark.createDataFrame([], DOC)).collect() == []
 
@@ -138,10 +153,19 @@ def test_posterior_bound():
         assert p(m) >= cfg.tolerance > (p(m - 1) if m else 0)
 
 
+def test_names_do_not_depend_on_partitions(spark):
+    pairs = [(i, f"{'ab' * (i % 7)}{i % 5}" * 3) for i in range(60)]
+    cfg = exact_dedup.BlockNamingConfig(4)
+    names = [sorted((r.doc_id, r.depth, r.n_bytes, r.name) for r in exact_dedup.block_identities(spark.createDataFrame(pairs, "doc_id bigint, text string").repartition(n), cfg).collect()) for n in (1, 5)]
+    assert names[0] == names[1]
+
+
 VEC = "vec_id bigint, embedding array<float>, label int, v string, code string, q string"
 
 
-def test_neighbours_exact_when_few(spark):
+@pytest.mark.parametrize("cfg", [multi_index_hashing.MihConfig(flips=4, least_bits=8, target=1.0, keep=1.0, part_rows=16, block_rows=64, chunk_queries=8), multi_index_hashing.MihConfig(most_substrings=1, flips=0, target=0.0, block_rows=64, chunk_queries=8)])
+def test_neighbours_exact_when_few(spark, cfg):
+    """By probes that reach all, dealt out over prefixes and divisions; by the exact way, where probes find too few."""
     r = np.random.default_rng(4)
     x = r.normal(size=(150, 12)).astype(np.float32)
     x[40:60] = x[40]  # copies: ties
@@ -149,7 +173,7 @@ def test_neighbours_exact_when_few(spark):
     bad = [(1000, None), (1100, []), (1200, [0.0] * 12), (1300, [float("nan")] * 12), (1400, [None] * 12), (1500, [float("inf")] + [1.0] * 11), (1600, [1.0] * 5), (None, [1.0] * 12)]
     data += [(i, v, 0, "a", "b", "c") for i, v in bad] + [data[7]]
     df = spark.createDataFrame(data, VEC).repartition(4)
-    got = multi_index_hashing.neighbours(df, F.col("vec_id") % 10 == 0, multi_index_hashing.MihConfig(block_rows=64, chunk_queries=8)).collect()
+    got = multi_index_hashing.neighbours(df, F.col("vec_id") % 10 == 0, cfg).collect()
     d = np.sqrt(((x[:, None].astype(float) - x[None].astype(float)) ** 2).sum(-1))
     want = []
     for q in range(0, 150, 10):
@@ -165,16 +189,29 @@ def test_neighbours_of_nothing_and_few(spark):
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in multi_index_hashing.neighbours(two, F.lit(True)).collect()) == [(0, 1, 1, 1.0), (1, 1, 0, 1.0)]
 
 
+def test_vectors_of_each_length_have_their_own_neighbours(spark):
+    data = [(i, [float(i), 1.0] if i % 3 else [float(i), 1.0, 2.0], 0, "", "", "") for i in range(1, 40)]
+    got = multi_index_hashing.neighbours(spark.createDataFrame(data, VEC), F.col("vec_id") == 9, multi_index_hashing.MihConfig(flips=16, k=3)).collect()
+    assert sorted((r.rank, r.vec_id) for r in got) == [(1, 6), (2, 12), (3, 3)]
+
+
 def test_probing_retrieves_the_whole_radius():
     r = np.random.default_rng(5)
-    codes = r.integers(0, 1 << 16, (500, 4), dtype=np.uint16)
-    codes[:200] ^= codes[0] & r.integers(0, 1 << 16, (200, 4), dtype=np.uint16)
-    index = multi_index_hashing.BlockIndex(codes)
-    pop = lambda a: np.array([bin(int(v)).count("1") for v in a.ravel()]).reshape(a.shape)
-    for q in range(20):
-        far = pop(codes ^ codes[q]).sum(1)
-        for k in (0, 3, 5):
-            assert set(np.flatnonzero(far < 4 * (k + 1))) <= set(index.probe(codes[q], k))
+    x = r.normal(size=(500, 16)).cumsum(0)
+    mean, rotations = multi_index_hashing.learn_rotations(x, 64, 5)
+    codes = multi_index_hashing.Codes(mean, rotations, 16, 4, 64, 64)
+    values, short = codes.of(x)
+    assert np.array_equal((short.view(np.uint8) != 0).any(1), (values != 0).any(1))
+    pop = np.bitwise_count(values[:, None] ^ values[None]).sum(2)
+    for flips in (0, 1, 2):
+        near = multi_index_hashing.masks(16, flips)
+        assert len(set(near.tolist())) == len(near) == sum(math.comb(16, i) for i in range(flips + 1))
+        found = set()
+        for s in range(4):
+            order = np.argsort(values[:, s], kind="stable")
+            for q, i in multi_index_hashing.probe(values[order, s], short[order], values[:20, s], short[:20], near, 64, step=7):
+                found |= set(zip(q.tolist(), order[i].tolist(), strict=True))
+        assert {(q, i) for q in range(20) for i in np.flatnonzero(pop[q] <= 4 * (flips + 1) - 1).tolist()} <= found
 
 
 def test_recall(spark):
@@ -206,6 +243,27 @@ def test_urls(spark):
     assert len(url_reputation.judge_urls(pages, outcomes.limit(0)).collect()) == len(URLS) + 2
 
 
+def test_hosts_of_the_reputation(spark):
+    hosts = {"a.b.co.uk": ("a.b.co.uk", "b.co.uk", "co.uk"), "u:p@x.a.org:8080": ("x.a.org", "a.org", "org"), "10.0.0.1:80": ("10.0.0.1",) * 3, "[::1]:80": ("[::1]",) * 3, "localhost": ("localhost",) * 3, "co.uk": ("co.uk",) * 3, "": ("", "", ""), "a." + "b" * 5000 + ".com": ("a." + "b" * 5000 + ".com", "b" * 5000 + ".com", "com")}
+    df = spark.createDataFrame([(h,) for h in hosts], "host string").withColumn("name", url_reputation.reputation_host(F.col("host")))
+    df = df.withColumn("suffix", url_reputation.suffix_of(F.col("name"))).withColumn("domain", url_reputation.registered_domain(F.col("name"), F.col("suffix")))
+    assert {r.host: (r.name, r.domain, r.suffix) for r in df.collect()} == hosts
+
+
+def test_posterior_tail_against_integration(spark):
+    ab = [(0.1, 1.9), (0.5, 0.5), (2.0, 3.0), (1.0, 1.0), (30.0, 10.0), (400.0, 420.0)]
+    got = spark.createDataFrame(ab, "a double, b double").select("a", "b", url_reputation.beta_below(F.col("a"), F.col("b"), 0.5, 64).alias("p")).collect()
+    u = (np.arange(400_000) + 0.5) / 400_000  # x = u^20 / 2 from below, mirrored above, keeps both ends tame
+
+    def half(a, b):
+        x = 0.5 * u**20
+        return np.mean(np.exp((a - 1) * np.log(x) + (b - 1) * np.log1p(-x)) * 10 * u**19)
+
+    for r in got:
+        low, high = half(r.a, r.b), half(r.b, r.a)
+        assert r.p == pytest.approx(low / (low + high), abs=1e-6)
+
+
 @pytest.mark.parametrize("name", list(queries.oracle_sql()))
 def test_same_rows_as_sql(spark, name):
     sf = "/root/testdata/sf0.01"
@@ -230,7 +288,7 @@ def test_events_fold(spark):
         (2, 0, "message", 0, "user", None), (2, 1, "message", 1, "assistant", "a"), (2, 1, "message", 1, "assistant", "a"), (None, 5, "delta", 5, None, "x"), (3, 1, "begin", 0, "user", "a"), (3, 2, "remove", 0, None, None),
     ]
     random.Random(7).shuffle(log)
-    df = spark.createDataFrame([(*e, "clash") for e in log], chat_format.EVENTS + ", formatted string")
+    df = spark.createDataFrame([(*e[:4], None, *e[4:], "clash") for e in log], chat_format.EVENTS + ", formatted string")
     got = {r.conv_id: r for r in chat_format.format_digests(df).collect()}
     want = {1: [("user", "hello"), ("assistant", "right"), ("user", "bye")], 2: [("user", ""), ("assistant", "a"), ("assistant", "a")], None: [("", "x")]}
     assert set(got) == set(want)
@@ -247,6 +305,46 @@ def test_events_fold(spark):
     assert chat_format.format_digests(df.limit(0)).collect() == []
 
 
+def test_later_turns_go_with_a_regeneration(spark):
+    log = [(1, 1, "begin", 0, None, "user", "a"), (1, 2, "begin", 1, None, "assistant", "b"), (1, 3, "begin", 2, None, "user", "gone"), (1, 4, "regenerate", 1, None, None, "c"), (1, 5, "begin", 3, None, "user", "d"), (1, None, "begin", 4, None, "user", "gone too"), (1, 6, "regenerate", 0, None, None, "a2"), (1, 7, "delta", 3, None, None, "new")]
+    got = chat_format.format_conversations(spark.createDataFrame(log, chat_format.EVENTS)).orderBy("turn_no").collect()
+    assert [(a, b) for a, b, _, _ in chat_format.read_back("".join(r.formatted for r in got))] == [("user", "a2"), ("", "new")]
+    with pytest.raises(Exception, match="unknown kind"):
+        chat_format.format_digests(spark.createDataFrame([(1, 1, None, 0, None, "user", "a")], chat_format.EVENTS)).collect()
+
+
+def test_reader_takes_any_pieces():
+    r = random.Random(2)
+    turns = [(r.choice(["user", "assistant"]), "".join(r.choice(["\\", "###", "</turn>", "\n", "x" * 50]) for _ in range(r.randrange(60)))) for _ in range(300)]
+    whole = "".join(chat_format.render_turn(*t) for t in turns)
+    reader, got, at = chat_format.Reader(), [], 0
+    while at < len(whole):
+        step = r.randrange(1, 90_000)
+        got += reader.feed(whole[at : at + step])
+        at += step
+    assert got + list(reader.feed("", True)) == turns
+    with pytest.raises(ValueError):
+        list(chat_format.Reader().feed("### user:\nno end", True))
+
+
+def test_streamed_conversations_come_out_whole(spark):
+    """Every turn through drafts, deltas, edits and regenerations; repeated rows, nulls and equal turns too."""
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.conv_id, r.turn, r.role, r.text) for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()]
+    more = [(-1, 0, "user", "twice"), (-1, 0, "user", "twice"), (-1, 1, "assistant", "b"), (-1, 1, "assistant", "a"), (-1, 1, None, None), (-1, None, "user", "no turn"), (None, 3, "user", "x" * 99_999), (-2, 5, "assistant", "")]
+    df = spark.createDataFrame(rows + more, "conv_id bigint, turn bigint, role string, text string").repartition(5)
+    got = {r.conv_id: r for r in chat_format.format_digests(chat_format.streamed_events(df)).collect()}
+    want = {}
+    for c, t, role, text in sorted(rows + more, key=lambda x: (x[1] is not None, x[1] or 0, x[2] or "", x[3] or "")):
+        want.setdefault(c, []).append((role or "", text or ""))
+    assert set(got) == set(want)
+    for c, turns in want.items():
+        said = "".join(t for r, t in turns if r == "assistant")
+        assert (got[c].n_turns, got[c].loss_chars, got[c].formatted_chars) == (len(turns), len(said), sum(len(chat_format.render_turn(*t)) for t in turns))
+        assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+        assert got[c].loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
+
+
 def test_probe_conversation(spark):
     got = {r.conv_id: r for r in queries.op3_chat_format(spark, "/root/testdata/sf0.001").collect()}[-7]
     said = "\\### Assistant: </turn> ok"
