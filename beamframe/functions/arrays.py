@@ -70,9 +70,11 @@ def trimmed_mean(x: Column, low: int, high: int) -> Column:
 
 
 def two_pass_mean(x: Column, low: float, high: float, width: float) -> Column:
-    """Mean of the values in [low, high], then of those at most `width` above that mean."""
+    """Mean of the values in [low, high], then of those at most `width` above that mean.
+
+    The first mean is bound to a variable, so that it is worked out once and not for every value."""
     first = mean(F.filter(x, lambda v: (v >= low) & (v <= high)))
-    return F.coalesce(mean(F.filter(x, lambda v: v < first + width)), first)
+    return F.transform(F.array(first), lambda m: F.coalesce(mean(F.filter(x, lambda v: v < m + width)), m))[0]
 
 
 def best_peak(peaks: Column, by: str = "height", low: float | None = None, high: float | None = None, time: str = "time") -> Column:

@@ -29,10 +29,11 @@ def sample_pair(word: Column) -> Column:
 
 
 def strip_words(words: Column) -> Column:
-    """Three words of a strip to six signed 13-bit samples and the strip number."""
+    """Three words of a strip to six signed 13-bit samples, the strip number and the chip's number."""
     w = lambda i: F.get(words, F.lit(i))
     half = lambda x, lo: sign_extend(field(x, lo + 12, lo), 13)
-    return F.struct(F.array(*[half(w(i), lo) for i in range(3) for lo in (0, 13)]).alias("ts"), field(w(0), 30, 26).bitwiseOR(F.shiftleft(field(w(1), 27, 26), 5)).alias("strip"))
+    strip = field(w(0), 30, 26).bitwiseOR(F.shiftleft(field(w(1), 30, 26), 5))
+    return F.struct(F.array(*[half(w(i), lo) for i in range(3) for lo in (0, 13)]).alias("ts"), strip.alias("strip"), field(w(2), 30, 26).alias("chip"))
 
 
 def timestamp_48(low: Column, high: Column) -> Column:

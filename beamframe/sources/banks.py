@@ -12,12 +12,14 @@ whose length runs past its parent's end stops the scan of that parent; `broken`
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 BANKS, SEGMENTS, TAG_SEGMENTS = (0x0E, 0x10), (0x0D, 0x20), (0x0C,)
 NODES = "file string, event bigint, node int, parent int, depth int, tag int, type int, num int, words array<bigint>, broken boolean"
@@ -81,10 +83,11 @@ def read_banks(spark: SparkSession, path: str, tags: list[int] | None = None, pa
     return files.mapInPandas(run, NODES)
 
 
-def tag_paths(nodes: DataFrame, depth: int = 4) -> DataFrame:
-    """How often each path of tags occurs, and how often for each parent."""
+def tag_paths(nodes: DataFrame) -> DataFrame:
+    """How often each path of tags occurs, and how often for each parent; trees of any depth."""
     level = nodes.where("parent = -1").select("file", "event", "node", F.hex("tag").alias("path"))
     every = level
+    depth = nodes.agg(F.max("depth").alias("d")).first().d or 0
     for d in range(1, depth + 1):
         inner = nodes.where(F.col("depth") == d).select("file", "event", F.col("parent").alias("up"), "node", "tag")
         up = level.select("file", "event", F.col("node").alias("up"), "path")
@@ -93,3 +96,58 @@ def tag_paths(nodes: DataFrame, depth: int = 4) -> DataFrame:
     n = every.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
     parents = n.select(F.col("path").alias("parent"), F.col("n").alias("n_parent"))
     return n.withColumn("parent", F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).join(parents, "parent", "left").select("path", "n", (F.col("n") / F.col("n_parent")).alias("per_parent"))
+
+
+def bank_summary(nodes: DataFrame) -> DataFrame:
+    """Banks, events and words of each tag and type."""
+    return nodes.groupBy("tag", "type").agg(F.count(F.lit(1)).alias("n_banks"), F.countDistinct("file", "event").alias("n_events"), F.sum(F.coalesce(F.size("words"), F.lit(0))).alias("n_words"))
+
+
+COMPOSITE = "slot int, trigger int, timestamp bigint, channel int, samples array<int>"
+_SLOT, _CHANNEL = struct.Struct("<BiqI"), struct.Struct("<BI")
+
+
+def encode_composite(slots: list[tuple[int, int, int, list[tuple[int, list[int]]]]]) -> bytes:
+    """(slot, trigger, timestamp, [(channel, samples)]) as a composite payload: packed little-endian, a slot's
+    head of 17 bytes, then for each channel its number, how many samples, and these as 16-bit words."""
+    out = []
+    for slot, trigger, timestamp, channels in slots:
+        out.append(_SLOT.pack(slot, trigger, timestamp, len(channels)))
+        out += [_CHANNEL.pack(c, len(x)) + np.asarray(x, "<u2").tobytes() for c, x in channels]
+    return b"".join(out)
+
+
+def composite_rows(payload: bytes, slots: int = 32, channels: int = 64, samples: int = 200) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
+    """(slot, trigger, timestamp, channel, samples). A slot or channel number or a length that the hardware
+    can't have ends the payload; samples that run past its end are cut."""
+    at = 0
+    while at + _SLOT.size <= len(payload):
+        slot, trigger, timestamp, n = _SLOT.unpack_from(payload, at)
+        at += _SLOT.size
+        if slot >= slots or n > channels:
+            return
+        for _ in range(n):
+            if at + _CHANNEL.size > len(payload):
+                break
+            channel, length = _CHANNEL.unpack_from(payload, at)
+            at += _CHANNEL.size
+            if channel >= channels or length > samples:
+                return
+            x = np.frombuffer(payload, "<u2", min(length, (len(payload) - at) // 2), at)
+            at += 2 * len(x)
+            yield slot, trigger, timestamp, channel, x
+
+
+def decode_composite(df: DataFrame, keys: list[str], payload: str) -> DataFrame:
+    """A row per channel of every composite payload: keys, slot, trigger, timestamp, channel, samples."""
+    schema = StructType([df.schema[k] for k in keys])
+    for part in COMPOSITE.split(", "):
+        name, kind = part.split()
+        schema = schema.add(name, {"int": "integer", "bigint": "long"}.get(kind) or ArrayType(IntegerType()))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(*k, *r[:4], r[4].astype(np.int32)) for *k, body in pdf[[*keys, payload]].itertuples(index=False) for r in composite_rows(bytes(body) if body is not None else b"")]
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    return df.select(*keys, payload).mapInPandas(run, schema)
