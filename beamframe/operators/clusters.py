@@ -20,8 +20,13 @@ class IslandConfig:
     least_size: int = 1
     corners: bool = False  # whether hits that meet at a corner are connected
     iterations: int = 6
+    least_share: float = 0.01  # of a hit, for it to be counted to a cluster
     log_base: float = 3.6
-    scale: float = 0.6  # fall of the profile, in modules
+    centre_share: float = 0.78  # of a shower's energy in its central module
+    width: float = 0.36  # of the profile, in modules
+    profile: tuple[tuple[float, float], ...] = ()  # (distance, share) to interpolate in place of the rule
+    most_hits: int = 100  # islands from this size on, or with so many maxima, are not split
+    most_maxima: int = 10
 
 
 def islands(x: np.ndarray, y: np.ndarray, corners: bool) -> np.ndarray:
@@ -46,28 +51,47 @@ def islands(x: np.ndarray, y: np.ndarray, corners: bool) -> np.ndarray:
     return out
 
 
-def split_island(x: np.ndarray, y: np.ndarray, e: np.ndarray, cfg: IslandConfig) -> np.ndarray:
-    """Share of each hit's energy in each cluster [cluster, hit]; one cluster per local maximum."""
+def shower_share(distance: np.ndarray, cfg: IslandConfig = IslandConfig()) -> np.ndarray:
+    """Share of a shower's energy in a module at a distance (in modules) from its centre."""
+    if cfg.profile:
+        at, share = np.array(cfg.profile).T
+        return np.interp(distance, at, share, right=0.0)
+    return np.where(distance < 0.01, cfg.centre_share, cfg.centre_share * np.exp(-(distance**2) / (2 * cfg.width**2)))
+
+
+def centroid(x: np.ndarray, y: np.ndarray, e: np.ndarray, top: int, total: float, cfg: IslandConfig) -> tuple[float, float]:
+    """Mean of the hits in the 3 x 3 around the central one, weights max(0, log_base + ln(e / total)); the
+    centre itself where no weight is left."""
+    near = (np.abs(x - x[top]) <= 1) & (np.abs(y - y[top]) <= 1) & (e > 0)
+    w = np.maximum(0.0, cfg.log_base + np.log(e[near] / total)) if total > 0 else np.zeros(int(near.sum()))
+    if w.sum() <= 0:
+        return float(x[top]), float(y[top])
+    return float((w * x[near]).sum() / w.sum()), float((w * y[near]).sum() / w.sum())
+
+
+def split_island(x: np.ndarray, y: np.ndarray, e: np.ndarray, cfg: IslandConfig) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the local maxima, and the share of each hit's energy in the cluster of each [cluster, hit].
+
+    Shares start from the shower profile around the maxima; each round puts a cluster's centre at the
+    centroid of its part and takes the profile from there, times the energy around it."""
     near = (np.abs(x[:, None] - x) <= 1) & (np.abs(y[:, None] - y) <= 1)
     tops = np.flatnonzero((np.where(near, e, -np.inf).max(1) <= e) & (e >= cfg.least_centre))
-    if not len(tops):
-        return np.zeros((0, len(e)))
-    if len(tops) == 1 or len(e) >= 100 or len(tops) >= 10:
-        share = np.zeros((1, len(e)))
-        share[0] = 1.0
-        return share
-    cx, cy, total = x[tops].astype(float), y[tops].astype(float), e[tops].astype(float)
-    share = np.zeros((len(tops), len(e)))
+    if len(tops) < 2 or len(e) >= cfg.most_hits or len(tops) >= cfg.most_maxima:
+        tops = tops[np.argsort(-e[tops], kind="stable")][:1]
+        return tops, np.ones((len(tops), len(e)))
+    weight = shower_share(np.hypot(x - x[tops][:, None], y - y[tops][:, None]), cfg) * e[tops][:, None]
     for _ in range(cfg.iterations):
-        r = np.hypot(x - cx[:, None], y - cy[:, None])
-        weight = total[:, None] * np.exp(-r / cfg.scale)
-        share = weight / weight.sum(0)
-        part = share * e
-        total = part.sum(1)
-        w = np.maximum(0.0, cfg.log_base + np.log(np.maximum(part, 1e-12) / total[:, None]))
-        s = np.maximum(w.sum(1), 1e-12)
-        cx, cy = (w * x).sum(1) / s, (w * y).sum(1) / s
-    return share
+        share = weight / np.maximum(weight.sum(0), 1e-300)
+        for k, top in enumerate(tops.tolist()):
+            part = share[k] * e
+            part[top] = e[top]
+            around = near[top] & (part > 0)
+            total = part[around].sum()
+            cx, cy = centroid(x, y, np.where(around, part, 0.0), top, total, cfg)
+            weight[k] = shower_share(np.hypot(x - cx, y - cy), cfg) * total
+    share = weight / np.maximum(weight.sum(0), 1e-300)
+    share[share < cfg.least_share] = 0
+    return tops, share / np.maximum(share.sum(0), 1e-300)
 
 
 def form_clusters(hits: DataFrame, event: str, x: str, y: str, energy: str, cfg: IslandConfig = IslandConfig()) -> DataFrame:
@@ -82,13 +106,13 @@ def form_clusters(hits: DataFrame, event: str, x: str, y: str, energy: str, cfg:
             label = islands(hx, hy, cfg.corners)
             for k in range(label.max() + 1):
                 own = label == k
-                for part in split_island(hx[own], hy[own], he[own], cfg) * he[own]:
-                    total = part.sum()
-                    held = part > 0.01 * total
-                    if total < cfg.least_cluster or held.sum() < cfg.least_size:
-                        continue
-                    w = np.maximum(0.0, cfg.log_base + np.log(np.maximum(part, 1e-12) / total))
-                    rows.append((total, (w * hx[own]).sum() / w.sum(), (w * hy[own]).sum() / w.sum(), int(held.sum())))
+                ox, oy, oe = hx[own], hy[own], he[own]
+                tops, shares = split_island(ox, oy, oe, cfg)
+                for top, share in zip(tops.tolist(), shares, strict=True):
+                    part = share * oe
+                    total, n = part.sum(), int((part > 0).sum())
+                    if total >= cfg.least_cluster and n >= cfg.least_size:
+                        rows.append((total, *centroid(ox, oy, part, top, total, cfg), n))
         rows.sort(key=lambda r: (-r[0], r[1], r[2]))
         return pd.DataFrame([(k, *r) for k, r in enumerate(rows)], columns=["cluster", "energy", "x", "y", "n_blocks"])
 

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def spatial_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], lx: str, ly: str, rx: str, ry: str, radius: float, square: bool = False) -> DataFrame:
@@ -65,6 +66,49 @@ def greedy_pairs(candidates: DataFrame, event: str, left: str, right: str, prior
     return spec.groupBy(event).applyInPandas(assign, spec.schema)
 
 
+def greedy_plane_pairs(candidates: DataFrame, event: str, left: str, plane: str, right: str, priority: str, distance: str, pairs: Sequence[Sequence[int]]) -> DataFrame:
+    """Exclusive matches through pairs of detector planes: left objects in falling `priority` (then rising
+    id) need a free candidate in some plane of every pair; of each pair they take the nearest one (ties:
+    the plane that stands first, then the smaller id). Rows: event, left, pair number, plane, right.
+
+    candidates has a row per possible match; an event's candidates are few and one task holds them."""
+    spec = candidates.select(event, left, F.col(plane).cast("int").alias(plane), right, priority, distance)
+    place = {p: (n, k) for n, pair in enumerate(pairs) for k, p in enumerate(pair)}
+    schema = StructType([spec.schema[event], spec.schema[left], StructField("pair", IntegerType()), spec.schema[plane], spec.schema[right]])
+
+    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
+        used: set = set()
+        out = []
+        for (_, a), own in sorted(pdf.groupby([priority, left]), key=lambda g: (-g[0][0], g[0][1])):
+            free = [(d, *place[p][::-1], p, b) for p, b, d in zip(own[plane], own[right], own[distance], strict=True) if p in place and (p, b) not in used]
+            best = [min((f for f in free if f[2] == n), key=lambda f: (f[0], f[1], f[4]), default=None) for n in range(len(pairs))]
+            if all(best):
+                used |= {(f[3], f[4]) for f in best}
+                out += [(own[event].iloc[0], a, n, f[3], f[4]) for n, f in enumerate(best)]
+        return pd.DataFrame(out, columns=schema.names)
+
+    return spec.groupBy(event).applyInPandas(assign, schema)
+
+
+def quantised_neighbours(modules: DataFrame, reach: float = 1.01) -> DataFrame:
+    """Edges (id, near, dx, dy) between modules (id, sector, x, y, sx, sy) of any sectors whose distance, in
+    modules, is at most `reach` in both axes.
+
+    Within a sector a module's own size is the unit. Across sectors the way is measured in the first
+    module's size up to the border half-way, and in the other's beyond it, that is by the mean of both
+    sizes. Cells of the largest module's size make it an equality join."""
+    size = modules.agg(F.max(F.greatest("sx", "sy")).alias("_size"))
+    m = modules.join(F.broadcast(size), F.lit(True))  # of one row
+    cell = lambda v, k=0: F.floor(F.col(v) / (F.col("_size") * reach)) + k
+    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    a = m.withColumn("_s", F.explode(near)).withColumn("_cx", cell("x") + F.col("_s.i")).withColumn("_cy", cell("y") + F.col("_s.j"))
+    b = m.select(F.col("id").alias("near"), F.col("sector").alias("_sector"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("sx").alias("_sx"), F.col("sy").alias("_sy"), cell("x").alias("_cx"), cell("y").alias("_cy"))
+    unit = lambda own, other: F.when(F.col("sector") == F.col("_sector"), F.col(own)).otherwise((F.col(own) + F.col(other)) / 2)
+    x = a.join(b, ["_cx", "_cy"]).where("id <> near")
+    x = x.select("id", "near", ((F.col("_x") - F.col("x")) / unit("sx", "_sx")).alias("dx"), ((F.col("_y") - F.col("y")) / unit("sy", "_sy")).alias("dy"))
+    return x.where((F.abs("dx") <= reach) & (F.abs("dy") <= reach))
+
+
 def line_vertex(df: DataFrame, keys: Sequence[str], order: str, x: str, y: str, least: float = 0.0) -> DataFrame:
     """Where the line through rows 1 and 2 meets that through rows 3 and 4, and so on in steps of two;
     lines whose determinant is at most `least` (parallel ones) are left out."""

@@ -5,15 +5,22 @@ Each waveform is analysed alone, in Arrow batches of rows; nothing is shuffled."
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 # quality bits of firmware pulses
 PEAK_AT_EDGE, BEFORE_CUT, AFTER_CUT, NO_MIDPOINT = 1, 2, 4, 8
+# quality bits of pedestals
+NOT_CONVERGED, FLOOR_ACTIVE, TOO_FEW, PULSE_INSIDE, SATURATED, TRAILING = 1, 2, 4, 8, 16, 32
+# quality bits of pulses
+PILED, DECONVOLVED = 1, 2
+# states of a deconvolution
+NOT_RUN, NO_TEMPLATE, BAD_TEMPLATE, FIT_FAILED, APPLIED = range(5)
 
 
 @dataclass(frozen=True)
@@ -43,6 +50,7 @@ class PulseConfig:
     gap: int = 2  # samples between windows that pile up
     max_peaks: int = 8
     min_ratio: float = 0.3  # of an earlier peak's height, for a peak that overlaps it
+    saturation: float = 4095.0  # raw samples from there on are cut off by the hardware
     clock: float = 4.0
 
 
@@ -87,18 +95,60 @@ def firmware_pulses(raw: np.ndarray, pedestal: float, cfg: FirmwareConfig = Firm
     return out
 
 
-def robust_pedestal(window: np.ndarray, cfg: PulseConfig = PulseConfig()) -> tuple[float, float, int]:
-    """Mean, rms and number of samples left after clipping around the median."""
+@dataclass(frozen=True)
+class Pedestal:
+    mean: float
+    rms: float
+    used: int
+    slope: float  # per sample, of the samples used
+    quality: int
+
+
+NO_PEDESTAL = Pedestal(float("nan"), float("nan"), 0, 0.0, 0)
+
+
+def robust_pedestal(window: np.ndarray, cfg: PulseConfig = PulseConfig()) -> Pedestal:
+    """Mean and rms after clipping: the median and the median deviation tell which samples are near, and
+    each round keeps, of those left, the ones within the rms (or `flat`) of the mean."""
     x = np.asarray(window, float)
+    at = np.arange(len(x))
     mean = float(np.median(x))
     rms = 1.4826 * float(np.median(np.abs(x - mean)))
-    used = x
+    quality = NOT_CONVERGED
     for _ in range(cfg.iterations):
-        near = x[np.abs(x - mean) < max(rms, cfg.flat)]
-        if len(near) < 5:
+        near = np.abs(x - mean) < max(rms, cfg.flat)
+        if near.all():
+            quality = 0
             break
-        used, mean, rms = near, float(near.mean()), float(near.std())
-    return mean, rms, len(used)
+        x, at = x[near], at[near]
+        if len(x) < 5:
+            quality = TOO_FEW
+            break
+        mean, rms = float(x.mean()), float(x.std())
+    if rms < cfg.flat:
+        quality |= FLOOR_ACTIVE
+    d = at - at.mean() if len(at) else at
+    slope = float((d * x).sum() / (d * d).sum()) if len(x) > 1 else 0.0
+    return Pedestal(mean, rms, len(x), slope, quality)
+
+
+def choose_pedestal(raw: np.ndarray, smoothed: np.ndarray, cfg: PulseConfig = PulseConfig()) -> tuple[Pedestal, int, int]:
+    """The pedestal, and the window it comes from: the leading one, unless that looks bad and the trailing
+    one, which must not overlap it, is quieter."""
+    n, k = len(raw), min(cfg.n_pedestal, len(raw))
+
+    def of(a: int, flag: int) -> Pedestal:
+        p = robust_pedestal(smoothed[a : a + k], cfg)
+        cut = SATURATED if (raw[a : a + k] >= cfg.saturation).any() else 0
+        return replace(p, quality=p.quality | cut | flag)
+
+    head = of(0, 0)
+    bad = head.quality & (NOT_CONVERGED | TOO_FEW | SATURATED) or 2 * head.used < k
+    if bad and n >= 2 * k:
+        tail = of(n - k, TRAILING)
+        if (tail.rms, -tail.used) < (head.rms, -head.used):
+            return tail, n - k, n
+    return head, 0, k
 
 
 def smooth(x: np.ndarray, order: int) -> np.ndarray:
@@ -111,8 +161,9 @@ def smooth(x: np.ndarray, order: int) -> np.ndarray:
     return num / den
 
 
-def peaks(y: np.ndarray, z: np.ndarray, rms: float, least: float, cfg: PulseConfig) -> list[tuple[int, int]]:
-    """Accepted maxima of the smoothed samples y, and how far the raw maximum in z may lie from each.
+def peaks(y: np.ndarray, z: np.ndarray, rms: float, least: float, cfg: PulseConfig) -> list[tuple[int, int, int, int]]:
+    """Accepted maxima of the smoothed samples y, how far the raw maximum in z may lie from each, and the
+    range from its rise to its fall.
 
     A maximum, or the middle of a plateau, counts if it is `least` over the pedestal and over the line
     between the ends of its range, and, where its range meets an earlier one's, `min_ratio` of that
@@ -121,7 +172,7 @@ def peaks(y: np.ndarray, z: np.ndarray, rms: float, least: float, cfg: PulseConf
     tolerance = max(0.1, 0.5 * rms)
     d = np.diff(y)
     turn = np.where(np.abs(d) < tolerance, 0, np.sign(d)).astype(int).tolist()  # from each sample to the next
-    out: list[tuple[int, int]] = []
+    out: list[tuple[int, int, int, int]] = []
     ranges: list[tuple[int, int, float]] = []
     i = 0
     while i < n - 2 and len(out) < cfg.max_peaks:
@@ -148,43 +199,57 @@ def peaks(y: np.ndarray, z: np.ndarray, rms: float, least: float, cfg: PulseConf
         reach = max(1, cfg.order) + (flat - i) // 2
         small = any(left <= r and right >= l and over < cfg.min_ratio * h for l, r, h in ranges)
         if min(over, y[top]) >= least and not small:
-            out.append((top, reach))
+            out.append((top, reach, left, right))
             ranges.append((left, right, float(z[max(top - reach, 0) : top + reach + 1].max())))
         i = right
     return out
 
 
-def find_pulses(samples: np.ndarray, cfg: PulseConfig = PulseConfig()) -> tuple[tuple[float, float, int], list[dict]]:
-    """Pedestal, and pulses over it: height, vertex time, tail-cut integral, pile-up flag.
+def tail_cut(y: np.ndarray, top: int, left: int, right: int, rms: float, cfg: PulseConfig) -> tuple[int, int]:
+    """Outermost samples of a pulse: walking out from its top to the ends of its range, samples under the
+    tail cut or the noise count only if the pulse comes back before `tail_samples` of them in a row."""
+    weak = (y < cfg.tail * y[top]) | (y < rms) | (y * y[top] < 0)
+    ends = []
+    for path in (range(top - 1, left - 1, -1), range(top + 1, right + 1)):
+        end, low = top, 0
+        for j in path:
+            low = low + 1 if weak[j] else 0
+            if low >= max(1, cfg.tail_samples):
+                break
+            if not low:
+                end = j
+        ends.append(end)
+    return ends[0], ends[1]
+
 
-    The pedestal comes from the leading or the trailing window, whichever is quieter."""
+def find_pulses(samples: np.ndarray, cfg: PulseConfig = PulseConfig()) -> tuple[Pedestal, list[dict]]:
+    """Pedestal, and pulses over it: height, vertex time, tail-cut integral of the smoothed samples, whether
+    the top is saturated, and quality bits. Windows that come within `gap` of one another pile up."""
     x = np.asarray(samples, float)
     n = len(x)
-    if n < 2 * cfg.order + 1:
-        return (float("nan"), float("nan"), 0), []
-    head, tail = robust_pedestal(x[: cfg.n_pedestal], cfg), robust_pedestal(x[-cfg.n_pedestal :], cfg)
-    ped = tail if tail[1] < head[1] and head[1] > 3 * cfg.flat else head
-    y = smooth(x, cfg.order) - ped[0]
-    z = x - ped[0]
-    least = max(cfg.n_sigma * ped[1], cfg.min_height)
+    if n < 2 * cfg.order + 1 or not n:
+        return NO_PEDESTAL, []
+    smoothed = smooth(x, cfg.order)
+    ped, begin, end = choose_pedestal(x, smoothed, cfg)
+    y, z = smoothed - ped.mean, x - ped.mean
+    least = max(cfg.n_sigma * ped.rms, cfg.min_height)
     out: list[dict] = []
-    for i, reach in peaks(y, z, ped[1], least, cfg):
-        a = max(i - reach, 0)
-        i = a + int(z[a : i + reach + 1].argmax())  # the raw sample under the smoothed one
-        l, m, r = (z[i - 1] if i else z[i]), z[i], (z[i + 1] if i + 1 < n else z[i])
-        bend = l - 2 * m + r
-        shift = float(np.clip(0.5 * (l - r) / bend, -1, 1)) if bend < 0 else 0.0
-        ends = []
-        for step in (-1, 1):  # walk out until enough samples in a row are under the tail
-            j, low = i, 0
-            while 0 <= j + step < n and low < cfg.tail_samples:
-                j += step
-                low = low + 1 if y[j] < cfg.tail * m else 0
-            ends.append(j - step * low)
-        out.append({"pos": i, "time": (i + shift) * cfg.clock, "height": float(m), "integral": float(z[ends[0] : ends[1] + 1].sum()), "lo": ends[0], "hi": ends[1], "piled": 0})
-    for p, q in zip(out, out[1:], strict=False):
-        if q["lo"] - p["hi"] <= cfg.gap:
-            p["piled"] = q["piled"] = 1
+    for top, reach, left, right in peaks(y, z, ped.rms, least, cfg):
+        # the raw sample under the smoothed one: the largest, the nearest of equal ones
+        near = np.arange(max(top - reach, 0), min(top + reach, n - 1) + 1)
+        i = int(near[np.lexsort((near, np.abs(near - top), -z[near]))[0]])
+        shift = 0.0
+        if 0 < i < n - 1 and (bend := z[i - 1] - 2 * z[i] + z[i + 1]) < -1e-3:
+            shift = float(np.clip(0.5 * (z[i - 1] - z[i + 1]) / bend, -1, 1))
+        lo, hi = tail_cut(y, top, left, right, ped.rms, cfg)
+        p = {"pos": i, "time": (i + shift) * cfg.clock, "height": float(z[i]), "integral": float(y[lo : hi + 1].sum()), "lo": lo, "hi": hi, "saturated": int(x[i] >= cfg.saturation), "quality": 0}
+        for q in out:
+            if lo <= q["hi"] + max(1, cfg.gap) and hi >= q["lo"] - max(1, cfg.gap):
+                p["quality"] |= PILED
+                q["quality"] |= PILED
+        out.append(p)
+    if any(begin <= p["pos"] < end for p in out):
+        ped = replace(ped, quality=ped.quality | PULSE_INSIDE)
     return ped, out
 
 
@@ -193,17 +258,18 @@ def _pulse_type(ints: tuple[str, ...], doubles: tuple[str, ...]) -> ArrayType:
 
 
 FIRMWARE_PULSES = _pulse_type(("coarse", "fine", "cross", "pos", "lo", "hi", "quality"), ("vpeak", "va", "time", "integral"))
-PULSES = _pulse_type(("pos", "lo", "hi", "piled"), ("time", "height", "integral"))
+PULSES = _pulse_type(("pos", "lo", "hi", "saturated", "quality"), ("time", "height", "integral"))
 
 
 def with_pulses(df: DataFrame, samples: str, cfg: PulseConfig = PulseConfig()) -> DataFrame:
-    """Add ped_mean, ped_rms, ped_used and pulses; null or short waveforms have none."""
-    schema = StructType([*df.schema.fields, StructField("ped_mean", DoubleType()), StructField("ped_rms", DoubleType()), StructField("ped_used", IntegerType()), StructField("pulses", PULSES)])
+    """Add ped_mean, ped_rms, ped_used, ped_slope, ped_quality and pulses; null or short waveforms have none."""
+    fields = [("mean", DoubleType()), ("rms", DoubleType()), ("used", IntegerType()), ("slope", DoubleType()), ("quality", IntegerType())]
+    schema = StructType([*df.schema.fields, *(StructField(f"ped_{n}", t) for n, t in fields), StructField("pulses", PULSES)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             got = [find_pulses(x if x is not None else [], cfg) for x in pdf[samples]]
-            yield pdf.assign(ped_mean=[p[0] for p, _ in got], ped_rms=[p[1] for p, _ in got], ped_used=[p[2] for p, _ in got], pulses=[q for _, q in got])
+            yield pdf.assign(**{f"ped_{n}": [getattr(p, n) for p, _ in got] for n, _ in fields}, pulses=[q for _, q in got])
 
     return df.mapInPandas(run, schema)
 
@@ -221,77 +287,166 @@ def with_firmware_pulses(df: DataFrame, samples: str, pedestal: str, cfg: Firmwa
 
 @dataclass(frozen=True)
 class Template:
-    """Pulse shape (1 - exp(-t / rise)) exp(-t / fall), times in ns."""
+    """Pulse shape (1 - exp(-t / rise)) ** power * exp(-t / fall), times in ns."""
 
     rise: float
     fall: float
+    power: float = 1.0
 
     def __call__(self, t: np.ndarray) -> np.ndarray:
         u = np.maximum(t, 0.0)
-        return np.where(t > 0, (1 - np.exp(-u / self.rise)) * np.exp(-u / self.fall), 0.0)
+        return np.where(t > 0, (1 - np.exp(-u / self.rise)) ** self.power * np.exp(-u / self.fall), 0.0)
 
     @property
     def top(self) -> float:
-        return self.rise * np.log1p(self.fall / self.rise)
+        return self.rise * np.log1p(self.power * self.fall / self.rise)
 
     @property
     def height(self) -> float:
         return float(self(np.array([self.top]))[0])
 
 
-def deconvolve(samples: np.ndarray, pedestal: float, pulses: list[dict], shape: Template, clock: float = 4.0, rounds: int = 100) -> list[dict] | None:
-    """Amplitude and start of overlapping pulses of one shape by damped least squares, starts within
-    8 ns and amplitudes within twice the first guess; None if no step improves on it."""
-    x = np.asarray(samples, float) - pedestal
-    lo, hi = max(min(p["pos"] for p in pulses) - 8, 0), min(max(p["pos"] for p in pulses) + 40, len(x))
-    t, y = np.arange(lo, hi) * clock, x[lo:hi]
-    p = np.array([[q["height"] / shape.height, q["time"] - shape.top] for q in pulses], float)
-    low, high = p - [0, 8], p + [0, 8]
-    low[:, 0], high[:, 0] = 0, 2 * p[:, 0]
+@dataclass(frozen=True)
+class ShapeConfig:
+    """How far a fit may go from the template and from the found pulses."""
+
+    rise: tuple[float, float] = (0.5, 10.0)  # templates outside are not used
+    fall: tuple[float, float] = (2.0, 100.0)
+    shape: float = 1.5  # factor on rise and fall
+    start: float = 8.0  # ns
+    amplitude: float = 2.0  # factor
+    before: int = 8  # samples of the window
+    after: int = 40
+    rounds: int = 100
+    clock: float = 4.0
 
-    def model(q: np.ndarray) -> np.ndarray:
-        return (q[:, :1] * shape(t - q[:, 1:])).sum(0)
 
-    cost, damp, moved = float(((y - model(p)) ** 2).sum()), 1e-3, False
+def pulse_sum(t: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of pulses with parameters p [pulse, (amplitude, start, rise, fall, power)] at times t, and its
+    derivatives [time, pulse, parameter]."""
+    a, t0, rise, fall, power = (p[:, k, None] for k in range(5))
+    u = t - t0
+    on = u > 0
+    u = np.where(on, u, 1.0)
+    decay, e = np.exp(-u / fall), np.exp(-u / rise)
+    h = np.maximum(1 - e, 1e-300)
+    g = np.where(on, h**power * decay, 0.0)
+    slope = np.where(on, power * h ** (power - 1) * decay * e, 0.0)  # by what e multiplies
+    d = np.stack([g, -a * (slope / rise - g / fall), -a * slope * u / rise**2, a * g * u / fall**2, a * g * np.log(h)], 2)
+    return (a * g).sum(0), d.transpose(1, 0, 2)
+
+
+def bounded_pulse_fit(t: np.ndarray, y: np.ndarray, p: np.ndarray, low: np.ndarray, high: np.ndarray, rounds: int) -> tuple[np.ndarray, float, bool]:
+    """Damped least squares of pulses inside bounds: parameters, cost, whether a step improved on the start.
+    Parameters whose bounds meet stay as they are."""
+    free = (high > low).ravel()
+    fit, d = pulse_sum(t, p)
+    cost, damp, moved = float(((y - fit) ** 2).sum()), 1e-3, False
     for _ in range(rounds):
-        j = np.empty((len(t), p.size))
-        for k, (a, t0) in enumerate(p):
-            j[:, 2 * k] = shape(t - t0)
-            j[:, 2 * k + 1] = a * (shape(t - t0 - 0.01) - shape(t - t0 + 0.01)) / 0.02
+        j = d.reshape(len(t), -1)[:, free]
         h = j.T @ j
-        step = np.linalg.lstsq(h + damp * np.diag(np.diag(h) + 1e-9), j.T @ (y - model(p)), rcond=None)[0]
-        q = np.clip(p + step.reshape(p.shape), low, high)
-        c = float(((y - model(q)) ** 2).sum())
+        move = np.zeros(p.size)
+        move[free] = np.linalg.solve(h + np.diag(damp * np.diag(h) + 1e-9), j.T @ (y - fit))
+        q = np.clip(p + move.reshape(p.shape), low, high)
+        trial, d_trial = pulse_sum(t, q)
+        c = float(((y - trial) ** 2).sum())
         if c < cost:
-            small = cost - c < 1e-9 * max(cost, 1e-12)
-            p, cost, damp, moved = q, c, damp / 3, True
+            small = cost - c < 1e-7 * cost
+            p, fit, d, cost, damp, moved = q, trial, d_trial, c, damp / 3, True
             if small:
                 break
         else:
             damp *= 4
-            if damp > 1e9:
+            if damp > 1e6:
                 break
+    return p, cost, moved
+
+
+def deconvolve(samples: np.ndarray, pedestal: float, pulses: list[dict], shape: Template, cfg: ShapeConfig = ShapeConfig()) -> list[dict] | None:
+    """Overlapping pulses fitted at once, each with an amplitude, a start and its own rise and fall near those
+    of the template; None if no step improves on the first guess."""
+    x = np.asarray(samples, float) - pedestal
+    lo, hi = max(min(p["pos"] for p in pulses) - cfg.before, 0), min(max(p["pos"] for p in pulses) + cfg.after, len(x))
+    t, y = np.arange(lo, hi) * cfg.clock, x[lo:hi]
+    guess = np.array([[max(q["height"], 1.0) / shape.height, q["time"] - shape.top, shape.rise, shape.fall, 1.0] for q in pulses], float)
+    low, high = guess.copy(), guess.copy()
+    low[:, 0], high[:, 0] = 0, cfg.amplitude * guess[:, 0]
+    low[:, 1] -= cfg.start
+    high[:, 1] += cfg.start
+    low[:, 2:4] /= cfg.shape
+    high[:, 2:4] *= cfg.shape
+    got, _, moved = bounded_pulse_fit(t, y, guess, low, high, cfg.rounds)
     if not moved:
         return None
-    area = shape.fall * (1 - shape.rise / (shape.rise + shape.fall)) / clock
-    return [{**q, "height": float(a * shape.height), "time": float(t0 + shape.top), "integral": float(a * area)} for q, (a, t0) in zip(pulses, p, strict=True)]
+    out = []
+    for q, (a, t0, r, f, _) in zip(pulses, got, strict=True):
+        own = Template(r, f)
+        area = f * f / (r + f) / cfg.clock
+        out.append({**q, "height": float(a * own.height), "time": float(t0 + own.top), "integral": float(a * area), "quality": q.get("quality", 0) | DECONVOLVED})
+    return out
+
+
+def fit_shape(samples: np.ndarray, pedestal: float, pulse: dict, free_power: bool = False, cfg: ShapeConfig = ShapeConfig()) -> dict | None:
+    """Amplitude, start, rise and fall (and power) of one pulse, and the squared residual a degree of freedom."""
+    x = np.asarray(samples, float) - pedestal
+    lo, hi = max(pulse["pos"] - cfg.before, 0), min(pulse["pos"] + cfg.after, len(x))
+    t, y = np.arange(lo, hi) * cfg.clock, x[lo:hi]
+    first = Template(3.0, 12.0)
+    guess = np.array([[max(pulse["height"], 1.0) / first.height, pulse["time"] - first.top, first.rise, first.fall, 1.0]])
+    low = np.array([[0.0, guess[0, 1] - 2 * cfg.start, cfg.rise[0], cfg.fall[0], 0.5 if free_power else 1.0]])
+    high = np.array([[10 * guess[0, 0], guess[0, 1] + 2 * cfg.start, cfg.rise[1], cfg.fall[1], 4.0 if free_power else 1.0]])
+    got, cost, moved = bounded_pulse_fit(t, y, guess, low, high, cfg.rounds)
+    if not moved:
+        return None
+    a, t0, rise, fall, power = got[0].tolist()
+    return {"amplitude": a, "start": t0, "rise": rise, "fall": fall, "power": power, "chi2_dof": cost / max(len(t) - 4 - free_power, 1)}
+
+
+SHAPE = StructType([StructField(c, DoubleType()) for c in ("amplitude", "start", "rise", "fall", "power", "chi2_dof")])
+
+
+def with_shape(df: DataFrame, samples: str, free_power: bool = False, cfg: ShapeConfig = ShapeConfig()) -> DataFrame:
+    """Rows of `with_pulses` with `shape`, the fit of a waveform's only pulse; null with none or several."""
+    schema = StructType([*df.schema.fields, StructField("shape", SHAPE)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = [fit_shape(x, m, p[0] if isinstance(p[0], dict) else p[0].asDict(), free_power, cfg) if len(p) == 1 else None for x, m, p in zip(pdf[samples], pdf["ped_mean"], pdf["pulses"], strict=True)]
+            yield pdf.assign(shape=got)
+
+    return df.mapInPandas(run, schema)
+
+
+def with_templates(df: DataFrame, channels: DataFrame, templates: DataFrame, keys: list[str], cfg: ShapeConfig = ShapeConfig()) -> DataFrame:
+    """Add rise and fall of each channel's type: channels(keys, type), templates(type, rise, fall). A
+    channel without a type, a type without a template, and constants out of range leave them null;
+    `template_state` says which."""
+    store = channels.join(templates, "type", "left").select(*keys, "rise", "fall")
+    ok = F.col("rise").between(*cfg.rise) & F.col("fall").between(*cfg.fall)
+    state = F.when(F.col("rise").isNull() | F.col("fall").isNull(), NO_TEMPLATE).when(~ok, BAD_TEMPLATE).otherwise(NOT_RUN)
+    x = df.join(store, keys, "left").withColumn("template_state", state)
+    good = lambda c: F.when(F.col("template_state") == NOT_RUN, F.col(c)).alias(c)
+    return x.select(*df.columns, good("rise"), good("fall"), "template_state")
 
 
-def with_deconvolution(df: DataFrame, samples: str, shape: Template, cfg: PulseConfig = PulseConfig()) -> DataFrame:
-    """Rows of `with_pulses` with piled-up pulses taken apart; the others pass untouched, in the same
-    pass, so that only piled-up waveforms pay for the fit. `state`: 0 not piled, 1 fitted, 2 failed."""
+def with_deconvolution(df: DataFrame, samples: str, cfg: ShapeConfig = ShapeConfig(), all_pulses: bool = False) -> DataFrame:
+    """Rows of `with_pulses` and `with_templates` with piled-up pulses taken apart by the row's template; the
+    others pass untouched, in the same pass, so that only piled-up waveforms pay for the fit. `state` is
+    NOT_RUN where nothing is piled up, else APPLIED, FIT_FAILED or what the template lacks."""
     schema = StructType([*df.schema.fields, StructField("state", IntegerType())])
 
-    def one(x: np.ndarray, ped: float, pulses: list) -> tuple[list, int]:
+    def one(x: np.ndarray, ped: float, pulses: list, rise: float, fall: float, state: int) -> tuple[list, int]:
         pulses = [p if isinstance(p, dict) else p.asDict() for p in pulses]
-        if not any(p["piled"] for p in pulses):
-            return pulses, 0
-        got = deconvolve(x, ped, pulses, shape, cfg.clock)
-        return (got, 1) if got else (pulses, 2)
+        if not pulses or not all_pulses and not any(p["quality"] & PILED for p in pulses):
+            return pulses, NOT_RUN
+        if state != NOT_RUN:
+            return pulses, int(state)
+        got = deconvolve(x, ped, pulses, Template(rise, fall), cfg)
+        return (got, APPLIED) if got else (pulses, FIT_FAILED)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [one(x, m, p) for x, m, p in zip(pdf[samples], pdf["ped_mean"], pdf["pulses"], strict=True)]
+            got = [one(*r) for r in zip(pdf[samples], pdf["ped_mean"], pdf["pulses"], pdf["rise"], pdf["fall"], pdf["template_state"], strict=True)]
             yield pdf.assign(pulses=[p for p, _ in got], state=[s for _, s in got])
 
     return df.mapInPandas(run, schema)

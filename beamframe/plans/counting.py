@@ -222,7 +222,7 @@ SELECT user_id, round(100 * abs(rms - med) / med, 6) AS off_pct, CASE WHEN 100 *
 def warning_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "events").groupBy("user_id").agg(F.stddev_pop("value").alias("rms"))
     off = 100 * F.abs(F.col("rms") - F.col("med")) / F.col("med")
-    return O.with_one(s, s.agg(F.percentile("rms", 0.5).alias("med"))).select("user_id", F.round(off, 6).alias("off_pct"), C.level(off, 10, 20).alias("level"))
+    return O.with_one(s, O.exact_median(s, "rms").select(F.col("median").alias("med"))).select("user_id", F.round(off, 6).alias("off_pct"), C.level(off, 10, 20).alias("level"))
 
 
 @query("""SELECT user_id, event_id, round(avg(value) OVER w, 9) AS recent_mean, CASE WHEN abs(value - avg(value) OVER w) >= 0.2 * avg(value) OVER w THEN 'alert' WHEN abs(value - avg(value) OVER w) >= 0.1 * avg(value) OVER w THEN 'warn' ELSE 'ok' END AS level

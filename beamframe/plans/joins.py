@@ -57,14 +57,35 @@ def best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.best_of(pairs, ["vec_id"], [F.round(dx * dx + dy * dy, 6), "hit"]).select("vec_id", "hit")
 
 
-@query()
-def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exclusive matches, clusters of more charge first (sequential: no SQL; tested by brute force)."""
+_EVENT = "v AS (SELECT vec_id, vec_id // 64 AS event, round(embedding[1]::DOUBLE * 100, 3) AS x, round(embedding[2]::DOUBLE * 100, 3) AS y FROM embeddings)"
+
+
+def event_positions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Clusters (even ids) and tracker hits (odd ids) of events of 64 objects."""
     a, b = positions(spark, sf_dir)
-    pairs = M.spatial_pairs(a, b, ["label"], "x", "y", "hx", "hy", 5.0)
+    return a.select(F.floor(F.col("vec_id") / 64).alias("event"), "vec_id", "x", "y"), b.select(F.floor(F.col("hit") / 64).alias("event"), "hit", "hx", "hy")
+
+
+@query(f"""WITH RECURSIVE {_EVENT}, p AS (SELECT a.event, a.vec_id, b.vec_id AS hit, round((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), 6) AS d, a.x AS w FROM v a JOIN v b ON a.event = b.event AND a.vec_id % 2 = 0 AND b.vec_id % 2 = 1 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 100),
+t AS (SELECT event, vec_id, list(hit ORDER BY d, hit) AS hits, row_number() OVER (PARTITION BY event ORDER BY max(w) DESC, vec_id) AS turn FROM p GROUP BY event, vec_id),
+g AS (SELECT t.event, t.turn, t.vec_id, t.hits[1] AS hit, [t.hits[1]] AS used FROM t WHERE turn = 1
+UNION ALL SELECT t.event, t.turn, t.vec_id, list_filter(t.hits, lambda h: NOT list_contains(g.used, h))[1], list_append(g.used, list_filter(t.hits, lambda h: NOT list_contains(g.used, h))[1]) FROM g JOIN t ON t.event = g.event AND t.turn = g.turn + 1)
+SELECT event, vec_id, hit FROM g WHERE hit IS NOT NULL""")
+def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exclusive matches inside an event, clusters of more charge first."""
+    a, b = event_positions(spark, sf_dir)
     dx, dy = F.col("x") - F.col("hx"), F.col("y") - F.col("hy")
-    found = M.greedy_pairs(pairs.withColumn("d", dx * dx + dy * dy), "label", "vec_id", "hit", "x", "d")
-    return found.select("label", "vec_id", "hit")
+    pairs = M.spatial_pairs(a, b, ["event"], "x", "y", "hx", "hy", 10.0).withColumn("d", F.round(dx * dx + dy * dy, 6))
+    return M.greedy_pairs(pairs, "event", "vec_id", "hit", "x", "d").select("event", "vec_id", "hit")
+
+
+@query()
+def greedy_plane_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exclusive matches in both pairs of four detector planes (sequential: tested by brute force)."""
+    a, b = event_positions(spark, sf_dir)
+    dx, dy = F.col("x") - F.col("hx"), F.col("y") - F.col("hy")
+    pairs = M.spatial_pairs(a, b, ["event"], "x", "y", "hx", "hy", 15.0).withColumn("d", F.round(dx * dx + dy * dy, 6)).withColumn("plane", ((F.col("hit") - 1) / 2 % 4).cast("int"))
+    return M.greedy_plane_pairs(pairs, "event", "vec_id", "plane", "hit", "x", "d", [(0, 1), (2, 3)])
 
 
 @query(f"""WITH {_P}, x AS (SELECT event, integral AS qx, time AS tx FROM p WHERE channel % 2 = 1), y AS (SELECT event, integral AS qy, time AS ty FROM p WHERE channel % 2 = 0)
@@ -173,6 +194,18 @@ def point_in_module(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.point_in_rectangle(q, m, "x", "y", 10.0).select("event", "n", "x", "id")
 
 
+@query("""WITH m AS (SELECT p_partkey AS id, (p_partkey % 3) AS sector, (p_size * 1.0)::DOUBLE AS x, (p_partkey % 34 * 1.0)::DOUBLE AS y, CASE WHEN p_partkey % 3 = 0 THEN 2.0 ELSE 1.0 END::DOUBLE AS s FROM part),
+d AS (SELECT a.id, b.id AS near, (b.x - a.x) / CASE WHEN a.sector = b.sector THEN a.s ELSE (a.s + b.s) / 2 END AS dx, (b.y - a.y) / CASE WHEN a.sector = b.sector THEN a.s ELSE (a.s + b.s) / 2 END AS dy FROM m a JOIN m b ON a.id <> b.id AND abs(a.x - b.x) <= 2.1 AND abs(a.y - b.y) <= 2.1)
+SELECT id, near, round(dx, 6) AS dx, round(dy, 6) AS dy FROM d WHERE abs(dx) <= 1.01 AND abs(dy) <= 1.01""")
+def quantised_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours across sectors of different module sizes."""
+    k = F.col("p_partkey")
+    size = F.when(k % 3 == 0, 2.0).otherwise(1.0)
+    m = table(spark, sf_dir, "part").select(k.alias("id"), (k % 3).alias("sector"), F.col("p_size").cast("double").alias("x"), (k % 34).cast("double").alias("y"), size.alias("sx"), size.alias("sy"))
+    n = M.quantised_neighbours(m)
+    return n.select("id", "near", F.round("dx", 6).alias("dx"), F.round("dy", 6).alias("dy"))
+
+
 @query("""WITH m AS (SELECT p_partkey AS id, p_brand AS sector, p_partkey // 34 AS row, p_partkey % 34 AS col FROM part) SELECT a.id, b.id AS near FROM m a JOIN m b ON a.sector = b.sector AND abs(a.row - b.row) + abs(a.col - b.col) = 1""")
 def module_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("p_partkey")

@@ -10,14 +10,15 @@ from beamframe.operators import clusters, counting, fits, waveforms
 from beamframe.plans.counting import samples
 from beamframe.plans.joins import grid_hits
 from beamframe.plans.registry import query, table
+from beamframe.plans.scratch import stored
 
 
 @query()
 def waveform_pulses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pedestal and pulses of every waveform."""
+    """Pedestal and pulses of every waveform, with their quality bits."""
     p = waveforms.with_pulses(samples(spark, sf_dir).select("vec_id", "samples"), "samples")
-    p = p.select("vec_id", F.round("ped_mean", 6).alias("ped_mean"), F.explode_outer("pulses").alias("p"))
-    return p.select("vec_id", "ped_mean", "p.pos", F.round("p.time", 6).alias("time"), F.round("p.height", 6).alias("height"), F.round("p.integral", 6).alias("integral"), "p.piled")
+    p = p.select("vec_id", F.round("ped_mean", 6).alias("ped_mean"), F.round("ped_slope", 6).alias("ped_slope"), "ped_quality", F.explode_outer("pulses").alias("p"))
+    return p.select("vec_id", "ped_mean", "ped_slope", "ped_quality", "p.pos", F.round("p.time", 6).alias("time"), F.round("p.height", 6).alias("height"), F.round("p.integral", 6).alias("integral"), "p.saturated", "p.quality")
 
 
 @query()
@@ -31,7 +32,7 @@ def firmware_pulses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def island_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of connected hits, split among their maxima."""
-    cfg = clusters.IslandConfig(least_centre=903.0, least_cluster=50.0, corners=True)
+    cfg = clusters.IslandConfig(least_centre=903.0, least_cluster=50.0, corners=True)  # the energies here are all alike
     c = clusters.form_clusters(grid_hits(spark, sf_dir), "event", "x", "y", "e", cfg)
     return c.select("event", "cluster", "n_blocks", *[F.round(n, 5).alias(n) for n in ("energy", "x", "y")])
 
@@ -48,22 +49,47 @@ def gaussian_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gain_iteration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calibration factors after three rounds of factor * clamp(expected / fitted, 0.5, 2)."""
     hits = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("bigint").alias("channel"), F.col("l_quantity").alias("adc"))
-    factor = hits.select("channel").distinct().withColumn("factor", F.lit(1.0))
+    factor = stored(hits.select("channel").distinct().withColumn("factor", F.lit(1.0)), "gain-factors")
     for _ in range(3):
         h = counting.histogram(hits.join(factor, "channel").withColumn("e", F.col("adc") * F.col("factor")), "e", 0.0, 2.0, 60, ["channel"])
         peak = fits.fit_peaks(h, ["channel"], 0.0, 2.0).select("channel", "mean")
         step = F.greatest(F.lit(0.5), F.least(F.lit(2.0), 30.0 / F.col("mean")))
         factor = factor.join(peak, "channel", "left").select("channel", F.when(F.col("mean") > 0, F.col("factor") * step).otherwise(F.col("factor")).alias("factor"))
+        factor = stored(factor, "gain-factors")  # a row a channel; the next round reads it twice
     return factor.select("channel", F.round("factor", 5).alias("factor"))
 
 
+def pulse_templates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Channels (labels) with their types, and the types' templates, one of them out of range."""
+    channels = table(spark, sf_dir, "embeddings").select("label").distinct().where("label % 7 <> 5").select("label", (F.col("label") % 4).alias("type"))
+    templates = spark.createDataFrame([(0, 3.0, 12.0), (1, 2.0, 9.0), (2, 40.0, 12.0)], "type int, rise double, fall double")
+    return channels, templates
+
+
+@query("""WITH c AS (SELECT DISTINCT label, label % 4 AS type FROM embeddings WHERE label % 7 <> 5), t(type, rise, fall) AS (VALUES (0, 3.0::DOUBLE, 12.0::DOUBLE), (1, 2.0, 9.0), (2, 40.0, 12.0))
+SELECT vec_id, CASE WHEN rise BETWEEN 0.5 AND 10 THEN rise END AS rise, CASE WHEN rise BETWEEN 0.5 AND 10 THEN fall END AS fall, CASE WHEN rise IS NULL THEN 1 WHEN rise BETWEEN 0.5 AND 10 THEN 0 ELSE 2 END::INT AS template_state
+FROM embeddings LEFT JOIN c USING (label) LEFT JOIN t USING (type)""")
+def channel_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each waveform's pulse template, by channel and type."""
+    channels, templates = pulse_templates(spark, sf_dir)
+    return waveforms.with_templates(table(spark, sf_dir, "embeddings").select("vec_id", "label"), channels, templates, ["label"]).drop("label")
+
+
 @query()
 def deconvolved_pulses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Piled-up pulses taken apart by a fit of one shape."""
-    p = waveforms.with_pulses(samples(spark, sf_dir).select("vec_id", "samples"), "samples", waveforms.PulseConfig(order=1, n_pedestal=20))
-    d = waveforms.with_deconvolution(p, "samples", waveforms.Template(3.0, 12.0))
+    """Piled-up pulses taken apart by a fit of their channel's template."""
+    p = waveforms.with_pulses(samples(spark, sf_dir).select("vec_id", "label", "samples"), "samples", waveforms.PulseConfig(order=1, n_pedestal=20))
+    d = waveforms.with_deconvolution(waveforms.with_templates(p, *pulse_templates(spark, sf_dir), ["label"]), "samples")
     x = d.select("vec_id", "state", F.explode("pulses").alias("p")).where("state > 0")
-    return x.select("vec_id", "state", "p.pos", F.round("p.height", 3).alias("height"), F.round("p.time", 3).alias("time"))
+    return x.select("vec_id", "state", "p.pos", "p.quality", F.round("p.height", 3).alias("height"), F.round("p.time", 3).alias("time"))
+
+
+@query()
+def pulse_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rise, fall and power of waveforms with a single pulse."""
+    p = waveforms.with_pulses(samples(spark, sf_dir).select("vec_id", "samples"), "samples", waveforms.PulseConfig(order=1, n_pedestal=20, min_height=60))
+    s = waveforms.with_shape(p, "samples", free_power=True).where("shape IS NOT NULL")
+    return s.select("vec_id", *[F.round(F.col("shape").getField(n), 2).alias(n) for n in ("amplitude", "start", "rise", "fall", "power")])
 
 
 @query()

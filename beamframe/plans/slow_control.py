@@ -42,11 +42,10 @@ def gated_stats(filled: DataFrame) -> DataFrame:
 
 def checkpoints(events: DataFrame) -> DataFrame:
     filled = stored(filled_readings(events), "readings")  # for the statistics, the verdicts and the marks
-    stats = gated_stats(filled).first()  # one row, none without readings
-    median, sigma, is_valid = (stats.median, stats.sigma, stats.is_valid) if stats else (None, None, False)
+    both = O.with_one(filled, gated_stats(filled))  # one row, none without readings
     gate_ok = O.within(F.col("gate"), GATE_MIN)
-    gated_ok = O.within_sigma(F.col("gated"), F.lit(median), F.lit(sigma), F.lit(is_valid), N_SIGMA)
-    return filled.select("event_id", "gate", "gated", gate_ok.alias("gate_ok"), gated_ok.alias("gated_ok")).withColumn("good", F.col("gate_ok") & F.col("gated_ok"))
+    gated_ok = O.within_sigma(F.col("gated"), F.col("median"), F.col("sigma"), F.col("is_valid"), N_SIGMA)
+    return both.select("event_id", "gate", "gated", gate_ok.alias("gate_ok"), gated_ok.alias("gated_ok")).withColumn("good", F.col("gate_ok") & F.col("gated_ok"))
 
 
 @query(f"""WITH {_FILLED},

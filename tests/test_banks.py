@@ -39,3 +39,16 @@ def test_overlapping_pulses_come_apart():
     got = waveforms.deconvolve(x, 100.0, found, shape)
     assert [round(p["height"] / shape.height) for p in got] == [300, 200]
     assert np.allclose([p["time"] - shape.top for p in got], [120, 150], atol=0.05)
+
+
+def test_composite_payloads_come_back_and_end_where_they_break(spark):
+    slots = [(3, 7, 1 << 40, [(0, [1, 2, 65535]), (15, [])]), (4, 8, -1, [(63, list(range(200)))])]
+    body = banks.encode_composite(slots)
+    want = [(s, t, at, c, x) for s, t, at, channels in slots for c, x in channels]
+    got = [(*r[:4], r[4].tolist()) for r in banks.composite_rows(body)]
+    assert got == want
+    cut = [(*r[:4], r[4].tolist()) for r in banks.composite_rows(body[:-31])]
+    assert cut[:2] == want[:2] and cut[2][4] == list(range(200 - 16))
+    assert list(banks.composite_rows(banks.encode_composite([(40, 0, 0, [(1, [1])])]))) == []
+    rows = banks.decode_composite(spark.createDataFrame([(1, bytearray(body)), (2, None), (3, bytearray(b"xx"))], "id int, body binary"), ["id"], "body").collect()
+    assert sorted((r.slot, r.trigger, r.timestamp, r.channel, list(r.samples)) for r in rows) == sorted(want)

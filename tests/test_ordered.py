@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -79,3 +80,14 @@ def test_row_numbers_over_blocks(spark):
     xs = r.sample(range(1000), 100)
     got = {x.t: x.number for x in O.number_rows(spark.createDataFrame([(x,) for x in xs], "t bigint"), "t", 37).collect()}
     assert got == {x: i + 1 for i, x in enumerate(sorted(xs))}
+
+
+def test_exact_medians(spark):
+    r = np.random.default_rng(4)
+    groups = {1: r.normal(size=500), 2: np.append(r.normal(size=300) * 1e-9, [1e12, -1e12]), 3: np.repeat(5.0, 40), 4: np.array([7.0]), 5: np.array([1.0, 2.0]), 6: r.integers(0, 3, 1000).astype(float)}
+    df = spark.createDataFrame([(k, float(v)) for k, g in groups.items() for v in g] + [(1, None), (9, None)], "k int, v double")
+    got = {x.k: (x.n, x.median) for x in O.exact_median(df, "v", ["k"], bins=16).collect()}
+    assert got == {k: (len(g), pytest.approx(float(np.median(g)))) for k, g in groups.items()}
+    every = np.concatenate(list(groups.values()))
+    assert [(x.n, x.median) for x in O.exact_median(df, "v", bins=16).collect()] == [(len(every), pytest.approx(float(np.median(every))))]
+    assert O.robust_stats(df.where("v IS NULL"), "v").collect() == []

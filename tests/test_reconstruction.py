@@ -33,8 +33,8 @@ def test_pulse_over_noise():
     r = np.random.default_rng(1)
     x = 100 + r.normal(0, 1, 100)
     x[50:60] += [20, 60, 120, 150, 120, 80, 50, 30, 15, 5]
-    (mean, rms, used), pulses = waveforms.find_pulses(x)
-    assert abs(mean - 100) < 0.5 and rms < 2 and used > 20
+    ped, pulses = waveforms.find_pulses(x)
+    assert abs(ped.mean - 100) < 0.5 and ped.rms < 2 and ped.used > 15
     assert len(pulses) == 1 and abs(pulses[0]["time"] - 53 * 4) < 4 and abs(pulses[0]["integral"] - 650) < 40
 
 
@@ -42,7 +42,101 @@ def test_neighbouring_pulses_pile_up():
     x = np.full(100, 100.0)
     x[40:46] += [50, 150, 60, 50, 160, 60]
     _, pulses = waveforms.find_pulses(x, waveforms.PulseConfig(order=0))
-    assert [p["piled"] for p in pulses] == [1, 1]
+    assert [p["quality"] for p in pulses] == [waveforms.PILED] * 2
+
+
+def test_pedestal_step_by_step():
+    """The clipping of the pedestal, one sample at a time, and every quality bit."""
+    cfg = waveforms.PulseConfig()
+
+    def plain(window):
+        left = list(enumerate(window))
+        middle = lambda v: (sorted(v)[(len(v) - 1) // 2] + sorted(v)[len(v) // 2]) / 2
+        mean = middle([v for _, v in left])
+        rms = 1.4826 * middle([abs(v - mean) for _, v in left])
+        flags = waveforms.NOT_CONVERGED
+        for _ in range(3):
+            near = [(i, v) for i, v in left if abs(v - mean) < max(rms, 1.0)]
+            if len(near) == len(left):
+                flags = 0
+                break
+            left = near
+            if len(left) < 5:
+                flags = waveforms.TOO_FEW
+                break
+            mean = sum(v for _, v in left) / len(left)
+            rms = (sum((v - mean) ** 2 for _, v in left) / len(left)) ** 0.5
+        flags |= waveforms.FLOOR_ACTIVE if rms < 1.0 else 0
+        slope = np.polyfit([i for i, _ in left], [v for _, v in left], 1)[0] if len(left) > 1 else 0.0
+        return mean, rms, len(left), slope, flags
+
+    r = np.random.default_rng(2)
+    seen = 0
+    for k in range(300):
+        window = r.normal(100, [0.3, 1, 8][k % 3], 30) + (r.random(30) < 0.2) * r.normal(0, 60, 30) * (k % 5 > 2)
+        if k % 10 == 9:
+            window = np.where(np.arange(30) % 2, 0.0, 1000.0) + np.arange(30) ** 3
+        p = waveforms.robust_pedestal(window, cfg)
+        assert (p.mean, p.rms, p.used, p.slope, p.quality) == pytest.approx(plain(window))
+        seen |= p.quality
+    assert seen == waveforms.NOT_CONVERGED | waveforms.FLOOR_ACTIVE | waveforms.TOO_FEW
+    x = np.full(100, 100.0)
+    x[5:20] = 4095
+    ped, pulses = waveforms.find_pulses(x, waveforms.PulseConfig(order=0))
+    assert ped.quality & waveforms.SATURATED and any(p["saturated"] for p in pulses) or ped.quality & waveforms.TRAILING
+    y = 100 + r.normal(0, 2, 100)
+    y[8:12] += [60, 200, 200, 60]
+    assert waveforms.find_pulses(y)[0].quality & waveforms.PULSE_INSIDE
+    y[:30] = r.normal(100, 300, 30)
+    assert waveforms.find_pulses(y)[0].quality & waveforms.TRAILING
+
+
+def test_tails_end_after_weak_samples_in_a_row():
+    y = np.array([0, 0.5, 2, 0.5, 3, 10, 4, 0.2, 3, 0.1, 0.1, 5, 0])
+    cfg = waveforms.PulseConfig(tail=0.1, tail_samples=2)
+    assert waveforms.tail_cut(y, 5, 0, 12, 0.0, cfg) == (2, 8)
+    assert waveforms.tail_cut(y, 5, 3, 7, 0.0, cfg) == (4, 6)
+    assert waveforms.tail_cut(y, 5, 0, 12, 3.5, cfg) == (5, 6)
+
+
+def test_piled_pulses_come_apart():
+    shape = waveforms.Template(2.5, 14.0)
+    t = np.arange(100) * 4.0
+    for gap in (24.0, 40.0):
+        truth = [(800.0, 150.0), (500.0, 150.0 + gap)]
+        x = 100 + sum(a * shape(t - t0) for a, t0 in truth)
+        pulses = [{"pos": int((t0 + shape.top) // 4), "height": float(a * shape.height * 1.2), "time": float(t0 + shape.top + 2), "integral": 0.0, "quality": waveforms.PILED} for a, t0 in truth]
+        got = waveforms.deconvolve(x, 100.0, pulses, waveforms.Template(2.3, 13.0))
+        for p, (a, t0) in zip(got, truth, strict=True):
+            assert p["height"] == pytest.approx(a * shape.height, rel=0.02) and p["time"] == pytest.approx(t0 + shape.top, abs=0.3)
+            assert p["integral"] == pytest.approx(a * 14.0**2 / 16.5 / 4, rel=0.03) and p["quality"] & waveforms.DECONVOLVED
+
+
+def test_derivatives_of_pulses():
+    r = np.random.default_rng(3)
+    t = np.arange(60) * 4.0
+    p = np.column_stack([r.uniform(10, 90, 3), r.uniform(20, 100, 3), r.uniform(1, 5, 3), r.uniform(5, 20, 3), r.uniform(0.8, 2, 3)])
+    _, d = waveforms.pulse_sum(t, p)
+    for k in np.ndindex(*p.shape):
+        e = np.zeros_like(p)
+        e[k] = 1e-6
+        assert d[:, k[0], k[1]] == pytest.approx((waveforms.pulse_sum(t, p + e)[0] - waveforms.pulse_sum(t, p - e)[0]) / 2e-6, abs=1e-3)
+
+
+@pytest.mark.parametrize("power", [1.0, 2.0])
+def test_shape_of_a_single_pulse(power):
+    truth = waveforms.Template(2.0, 18.0, power)
+    x = 100 + 900 * truth(np.arange(100) * 4.0 - 121.0)
+    _, (pulse,) = waveforms.find_pulses(x, waveforms.PulseConfig(order=1))
+    got = waveforms.fit_shape(x, 100.0, pulse, free_power=power != 1.0)
+    assert got["fall"] == pytest.approx(18.0, rel=0.05) and got["start"] == pytest.approx(121.0, abs=1.5) and got["chi2_dof"] < 2
+
+
+def test_templates_by_channel(spark):
+    df = spark.createDataFrame([(c, 1) for c in (1, 2, 3, 4)], "ch int, rise_other int")
+    channels = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "ch int, type string")
+    got = {r.ch: (r.rise, r.template_state) for r in waveforms.with_templates(df, channels, spark.createDataFrame([("a", 2.0, 9.0), ("b", 2.0, 900.0)], "type string, rise double, fall double"), ["ch"]).collect()}
+    assert got == {1: (2.0, waveforms.NOT_RUN), 2: (None, waveforms.BAD_TEMPLATE), 3: (None, waveforms.NO_TEMPLATE), 4: (None, waveforms.NO_TEMPLATE)}
 
 
 def test_ripple_does_not_crowd_out_later_pulses():
@@ -77,8 +171,30 @@ def test_islands_against_flood_fill():
 def test_split_keeps_the_energy():
     x, y = np.array([0, 1, 2, 3, 4]), np.zeros(5, int)
     e = np.array([50.0, 100, 20, 90, 40])
-    share = clusters.split_island(x, y, e, clusters.IslandConfig())
-    assert share.shape == (2, 5) and np.allclose(share.sum(0), 1)
+    tops, share = clusters.split_island(x, y, e, clusters.IslandConfig())
+    assert tops.tolist() == [1, 3] and np.allclose(share.sum(0), 1)
+    assert share[0, 0] > 0.95 and share[1, 4] > 0.95
+
+
+def test_split_finds_two_showers():
+    """Two showers of the profile itself, three modules apart: energies and places come back."""
+    cfg = clusters.IslandConfig()
+    x, y = (a.ravel() for a in np.mgrid[0:9, 0:5])
+    truth = [(900.0, 2, 2), (500.0, 5, 2)]
+    e = sum(t * clusters.shower_share(np.hypot(x - a, y - b), cfg) for t, a, b in truth)
+    keep = e > 0.5
+    x, y, e = x[keep], y[keep], e[keep]
+    tops, share = clusters.split_island(x, y, e, cfg)
+    for top, part, (t, a, b) in zip(tops, share * e, truth, strict=True):
+        assert (x[top], y[top]) == (a, b) and part.sum() == pytest.approx(sum(t * clusters.shower_share(np.hypot(x - a, y - b), cfg)), rel=0.02)
+        assert clusters.centroid(x, y, part, top, part.sum(), cfg) == pytest.approx((a, b), abs=0.05)
+
+
+def test_profiles_and_lone_centres():
+    cfg = clusters.IslandConfig(profile=((0.0, 0.8), (1.0, 0.1), (2.0, 0.0)))
+    assert clusters.shower_share(np.array([0.0, 0.5, 1.0, 5.0]), cfg).tolist() == pytest.approx([0.8, 0.45, 0.1, 0.0])
+    x, y = np.array([0, 1, 30]), np.zeros(3, int)
+    assert clusters.centroid(x, y, np.array([1.0, 1.0, 5000.0]), 0, 5002.0, clusters.IslandConfig()) == (0.0, 0.0)
 
 
 def test_gaussian_fit_finds_the_peak():
@@ -104,6 +220,23 @@ def test_greedy_pairs_against_loop(spark):
     assert got == sorted(want)
 
 
+def test_greedy_plane_pairs_against_loop(spark):
+    r = np.random.default_rng(6)
+    rows = [(e, a, int(p), int(b), float(50 - a % 4), float(r.integers(0, 9))) for e in range(6) for a in range(7) for p in range(5) for b in range(4) if r.random() < 0.4]
+    df = spark.createDataFrame(rows, "ev bigint, a bigint, plane int, b bigint, e double, d double")
+    got = sorted((x.ev, x.a, x.pair, x.plane, x.b) for x in M.greedy_plane_pairs(df, "ev", "a", "plane", "b", "e", "d", [(0, 1), (2, 3)]).collect())
+    want = []
+    for e in range(6):
+        used = set()
+        for a in sorted(range(7), key=lambda a: (-(50 - a % 4), a)):
+            free = [(d, p, b) for ev, i, p, b, _, d in rows if ev == e and i == a and (p, b) not in used]
+            best = [min((f for f in free if f[1] in pair), default=None) for pair in ((0, 1), (2, 3))]
+            if None not in best:
+                used |= {f[1:] for f in best}
+                want += [(e, a, n, f[1], f[2]) for n, f in enumerate(best)]
+    assert got == sorted(want) and want
+
+
 def test_frames_invert():
     m = M.rotation(3, -7, 40)
     assert np.allclose(m @ m.T, np.eye(3)) and np.isclose(np.linalg.det(m), 1)
@@ -117,9 +250,9 @@ def test_bit_names():
 def test_strip_words(spark):
     values, strip = [5, -3, 4095, -4096, 0, 77], 100
     v = [x & 0x1FFF for x in values]
-    words = [v[0] | v[1] << 13 | (strip & 31) << 26, v[2] | v[3] << 13 | (strip >> 5) << 26, v[4] | v[5] << 13]
+    words = [v[0] | v[1] << 13 | (strip & 31) << 26, v[2] | v[3] << 13 | (strip >> 5) << 26, v[4] | v[5] << 13 | 9 << 26]
     got = spark.createDataFrame([(words,)], "w array<bigint>").select(D.strip_words(F.col("w")).alias("s")).first().s
-    assert list(got.ts) == values and got.strip == strip
+    assert list(got.ts) == values and got.strip == strip and got.chip == 9
 
 
 def test_scaler_block(spark):
@@ -136,29 +269,22 @@ def test_crystal_ball_finds_peak_over_tail():
     assert abs(m - 70) < 0.5 and abs(s - 4) < 0.5
 
 
-def test_valleys_against_a_walk():
-    def walk(q, depth):
-        q, out = list(q), []
-        start = 0
-        while True:
-            falling, low, found = False, start, None
-            for i in range(start, len(q) - 1) if len(q) - start >= 3 else ():
-                if falling:
-                    low = i if q[i] < q[low] else low
-                    if q[i + 1] - q[i] > depth:
-                        found = low
-                        break
-                elif q[i] - q[i + 1] > depth:
-                    falling, low = True, i + 1
-            if found is None:
-                return [*out, (start, len(q), sum(q[start:]))]
-            q[found] /= 2
-            out.append((start, found, sum(q[start:found])))
-            start = found
+def test_valleys_against_their_definition():
+    """A valley is the least strip that has, somewhere on its left in the part, a fall of more than `depth`
+    just before the stretch it lies in and, at the stretch's end, a rise of more than `depth`."""
+
+    def parts(q, depth):
+        falls = [i for i in range(len(q) - 1) if q[i] - q[i + 1] > depth] if len(q) > 2 else []
+        rises = [j for j in range(falls[0] + 1, len(q) - 1) if q[j + 1] - q[j] > depth] if falls else []
+        if not rises:
+            return [(len(q), sum(q))]
+        stretch = q[falls[0] + 1 : rises[0] + 1]
+        m = falls[0] + 1 + stretch.index(min(stretch))
+        return [(m, sum(q[:m])), *parts([q[m] / 2, *q[m + 1 :]], depth)]
 
     r = np.random.default_rng(11)
     for _ in range(300):
         q = r.integers(0, 100, r.integers(1, 15)).astype(float)
         first, cut = clusters.valley_cuts(q, 14.0)
-        got = [(a, z, cut[a:z].sum()) for a, z in zip(first, [*first[1:], len(q)], strict=True)]
-        assert got == walk(q, 14.0)
+        got = [(z - a, cut[a:z].sum()) for a, z in zip(first, [*first[1:], len(q)], strict=True)]
+        assert got == parts(q.tolist(), 14.0)
