@@ -2,10 +2,10 @@
 
 Vectors are centred and rotated by several rotations learned so that signs lose little (iterative
 quantisation); the signs are the code. Codes are split into substrings, each long enough that its values
-outnumber the vectors, and each substring is an inverted index: its value leads to the vectors that have
-it. A query probes, in every substring, the values within `flips` bits of its own. By the pigeonhole
-principle this retrieves every code within substrings * (flips + 1) - 1 bits (and many beyond). What is
-retrieved and lies within a Hamming radius of a short code is ranked by exact distance.
+outnumber the vectors of a block, and each substring is indexed: rows sorted by its value. A query probes,
+in every substring, the values within `flips` bits of its own. By the pigeonhole principle this retrieves
+every code within substrings * (flips + 1) - 1 bits (and many beyond). What is retrieved and lies within
+a Hamming radius of a short code is ranked by exact distance; nothing that qualifies is left out.
 
 How many substrings are needed depends on the data: nearest neighbours of evenly spread vectors share
 few bits, those of clustered ones many. Fitting finds the exact neighbours of a few sampled rows in one
@@ -13,13 +13,15 @@ pass over the table, and takes as many substrings as retrieve the share `target`
 that keeps nearly all of those. Both samples are bounded (`sample_rows`, `tuning_rows`, chosen by hash);
 every vector is indexed.
 
-The index is dealt out by substring and by its value's first bits, and queries go only where their probes
-fall, so a task holds a part of one substring's index; parts over `part_rows` are divided further by a
-hash of the id, and their queries go to each division. Equal vectors are one item with its smallest ids,
-so many copies of one vector are one entry.
+The vectors are cut into blocks of bounded size by a hash of the id, and the queries into chunks; a
+block and a chunk meet in one task, which builds the block's index and returns each query's best of that
+block, and these are ranked again. Blocks hold equal shares whatever the vectors are, so a crowd of like
+vectors makes no task larger, and a task's result grows with its queries alone. The work grows with
+queries times vectors; the index leaves a fitted share of it. Equal vectors are one item with its smallest
+ids, so many copies of one vector are one entry.
 
-A query that gets fewer than k items this way is compared with all vectors, in blocks of bounded size:
-an exact way for the rest.
+A query that gets fewer than k items this way is compared with all vectors, block by block: an exact
+way for the rest.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no
 part; null ids take no part; vectors are neighbours only of vectors of the same length, each length
@@ -29,7 +31,6 @@ table gives no rows."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -41,7 +42,6 @@ from pyspark.sql import functions as F
 
 from beamframe.llm.common import materialise, slot_sample_ids
 
-PAIRS = "query bigint, item bigint"
 SCORED = "query bigint, item bigint, score double"
 RESULT = "query_id bigint, rank int, vec_id bigint, score double"
 
@@ -56,11 +56,11 @@ class MihConfig:
     target: float = 0.97  # share of the sampled neighbours that probing must retrieve
     keep: float = 0.995  # share of the retrieved sampled neighbours that the radius must keep
     most_substrings: int = 192
-    least_bits: int = 16  # of a substring; more where the table has more rows than values
+    bits: int = 16  # of a substring
     short_bits: int = 256  # of the code that the radius is about
-    part_rows: int = 1 << 18  # rows of an index in one task
-    block_rows: int = 32_768  # of the exact way
-    chunk_queries: int = 8_192
+    block_rows: int = 32_768
+    chunk_queries: int = 32_768
+    together: int = 64  # queries that probe at once
 
 
 def usable(vector: Column) -> Column:
@@ -111,29 +111,42 @@ def masks(bits: int, flips: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for n in range(flips + 1) for c in combinations(range(bits), n)], np.int64)
 
 
-def first_bits(values: np.ndarray, bits: int, prefix: int) -> np.ndarray:
-    return values >> (bits - prefix)
-
+class BlockIndex:
+    """The substrings' indexes of one block of vectors."""
+
+    def __init__(self, codes: Codes, ids: np.ndarray, vectors: np.ndarray, flips: int):
+        self.codes, self.ids, self.vectors, self.near = codes, ids, vectors, masks(codes.bits, flips)
+        values, self.short = codes.of(vectors)
+        self.order = np.argsort(values, axis=0, kind="stable")
+        self.values = np.take_along_axis(values, self.order, 0)
+
+    def probe(self, values: np.ndarray) -> np.ndarray:
+        """[query, row]: whether a row's value is within `flips` bits of the query's in some substring."""
+        found = np.zeros((len(values), len(self.ids)), bool)
+        for s in range(values.shape[1]):
+            want = (values[:, s, None] ^ self.near).ravel()
+            lo, hi = np.searchsorted(self.values[:, s], want, "left"), np.searchsorted(self.values[:, s], want, "right")
+            hit = np.flatnonzero(hi > lo)
+            lo, runs = lo[hit], (hi - lo)[hit]
+            ends = np.cumsum(runs)
+            if len(hit):
+                rows = np.arange(ends[-1]) + np.repeat(lo - (ends - runs), runs)
+                found[np.repeat(hit // len(self.near), runs), self.order[rows, s]] = True
+        return found
 
-def probe(values: np.ndarray, short: np.ndarray, asked: np.ndarray, asked_short: np.ndarray, near: np.ndarray, radius: int, step: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(query row, index row) of the rows whose value is within `near` of the query's and whose short code
-    lies within the radius. `values` are sorted."""
-    for a in range(0, len(asked), step):
-        want = (asked[a : a + step, None] ^ near).ravel()
-        lo, hi = np.searchsorted(values, want, "left"), np.searchsorted(values, want, "right")
-        runs = hi - lo
-        ends = np.cumsum(runs)
-        if not len(ends) or not ends[-1]:
-            continue
-        rows = np.arange(ends[-1]) + np.repeat(lo - (ends - runs), runs)
-        q = np.repeat(np.repeat(np.arange(a, min(a + step, len(asked))), len(near)), runs)
-        ok = np.bitwise_count(short[rows] ^ asked_short[q]).sum(1, dtype=np.int64) <= radius
-        yield q[ok], rows[ok]
+    def nearest(self, query_ids: np.ndarray, queries: np.ndarray, k: int, together: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query, ids, distances) of each query's k nearest rows of those retrieved within the radius."""
+        for a in range(0, len(query_ids), together):
+            values, short = self.codes.of(queries[a : a + together])
+            for q, x, code, found in zip(query_ids[a : a + together].tolist(), queries[a : a + together], short, self.probe(values), strict=True):
+                rows = np.flatnonzero(found)
+                rows = rows[np.bitwise_count(self.short[rows] ^ code).sum(1, dtype=np.int64) <= self.codes.radius]
+                yield next(nearest(np.array([q]), x[None], self.ids[rows], self.vectors[rows], k))
 
 
-def fit(vectors: np.ndarray, near: list[tuple[np.ndarray, np.ndarray]], n: int, cfg: MihConfig) -> Codes:
-    """vectors: the sample of rows; near: sampled vectors, each with its exact nearest ones; n: all rows."""
-    bits = max(cfg.least_bits, math.ceil(math.log2(max(2, n))))
+def fit(vectors: np.ndarray, near: list[tuple[np.ndarray, np.ndarray]], cfg: MihConfig) -> Codes:
+    """vectors: the sample of rows; near: sampled vectors, each with its exact nearest ones."""
+    bits = cfg.bits
     most = max(cfg.most_substrings * bits, cfg.short_bits)
     mean, rotations = learn_rotations(vectors, most, cfg.rounds)
     every = Codes(mean, rotations, bits, cfg.most_substrings, cfg.short_bits, cfg.short_bits)
@@ -162,13 +175,6 @@ def nearest(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors
         yield q, ids[best], d[best]
 
 
-def _packed(x: np.ndarray) -> pa.Array:
-    """Rows of an array as binaries."""
-    x = np.ascontiguousarray(x)
-    width = x.shape[1] * x.itemsize
-    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(x), [None, pa.py_buffer(x.tobytes())]).cast(pa.binary())
-
-
 def _matrix(column: pa.Array | pa.ChunkedArray, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
@@ -178,9 +184,9 @@ def _table(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.Table:
     return pa.table({"query": flat([np.full(len(i), q) for q, i, _ in rows], np.int64), "item": flat([i for _, i, _ in rows], np.int64), "score": flat([d for *_, d in rows], float)})
 
 
-def _exact(items: DataFrame, queries: DataFrame, n: int, n_queries: int, k: int, cfg: MihConfig) -> DataFrame:
-    """items(item, v), queries(query, v) -> query, item, score: each query's k nearest of all items, found
-    block by block."""
+def _in_blocks(items: DataFrame, queries: DataFrame, n: int, n_queries: int, k: int, cfg: MihConfig, codes: Codes | None = None) -> DataFrame:
+    """items(item, v), queries(query, v) -> query, item, score: each query's k nearest of all items, by the
+    index of every block, or exactly without `codes`."""
     blocks, chunks = max(1, -(-n // cfg.block_rows)), max(1, -(-n_queries // cfg.chunk_queries))
     each = lambda m: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(m - 1).cast("bigint")))
     part = lambda c, m, seed: F.pmod(F.xxhash64(F.col(c), F.lit(seed)), F.lit(m))
@@ -190,7 +196,11 @@ def _exact(items: DataFrame, queries: DataFrame, n: int, n_queries: int, k: int,
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _table([])
-        return _table(list(nearest(right.column("query").to_numpy(), _matrix(right.column("v"), "<f8"), left.column("item").to_numpy(), _matrix(left.column("v"), "<f8"), k)))
+        ids, vectors = left.column("item").to_numpy(), _matrix(left.column("v"), "<f8")
+        query_ids, x = right.column("query").to_numpy(), _matrix(right.column("v"), "<f8")
+        if codes is None:
+            return _table(list(nearest(query_ids, x, ids, vectors, k)))
+        return _table(list(BlockIndex(codes, ids, vectors, cfg.flips).nearest(query_ids, x, k, cfg.together)))
 
     met = held.groupBy("block", "chunk").cogroup(asked.groupBy("block", "chunk")).applyInArrow(meet, SCORED)
     return _best(met, k)
@@ -201,72 +211,6 @@ def _best(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n")
 
 
-def _probed(items: DataFrame, queries: DataFrame, n: int, codes: Codes, cfg: MihConfig) -> DataFrame:
-    """items(item, v), queries(query, v) -> query, item: pairs that probing retrieves within the radius."""
-    prefix = min(codes.bits, max(0, math.ceil(math.log2(max(1.0, n / cfg.part_rows)))))
-    near = masks(codes.bits, cfg.flips)
-    reach = np.unique(first_bits(near, codes.bits, prefix))
-
-    def index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, x = b.column(0), _matrix(b.column(1), "<f8")
-            values, short = codes.of(x)
-            code = _packed(short)
-            for s in range(codes.substrings):
-                v = values[:, s]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), s, np.int32)), pa.array(first_bits(v, codes.bits, prefix)), ids, pa.array(v), code], ["substring", "prefix", "item", "value", "code"])
-
-    def query_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = _matrix(b.column(1), "<f8")
-            values, short = codes.of(x)
-            row = np.repeat(np.arange(len(x)), len(reach))
-            code, ids = _packed(short[row]), b.column(0).take(pa.array(row))
-            for s in range(codes.substrings):
-                p = (first_bits(values[:, s], codes.bits, prefix)[:, None] ^ reach).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), s, np.int32)), pa.array(p), ids, pa.array(values[row, s]), code], ["substring", "prefix", "query", "value", "code"])
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"query": pa.array([], pa.int64()), "item": pa.array([], pa.int64())})
-        values = left.column("value").to_numpy()
-        order = np.argsort(values, kind="stable")
-        ids, short = left.column("item").to_numpy()[order], _matrix(left.column("code"), "<u8")[order]
-        asked = right.column("query").to_numpy()
-        # the probes that fall under this prefix
-        at = int(left.column("prefix")[0].as_py())
-        found = []
-        own = right.column("value").to_numpy()
-        for q, r in probe(values[order], short, own, _matrix(right.column("code"), "<u8"), near, codes.radius):
-            found.append((asked[q], ids[r]))
-        assert prefix == 0 or (first_bits(values, codes.bits, prefix) == at).all()
-        flat = lambda i: np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64)
-        return pa.table({"query": flat(0), "item": flat(1)})
-
-    kept = "substring int, prefix bigint, {} bigint, value bigint, code binary"
-    index = materialise(items.mapInArrow(index_rows, kept.format("item")), "mih-index")
-    asked = queries.mapInArrow(query_rows, kept.format("query"))
-    # parts that are too large for a task are divided, and their queries go to every division
-    parts = index.groupBy("substring", "prefix").agg(F.ceil(F.count(F.lit(1)) / F.lit(cfg.part_rows)).alias("divisions"))
-    parts = materialise(parts, "mih-parts")
-    held = index.join(parts, ["substring", "prefix"]).withColumn("division", F.pmod(F.xxhash64("item"), F.col("divisions")))
-    asked = asked.join(parts, ["substring", "prefix"]).withColumn("division", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("divisions") - 1)))
-    keys = ["substring", "prefix", "division"]
-    return held.drop("divisions").groupBy(*keys).cogroup(asked.drop("divisions").groupBy(*keys)).applyInArrow(meet, PAIRS).distinct()
-
-
-def _rerank(pairs: DataFrame, items: DataFrame, queries: DataFrame) -> DataFrame:
-    """pairs(query, item) -> query, item, score by exact distance."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            d = np.sqrt(np.square(_matrix(b.column(2), "<f8") - _matrix(b.column(3), "<f8")).sum(1)) if b.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d)], ["query", "item", "score"])
-
-    met = pairs.join(queries.select("query", F.col("v").alias("vq")), "query").join(items.select("item", "v"), "item")
-    return met.select("query", "item", "v", "vq").mapInArrow(run, SCORED)
-
-
 def _search(items: DataFrame, queries: DataFrame, dim: int, cfg: MihConfig) -> DataFrame:
     """items(item, v), queries(query, v) of one length -> query, item, score: the nearest k + 1 distinct
     vectors found, the query's own one among them."""
@@ -275,21 +219,20 @@ def _search(items: DataFrame, queries: DataFrame, dim: int, cfg: MihConfig) -> D
     sampled = lambda m: items.join(F.broadcast(slot_sample_ids(items, "item", m).select("item")), "item").orderBy("item")
     sample = np.array([np.frombuffer(r.v, "<f8") for r in sampled(cfg.sample_rows).collect()]).reshape(-1, dim)
     tuning = materialise(sampled(cfg.tuning_rows).select(F.col("item").alias("query"), "v"), "mih-tuning")
-    true = _exact(items, tuning, n, cfg.tuning_rows, cfg.k + 1, cfg).where("query <> item")
+    true = _in_blocks(items, tuning, n, cfg.tuning_rows, cfg.k + 1, cfg).where("query <> item")
     rows = true.join(tuning.select("query", F.col("v").alias("vq")), "query").join(items, "item").select("query", "vq", "v").collect()
     near: dict[int, tuple[bytes, list[bytes]]] = {}
     for r in rows:
         near.setdefault(r.query, (r.vq, []))[1].append(r.v)
     double = lambda b: np.frombuffer(b, "<f8")
-    codes = fit(sample, [(double(q), np.array([double(v) for v in near[i][1]])) for i, (q, _) in sorted(near.items())], n, cfg)
-    found = _best(_rerank(_probed(items, queries, n, codes, cfg), items, queries), cfg.k + 1)
-    found = materialise(found, "mih-found")
+    codes = fit(sample, [(double(q), np.array([double(v) for v in near[i][1]])) for i, (q, _) in sorted(near.items())], cfg)
+    found = materialise(_in_blocks(items, queries, n, queries.count(), cfg.k + 1, cfg, codes), "mih-found")
     few = queries.join(found.groupBy("query").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > min(cfg.k, n - 1)), "query", "left_anti")
     few = materialise(few, "mih-few")
     n_few = few.count()
     if not n_few:
         return found
-    rest = _exact(items, few, n, n_few, cfg.k + 1, cfg)
+    rest = _in_blocks(items, few, n, n_few, cfg.k + 1, cfg)
     return spark.createDataFrame([], SCORED).unionByName(found.join(few.select("query"), "query", "left_anti")).unionByName(rest)
 
 

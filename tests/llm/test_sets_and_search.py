@@ -163,9 +163,9 @@ def test_names_do_not_depend_on_partitions(spark):
 VEC = "vec_id bigint, embedding array<float>, label int, v string, code string, q string"
 
 
-@pytest.mark.parametrize("cfg", [multi_index_hashing.MihConfig(flips=4, least_bits=8, target=1.0, keep=1.0, part_rows=16, block_rows=64, chunk_queries=8), multi_index_hashing.MihConfig(most_substrings=1, flips=0, target=0.0, block_rows=64, chunk_queries=8)])
+@pytest.mark.parametrize("cfg", [multi_index_hashing.MihConfig(flips=4, bits=8, target=1.0, keep=1.0, block_rows=64, chunk_queries=8, together=3), multi_index_hashing.MihConfig(most_substrings=1, flips=0, target=0.0, block_rows=64, chunk_queries=8)])
 def test_neighbours_exact_when_few(spark, cfg):
-    """By probes that reach all, dealt out over prefixes and divisions; by the exact way, where probes find too few."""
+    """By probes that reach all, over blocks and chunks; by the exact way, where probes find too few."""
     r = np.random.default_rng(4)
     x = r.normal(size=(150, 12)).astype(np.float32)
     x[40:60] = x[40]  # copies: ties
@@ -206,12 +206,9 @@ def test_probing_retrieves_the_whole_radius():
     for flips in (0, 1, 2):
         near = multi_index_hashing.masks(16, flips)
         assert len(set(near.tolist())) == len(near) == sum(math.comb(16, i) for i in range(flips + 1))
-        found = set()
-        for s in range(4):
-            order = np.argsort(values[:, s], kind="stable")
-            for q, i in multi_index_hashing.probe(values[order, s], short[order], values[:20, s], short[:20], near, 64, step=7):
-                found |= set(zip(q.tolist(), order[i].tolist(), strict=True))
-        assert {(q, i) for q in range(20) for i in np.flatnonzero(pop[q] <= 4 * (flips + 1) - 1).tolist()} <= found
+        found = multi_index_hashing.BlockIndex(codes, np.arange(500), x, flips).probe(values[:20])
+        assert found[pop[:20] <= 4 * (flips + 1) - 1].all()
+        assert np.array_equal(found, (np.bitwise_count(values[:20, None] ^ values[None]) <= flips).any(2))
 
 
 def test_recall(spark):
