@@ -73,3 +73,11 @@ def weighted_line(df: DataFrame, z: str, axis: str, weight: str, keys: Sequence[
 
 def level(value: Column, warn: float, alert: float) -> Column:
     return F.when(value.isNull(), "none").when(value >= alert, "alert").when(value >= warn, "warn").otherwise("ok")
+
+
+def gaussian_noise(key: Column, seed: int = 0) -> Column:
+    """A normal deviate that depends on the key and seed alone, so a task that runs again draws the same:
+    two uniform numbers from an md5 digest, by Box and Muller's rule."""
+    digest = F.md5(F.concat(key.cast("string"), F.lit(f"/{seed}")).cast("binary"))
+    uniform = lambda at: (F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint") + 0.5) / F.lit(2.0**32)
+    return F.sqrt(-2 * F.ln(uniform(1))) * F.cos(2 * F.pi() * uniform(9))

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from beamframe.operators import counting as C
 from beamframe.operators import matching as M
 from beamframe.operators import ordered as O
 from beamframe.plans.counting import peaks
@@ -242,3 +243,13 @@ def luminosity_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = a.agg(F.floor(F.count(F.lit(1)) * 0.4).alias("wanted"))
     b = O.with_one(O.number_rows(o.where("o_orderstatus = 'O'").select("o_orderkey"), "o_orderkey", 1 << 20), wanted)
     return a.unionByName(b.where("number <= wanted").select("o_orderkey", F.lit("b").alias("source")))
+
+
+@query("""WITH u AS (SELECT l_orderkey AS event, l_extendedprice AS e, md5(l_orderkey || '-' || l_linenumber || '-' || l_partkey || '/3') AS d, l_linenumber, l_partkey FROM lineitem)
+SELECT event, l_linenumber AS line, l_partkey AS part, round(e + 0.026 * sqrt(e * 1000) * sqrt(-2 * ln((('0x' || substr(d, 1, 8))::BIGINT + 0.5) / 4294967296.0)) * cos(2 * pi() * (('0x' || substr(d, 9, 8))::BIGINT + 0.5) / 4294967296.0), 4) AS smeared FROM u""")
+def smeared_energies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Simulated energies smeared by the calorimeter's resolution, the same on every run."""
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey")
+    e = F.col("l_extendedprice")
+    smeared = e + 0.026 * F.sqrt(e * 1000) * C.gaussian_noise(key, 3)
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("event"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.round(smeared, 4).alias("smeared"))

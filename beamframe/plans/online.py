@@ -22,10 +22,12 @@ def stream_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.run_to_table(h, scratch_path(spark, "stream"), "complete")
 
 
-@query("SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+@query("""SELECT epoch_us(w) AS start, event_type, n, total FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS w, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2)
+WHERE w + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours that the watermark has closed; their state is gone."""
     w = T.windowed(event_stream(spark, sf_dir), "ts", "10 minutes", "1 hour", keys=("event_type",))
-    out = T.run_to_table(w, scratch_path(spark, "stream"), "complete")
+    out = T.run_to_table(w, scratch_path(spark, "stream"))
     return out.select(F.unix_micros("start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
@@ -62,7 +64,37 @@ def stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.run_to_table(T.history(e, "user_id", "event_id", 10), scratch_path(spark, "stream"))
 
 
-@query("SELECT user_id, count(*) AS n FROM (SELECT user_id, ts, sum(CASE WHEN gap IS NULL OR gap >= 600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT user_id, ts, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events)) GROUP BY user_id, s")
+@query("""WITH g AS (SELECT user_id, ts, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events), s AS (SELECT user_id, ts, sum(CASE WHEN gap IS NULL OR gap >= 600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM g)
+SELECT user_id, count(*) AS n FROM s GROUP BY user_id, s HAVING max(ts) + INTERVAL 10 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = T.run_to_table(T.sessions(event_stream(spark, sf_dir), "ts", "10 minutes", "10 minutes", "user_id"), scratch_path(spark, "stream"), "complete")
+    """Sessions that the watermark has closed."""
+    out = T.run_to_table(T.sessions(event_stream(spark, sf_dir), "ts", "10 minutes", "10 minutes", "user_id"), scratch_path(spark, "stream"))
     return out.select("user_id", "n")
+
+
+@query("""WITH e AS (SELECT user_id, event_id, event_type, event_id * 1000003 AS tick, 1700000000 + event_id AS unix FROM events), f AS (SELECT user_id, min(tick) AS first FROM e WHERE event_type = 'click' GROUP BY 1), s AS (SELECT user_id, min(event_id) AS at, min(tick) AS tick, min(unix) AS unix FROM e WHERE event_type = 'error' GROUP BY 1)
+SELECT e.user_id, e.event_id, round((e.tick - f.first) * 4e-9, 6) AS seconds, round(CASE WHEN s.at < e.event_id THEN s.unix + (e.tick - s.tick) * 4e-9 END, 4) AS unix_time FROM e JOIN f USING (user_id) LEFT JOIN s USING (user_id) WHERE e.event_type = 'click'""")
+def stream_sync_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pulses with seconds since the first one and unix time from the first sync row of their run."""
+    kind = F.when(F.col("event_type") == "error", "sync").when(F.col("event_type") == "click", "pulse").otherwise("other")
+    e = event_stream(spark, sf_dir).select("user_id", "event_id", kind.alias("kind"), (F.col("event_id") * 1000003).alias("tick"), (F.col("event_id") + 1700000000).alias("unix"))
+    out = T.run_to_table(T.anchored_times(e, "user_id", "event_id", "kind", "tick", "unix"), scratch_path(spark, "stream"))
+    return out.select("user_id", "event_id", F.round("seconds", 6).alias("seconds"), F.round(F.nanvl("unix_time", F.lit(None).cast("double")), 4).alias("unix_time"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events), g AS (SELECT user_id, event_id, k, event_id AS last, TRUE AS kept FROM e WHERE k = 1
+UNION ALL SELECT e.user_id, e.event_id, e.k, CASE WHEN e.event_id - g.last >= 500 THEN e.event_id ELSE g.last END, e.event_id - g.last >= 500 FROM g JOIN e ON e.user_id = g.user_id AND e.k = g.k + 1)
+SELECT user_id, event_id FROM g WHERE kept""")
+def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notifications of a user, at most one in 500 event numbers."""
+    e = event_stream(spark, sf_dir).select("user_id", "event_id")
+    return T.run_to_table(T.at_most_every(e, "user_id", "event_id", 500), scratch_path(spark, "stream"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events), g AS (SELECT user_id, event_id, k, 0::BIGINT AS flush, 1::BIGINT AS n, event_id AS begun FROM e WHERE k = 1
+UNION ALL SELECT e.user_id, e.event_id, e.k, g.flush + CASE WHEN g.n >= 8 OR e.event_id - g.begun >= 900 THEN 1 ELSE 0 END, CASE WHEN g.n >= 8 OR e.event_id - g.begun >= 900 THEN 1 ELSE g.n + 1 END, CASE WHEN g.n >= 8 OR e.event_id - g.begun >= 900 THEN e.event_id ELSE g.begun END FROM g JOIN e ON e.user_id = g.user_id AND e.k = g.k + 1)
+SELECT user_id, event_id, flush FROM g""")
+def stream_flush_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups that are flushed at eight rows or after 900 event numbers."""
+    e = event_stream(spark, sf_dir).select("user_id", "event_id")
+    return T.run_to_table(T.flush_groups(e, "user_id", "event_id", 8, 900), scratch_path(spark, "stream"))

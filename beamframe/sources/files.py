@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -112,3 +113,17 @@ def remap(df: DataFrame, column: str, table: dict[int, int]) -> DataFrame:
         return df
     pairs = F.create_map(*[F.lit(v) for kv in sorted(table.items()) for v in kv])
     return df.withColumn(column, F.coalesce(F.try_element_at(pairs, F.col(column)), F.col(column)))
+
+
+_LAST_COMMA = re.compile(r'("(?:[^"\\]|\\.)*")|,(?=\s*[}\]])', re.S)
+
+
+def parse_config(text: str) -> object:
+    """JSON with comments (// to the line's end, /* */) and commas after the last item."""
+    keep = lambda m: m[1] or " "
+    return json.loads(_LAST_COMMA.sub(keep, strip_comments(text)))
+
+
+def read_config(spark: SparkSession, path: str) -> object:
+    """A configuration file, which is small, from any store that Spark reads."""
+    return parse_config(spark.read.text(path, wholetext=True).first().value)

@@ -111,6 +111,60 @@ def history(stream: DataFrame, key: str, order: str, n: int) -> DataFrame:
     return _stateful(stream, key, order, step, f"{order} bigint, position bigint", "n bigint")
 
 
+def anchored_times(stream: DataFrame, key: str, order: str, kind: str, tick: str, unix: str, tick_seconds: float = 4e-9) -> DataFrame:
+    """Seconds of each `pulse` row since the key's first one, and its unix time from the key's first `sync` row.
+
+    A sync row ties unix time to a tick. One that comes before any pulse waits for the first pulse, whose
+    tick is the zero of seconds; later sync rows and those without a unix time change nothing. Pulses
+    before the anchor is known have no unix time."""
+
+    def step(held, rows: pd.DataFrame):
+        first, at_unix, at_tick = held or (None, None, None)
+        out = []
+        for o, k, t, u in zip(rows[order], rows[kind], rows[tick], rows[unix], strict=True):
+            if k == "sync" and at_unix is None and not pd.isna(u) and u:
+                at_unix, at_tick = int(u), int(t)
+            elif k == "pulse":
+                first = int(t) if first is None else first
+                known = at_unix is not None
+                out.append((o, (int(t) - first) * tick_seconds, at_unix + (int(t) - at_tick) * tick_seconds if known else None))
+        return (first, at_unix, at_tick), pd.DataFrame(out, columns=[order, "seconds", "unix_time"])
+
+    return _stateful(stream, key, order, step, f"{order} bigint, seconds double, unix_time double", "first bigint, at_unix bigint, at_tick bigint")
+
+
+def at_most_every(stream: DataFrame, key: str, order: str, gap: int) -> DataFrame:
+    """Rows of a key that come at least `gap` (in units of `order`) after the last one let through."""
+
+    def step(held, rows: pd.DataFrame):
+        last, kept = held[0] if held else None, []
+        for o in rows[order].tolist():
+            if last is None or o - last >= gap:
+                last = o
+                kept.append(o)
+        return (last,), pd.DataFrame({order: kept})
+
+    return _stateful(stream, key, order, step, f"{order} bigint", "last bigint")
+
+
+def flush_groups(stream: DataFrame, key: str, order: str, size: int, age: int) -> DataFrame:
+    """Rows with the number of the group that they are flushed with: a group ends when it has `size` rows, or
+    with the first row that comes `age` or more (in units of `order`) after the group began."""
+
+    def step(held, rows: pd.DataFrame):
+        group, n, begun = held or (0, 0, 0)
+        out = []
+        for o in rows[order].tolist():
+            if n and (n >= size or o - begun >= age):
+                group, n = group + 1, 0
+            begun = o if n == 0 else begun
+            n += 1
+            out.append((o, group))
+        return (group, n, begun), pd.DataFrame(out, columns=[order, "flush"])
+
+    return _stateful(stream, key, order, step, f"{order} bigint, flush bigint", "n_group bigint, n_rows bigint, begun bigint")
+
+
 def run_to_table(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Run a stream over all that its source holds and read the result back.
 

@@ -15,7 +15,7 @@ def split_stream(spark, folder, rows, schema, parts=3):
 def test_batches_give_what_one_batch_gives(spark, tmp_path):
     rows = [(i % 3, i, (i * 7) % 11, (i * 5) % 13, None if i % 4 else float(i)) for i in range(60)]
     schema = "k bigint, t bigint, g bigint, u bigint, v double"
-    for name, op in (("live", lambda s: T.live_fraction(s, "k", "t", "g", "u")), ("fill", lambda s: T.carry_forward(s, "k", "t", "v")), ("hist", lambda s: T.history(s, "k", "t", 5))):
+    for name, op in (("live", lambda s: T.live_fraction(s, "k", "t", "g", "u")), ("fill", lambda s: T.carry_forward(s, "k", "t", "v")), ("hist", lambda s: T.history(s, "k", "t", 5)), ("rate", lambda s: T.at_most_every(s, "k", "t", 7)), ("flush", lambda s: T.flush_groups(s, "k", "t", 4, 10)), ("anchor", lambda s: T.anchored_times(s.withColumn("kind", F.when(F.col("t") % 5 == 4, "sync").otherwise("pulse")), "k", "t", "kind", "g", "u"))):
         got = [sorted(map(repr, T.run_to_table(op(split_stream(spark, f"{tmp_path}/{name}{n}", rows, schema, n)), f"{tmp_path}/{name}{n}/out").collect())) for n in (1, 4)]
         assert got[0] == got[1] and got[0], name
 
@@ -44,6 +44,10 @@ def test_files_round_trip(spark, tmp_path):
     assert [r.segment for r in S.missing_segments(run, "segment").collect()] == [1]
     S.write_table_text(run, f"{tmp_path}/t")
     assert spark.read.option("sep", "\t").option("header", True).csv(f"{tmp_path}/t").count() == 2
+    text = '{"a": "//x,]", /* y, */ "b": [1, 2,], // z\n "c": {"d": "\\",}",},}'
+    assert S.parse_config(text) == {"a": "//x,]", "b": [1, 2], "c": {"d": '",}'}}
+    (tmp_path / "c.json").write_text(text)
+    assert S.read_config(spark, f"{tmp_path}/c.json")["b"] == [1, 2]
     assert S.strip_comments('{"a": "//x" /* y */ } // z').strip() == '{"a": "//x"  }'
 
 
