@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from beamframe.operators import counting as C
 from beamframe.operators import fits
 from beamframe.operators import ordered as O
+from beamframe.operators import tracking as K
 from beamframe.plans.counting import peaks
 from beamframe.plans.registry import query, table
+from beamframe.plans.scratch import stored
 
 BLOCK = 1 << 20
 _HITS = "h AS (SELECT vec_id, unnest(range(1, 5)) AS plane, unnest(embedding[1:4]::DOUBLE[]) * 10 AS x FROM embeddings)"
@@ -62,3 +64,46 @@ def two_phase_time_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     fit = fits.fit_peaks(C.histogram(pair, "dt", -50.0, 2.0, 50, ["channel"]), ["channel"], -50.0, 2.0).select("channel", "mean", "sigma")
     kept = pair.join(fit, "channel").where(F.abs(F.col("dt") - F.col("mean")) <= 3 * F.col("sigma"))
     return kept.groupBy("channel").agg(F.count(F.lit(1)).alias("n"), F.round(F.first("mean"), 4).alias("mean"), F.round(F.first("sigma"), 4).alias("sigma"))
+
+
+def tracks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Calorimeter clusters (every 16th vector) and hits of four planes that scatter around the way to the
+    cluster of their group; events of 64 vectors."""
+    at = lambda i, k: F.get("embedding", F.lit(i)).cast("double") * k
+    e = table(spark, sf_dir, "embeddings")
+    event, group = F.floor(F.col("vec_id") / 64).alias("event"), F.floor(F.col("vec_id") / 16).alias("cluster")
+    c = e.where("vec_id % 16 = 0").select(event, group, at(0, 900.0).alias("x"), at(1, 900.0).alias("y"), F.lit(6000.0).alias("z"), F.lit(3.0).alias("sigma"))
+    z = 4000.0 + 500.0 * F.col("plane")
+    h = e.where("vec_id % 16 > 0").select(event, group, (F.col("vec_id") % 4).alias("plane"), F.col("vec_id").alias("hit"), at(2, 9.0).alias("ex"), at(3, 9.0).alias("ey"))
+    h = h.join(c.select("cluster", "x", "y"), "cluster")
+    return c, h.select("event", "plane", "hit", (F.col("x") * z / 6000 + F.col("ex")).alias("x"), (F.col("y") * z / 6000 + F.col("ey")).alias("y"))
+
+
+PLANES = tuple((p, 4000.0 + 500.0 * p, 0.8) for p in range(4))
+
+
+def _efficiency(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    c, h = tracks(spark, sf_dir)
+    found = K.efficiency(K.leave_one_out(c, h, "event", K.TrackConfig(PLANES, mode=mode)))
+    return found.select("test", "den", "num", *[F.round(n, 6).alias(n) for n in ("efficiency", "dx", "dy")])
+
+
+@query()
+def target_seed_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planes' efficiencies by tracks from the target (tested by brute force)."""
+    return _efficiency(spark, sf_dir, K.TARGET_SEED)
+
+
+@query()
+def hit_seed_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planes' efficiencies by the best of all tracks that hits seed, with the target in the fit."""
+    return _efficiency(spark, sf_dir, K.HIT_SEED_WITH_TARGET)
+
+
+@query()
+def plane_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions of the planes from the residuals of tracks, three rounds."""
+    c, h = tracks(spark, sf_dir)
+    moved = h.withColumn("x", F.col("x") + 0.3 * F.col("plane"))
+    s = K.calibrate_planes(c, moved, "event", K.TrackConfig(PLANES), store=stored)
+    return s.select("plane", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
