@@ -66,14 +66,37 @@ def neighbour(df: DataFrame, order: str, values: Sequence[str], keys: Sequence[s
     return x.join(carry, [*keys, _B], "left").select(*df.columns, F.coalesce("_in", "_carry").alias(name))
 
 
-def number_rows(df: DataFrame, order: str, block: int, name: str = "number") -> DataFrame:
-    """Add the row's number from 1 in the order of a number column, without one task seeing all rows:
-    numbers inside blocks, plus the rows of the blocks before."""
+def running_totals(df: DataFrame, order: str, values: dict[str, Column], keys: Sequence[str] = (), block: int | None = None, ties: Sequence[Column | str] = ()) -> DataFrame:
+    """Add cumulative sums of `values` in the order of a number column (and `ties`): sums inside blocks of that
+    number, plus the sums of the blocks before, so that a long stream is many tasks."""
     x = df.withColumn(_B, _block(order, block))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = x.groupBy(_B).agg(F.count(F.lit(1)).alias("_n")).select(_B, before.alias("_before"))
-    own = x.withColumn("_own", F.row_number().over(Window.partitionBy(_B).orderBy(order)))
-    return own.join(sizes, _B).select(*df.columns, (F.col("_own") + F.col("_before")).alias(name))
+    w = Window.partitionBy(*keys, _B).orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0)
+    own = x.select("*", *[F.sum(v).over(w).alias(f"_own_{n}") for n, v in values.items()])
+    if not block:
+        return own.select(*df.columns, *[F.col(f"_own_{n}").alias(n) for n in values])
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    sums = x.groupBy(*keys, _B).agg(*[F.sum(v).alias(f"_all_{n}") for n, v in values.items()])
+    sums = sums.select(*keys, _B, *[F.coalesce(F.sum(f"_all_{n}").over(before), F.lit(0)).alias(f"_before_{n}") for n in values])
+    return own.join(sums, [*keys, _B]).select(*df.columns, *[(F.col(f"_own_{n}") + F.col(f"_before_{n}")).alias(n) for n in values])
+
+
+def number_rows(df: DataFrame, order: str, block: int, name: str = "number", keys: Sequence[str] = (), ties: Sequence[Column | str] = ()) -> DataFrame:
+    """Add the row's number from 1 in the order of a number column, without one task seeing all rows of a key."""
+    return running_totals(df, order, {name: F.lit(1)}, keys, block, ties)
+
+
+def over_last(df: DataFrame, order: str, n: int, values: dict[str, Column], keys: Sequence[str] = (), block: int | None = None, stretch: int = 100) -> DataFrame:
+    """Add aggregates of `values` over a row and the n - 1 rows before it.
+
+    Rows are numbered and dealt out in stretches of `stretch` times n; each also gets the n - 1 rows before it."""
+    span = stretch * n
+    x = number_rows(df, order, block, "_no", keys)
+    part = F.floor((F.col("_no") - 1) / span)
+    last = (F.col("_no") - 1) % span >= span - n + 1  # the next part needs these too
+    dealt = x.withColumn("_part", F.explode(F.when(last, F.array(part, part + 1)).otherwise(F.array(part))))
+    w = Window.partitionBy(*keys, "_part").orderBy("_no").rowsBetween(1 - n, 0)
+    out = dealt.select("*", *[v.over(w).alias(name) for name, v in values.items()]).where(F.col("_part") == part)
+    return out.select(*df.columns, *values)
 
 
 def adjacent_intervals(checkpoints: DataFrame, order: str, good: str, keys: Sequence[str] = (), block: int | None = None) -> DataFrame:
@@ -91,14 +114,14 @@ def in_good_interval(events: DataFrame, checkpoints: DataFrame, order: str, good
     return as_of(events, marks, order, "_at", ["_keep"], keys, strict=True, block=block).where("_keep").drop("_keep")
 
 
-def counter_ratio(df: DataFrame, order: Sequence[str], gated: str, ungated: str, keys: Sequence[str]) -> Column:
-    """Live fraction between readouts: increments of two counters. A counter that runs backwards was
+def counter_ratio(df: DataFrame, order: str, gated: str, ungated: str, keys: Sequence[str], block: int | None = None, name: str = "live") -> DataFrame:
+    """Add the live fraction between readouts: increments of two counters. A counter that runs backwards was
     reset, both then start from zero, as before the first readout; no advance gives -1."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    pg, pu = F.coalesce(F.lag(gated).over(w), F.lit(0)), F.coalesce(F.lag(ungated).over(w), F.lit(0))
+    x = neighbour(df, order, [gated, ungated], keys, block, name="_last")
+    pg, pu = (F.coalesce(F.col("_last").getField(c), F.lit(0)) for c in (gated, ungated))
     reset = (F.col(gated) < pg) | (F.col(ungated) < pu)
     dg, du = F.col(gated) - F.when(reset, 0).otherwise(pg), F.col(ungated) - F.when(reset, 0).otherwise(pu)
-    return F.when(du > 0, dg / du).otherwise(F.lit(-1.0))
+    return x.select(*df.columns, F.when(du > 0, dg / du).otherwise(F.lit(-1.0)).alias(name))
 
 
 def with_one(df: DataFrame, one: DataFrame) -> DataFrame:
@@ -160,11 +183,12 @@ def within_sigma(value: Column, median: Column, sigma: Column, is_valid: Column,
     return F.coalesce(value.isNotNull() & (~F.coalesce(is_valid, F.lit(False)) | (F.abs(value - median) <= n * sigma)), F.lit(False))
 
 
-def trapezoid_charge(df: DataFrame, order: str, time: str, live: str, current: str, keys: Sequence[str]) -> DataFrame:
+def trapezoid_charge(df: DataFrame, order: str, time: str, live: str, current: str, keys: Sequence[str], block: int | None = None) -> DataFrame:
     """Per key: sum of live fraction * seconds * mean current over neighbouring rows; steps that do not
     advance or lack a value are skipped and counted."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    dt = F.col(time) - F.lag(time).over(w)
-    mid = 0.5 * (F.col(current) + F.lag(current).over(w))
-    step = df.select(*keys, F.lag(time).over(w).isNotNull().alias("pair"), F.when((dt > 0) & (F.col(live) >= 0), F.col(live) * dt * mid).alias("q"))
+    x = neighbour(df, order, [time, current], keys, block, name="_last")
+    before = F.col("_last").getField(time)
+    dt = F.col(time) - before
+    mid = 0.5 * (F.col(current) + F.col("_last").getField(current))
+    step = x.select(*keys, before.isNotNull().alias("pair"), F.when((dt > 0) & (F.col(live) >= 0), F.col(live) * dt * mid).alias("q"))
     return step.groupBy(*keys).agg(F.sum("q").alias("charge"), F.count_if("pair").alias("steps"), F.count("q").alias("integrated"), F.count_if(F.col("pair") & F.col("q").isNull()).alias("skipped"))

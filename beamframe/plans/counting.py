@@ -228,9 +228,8 @@ def warning_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT user_id, event_id, round(avg(value) OVER w, 9) AS recent_mean, CASE WHEN abs(value - avg(value) OVER w) >= 0.2 * avg(value) OVER w THEN 'alert' WHEN abs(value - avg(value) OVER w) >= 0.1 * avg(value) OVER w THEN 'warn' ELSE 'ok' END AS level
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""")
 def recent_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(-19, 0)
-    m = F.avg("value").over(w)
-    x = table(spark, sf_dir, "events").select("user_id", "event_id", m.alias("m"), F.col("value"))
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "value")
+    x = O.over_last(e, "event_id", 20, {"m": F.avg("value")}, ["user_id"], 1 << 20)
     off = F.abs(F.col("value") - F.col("m"))
     return x.select("user_id", "event_id", F.round("m", 9).alias("recent_mean"), F.when(off >= 0.2 * F.col("m"), "alert").when(off >= 0.1 * F.col("m"), "warn").otherwise("ok").alias("level"))
 

@@ -3,7 +3,7 @@ rows are readings of a gate channel and of a gated channel, in the order of even
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from beamframe.operators import ordered as O
@@ -106,10 +106,9 @@ def absolute_and_relative_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def counters(events: DataFrame) -> DataFrame:
     """Two cumulative counters per user that wrap round, so that some readouts run backwards."""
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return events.select(
-        "user_id", "event_id", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), (F.count(F.lit(1)).over(w) % 53).alias("ungated"), (F.count_if(F.col("event_type") != "error").over(w) % 47).alias("gated")
-    )
+    e = events.select("user_id", "event_id", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), (F.col("event_type") != "error").cast("bigint").alias("ok"))
+    c = O.running_totals(e, "event_id", {"all": F.lit(1), "good": F.coalesce("ok", F.lit(0))}, ["user_id"], BLOCK)
+    return c.select("user_id", "event_id", "value", "us", (F.col("all") % 53).alias("ungated"), (F.col("good") % 47).alias("gated"))
 
 
 _COUNTERS = """
@@ -125,7 +124,7 @@ l AS (SELECT user_id, event_id, us, value, CASE WHEN du > 0 THEN dg / du::DOUBLE
 @query(f"WITH {_COUNTERS} SELECT user_id, event_id, round(live, 9) AS live FROM l")
 def live_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = counters(table(spark, sf_dir, "events"))
-    return c.select("user_id", "event_id", F.round(O.counter_ratio(c, ["event_id"], "gated", "ungated", ["user_id"]), 9).alias("live"))
+    return O.counter_ratio(c, "event_id", "gated", "ungated", ["user_id"], BLOCK).select("user_id", "event_id", F.round("live", 9).alias("live"))
 
 
 @query(f"""WITH {_COUNTERS}, q AS (SELECT user_id, lag(us) OVER v AS pus, us - lag(us) OVER v AS dt, live, 0.5 * (value + lag(value) OVER v) AS mid FROM l WINDOW v AS (PARTITION BY user_id ORDER BY event_id)),
@@ -133,8 +132,8 @@ z AS (SELECT user_id, pus IS NOT NULL AS pair, CASE WHEN dt > 0 AND live >= 0 TH
 SELECT user_id, round(sum(q) / 1e6, 3) AS charge, count(*) FILTER (pair) AS steps, count(q) AS integrated, count(*) FILTER (pair AND q IS NULL) AS skipped FROM z GROUP BY user_id""")
 def live_charge(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = counters(table(spark, sf_dir, "events"))
-    live = c.withColumn("live", O.counter_ratio(c, ["event_id"], "gated", "ungated", ["user_id"]))
-    return O.trapezoid_charge(live, "event_id", "us", "live", "value", ["user_id"]).withColumn("charge", F.round(F.col("charge") / 1e6, 3))
+    live = O.counter_ratio(c, "event_id", "gated", "ungated", ["user_id"], BLOCK)
+    return O.trapezoid_charge(live, "event_id", "us", "live", "value", ["user_id"], BLOCK).withColumn("charge", F.round(F.col("charge") / 1e6, 3))
 
 
 @query("""SELECT c.event_id, c.user_id, c.value, e.value AS reading FROM (SELECT * FROM events WHERE event_type = 'click') c
@@ -143,7 +142,7 @@ def snapshot_at_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest reading at or before every physics event, per user."""
     e = table(spark, sf_dir, "events")
     right = e.where("event_type = 'error'").select("user_id", F.col("event_id").alias("at"), F.col("value").alias("reading"))
-    return O.as_of(e.where("event_type = 'click'").select("event_id", "user_id", "value"), right, "event_id", "at", ["reading"], ["user_id"])
+    return O.as_of(e.where("event_type = 'click'").select("event_id", "user_id", "value"), right, "event_id", "at", ["reading"], ["user_id"], block=BLOCK)
 
 
 @query("""SELECT v.event_id, round(v.value / nullif(a.value, 0), 9) AS ratio FROM (SELECT * FROM events WHERE event_type = 'view') v
@@ -180,8 +179,8 @@ def merged_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     pick = lambda t, n: e.where(F.col("event_type") == t).select("user_id", "event_id", "event_type", F.lit(n).alias("stream"))
     both = pick("view", 0).unionByName(pick("error", 1)).withColumn("number", F.floor(F.col("event_id") / 10))
-    w = Window.partitionBy("user_id").orderBy("number", "stream", "event_id")
-    return both.select("user_id", "event_id", "event_type", F.row_number().over(w).cast("bigint").alias("position"))
+    out = O.number_rows(both, "number", BLOCK // 10, "position", ["user_id"], ["stream", "event_id"])
+    return out.select("user_id", "event_id", "event_type", "position")
 
 
 @query("""WITH v AS (SELECT o_orderkey AS run, o_custkey AS cfg FROM orders WHERE o_orderkey % 97 = 5)

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from beamframe.operators import ordered as O
 
@@ -91,3 +92,19 @@ def test_exact_medians(spark):
     every = np.concatenate(list(groups.values()))
     assert [(x.n, x.median) for x in O.exact_median(df, "v", bins=16).collect()] == [(len(every), pytest.approx(float(np.median(every))))]
     assert O.robust_stats(df.where("v IS NULL"), "v").collect() == []
+
+
+@pytest.mark.parametrize("block", [None, 7, 1000])
+def test_blocks_change_nothing(spark, block):
+    r = random.Random(5)
+    rows = [(k, t, r.randrange(9)) for k in range(3) for t in sorted(r.sample(range(300), 90))]
+    df = spark.createDataFrame(rows, "k int, t bigint, v bigint")
+    want, sums = {}, {}
+    for k, t, v in rows:
+        own = [x for q, u, x in rows if q == k and u <= t]
+        sums[k, t], want[k, t] = sum(own), sum(own[-4:])
+    got = O.running_totals(df, "t", {"s": F.col("v")}, ["k"], block).collect()
+    assert {(g.k, g.t): g.s for g in got} == sums
+    for stretch in (1, 2, 100):
+        got = O.over_last(df, "t", 4, {"s": F.sum("v")}, ["k"], block, stretch).collect()
+        assert len(got) == len(rows) and {(g.k, g.t): g.s for g in got} == want
