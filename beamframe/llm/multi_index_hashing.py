@@ -50,7 +50,7 @@ RESULT = "query_id bigint, rank int, vec_id bigint, score double"
 class MihConfig:
     k: int = 10
     flips: int = 2  # bits of a substring that probes may differ by
-    sample_rows: int = 4096  # for the rotations
+    sample_rows: int = 2048  # for the rotations
     rounds: int = 12  # of learning a rotation
     tuning_rows: int = 256  # whose exact neighbours tell how many substrings are needed
     target: float = 0.97  # share of the sampled neighbours that probing must retrieve
@@ -211,29 +211,28 @@ def _best(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n")
 
 
-def _search(items: DataFrame, queries: DataFrame, dim: int, cfg: MihConfig) -> DataFrame:
+def _search(items: DataFrame, queries: DataFrame, n_queries: int, dim: int, cfg: MihConfig) -> DataFrame:
     """items(item, v), queries(query, v) of one length -> query, item, score: the nearest k + 1 distinct
     vectors found, the query's own one among them."""
     spark = items.sparkSession
     n = items.count()
-    sampled = lambda m: items.join(F.broadcast(slot_sample_ids(items, "item", m).select("item")), "item").orderBy("item")
-    sample = np.array([np.frombuffer(r.v, "<f8") for r in sampled(cfg.sample_rows).collect()]).reshape(-1, dim)
-    tuning = materialise(sampled(cfg.tuning_rows).select(F.col("item").alias("query"), "v"), "mih-tuning")
-    true = _in_blocks(items, tuning, n, cfg.tuning_rows, cfg.k + 1, cfg).where("query <> item")
-    rows = true.join(tuning.select("query", F.col("v").alias("vq")), "query").join(items, "item").select("query", "vq", "v").collect()
-    near: dict[int, tuple[bytes, list[bytes]]] = {}
-    for r in rows:
-        near.setdefault(r.query, (r.vq, []))[1].append(r.v)
+    chosen = slot_sample_ids(items, "item", cfg.sample_rows)
+    sampled = items.join(F.broadcast(chosen), "item").orderBy("sample_order", "item").select("item", "v").collect()
     double = lambda b: np.frombuffer(b, "<f8")
-    codes = fit(sample, [(double(q), np.array([double(v) for v in near[i][1]])) for i, (q, _) in sorted(near.items())], cfg)
-    found = materialise(_in_blocks(items, queries, n, queries.count(), cfg.k + 1, cfg, codes), "mih-found")
-    few = queries.join(found.groupBy("query").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > min(cfg.k, n - 1)), "query", "left_anti")
-    few = materialise(few, "mih-few")
-    n_few = few.count()
-    if not n_few:
+    tuning = {r.item: r.v for r in sampled[: cfg.tuning_rows]}
+    asked = spark.createDataFrame(list(tuning.items()), queries.schema)
+    true = _in_blocks(items, asked, n, len(tuning), cfg.k + 1, cfg).where("query <> item").join(items, "item")
+    near: dict[int, list[bytes]] = {}
+    for r in true.select("query", "v").collect():
+        near.setdefault(r.query, []).append(r.v)
+    codes = fit(np.array([double(r.v) for r in sampled]).reshape(-1, dim), [(double(tuning[q]), np.array([double(v) for v in near[q]])) for q in sorted(near)], cfg)
+    found = materialise(_in_blocks(items, queries, n, n_queries, cfg.k + 1, cfg, codes), "mih-found")
+    enough = found.groupBy("query").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > min(cfg.k, n - 1))
+    if enough.count() == n_queries:
         return found
-    rest = _in_blocks(items, few, n, n_few, cfg.k + 1, cfg)
-    return spark.createDataFrame([], SCORED).unionByName(found.join(few.select("query"), "query", "left_anti")).unionByName(rest)
+    few = materialise(queries.join(enough, "query", "left_anti"), "mih-few")
+    rest = _in_blocks(items, few, n, few.count(), cfg.k + 1, cfg)
+    return found.join(few.select("query"), "query", "left_anti").unionByName(rest)
 
 
 def neighbours(vectors: DataFrame, is_query: Column, cfg: MihConfig = MihConfig(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -261,8 +260,8 @@ def neighbours(vectors: DataFrame, is_query: Column, cfg: MihConfig = MihConfig(
     for size in sizes:
         own = items.where(F.col("size") == size).select("item", "v")
         queries = materialise(own.withColumnRenamed("item", "query").join(asked, "query"), "mih-queries")
-        if not queries.isEmpty():
-            found = found.unionByName(_search(own, queries, size // 8, cfg))
+        if n_queries := queries.count():
+            found = found.unionByName(_search(own, queries, n_queries, size // 8, cfg))
     # from items back to rows: the k + 1 smallest ids of each item are all that any query can need
     least = member.withColumn("_n", F.row_number().over(Window.partitionBy("item").orderBy("vec_id"))).where(F.col("_n") <= cfg.k + 1).select("item", "vec_id")
     near = _best(found.join(least, "item").select("query", F.col("vec_id").alias("item"), "score"), cfg.k + 1)

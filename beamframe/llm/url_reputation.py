@@ -197,7 +197,6 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, cfg: ReputationConfig = Re
     keys = hosts.select("host", F.explode(levels).alias("x")).select("host", "x.*")
     best = keys.join(rep, ["level", "key"]).groupBy("host").agg(F.min(F.struct("rank", "a", "b")).alias("x"))
     judged = best.select("host", F.round(beta_below(F.col("x.a"), F.col("x.b"), cfg.min_good_rate, cfg.steps), 6).alias("bad_certainty"))
-    judged = materialise(judged, "url-verdicts")
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("bad_certainty") >= cfg.certainty, "block").otherwise("allow")
     return p.join(judged, "host", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), "bad_certainty")
