@@ -113,7 +113,7 @@ class TokenFlags(dict):
         bare = token if token[:1].isalnum() and token[-1:].isalnum() else _EDGES.sub("", token)
         low, letters = bare.lower(), bare.isalpha()
         stretched = _STRETCH.search(low) is not None
-        folded = low if letters and not stretched else fold(token)
+        folded = low if low.isalpha() and not stretched else fold(token)
         f = STRETCHED if stretched else 0
         if self.listed(low):
             f |= HIT
