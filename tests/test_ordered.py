@@ -72,8 +72,9 @@ def test_empty_tables(spark):
 def test_counter_resets(spark):
     rows = [(1, 5, 10), (2, 8, 20), (3, 2, 4), (4, 2, 4)]
     df = spark.createDataFrame([("a", *r) for r in rows], "k string, t bigint, g bigint, u bigint")
-    got = [r.live for r in df.select("t", O.counter_ratio(df, ["t"], "g", "u", ["k"]).alias("live")).orderBy("t").collect()]
-    assert got == [0.5, 0.3, 0.5, -1.0]
+    for block in (None, 2):
+        got = [r.live for r in O.counter_ratio(df, "t", "g", "u", ["k"], block).orderBy("t").collect()]
+        assert got == [0.5, 0.3, 0.5, -1.0]
 
 
 def test_row_numbers_over_blocks(spark):
