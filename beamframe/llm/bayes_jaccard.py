@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beamframe.llm.common import components, materialise, small_batches
+from beamframe.llm.common import components, held, materialise, small_batches
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -88,9 +88,8 @@ class WordHashes(dict):
         return h
 
 
-@lru_cache(maxsize=1)
 def word_hashes() -> WordHashes:
-    return WordHashes()
+    return held("shingles", (), WordHashes)
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:

@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Hashable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from beamframe.plans.scratch import delete_path, scratch_path, scratch_scope
 from beamframe.plans.scratch import stored as materialise
 
-__all__ = ["components", "delete_path", "fold_columns", "id_fold", "materialise", "scratch_path", "scratch_scope", "slot_sample_ids", "small_batches", "table", "unfold_columns"]
+__all__ = ["components", "delete_path", "fold_columns", "held", "id_fold", "materialise", "scratch_path", "scratch_scope", "slot_sample_ids", "small_batches", "table", "unfold_columns"]
+
+
+_HELD: dict = {}
+
+
+def held(kind: str, key: Hashable, build: Callable[[], object]):
+    """What a Python worker remembers between tasks (an automaton, a cache of words), one thing at a time: a
+    worker outlives its stages, and what the last operator remembered makes room for the next one's."""
+    if (kind, key) not in _HELD:
+        _HELD.clear()
+        _HELD[kind, key] = build()
+    return _HELD[kind, key]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from beamframe.llm.common import id_fold, slot_sample_ids, small_batches
+from beamframe.llm.common import held, id_fold, slot_sample_ids, small_batches
 
 UND = "und"
 PAD, SPACE, OTHER = 0, 1, 2  # letter classes: after the end, between words, in no training text
@@ -57,7 +57,7 @@ class LangConfig:
     max_langs: int = 1000  # labels
     worst: float = 2.0  # times as long as coding letters one by one: such texts are rejected
     block: int = 1024  # letters of a text that advance as one row
-    rows: int = 4096  # rows that advance together
+    rows: int = 2048  # rows that advance together
 
 
 def training_sample(docs: DataFrame, labelled: Column, cfg: LangConfig = LangConfig()) -> list[tuple[str, str]]:
@@ -284,16 +284,10 @@ class CrossParser:
         return [self.langs[b] if n else UND for b, n in zip(best.tolist(), letters.tolist(), strict=True)], score, bits, rejected
 
 
-_PARSERS: dict[tuple, CrossParser] = {}
-
-
 def parser_of(sample: list[tuple[str, str]], cfg: LangConfig) -> CrossParser:
     """One per worker and sample, kept between tasks."""
     key = (hashlib.sha256(repr(sample).encode("utf-8", "surrogatepass")).hexdigest(), cfg)
-    if key not in _PARSERS:
-        _PARSERS.clear()
-        _PARSERS[key] = CrossParser(sample, cfg)
-    return _PARSERS[key]
+    return held("language", key, lambda: CrossParser(sample, cfg))
 
 
 def predict_languages(docs: DataFrame, sample: list[tuple[str, str]], cfg: LangConfig = LangConfig(), keep: list[str] | None = None) -> DataFrame:

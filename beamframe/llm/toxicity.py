@@ -23,7 +23,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
-from beamframe.llm.common import id_fold, materialise, slot_sample_ids, small_batches
+from beamframe.llm.common import held, id_fold, materialise, slot_sample_ids, small_batches
 
 #: Seed list of insults; words are matched after folding
 SEED = frozenset(
@@ -91,7 +90,7 @@ def fold(token: str) -> str:
 class TokenFlags(dict):
     """token -> flags, remembered; cleared when it holds `limit` tokens."""
 
-    def __init__(self, lexicon: frozenset[str], limit: int = 200_000):
+    def __init__(self, lexicon: frozenset[str], limit: int = 100_000):
         super().__init__()
         self.words = SEED | {s[:-1] for s in lexicon if s.endswith(" ")}
         self.stems = frozenset(s for s in lexicon if not s.endswith(" "))
@@ -181,10 +180,9 @@ def features_of(text: str | None, flags: TokenFlags, cfg: ToxicityConfig) -> lis
     return [float(x) for x in out]
 
 
-@lru_cache(maxsize=1)
 def token_flags(lexicon: frozenset[str]) -> TokenFlags:
     """One per Python worker and lexicon, kept between tasks."""
-    return TokenFlags(lexicon)
+    return held("toxicity", lexicon, lambda: TokenFlags(lexicon))
 
 
 def with_features(docs: DataFrame, lexicon: frozenset[str], carried: list[str], cfg: ToxicityConfig = ToxicityConfig()) -> DataFrame:

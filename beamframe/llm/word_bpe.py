@@ -12,7 +12,8 @@ import os
 import re
 import unicodedata
 from array import array
-from functools import lru_cache
+
+from beamframe.llm.common import held
 
 VOCAB_FILE = "word_bpe_49k.json"
 END = "</w>"
@@ -94,7 +95,7 @@ def plain_letters(word: str) -> bool:
 class WordCache(dict):
     """piece -> ids as little-endian uint16 bytes; cleared when it holds `limit` pieces."""
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 400_000):
         super().__init__()
         self.tok = load_tokenizer(path)
         self.merge = merge_core(path).encode_single_piece
@@ -131,7 +132,6 @@ class WordCache(dict):
         return [self.tok.id_to_token(i) or "" for i in range(self.n_vocab)]
 
 
-@lru_cache(maxsize=2)
 def word_cache(path: str) -> WordCache:
     """One per Python worker and vocabulary, kept between tasks."""
-    return WordCache(path)
+    return held("words", path, lambda: WordCache(path))
