@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beamframe.llm import bayes_jaccard, chat_format, chunked_bpe, cross_parsing, exact_dedup, multi_index_hashing, packing, token_rollup, toxicity, url_reputation
+from beamframe.llm import bayes_jaccard, chat_format, chunked_bpe, cross_parsing, exact_dedup, merkle_manifest, multi_index_hashing, packing, token_rollup, toxicity, url_reputation
 from beamframe.llm.common import scratch_path, table
 
 
@@ -58,6 +58,10 @@ def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rollup.maintain(store, table(spark, sf_dir, "documents"), "word_bpe_49k")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.verify_manifest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_cross_parsing": op1_cross_parsing,
@@ -70,8 +74,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_token_rollup": op9_token_rollup,
         "op10_exact_dedup": op10_exact_dedup,
+        "op11_merkle_manifest": op11_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_reputation": url_reputation.ORACLE_SQL, "op10_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op6_url_reputation": url_reputation.ORACLE_SQL, "op10_exact_dedup": exact_dedup.ORACLE_SQL, "op11_merkle_manifest": merkle_manifest.ORACLE_SQL}
