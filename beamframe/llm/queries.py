@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beamframe.llm import bayes_jaccard, chat_format, chunked_bpe, collocations, cross_parsing, exact_dedup, merkle_manifest, multi_index_hashing, packing, token_rollup, toxicity, url_reputation
+from beamframe.llm import bayes_jaccard, chat_format, chunked_bpe, collocations, cross_parsing, exact_dedup, merkle_manifest, multi_index_hashing, packing, tag_path_extract, token_rollup, toxicity, url_reputation
 from beamframe.llm.common import scratch_path, table
 
 
@@ -62,6 +62,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.verify_manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_tag_path_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tag_path_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -79,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_token_rollup": op9_token_rollup,
         "op10_exact_dedup": op10_exact_dedup,
         "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_tag_path_extract": op12_tag_path_extract,
         "op13_collocations": op13_collocations,
     }
 
