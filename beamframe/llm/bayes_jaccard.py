@@ -23,7 +23,7 @@ others); n_links, its other copies plus the different texts of a similarity that
 n_copies, documents with the same set; class_size, documents of the class.
 
 Defined cases: null, empty and blank texts have no shingle, link to nothing and are classes of their
-own (class_id is their doc_id, n_links 0); repeated rows are copies of each other; a null doc_id is
+own (class_id is their doc_id, n_links 0); repeated rows are copies of each other, and one set; a null doc_id is
 returned and counts in its class; extra columns are ignored; an empty table gives no rows."""
 
 from __future__ import annotations
@@ -209,27 +209,47 @@ def _prune(pairs: DataFrame, nodes: DataFrame, cfg: JaccardConfig) -> DataFrame:
     return pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a binary, b binary")
 
 
+def chosen_rows(rows: DataFrame) -> DataFrame:
+    """Nodes of the described rows: k, doc_id (its smallest), n_copies, sig, bands, and the one row that its
+    set is read from (pick_id, pick_hash), with `repeated`, whether that row stands in the table more than once."""
+    known = rows.where("k IS NOT NULL")
+    pick = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("pick")
+    nodes = known.groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), pick)
+    nodes = nodes.select("k", "doc_id", "n_copies", "sig", "bands", F.col("pick.doc_id").alias("pick_id"), F.col("pick.text_hash").alias("pick_hash"))
+    again = known.groupBy("k", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = again.select(F.col("k").alias("_k"), F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    met = nodes.join(again, (F.col("k") == F.col("_k")) & F.col("pick_id").eqNullSafe(F.col("_id")) & (F.col("pick_hash") == F.col("_hash")), "left")
+    return met.withColumn("repeated", F.col("_k").isNotNull()).drop("_k", "_id", "_hash")
+
+
 def _sets(ks: DataFrame, nodes: DataFrame, docs: DataFrame, cfg: JaccardConfig) -> DataFrame:
-    """k, s, long_sig of the wanted nodes: whole sets and longer signatures, from the texts."""
-    wanted = nodes.select("k", "doc_id").join(ks, "k")
+    """k, s, long_sig of the wanted nodes, a row a node: whole sets and longer signatures, from the texts.
+
+    A node's set is read from one row, chosen by id and hash of the text. Where that row is repeated, its
+    texts are grouped first; that is the only shuffle of texts that this may need."""
+    wanted = materialise(nodes.select("k", "pick_id", "pick_hash", "repeated").join(ks, "k"), "jaccard-wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
         for b in batches:
             keys, sets, sigs = [], [], []
             for k, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                if k == last:  # a repeated row, next to the first one after the join
-                    continue
                 s = shingle_set(t.as_py(), cfg.words)
-                if set_key(s) == k:  # a doc_id may have several texts
-                    last = k
+                if set_key(s) == k:  # another text of that id may share the text's hash
                     keys.append(k)
                     sets.append(s.tobytes())
                     sigs.append(signature(minhash(s, cfg, cfg.long_hashes)).tobytes())
             yield pa.RecordBatch.from_arrays([_binary(keys), _binary(sets), _binary(sigs)], ["k", "s", "long_sig"])
 
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("_id"), "text").join(wanted, F.col("_id").eqNullSafe(F.col("doc_id")))
-    return texts.select("k", "text").mapInArrow(run, "k binary, s binary, long_sig binary")
+    read = docs.select(F.col("doc_id").cast("bigint").alias("_id"), F.xxhash64("text").alias("_hash"), "text")
+
+    def met(keys: DataFrame) -> DataFrame:
+        return read.join(keys, F.col("_id").eqNullSafe(F.col("pick_id")) & (F.col("_hash") == F.col("pick_hash"))).select("k", "text")
+
+    texts = met(wanted.where("NOT repeated"))
+    again = wanted.where("repeated")
+    if not again.isEmpty():
+        texts = texts.unionByName(met(again).groupBy("k", "text").agg(F.count(F.lit(1)).alias("_n")).select("k", "text"))
+    return texts.mapInArrow(run, "k binary, s binary, long_sig binary")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, cfg: JaccardConfig) -> DataFrame:
@@ -378,10 +398,7 @@ def similarity_classes(docs: DataFrame, cfg: JaccardConfig = JaccardConfig()) ->
     the text, to tell rows with one doc_id apart)."""
     small_batches(docs.sparkSession)
     rows = materialise(describe(docs, cfg), "jaccard-rows")
-    nodes = materialise(
-        rows.where("k IS NOT NULL").groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands")),
-        "jaccard-nodes",
-    )
+    nodes = materialise(chosen_rows(rows), "jaccard-nodes")
     banded = nodes.select("k", F.posexplode("bands").alias("no", "band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = materialise(banded.join(shared, "band"), "jaccard-members")

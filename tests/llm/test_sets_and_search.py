@@ -127,6 +127,32 @@ def test_all_links_of_a_group_count(spark, cfg):
     assert sorted(((r.doc_id, r.n_links) for r in got), key=key) == sorted(want, key=key)
 
 
+@pytest.mark.parametrize("threshold", ["3000", "-1", "10485760"])
+def test_repeated_rows_are_one_set_in_every_plan(spark, tmp_path, threshold):
+    """Rows repeated in every file, several texts of one id, ids that are null: streamed, sorted or broadcast."""
+    pairs = near_texts()[:90]
+    pairs += [(3, pairs[50][1]), (3, pairs[51][1]), (None, pairs[8][1]), (None, pairs[8][1]), (None, pairs[70][1])]
+    for i in range(6):
+        part = spark.createDataFrame([(d, t, "x", "y", "z") for d, t in pairs[i % 2 :: 2] + pairs[:20] * (i % 3)], DOC)
+        part.coalesce(1).write.parquet(f"{tmp_path}/d", mode="append")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    all_pairs = [(r.doc_id, r.text) for r in docs.collect()]
+    assert len(all_pairs) > 380
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        rows_ = bayes_jaccard.materialise(bayes_jaccard.describe(docs, bayes_jaccard.JaccardConfig()), "t")
+        nodes = bayes_jaccard.materialise(bayes_jaccard.chosen_rows(rows_), "t")
+        sets = bayes_jaccard._sets(nodes.select("k"), nodes, docs, bayes_jaccard.JaccardConfig())
+        assert sets.count() == nodes.count() == sets.select("k").distinct().count()
+        got = bayes_jaccard.similarity_classes(docs).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    key = lambda x: tuple(map(str, x))
+    assert sorted(((r.doc_id, r.n_links) for r in got), key=key) == sorted(brute_links(all_pairs), key=key)
+    assert sorted(((r.doc_id, r.class_id, r.n_links > 0) for r in got), key=key) == sorted(brute_classes(all_pairs), key=key)
+
+
 def test_a_stray_label_costs_few_rows(spark):
     """A bucket of 5000 members of one label and one stray: about as many rows as members, all pairs found."""
     cfg = bayes_jaccard.JaccardConfig(cell=512, small=4)
