@@ -10,7 +10,9 @@ a Hamming radius of a short code is ranked by exact distance; nothing that quali
 How many substrings are needed depends on the data: nearest neighbours of evenly spread vectors share
 few bits, those of clustered ones many. Fitting finds the exact neighbours of a few sampled rows in one
 pass over the table, and takes as many substrings as retrieve the share `target` of them, and the radius
-that keeps nearly all of those. Both samples are bounded (`sample_rows`, `tuning_rows`, chosen by hash);
+that keeps nearly all of those. Where `most_substrings` don't retrieve that share, probes may differ by one
+bit more; where that does not either (evenly spread vectors of many dimensions), no index would look at
+much less than everything, and all queries go the exact way, block by block. Both samples are bounded (`sample_rows`, `tuning_rows`, chosen by hash);
 every vector is indexed.
 
 The vectors are cut into blocks of bounded size by a hash of the id, and the queries into chunks; a
@@ -55,8 +57,9 @@ class MihConfig:
     tuning_rows: int = 256  # whose exact neighbours tell how many substrings are needed
     target: float = 0.97  # share of the sampled neighbours that probing must retrieve
     keep: float = 0.995  # share of the retrieved sampled neighbours that the radius must keep
-    most_substrings: int = 192
-    bits: int = 16  # of a substring
+    most_substrings: int = 192  # beyond: more flips, then the exact way
+    most_flips: int = 3
+    bits: int = 16  # of a substring, for tables of 2^bits offsets
     short_bits: int = 256  # of the code that the radius is about
     block_rows: int = 32_768
     chunk_queries: int = 32_768
@@ -96,6 +99,7 @@ class Codes:
     substrings: int
     radius: int
     short_bits: int
+    flips: int
 
     def of(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Substring values [row, substring] and short codes [row, word]."""
@@ -112,22 +116,26 @@ def masks(bits: int, flips: int) -> np.ndarray:
 
 
 class BlockIndex:
-    """The substrings' indexes of one block of vectors."""
+    """The substrings' indexes of one block of vectors: its rows in the order of their values, and where
+    each value begins."""
 
-    def __init__(self, codes: Codes, ids: np.ndarray, vectors: np.ndarray, flips: int):
-        self.codes, self.ids, self.vectors, self.near = codes, ids, vectors, masks(codes.bits, flips)
+    def __init__(self, codes: Codes, ids: np.ndarray, vectors: np.ndarray):
+        self.codes, self.ids, self.vectors, self.near = codes, ids, vectors, masks(codes.bits, codes.flips)
         values, self.short = codes.of(vectors)
-        self.order = np.argsort(values, axis=0, kind="stable")
-        self.values = np.take_along_axis(values, self.order, 0)
+        self.order = np.argsort(values, axis=0, kind="stable").astype(np.int32)
+        self.begin = np.zeros((values.shape[1], (1 << codes.bits) + 1), np.int32)
+        for s in range(values.shape[1]):
+            np.cumsum(np.bincount(values[:, s], minlength=1 << codes.bits), out=self.begin[s, 1:])
 
     def probe(self, values: np.ndarray) -> np.ndarray:
         """[query, row]: whether a row's value is within `flips` bits of the query's in some substring."""
         found = np.zeros((len(values), len(self.ids)), bool)
         for s in range(values.shape[1]):
             want = (values[:, s, None] ^ self.near).ravel()
-            lo, hi = np.searchsorted(self.values[:, s], want, "left"), np.searchsorted(self.values[:, s], want, "right")
-            hit = np.flatnonzero(hi > lo)
-            lo, runs = lo[hit], (hi - lo)[hit]
+            lo = self.begin[s, want]
+            runs = self.begin[s, want + 1] - lo
+            hit = np.flatnonzero(runs)
+            lo, runs = lo[hit], runs[hit]
             ends = np.cumsum(runs)
             if len(hit):
                 rows = np.arange(ends[-1]) + np.repeat(lo - (ends - runs), runs)
@@ -144,27 +152,31 @@ class BlockIndex:
                 yield next(nearest(np.array([q]), x[None], self.ids[rows], self.vectors[rows], k))
 
 
-def fit(vectors: np.ndarray, near: list[tuple[np.ndarray, np.ndarray]], cfg: MihConfig) -> Codes:
-    """vectors: the sample of rows; near: sampled vectors, each with its exact nearest ones."""
+def fit(vectors: np.ndarray, near: list[tuple[np.ndarray, np.ndarray]], cfg: MihConfig) -> Codes | None:
+    """vectors: the sample of rows; near: sampled vectors, each with its exact nearest ones. None, if the
+    target can't be met."""
     bits = cfg.bits
     most = max(cfg.most_substrings * bits, cfg.short_bits)
     mean, rotations = learn_rotations(vectors, most, cfg.rounds)
-    every = Codes(mean, rotations, bits, cfg.most_substrings, cfg.short_bits, cfg.short_bits)
-    found, far = [], []
+    every = Codes(mean, rotations, bits, cfg.most_substrings, cfg.short_bits, cfg.short_bits, cfg.flips)
+    apart, far = [], []
     for q, x in near:
         if not len(x):
             continue
         v, s = every.of(np.concatenate([q[None], x]))
-        found.append(np.bitwise_count(v[1:] ^ v[0]) <= cfg.flips)
+        apart.append(np.bitwise_count(v[1:] ^ v[0]))
         far.append(np.bitwise_count(s[1:] ^ s[0]).sum(1))
-    if not found:
-        return Codes(mean, rotations[:, : max(bits, cfg.short_bits)], bits, 1, cfg.short_bits, cfg.short_bits)
-    got = np.maximum.accumulate(np.concatenate(found), axis=1)
-    enough = np.flatnonzero(got.mean(0) >= cfg.target)
-    m = int(enough[0]) + 1 if len(enough) else cfg.most_substrings
-    kept = np.concatenate(far)[got[:, m - 1]]
-    radius = int(np.quantile(kept, cfg.keep, method="higher")) if len(kept) else cfg.short_bits
-    return Codes(mean, rotations[:, : max(m * bits, cfg.short_bits)], bits, m, radius, cfg.short_bits)
+    if not apart:
+        return Codes(mean, rotations[:, : max(bits, cfg.short_bits)], bits, 1, cfg.short_bits, cfg.short_bits, cfg.flips)
+    for flips in range(cfg.flips, max(cfg.flips, cfg.most_flips) + 1):
+        got = np.maximum.accumulate(np.concatenate(apart) <= flips, axis=1)
+        enough = np.flatnonzero(got.mean(0) >= cfg.target)
+        if len(enough):
+            m = int(enough[0]) + 1
+            kept = np.concatenate(far)[got[:, m - 1]]
+            radius = int(np.quantile(kept, cfg.keep, method="higher")) if len(kept) else cfg.short_bits
+            return Codes(mean, rotations[:, : max(m * bits, cfg.short_bits)], bits, m, radius, cfg.short_bits, flips)
+    return None
 
 
 def nearest(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -200,7 +212,7 @@ def _in_blocks(items: DataFrame, queries: DataFrame, n: int, n_queries: int, k:
         query_ids, x = right.column("query").to_numpy(), _matrix(right.column("v"), "<f8")
         if codes is None:
             return _table(list(nearest(query_ids, x, ids, vectors, k)))
-        return _table(list(BlockIndex(codes, ids, vectors, cfg.flips).nearest(query_ids, x, k, cfg.together)))
+        return _table(list(BlockIndex(codes, ids, vectors).nearest(query_ids, x, k, cfg.together)))
 
     met = held.groupBy("block", "chunk").cogroup(asked.groupBy("block", "chunk")).applyInArrow(meet, SCORED)
     return _best(met, k)
@@ -227,6 +239,8 @@ def _search(items: DataFrame, queries: DataFrame, n_queries: int, dim: int, cfg:
         near.setdefault(r.query, []).append(r.v)
     codes = fit(np.array([double(r.v) for r in sampled]).reshape(-1, dim), [(double(tuning[q]), np.array([double(v) for v in near[q]])) for q in sorted(near)], cfg)
     found = materialise(_in_blocks(items, queries, n, n_queries, cfg.k + 1, cfg, codes), "mih-found")
+    if codes is None:
+        return found
     enough = found.groupBy("query").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > min(cfg.k, n - 1))
     if enough.count() == n_queries:
         return found

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -225,14 +226,14 @@ def test_probing_retrieves_the_whole_radius():
     r = np.random.default_rng(5)
     x = r.normal(size=(500, 16)).cumsum(0)
     mean, rotations = multi_index_hashing.learn_rotations(x, 64, 5)
-    codes = multi_index_hashing.Codes(mean, rotations, 16, 4, 64, 64)
+    codes = multi_index_hashing.Codes(mean, rotations, 16, 4, 64, 64, 2)
     values, short = codes.of(x)
     assert np.array_equal((short.view(np.uint8) != 0).any(1), (values != 0).any(1))
     pop = np.bitwise_count(values[:, None] ^ values[None]).sum(2)
     for flips in (0, 1, 2):
         near = multi_index_hashing.masks(16, flips)
         assert len(set(near.tolist())) == len(near) == sum(math.comb(16, i) for i in range(flips + 1))
-        found = multi_index_hashing.BlockIndex(codes, np.arange(500), x, flips).probe(values[:20])
+        found = multi_index_hashing.BlockIndex(replace(codes, flips=flips), np.arange(500), x).probe(values[:20])
         assert found[pop[:20] <= 4 * (flips + 1) - 1].all()
         assert np.array_equal(found, (np.bitwise_count(values[:20, None] ^ values[None]) <= flips).any(2))
 
@@ -251,6 +252,41 @@ def test_recall(spark):
     assert hit / n >= 0.9
 
 
+def recall_of(spark, x, cfg=multi_index_hashing.MihConfig()):
+    df = spark.createDataFrame([(i, v.tolist(), 0, "", "", "") for i, v in enumerate(x)], VEC).repartition(4)
+    got = {}
+    for r in multi_index_hashing.neighbours(df, F.col("vec_id") % 40 == 0, cfg).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q in range(0, len(x), 40):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len(set(np.argsort(d, kind="stable")[:10].tolist()) & got[q])
+    return hit / (10 * len(range(0, len(x), 40)))
+
+
+@pytest.mark.parametrize(("dim", "kind"), [(64, "normal"), (384, "normal"), (768, "normal"), (384, "clusters")])
+def test_recall_of_other_shapes(spark, dim, kind):
+    """Where 192 substrings don't reach the target, more flips or the exact way do."""
+    r = np.random.default_rng(dim)
+    x = r.normal(size=(2500, dim)).astype(np.float32)
+    if kind == "clusters":
+        x = (x * 0.4 + r.normal(size=(40, dim))[r.integers(0, 40, len(x))]).astype(np.float32)
+    assert recall_of(spark, x, multi_index_hashing.MihConfig(rounds=3)) >= 0.9
+
+
+def test_a_target_out_of_reach_goes_the_exact_way(spark):
+    x = np.random.default_rng(9).normal(size=(400, 40)).astype(np.float32)
+    cfg = multi_index_hashing.MihConfig(most_substrings=2, target=0.99, most_flips=2)
+    assert recall_of(spark, x, cfg) == 1.0
+
+
+def test_more_than_1000_lengths_raise(spark):
+    df = spark.createDataFrame([(i, [1.0] * i, 0, "", "", "") for i in range(1, 1002)], VEC)
+    with pytest.raises(ValueError, match="1000 lengths"):
+        multi_index_hashing.neighbours(df, F.lit(True))
+
+
 URLS = [None, "", "no scheme", "http://", "https://A.Example.ORG/es/x?q#f", "http://example.org/en/1/2", "http://notexample.org/es/", "ftp://x.com/de/", "http://x.com/fr/1", "http://x.com?/fr/", "http://x.net#a/b", "a://b://c/d", "http://x.com/de\n/é"]
 
 
