@@ -12,12 +12,18 @@ The language with the shortest code wins. The place alone would make a tiny samp
 letters a phrase costs 3.6 bits, and one or two letters a phrase then beat a well-trained language on
 its own text.
 
-Fitting reads a bounded sample of labelled rows (`LangConfig`): at most `sample_docs` documents of a
-language, chosen by hash, whole; a document of more than `long_chars` characters only where its share
-of the hashes holds no other. A language whose sample has no letter gets no automaton and is never
-predicted. There may be at most `max_langs` labels, so the sample has a bounded number of rows; it goes
-to each Python worker, which builds its automata once. Transitions are kept sparse (rows laid over one
-another), so that alphabets of thousands of letters take no more room than the automata have edges.
+Fitting reads a bounded sample of labelled rows (`LangConfig`): at most `sample_docs` rows of a
+language, chosen by a hash of id and text, whole, so that an id with many texts counts as many rows. A
+row of more than `long_chars` characters is chosen only where its share of the hashes holds no other,
+and one of more than `most_chars` never. Rows are taken in a fixed order while all of a language have no
+more than its part of `sample_chars` characters, but one at least. A language whose sample has no letter
+gets no automaton and is never predicted. There may be at most `max_langs` labels. So rows, characters
+and languages that reach the driver are bounded whatever the table holds.
+
+Every language's automaton is built once, by a task of its own, and comes back as arrays; those of all
+languages are sent to each Python worker together. Transitions are kept sparse (rows laid over one
+another), so that alphabets of thousands of letters take no more room than the automata have edges: about
+30 bytes a letter of the sample.
 
 Prediction reads whole texts and shuffles nothing. Texts are cut into blocks that advance through the
 automata together, one letter a step; every block but a text's first starts where the block before it
@@ -33,18 +39,17 @@ length are read whole; extra columns are ignored; an empty table gives no rows."
 
 from __future__ import annotations
 
-import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from beamframe.llm.common import held, id_fold, slot_sample_ids, small_batches
+from beamframe.llm.common import id_fold, small_batches
 
 UND = "und"
 PAD, SPACE, OTHER = 0, 1, 2  # letter classes: after the end, between words, in no training text
@@ -52,8 +57,10 @@ PAD, SPACE, OTHER = 0, 1, 2  # letter classes: after the end, between words, in
 
 @dataclass(frozen=True)
 class LangConfig:
-    sample_docs: int = 24  # labelled documents per language, whole
+    sample_docs: int = 24  # labelled rows per language, whole
     long_chars: int = 8192  # longer ones are chosen only where a slot holds no other
+    most_chars: int = 1 << 20  # longer rows are not learned from
+    sample_chars: int = 4 << 20  # of all languages together, each an equal part
     max_langs: int = 1000  # labels
     worst: float = 2.0  # times as long as coding letters one by one: such texts are rejected
     block: int = 1024  # letters of a text that advance as one row
@@ -63,17 +70,26 @@ class LangConfig:
 def training_sample(docs: DataFrame, labelled: Column, cfg: LangConfig = LangConfig()) -> list[tuple[str, str]]:
     """(lang, text) pairs of the bounded sample, in a fixed order.
 
-    Only ids go through the shuffle; they are at most sample_docs * max_langs, which are broadcast."""
+    Only keys go through the shuffle (a grouped minimum, combined before it); at most sample_docs *
+    max_langs of them are chosen and broadcast to fetch their texts."""
     rows = docs.where(labelled).select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    ids = slot_sample_ids(rows, "doc_id", cfg.sample_docs, by="lang", last=F.length("text") > cfg.long_chars)
-    chosen = ids.limit(cfg.sample_docs * cfg.max_langs + 1).collect()
+    rows = rows.where(F.length("text") <= cfg.most_chars).withColumn("key", F.xxhash64("doc_id", "text"))
+    least = F.min(F.struct((F.length("text") > cfg.long_chars).alias("last"), F.xxhash64("key", F.lit(17)).alias("h"), "key", F.length("text").alias("size"))).alias("m")
+    slots = rows.groupBy("lang", F.pmod(F.xxhash64("key", F.lit(5)), F.lit(cfg.sample_docs))).agg(least).select("lang", "m.*")
+    chosen = slots.limit(cfg.sample_docs * cfg.max_langs + 1).collect()
     if len(chosen) > cfg.sample_docs * cfg.max_langs:
         raise ValueError(f"more than {cfg.max_langs} labels of languages")
     if not chosen:
         return []
-    told = docs.sparkSession.createDataFrame(chosen, ids.schema)
-    got = sorted((r.lang, r.sample_order, r.doc_id, r.text) for r in rows.join(F.broadcast(told), ["lang", "doc_id"]).distinct().collect())
-    return [(lang, text) for lang, _, _, text in got]
+    left = dict.fromkeys({r.lang for r in chosen}, cfg.sample_chars // len({r.lang for r in chosen}))
+    taken: dict[tuple[str, int], int] = {}
+    for place, r in enumerate(sorted(chosen, key=lambda r: (r.lang, r.last, r.h))):
+        if r.size <= left[r.lang] or not any(lang == r.lang for lang, _ in taken):
+            taken[r.lang, r.key] = place
+            left[r.lang] -= r.size
+    told = docs.sparkSession.createDataFrame(list(taken), "lang string, key bigint")
+    got = rows.join(F.broadcast(told), ["lang", "key"]).select("lang", "key", "text").distinct().collect()
+    return [(r.lang, r.text) for r in sorted(got, key=lambda r: (taken[r.lang, r.key], r.text))]
 
 
 def letters_of(text: str) -> np.ndarray:
@@ -146,10 +162,64 @@ class RowTable:
         self.owner[at], self.target[at] = edges[:, 0], edges[:, 2]
 
 
+@dataclass
+class LanguageTable:
+    """One language's automaton: states, the transitions, and by letter the state after a phrase's first one."""
+
+    states: int
+    base: np.ndarray
+    owner: np.ndarray
+    target: np.ndarray
+    first: np.ndarray
+
+    @classmethod
+    def of(cls, letters: np.ndarray, width: int) -> LanguageTable:
+        n, edges = suffix_automaton(letters.tolist())
+        # one more state, from which every letter starts a phrase: the first, and after a letter that
+        # the language lacks, which is a phrase of its own
+        first = np.full(width, n, np.int32)
+        root = edges[edges[:, 0] == 0]
+        first[root[:, 1]] = root[:, 2]
+        table = RowTable(n + 1, edges, width)
+        return cls(n + 1, table.base, table.owner, table.target, first)
+
+    def to_row(self) -> tuple[int, bytes, bytes, bytes, bytes]:
+        return self.states, self.base.tobytes(), self.owner.tobytes(), self.target.tobytes(), self.first.tobytes()
+
+    @classmethod
+    def from_row(cls, states: int, *arrays: bytes) -> LanguageTable:
+        return cls(states, *(np.frombuffer(a, np.int32) for a in arrays))
+
+
+def _here(letters: list[np.ndarray], width: int) -> list[LanguageTable]:
+    return [LanguageTable.of(t, width) for t in letters]
+
+
+def by_tasks(spark: SparkSession) -> Callable[[list[np.ndarray], int], list[LanguageTable]]:
+    """Builds the languages' automata in Spark tasks, one each."""
+
+    def build(letters: list[np.ndarray], width: int) -> list[LanguageTable]:
+        if not letters:
+            return []
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for no, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    made = LanguageTable.of(np.frombuffer(t, np.int32), width).to_row()
+                    yield pa.RecordBatch.from_arrays([pa.array([no], pa.int32()), pa.array([made[0]], pa.int64()), *(pa.array([x], pa.binary()) for x in made[1:])], ["no", "states", "base", "owner", "target", "first"])
+
+        rows = spark.createDataFrame([(i, bytearray(t.astype(np.int32).tobytes())) for i, t in enumerate(letters)], "no int, letters binary")
+        spread = rows.repartitionByRange(len(letters), "no")
+        got = spread.mapInArrow(run, "no int, states bigint, base binary, owner binary, target binary, first binary").collect()
+        return [LanguageTable.from_row(*tuple(r)[1:]) for r in sorted(got, key=lambda r: r.no)]
+
+    return build
+
+
 class CrossParser:
     """Suffix automata of all languages in one sparse table of steps."""
 
-    def __init__(self, sample: list[tuple[str, str]], cfg: LangConfig):
+    def __init__(self, sample: list[tuple[str, str]], cfg: LangConfig, build: Callable[[list[np.ndarray], int], list[LanguageTable]] = _here):
         self.cfg = cfg
         texts = {lang: letters_of("\n".join(t for g, t in sample if g == lang)) for lang in sorted({lang for lang, _ in sample})}
         known = np.unique(np.concatenate([np.zeros(0, np.uint32), *texts.values()]))
@@ -164,21 +234,16 @@ class CrossParser:
         self.bits = np.array([math.log2(max(2, len(t))) for t in cleaned.values()])  # of a place
         self.letter_bits = math.log2(max(2, len(known)))
         self.cost = self.bits + self.letter_bits  # of a phrase
-        states, edges = 0, [np.zeros((0, 3), np.int32)]
-        self.starts = []
-        first = np.zeros((len(cleaned), self.width), np.int32)  # state after a phrase's first letter
-        for g, t in enumerate(cleaned.values()):
-            n, e = suffix_automaton(t.tolist())
-            edges.append(e + np.array([states, 0, states], np.int32))
-            # one more state, from which every letter starts a phrase: the first, and after a letter that
-            # the language lacks, which is a phrase of its own
-            first[g] = start = states + n
-            root = e[e[:, 0] == 0]
-            first[g, root[:, 1]] = root[:, 2] + states
-            self.starts.append(start)
-            states = start + 1
-        self.first = first.ravel()
-        self.table = RowTable(states, np.concatenate(edges), self.width)
+        tables = build(list(cleaned.values()), self.width)
+        # laid one behind the other: states and places of a language come after those of the ones before
+        states = np.cumsum([0, *(t.states for t in tables)], dtype=np.int64)[:-1].astype(np.int32)
+        places = np.cumsum([0, *(len(t.owner) for t in tables)], dtype=np.int64)[:-1].astype(np.int32)
+        joined = lambda parts: np.concatenate([np.zeros(0, np.int32), *parts]).astype(np.int32)
+        self.base = joined(t.base + p for t, p in zip(tables, places, strict=True))
+        self.owner = joined(np.where(t.owner < 0, -1, t.owner + s) for t, s in zip(tables, states, strict=True))
+        self.target = joined(t.target + s for t, s in zip(tables, states, strict=True))
+        self.first = joined(t.first + s for t, s in zip(tables, states, strict=True))
+        self.starts = [int(s) + t.states - 1 for t, s in zip(tables, states, strict=True)]
 
     def _fold(self, points: np.ndarray) -> tuple[np.ndarray, int]:
         """Classes of letters with single spaces between words; how many are letters."""
@@ -215,10 +280,9 @@ class CrossParser:
 
     def _step(self, state: np.ndarray, letter: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """States [language, row] after a letter each, and where a phrase began."""
-        t = self.table
-        at = t.base[state] + letter
-        new = t.owner[at] != state
-        return np.where(new, self.first[offset + letter], t.target[at]), new
+        at = self.base[state] + letter
+        new = self.owner[at] != state
+        return np.where(new, self.first[offset + letter], self.target[at]), new
 
     def _parse(self, rows: list[np.ndarray], owner: list[int], counts: np.ndarray) -> None:
         """Adds the phrases of whole texts, given as their blocks in order."""
@@ -284,21 +348,16 @@ class CrossParser:
         return [self.langs[b] if n else UND for b, n in zip(best.tolist(), letters.tolist(), strict=True)], score, bits, rejected
 
 
-def parser_of(sample: list[tuple[str, str]], cfg: LangConfig) -> CrossParser:
-    """One per worker and sample, kept between tasks."""
-    key = (hashlib.sha256(repr(sample).encode("utf-8", "surrogatepass")).hexdigest(), cfg)
-    return held("language", key, lambda: CrossParser(sample, cfg))
-
-
 def predict_languages(docs: DataFrame, sample: list[tuple[str, str]], cfg: LangConfig = LangConfig(), keep: list[str] | None = None) -> DataFrame:
     """docs(doc_id, text) -> doc_id (or the columns `keep`), lang_pred, score, bits_per_letter, rejected."""
     small_batches(docs.sparkSession)
     carried = keep or ["doc_id"]
     cols = list(dict.fromkeys([*carried, "text"]))
-    told = docs.sparkSession.sparkContext.broadcast(sample)
+    # bounded by sample_chars
+    told = docs.sparkSession.sparkContext.broadcast(CrossParser(sample, cfg, by_tasks(docs.sparkSession)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = parser_of(told.value, cfg)
+        parser = told.value
         for b in batches:
             langs, score, bits, rejected = parser.predict(b.column(cols.index("text")).to_pylist())
             out = [pa.array(langs, pa.string()), pa.array(score), pa.array(bits), pa.array(rejected)]

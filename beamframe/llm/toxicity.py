@@ -7,14 +7,14 @@ letters, words spelt letter by letter). Trees are boosted on them, and an isoton
 neither the lexicon nor the trees have seen turns their margin into a probability.
 
 Fitting reads a bounded sample of labelled rows (`ToxicityConfig.sample_rows` of each class, chosen
-by hash), split by hash into three parts: for the lexicon, for the trees and for the calibration. The
+by hash, one text an id, none of more than `most_chars` characters), split by hash into three parts: for the lexicon, for the trees and for the calibration. The
 lexicon takes every word and stem that passes its thresholds; as each must stand in a share of the
 sampled toxic rows, the sample bounds it. Scoring reads whole texts and shuffles nothing: what a word
 tells is worked out once for each distinct word of a batch, the rest is arithmetic on arrays.
 
 Defined cases: a null text counts as empty; an empty text has all-zero features and gets the score
 that these have; null labels and labels of unknown documents do not count, a document with
-differing labels counts as toxic; rows that share a doc_id share its label, each with its own text; where a class has fewer than `least_rows` labelled rows for
+differing labels counts as toxic; of rows that share a doc_id one, chosen by a hash of its text, is learned from, and each is scored; where a class has fewer than `least_rows` labelled rows for
 the trees, texts are scored by the seed list alone, where it has fewer for the calibration, by the trees; repeated rows are scored each; extra columns are ignored; an empty table gives no rows."""
 
 from __future__ import annotations
@@ -67,6 +67,7 @@ FEATURES = (
 @dataclass(frozen=True)
 class ToxicityConfig:
     sample_rows: int = 6000  # labelled rows of each class
+    most_chars: int = 1 << 20  # longer texts are not learned from
     least_docs: int = 3  # toxic documents with the word or stem
     least_share: float = 0.01  # of the toxic documents
     least_ratio: float = 10.0  # toxic rate over clean rate
@@ -206,7 +207,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, usable: Column, cfg: Toxic
     ids = slot_sample_ids(known, "doc_id", cfg.sample_rows, by="toxic").select("doc_id", "toxic")
     part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(23)), F.lit(3))
     name = F.when(part == 0, "lexicon").when(part == 1, "trees").otherwise("calibration")
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    texts = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= cfg.most_chars).select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    # of an id's texts the one of the least hash: a grouped minimum, a row an id
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text"), "text")).getField("text").alias("text"))
     return materialise(texts.select("doc_id", "toxic", name.alias("part"), "text"), "toxicity-sample")
 
 
