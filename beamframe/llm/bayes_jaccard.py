@@ -243,7 +243,8 @@ def _sets(ks: DataFrame, nodes: DataFrame, docs: DataFrame, cfg: JaccardConfig)
     read = docs.select(F.col("doc_id").cast("bigint").alias("_id"), F.xxhash64("text").alias("_hash"), "text")
 
     def met(keys: DataFrame) -> DataFrame:
-        return read.join(keys, F.col("_id").eqNullSafe(F.col("pick_id")) & (F.col("_hash") == F.col("pick_hash"))).select("k", "text")
+        # by sorting at every size: the wanted rows grow with the input
+        return read.join(keys.hint("merge"), F.col("_id").eqNullSafe(F.col("pick_id")) & (F.col("_hash") == F.col("pick_hash"))).select("k", "text")
 
     texts = met(wanted.where("NOT repeated"))
     again = wanted.where("repeated")
