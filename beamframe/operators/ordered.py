@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from beamframe.scratch import stored
+
 _B = "_block"
 
 
@@ -129,43 +131,47 @@ def with_one(df: DataFrame, one: DataFrame) -> DataFrame:
     return df.join(F.broadcast(one), F.lit(True), "left")
 
 
-def exact_median(df: DataFrame, value: str, keys: Sequence[str] = (), bins: int = 4096) -> DataFrame:
+def value_ranges(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, _v, _c, _range: different values with their counts, stored in ranges of a global sort."""
+    x = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
+    counted = x.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    return stored(counted.orderBy(*keys, "_v").withColumn("_range", F.spark_partition_id()), "ranges")
+
+
+def exact_median(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """keys, n, median (even n: mean of the middle two) of a number column's values, exact.
 
-    Values are counted in `bins` equal bins between the least and the greatest; only the bins that hold the
-    middle ranks are looked at again, so no task sees all values (equal ones are one row with a count)."""
+    Different values with their counts are sorted into ranges of about equal numbers of rows, whatever the
+    values are, so neither tails nor outliers nor a value that repeats make one range large. The ranges'
+    counts tell which of them hold the middle ranks; only these are looked at again, each in a task."""
     keys = list(keys)
-    x = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
-    ends = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    meet = (lambda d, e: d.join(e, keys)) if keys else with_one
-    width = (F.col("_hi") - F.col("_lo")) / bins
-    at = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(bins - 1))).otherwise(0)
-    binned = meet(x, ends).withColumn("_bin", at)
-    counts = binned.groupBy(*keys, "n", "_bin").agg(F.count(F.lit(1)).alias("_c"))
-    upto = F.sum("_c").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_bin"))  # at most `bins` rows a key
-    ranks = counts.withColumn("_upto", upto).withColumn("_before", F.col("_upto") - F.col("_c"))
+    ranges = value_ranges(df, value, keys)
+    whole = Window.partitionBy(*(keys or [F.lit(0)]))  # a row a range
+    sizes = ranges.groupBy(*keys, "_range").agg(F.sum("_c").alias("_in"))
+    sizes = sizes.withColumn("n", F.sum("_in").over(whole)).withColumn("_before", F.sum("_in").over(whole.orderBy("_range")) - F.col("_in"))
     first, second = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
-    holds = lambda r: (F.col("_before") < r) & (r <= F.col("_upto"))
-    middle = ranks.where(holds(first) | holds(second)).select(*keys, "_bin", "_before")
-    values = binned.join(F.broadcast(middle), [*keys, "_bin"]) if not keys else binned.join(middle, [*keys, "_bin"])
-    same = values.groupBy(*keys, "n", "_bin", "_before", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    own = F.sum("_c").over(Window.partitionBy(*keys, "_bin").orderBy("_v")) + F.col("_before")
-    r = same.withColumn("_upto", own).withColumn("_before", F.col("_upto") - F.col("_c"))
-    pick = lambda k: F.max(F.when(holds(k), F.col("_v")))
+    holds = lambda r, size: (F.col("_before") < r) & (r <= F.col("_before") + F.col(size))
+    middle = sizes.where(holds(first, "_in") | holds(second, "_in")).select(*(F.col(k).alias(f"_{i}") for i, k in enumerate(keys)), F.col("_range").alias("_r"), "_before", "n")
+    on = F.col("_range") == F.col("_r")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_{i}"))
+    own = F.sum("_c").over(Window.partitionBy(*keys, "_range").orderBy("_v"))
+    r = ranges.join(middle, on).withColumn("_before", F.col("_before") + own - F.col("_c"))
+    pick = lambda k: F.max(F.when(holds(k, "_c"), F.col("_v")))
     return r.groupBy(*keys, "n").agg(((pick(first) + pick(second)) / 2).alias("median"))
 
 
 def robust_stats(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """n, median, mad and sigma = 1.4826 mad, exact; is_valid where n > 1 and sigma > 0.
 
-    A group without values gives no row."""
+    A group without values gives no row. Both medians are stored, so what reads the result runs neither again."""
     keys = list(keys)
     rows = df.select(*keys, F.col(value).alias("_x")).where("_x IS NOT NULL")
-    med = exact_median(rows, "_x", keys)
+    med = stored(exact_median(rows, "_x", keys), "medians")
     joined = rows.join(med, keys) if keys else with_one(rows, med)
     off = exact_median(joined.select(*keys, F.abs(F.col("_x") - F.col("median")).alias("_off")), "_off", keys).withColumnRenamed("median", "mad").drop("n")
     both = med.join(off, keys) if keys else with_one(med, off)
-    return both.withColumn("sigma", 1.4826 * F.col("mad")).withColumn("is_valid", (F.col("n") > 1) & (F.col("sigma") > 0))
+    return stored(both.withColumn("sigma", 1.4826 * F.col("mad")).withColumn("is_valid", (F.col("n") > 1) & (F.col("sigma") > 0)), "robust")
 
 
 def within(value: Column, low: float | None = None, high: float | None = None) -> Column:

@@ -153,7 +153,9 @@ SELECT user_id, round(avg(m.lms * r.alpha / r.lms), 6) AS gain FROM m CROSS JOIN
 def gain_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monitor mean times reference source over reference monitor, averaged over the references."""
     e = table(spark, sf_dir, "events")
-    r = e.where(F.col("event_type").isin("error", "signup")).groupBy("event_type").agg(F.avg("value").alias("lms"), F.percentile("value", 0.5).alias("alpha")).where("lms > 0")
+    references = e.where(F.col("event_type").isin("error", "signup"))
+    alpha = O.exact_median(references, "value", ["event_type"]).select("event_type", F.col("median").alias("alpha"))
+    r = references.groupBy("event_type").agg(F.avg("value").alias("lms")).where("lms > 0").join(alpha, "event_type")
     scale = r.agg(F.avg(F.col("alpha") / F.col("lms")).alias("scale"))
     m = e.where("event_type = 'click'").groupBy("user_id").agg(F.avg("value").alias("lms"))
     return O.with_one(m, scale).select("user_id", F.round(F.col("lms") * F.col("scale"), 6).alias("gain"))

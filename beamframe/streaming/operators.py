@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from beamframe.scratch import file_system
+
 
 def read_stream(spark: SparkSession, folder: str, schema: StructType, pattern: str = "*.parquet", files: int = 8) -> DataFrame:
     """New files of a folder as a stream."""
@@ -181,10 +183,17 @@ def run_to_table(stream: DataFrame, path: str, mode: str = "append") -> DataFram
 
 
 def keep_last(batch: DataFrame, number: int, path: str, order: str, n: int) -> None:
-    """For foreachBatch: a ring of the last n rows, as a folder per batch that replaces the one before."""
+    """For foreachBatch: a ring of the last n rows, as a folder per batch. The ring before stays until the
+    next batch, so that a batch that is delivered again finds what it found the first time."""
     spark = batch.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/ring={number - 1}")
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    rows = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/ring={number - 1}")) if fs.exists(hadoop) else batch
+    ring = lambda k: file_system(spark, f"{path}/ring={k}")
+    before, fs = ring(number - 1)
+    rows = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/ring={number - 1}")) if fs.exists(before) else batch
     rows.orderBy(F.desc(order)).limit(n).write.mode("overwrite").parquet(f"{path}/ring={number}")
-    fs.delete(hadoop, True)
+    fs.delete(ring(number - 2)[0], True)
+
+
+def read_ring(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The ring after the last batch."""
+    rings = spark.read.schema(schema).option("basePath", path).parquet(f"{path}/ring=*")
+    return rings.join(rings.agg(F.max("ring").alias("ring")), "ring").drop("ring")  # a table of one row

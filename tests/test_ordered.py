@@ -88,10 +88,10 @@ def test_exact_medians(spark):
     r = np.random.default_rng(4)
     groups = {1: r.normal(size=500), 2: np.append(r.normal(size=300) * 1e-9, [1e12, -1e12]), 3: np.repeat(5.0, 40), 4: np.array([7.0]), 5: np.array([1.0, 2.0]), 6: r.integers(0, 3, 1000).astype(float)}
     df = spark.createDataFrame([(k, float(v)) for k, g in groups.items() for v in g] + [(1, None), (9, None)], "k int, v double")
-    got = {x.k: (x.n, x.median) for x in O.exact_median(df, "v", ["k"], bins=16).collect()}
+    got = {x.k: (x.n, x.median) for x in O.exact_median(df, "v", ["k"]).collect()}
     assert got == {k: (len(g), pytest.approx(float(np.median(g)))) for k, g in groups.items()}
     every = np.concatenate(list(groups.values()))
-    assert [(x.n, x.median) for x in O.exact_median(df, "v", bins=16).collect()] == [(len(every), pytest.approx(float(np.median(every))))]
+    assert [(x.n, x.median) for x in O.exact_median(df, "v").collect()] == [(len(every), pytest.approx(float(np.median(every))))]
     assert O.robust_stats(df.where("v IS NULL"), "v").collect() == []
 
 
@@ -109,3 +109,53 @@ def test_blocks_change_nothing(spark, block):
     for stretch in (1, 2, 100):
         got = O.over_last(df, "t", 4, {"s": F.sum("v")}, ["k"], block, stretch).collect()
         assert len(got) == len(rows) and {(g.k, g.t): g.s for g in got} == want
+
+
+@pytest.mark.parametrize("keyed", [False, True])
+def test_exact_median_of_odd_values(spark, keyed):
+    r = random.Random(6)
+    rows = [(k, r.choice([r.random(), 1e300, -1e300, 5.0, float(r.randrange(4))])) for k in (None, "a", "b", "c") for _ in range(r.choice([1, 2, 31, 40]))] + [("d", None), ("e", 2.5)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {x[0] if keyed else "": (x.n, x.median) for x in O.exact_median(df, "v", ["k"] if keyed else []).collect()}
+    want = {}
+    for k in {k for k, v in rows if v is not None} if keyed else {""}:
+        v = [x for j, x in rows if x is not None and (j == k or not keyed)]
+        want[k] = (len(v), float(np.median(v)))
+    assert got == want
+
+
+def test_an_outlier_does_not_unbalance_the_ranges(spark):
+    v = F.when(F.col("id") == 77, F.lit(1e300)).when(F.col("id") % 3 == 0, F.lit(1.0)).otherwise(F.rand(3))
+    key = "spark.sql.adaptive.coalescePartitions.enabled"  # small ranges would be put together
+    spark.conf.set(key, "false")
+    try:
+        ranges = O.value_ranges(spark.range(200_000).select(v.alias("v")), "v")
+    finally:
+        spark.conf.unset(key)
+    sizes = [x["count"] for x in ranges.groupBy("_range").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 1.5 * sum(sizes) / len(sizes)
+
+
+def test_another_thread_keeps_its_scratch_tables(spark):
+    import threading
+
+    from beamframe.scratch import scratch_scope, stored
+
+    inside, opened, written = {}, threading.Event(), threading.Event()
+
+    def other():
+        opened.wait(30)
+        inside["df"] = stored(spark.range(5).toDF("v"), "thread")
+        written.set()
+
+    t = threading.Thread(target=other)
+    t.start()
+    with scratch_scope():
+        opened.set()
+        assert written.wait(60)
+        own = stored(spark.range(3).toDF("v"), "own")
+        assert own.count() == 3
+    t.join()
+    assert inside["df"].count() == 5
+    with pytest.raises(Exception, match="(?i)does not exist|not found|FILE_NOT_EXIST"):
+        own.count()

@@ -31,7 +31,14 @@ def test_ring_keeps_the_last(spark, tmp_path):
     s = split_stream(spark, f"{tmp_path}/r", [(i,) for i in range(30)], "t bigint", 3)
     q = s.writeStream.foreachBatch(lambda b, n: T.keep_last(b, n, f"{tmp_path}/ring", "t", 5)).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination()
-    assert sorted(r.t for r in spark.read.parquet(f"{tmp_path}/ring").collect()) == list(range(25, 30))
+    schema = spark.read.parquet(f"{tmp_path}/r/in").schema
+    assert sorted(r.t for r in T.read_ring(spark, f"{tmp_path}/ring", schema).collect()) == list(range(25, 30))
+
+
+def test_ring_of_a_batch_that_comes_again(spark, tmp_path):
+    for number, rows in [(0, [1, 2, 3]), (1, [4, 5]), (1, [4, 5]), (2, [6]), (2, [6])]:
+        T.keep_last(spark.createDataFrame([(t,) for t in rows], "t bigint"), number, f"{tmp_path}/ring", "t", 4)
+    assert sorted(r.t for r in T.read_ring(spark, f"{tmp_path}/ring", spark.createDataFrame([], "t bigint").schema).collect()) == [3, 4, 5, 6]
 
 
 def test_files_round_trip(spark, tmp_path):
