@@ -11,6 +11,8 @@ from beamframe.plans.registry import query, table
 from beamframe.scratch import scratch_path
 from beamframe.sources import bank_source as S
 from beamframe.sources import banks as B
+from beamframe.streaming.live import live_banks
+from beamframe.streaming.operators import run_to_table
 
 SEGMENTS = 8
 RANGE = 256 << 10  # small ones here, so that a segment is several ranges
@@ -66,3 +68,11 @@ def bank_file_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = S.read_events(spark, path, index, "file string, event bigint, depth int, tag int").where("depth = 0 AND tag >= 128")
     info = top.select("file", "event", (F.col("tag") - 128).alias("trigger_type"))
     return R.event_index(info, F.col("trigger_type") == 2, block=1000).select(segment(), "number", "event")
+
+
+@query(f"""SELECT segment, event, kind AS trigger_type FROM (SELECT o_orderkey % {SEGMENTS} AS segment, row_number() OVER (PARTITION BY o_orderkey % {SEGMENTS} ORDER BY o_orderkey) - 1 AS event, o_custkey % 8 AS kind FROM orders) WHERE kind <> 2""")
+def stream_live_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a run that is read while it may still be written, without monitoring events."""
+    path, _ = run_files(spark, sf_dir)
+    top = live_banks(spark, path, "file string, event bigint, depth int, tag int").where("depth = 0 AND tag >= 128 AND tag <> 130")
+    return run_to_table(top.select(segment(), "event", (F.col("tag").cast("bigint") - 128).alias("trigger_type")), scratch_path(spark, "live"))

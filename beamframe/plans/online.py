@@ -9,6 +9,7 @@ from beamframe.operators import counting as C
 from beamframe.plans.registry import query, table
 from beamframe.plans.scratch import scratch_path
 from beamframe.streaming import operators as T
+from beamframe.streaming import stateful as ST
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,3 +99,39 @@ def stream_flush_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups that are flushed at eight rows or after 900 event numbers."""
     e = event_stream(spark, sf_dir).select("user_id", "event_id")
     return T.run_to_table(T.flush_groups(e, "user_id", "event_id", 8, 900), scratch_path(spark, "stream"))
+
+
+_FLUSHED = """e AS (SELECT user_id, event_id, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+g AS (SELECT user_id, event_id, k, ms AS begun, ms, 0::BIGINT AS flush, 1::BIGINT AS n, ''::VARCHAR AS why FROM e WHERE k = 1
+UNION ALL SELECT e.user_id, e.event_id, e.k, CASE WHEN g.n >= 8 OR e.ms - g.begun >= 7200000 THEN e.ms ELSE g.begun END, e.ms, g.flush + CASE WHEN g.n >= 8 OR e.ms - g.begun >= 7200000 THEN 1 ELSE 0 END, CASE WHEN g.n >= 8 OR e.ms - g.begun >= 7200000 THEN 1 ELSE g.n + 1 END, '' FROM g JOIN e ON e.user_id = g.user_id AND e.k = g.k + 1)"""
+
+
+@query(f"""WITH RECURSIVE {_FLUSHED}, w AS (SELECT user_id, flush, count(*) AS n_rows, min(event_id) AS first, max(event_id) AS last, min(begun) AS begun FROM g GROUP BY 1, 2)
+SELECT user_id, flush, n_rows, first, last, CASE WHEN n_rows = 8 THEN 'size' ELSE 'age' END AS reason FROM w
+WHERE n_rows = 8 OR begun + 7200000 <= (SELECT epoch_ms(max(ts)) FROM events) - 600000""")
+def stream_timed_flush(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups flushed at eight rows or two hours after the first one: by a later row or, where none comes, by the
+    timer that the watermark reaches."""
+    e = event_stream(spark, sf_dir).select("user_id", "event_id", "ts")
+    return T.run_to_table(ST.flush_by_size_or_age(e, "user_id", "event_id", "ts", 8, 7_200_000, "10 minutes"), scratch_path(spark, "stream"), provider=ST.ROCKSDB)
+
+
+@query("""WITH r AS (SELECT user_id % 4 AS run, event_id, event_type AS channel, value FROM events WHERE event_type <> 'click' AND value IS NOT NULL), c AS (SELECT DISTINCT run, channel FROM r), p AS (SELECT user_id % 4 AS run, event_id FROM events WHERE event_type = 'click'),
+x AS (SELECT run, channel, event_id, value, FALSE AS wanted FROM r UNION ALL SELECT run, channel, event_id, NULL, TRUE FROM p JOIN c USING (run)), f AS (SELECT *, last_value(value IGNORE NULLS) OVER (PARTITION BY run, channel ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS latest FROM x)
+SELECT run, event_id, channel, latest AS value FROM f WHERE wanted AND latest IS NOT NULL""")
+def stream_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every physics event with the latest reading of all channels of its run."""
+    channel = F.when(F.col("event_type") != "click", F.col("event_type"))
+    e = event_stream(spark, sf_dir).select((F.col("user_id") % 4).alias("run"), "event_id", channel.alias("channel"), "value")
+    return T.run_to_table(ST.snapshots(e, "run", "event_id", "channel", "value"), scratch_path(spark, "stream"), provider=ST.ROCKSDB)
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events), g AS (SELECT user_id, event_id, k, event_id AS last, TRUE AS kept FROM e WHERE k = 1
+UNION ALL SELECT e.user_id, e.event_id, e.k, CASE WHEN e.event_id - g.last >= 50 THEN e.event_id ELSE g.last END, e.event_id - g.last >= 50 FROM g JOIN e ON e.user_id = g.user_id AND e.k = g.k + 1),
+s AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, count(*) OVER (PARTITION BY user_id) AS n FROM g WHERE kept)
+SELECT user_id, seq % 20 AS slot, event_id FROM s WHERE seq > n - 20""")
+def stream_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ring of a user's last 20 events, let in at least 50 event numbers apart."""
+    e = event_stream(spark, sf_dir).select("user_id", "event_id")
+    pushed = T.run_to_table(ST.throttled_ring(e, "user_id", "event_id", "event_id", 20, 50), scratch_path(spark, "stream"), provider=ST.ROCKSDB)
+    return ST.ring_content(pushed, "user_id", "event_id")

@@ -167,8 +167,8 @@ def flush_groups(stream: DataFrame, key: str, order: str, size: int, age: int) -
     return _stateful(stream, key, order, step, f"{order} bigint, flush bigint", "n_group bigint, n_rows bigint, begun bigint")
 
 
-def run_to_table(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that its source holds and read the result back.
+def run_to_table(stream: DataFrame, path: str, mode: str = "append", provider: str | None = None) -> DataFrame:
+    """Run a stream over all that its source holds and read the result back; `provider` keeps its state.
 
     Each batch goes to its own folder, so a batch that is retried replaces itself; in complete and
     update mode the batch is the whole result or the newest rows by folder."""
@@ -177,8 +177,16 @@ def run_to_table(stream: DataFrame, path: str, mode: str = "append") -> DataFram
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/data/batch={number if mode != 'complete' else 0}")
 
-    q = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    if provider:
+        spark.conf.set(key, provider)
+    try:
+        q = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        if provider:
+            spark.conf.set(key, before) if before else spark.conf.unset(key)
     return spark.read.schema(stream.schema).parquet(f"{path}/data/batch=*")
 
 
