@@ -94,34 +94,32 @@ def split_island(x: np.ndarray, y: np.ndarray, e: np.ndarray, cfg: IslandConfig)
     return tops, share / np.maximum(share.sum(0), 1e-300)
 
 
+def event_clusters(hx: np.ndarray, hy: np.ndarray, he: np.ndarray, cfg: IslandConfig) -> list[tuple[float, float, float, int]]:
+    """(energy, x, y, n_blocks) of one event's clusters, by falling energy; a cell is there once."""
+    rows = []
+    label = islands(hx, hy, cfg.corners)
+    for k in range(label.max() + 1):
+        own = label == k
+        ox, oy, oe = hx[own], hy[own], he[own]
+        tops, shares = split_island(ox, oy, oe, cfg)
+        for top, share in zip(tops.tolist(), shares, strict=True):
+            part = share * oe
+            total, n = float(part.sum()), int((part > 0).sum())
+            if total >= cfg.least_cluster and n >= cfg.least_size:
+                rows.append((total, *centroid(ox, oy, part, top, total, cfg), n))
+    return sorted(rows, key=lambda r: (-r[0], r[1], r[2]))
+
+
 def form_clusters(hits: DataFrame, event: str, x: str, y: str, energy: str, cfg: IslandConfig = IslandConfig()) -> DataFrame:
     """event, cluster, energy, x, y, n_blocks: clusters numbered by falling energy."""
     schema = StructType([hits.schema[event], StructField("cluster", LongType()), StructField("energy", DoubleType()), StructField("x", DoubleType()), StructField("y", DoubleType()), StructField("n_blocks", LongType())])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf[pdf[energy] > cfg.least_hit].groupby([x, y], as_index=False)[energy].sum() if len(pdf) else pdf
-        rows = []
-        if len(pdf):
-            hx, hy, he = (pdf[c].to_numpy() for c in (x, y, energy))
-            label = islands(hx, hy, cfg.corners)
-            for k in range(label.max() + 1):
-                own = label == k
-                ox, oy, oe = hx[own], hy[own], he[own]
-                tops, shares = split_island(ox, oy, oe, cfg)
-                for top, share in zip(tops.tolist(), shares, strict=True):
-                    part = share * oe
-                    total, n = part.sum(), int((part > 0).sum())
-                    if total >= cfg.least_cluster and n >= cfg.least_size:
-                        rows.append((total, *centroid(ox, oy, part, top, total, cfg), n))
-        rows.sort(key=lambda r: (-r[0], r[1], r[2]))
-        return pd.DataFrame([(k, *r) for k, r in enumerate(rows)], columns=["cluster", "energy", "x", "y", "n_blocks"])
-
-    def keyed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = run(pdf)
-        out.insert(0, event, key[0])
-        return out
-
-    return hits.select(event, x, y, energy).groupBy(event).applyInPandas(keyed, schema)
+        rows = event_clusters(*(pdf[c].to_numpy() for c in (x, y, energy)), cfg) if len(pdf) else []
+        return pd.DataFrame([(key[0], k, *r) for k, r in enumerate(rows)], columns=schema.names)
+
+    return hits.select(event, x, y, energy).groupBy(event).applyInPandas(run, schema)
 
 
 def valley_cuts(charge: np.ndarray, depth: float) -> tuple[list[int], np.ndarray]:

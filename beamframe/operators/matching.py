@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from beamframe.scratch import stored
+
 
 def spatial_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], lx: str, ly: str, rx: str, ry: str, radius: float, square: bool = False) -> DataFrame:
     """Pairs with equal keys whose distance is at most `radius` (in each axis, if square).
@@ -109,6 +111,50 @@ def quantised_neighbours(modules: DataFrame, reach: float = 1.01) -> DataFrame:
     return x.where((F.abs("dx") <= reach) & (F.abs("dy") <= reach))
 
 
+def share_inside(x: Column, y: Column, dx: Column, dy: Column, box: tuple[Column, Column, Column, Column]) -> Column:
+    """Share of the way from (x, y) by (dx, dy) that lies inside the rectangle (x1, x2, y1, y2)."""
+    far = F.lit(float("inf"))
+
+    def span(p: Column, d: Column, lo: Column, hi: Column) -> tuple[Column, Column]:
+        """Where on the way the slab is entered and left."""
+        a, b = (lo - p) / F.nullif(d, F.lit(0.0)), (hi - p) / F.nullif(d, F.lit(0.0))
+        inside = (p >= lo) & (p <= hi)
+        return F.coalesce(F.least(a, b), F.when(inside, -far).otherwise(far)), F.coalesce(F.greatest(a, b), F.when(inside, far).otherwise(-far))
+
+    (ax, bx), (ay, by) = span(x, dx, box[0], box[1]), span(y, dy, box[2], box[3])
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), bx, by) - F.greatest(F.lit(0.0), ax, ay))
+
+
+def border_neighbours(modules: DataFrame, centre: str | int, keys: Sequence[str] = (), reach: float = 1.01) -> DataFrame:
+    """Edges (keys, id, near, dx, dy) between modules (keys, id, sector, x, y, sx, sy) around a central sector,
+    whose distance, in modules, is at most `reach` in both axes.
+
+    The way between two centres is cut where it crosses the central sector's border (the rectangle around
+    its modules): inside, it is measured in that sector's modules, outside in those of the sector that it
+    leaves or reaches; a way between two outer sectors in those of the first. Within a sector, and between
+    outer sectors past the centre, the own module is the unit. Modules of a sector are of one size."""
+    mid = F.col("sector") == F.lit(centre)
+    lo = lambda v, s: F.min(F.when(mid, F.col(v) - F.col(s) / 2))
+    hi = lambda v, s: F.max(F.when(mid, F.col(v) + F.col(s) / 2))
+    border = modules.agg(lo("x", "sx").alias("_x1"), hi("x", "sx").alias("_x2"), lo("y", "sy").alias("_y1"), hi("y", "sy").alias("_y2"), F.max(F.when(mid, F.col("sx"))).alias("_mx"), F.max(F.when(mid, F.col("sy"))).alias("_my"), F.max(F.greatest("sx", "sy")).alias("_size"))
+    m = modules.join(F.broadcast(border), F.lit(True))  # of one row
+    cell = lambda v, k=0: F.floor(F.col(v) / (F.col("_size") * reach)) + k
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    a = m.withColumn("_s", F.explode(around)).withColumn("_cx", cell("x") + F.col("_s.i")).withColumn("_cy", cell("y") + F.col("_s.j"))
+    theirs = [F.col(n).alias(f"_{n}") for n in ("sector", "x", "y", "sx", "sy")]
+    x = a.join(m.select(*keys, F.col("id").alias("near"), *theirs, cell("x").alias("_cx"), cell("y").alias("_cy")), [*keys, "_cx", "_cy"]).where("id <> near")
+    dx, dy = F.col("_x") - F.col("x"), F.col("_y") - F.col("y")
+    share = share_inside(F.col("x"), F.col("y"), dx, dy, tuple(F.col(n) for n in ("_x1", "_x2", "_y1", "_y2")))
+
+    def units(own: str, other: str, middle: str) -> Column:
+        outer = F.when(mid, F.col(other)).otherwise(F.col(own))
+        across = F.coalesce(share / F.col(middle), F.lit(0.0)) + (1 - F.coalesce(share, F.lit(0.0))) / outer
+        return F.when(F.col("sector") == F.col("_sector"), 1 / F.col(own)).otherwise(across)
+
+    x = x.select(*keys, "id", "near", (dx * units("sx", "_sx", "_mx")).alias("dx"), (dy * units("sy", "_sy", "_my")).alias("dy"))
+    return x.where((F.abs("dx") <= reach) & (F.abs("dy") <= reach))
+
+
 def line_vertex(df: DataFrame, keys: Sequence[str], order: str, x: str, y: str, least: float = 0.0) -> DataFrame:
     """Where the line through rows 1 and 2 meets that through rows 3 and 4, and so on in steps of two;
     lines whose determinant is at most `least` (parallel ones) are left out."""
@@ -184,3 +230,27 @@ def project(x: Column, y: Column, z: Column, plane: float) -> list[Column]:
     """Position on a plane across the beam of the ray from the origin; null at z = 0."""
     s = F.lit(plane) / F.nullif(z, F.lit(0.0))
     return [x * s, y * s]
+
+
+def island_labels(hits: DataFrame, keys: Sequence[str], x: str, y: str, corners: bool = False) -> DataFrame:
+    """keys, x, y, island_x, island_y: each cell that is hit, with the least cell that it is connected to.
+
+    Every cell takes the least label of its neighbours, then the label of the cell that its label names, so
+    labels run over an island in few rounds. Rounds are joins on cells, each stored; they end when nothing
+    changes, and no island or event has to fit in a task."""
+    steps = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i or j) and (corners or not (i and j))]
+    cells = stored(hits.select(*keys, F.col(x).alias("x"), F.col(y).alias("y")).distinct(), "cells")
+    beside = cells.withColumn("_s", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps])))
+    beside = beside.select(*keys, "x", "y", (F.col("x") + F.col("_s.i")).alias("nx"), (F.col("y") + F.col("_s.j")).alias("ny"))
+    named = lambda d, a, b, label: d.select(*keys, F.col("x").alias(a), F.col("y").alias(b), F.col("label").alias(label))
+    edges = stored(beside.join(cells.select(*keys, F.col("x").alias("nx"), F.col("y").alias("ny")), [*keys, "nx", "ny"]), "cell-edges")
+    cur = cells.withColumn("label", F.struct("x", "y"))
+    while True:
+        met = edges.join(named(cur, "nx", "ny", "_label"), [*keys, "nx", "ny"]).groupBy(*keys, "x", "y").agg(F.min("_label").alias("_label"))
+        least = cur.join(met, [*keys, "x", "y"], "left").select(*keys, "x", "y", F.col("label").alias("_was"), F.least("label", F.coalesce("_label", "label")).alias("label"))
+        least = stored(least.withColumn("tx", F.col("label.x")).withColumn("ty", F.col("label.y")), "labels")
+        jumped = least.join(named(least, "tx", "ty", "_far"), [*keys, "tx", "ty"], "left")
+        cur = stored(jumped.select(*keys, "x", "y", "_was", F.least("label", F.coalesce("_far", "label")).alias("label")), "labels")
+        if cur.where("label <> _was").isEmpty():
+            return cur.select(*keys, "x", "y", F.col("label.x").alias("island_x"), F.col("label.y").alias("island_y"))
+        cur = cur.drop("_was")

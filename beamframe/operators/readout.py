@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from beamframe.functions.bits import field
 from beamframe.functions.decode import strip_words, timestamp_48
+from beamframe.operators.ordered import forward_fill
 
 STRIPS = 128  # of a front-end chip; words that name others are void
 FRAME, COMMON_MODE = 5, 13  # types of strip readout words
@@ -127,6 +128,39 @@ def event_info(nodes: DataFrame, physics_base: int = 0x80) -> DataFrame:
     return g.select("file", "event", "tag", F.when(F.col("tag") >= physics_base, F.col("tag") - physics_base).alias("trigger_type"), "event_number", F.col("ti.number").alias("trigger_number"), timestamp_48(F.col("ti.low"), F.col("ti.high")).alias("timestamp"), "trigger_bits", "r.run", "r.unix_time")
 
 
+#: fixed values: the bank of sync events, the tags of prestart, go and end (two generations each), and where
+#: their words stand
+SYNC_HEAD = 0xE112
+CONTROL_TAGS = (0x11, 0x12, 0x14, 0xFFD1, 0xFFD2, 0xFFD4)
+HEAD_PLACES = {"run": 1, "counter": 2, "unix_time": 3, "event_tag": 4}
+CONTROL_PLACES = {"unix_time": 0, "run": 1, "run_type": 2}
+
+
+def sync_snapshots(nodes: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """Banks to file, event, run, counter, unix_time, event_tag, run_type: what sync and control events had said
+    up to each event of a file.
+
+    A sync bank anywhere in the event tells run, counter, time and tag (an empty tag is the event's own) and
+    leaves the run type; else the first bank of words right under a control event tells time, run and
+    type and leaves the counter. Words that a bank is too short for are 0. Other events leave all as it is;
+    null before the first."""
+    word = lambda i: F.coalesce(F.get("words", F.lit(i)), F.lit(0)).cast("bigint")
+    data = (F.col("type") == WORDS) & (F.size("words") > 0)
+    first = lambda places, ok: F.min_by(F.struct(*[word(i).alias(n) for n, i in places.items()]), F.when(ok, F.col("node")))
+    top = F.max(F.when(F.col("depth") == 0, F.col("tag"))).cast("bigint")
+    g = nodes.groupBy("file", "event").agg(top.alias("tag"), first(HEAD_PLACES, data & (F.col("tag") == SYNC_HEAD)).alias("head"), first(CONTROL_PLACES, data & (F.col("depth") == 1)).alias("control"))
+    head, control = F.col("head").isNotNull(), F.col("tag").isin(*CONTROL_TAGS) & F.col("control").isNotNull()
+    either = lambda of_head, of_control: F.when(head, of_head).when(control, of_control)
+    told = g.select(
+        "file", "event",
+        either(F.col("head.run"), F.col("control.run")).alias("run"), F.when(head, F.col("head.counter")).alias("counter"),
+        either(F.col("head.unix_time"), F.col("control.unix_time")).alias("unix_time"),
+        either(F.when(F.col("head.event_tag") != 0, F.col("head.event_tag")).otherwise(F.col("tag")), F.col("tag")).alias("event_tag"),
+        F.when(~head & control, F.col("control.run_type").bitwiseAND(0xFF)).alias("run_type"),
+    )
+    return forward_fill(told, ["event"], ["run", "counter", "unix_time", "event_tag", "run_type"], ["file"], block)
+
+
 def event_index(info: DataFrame, skip: Column, block: int = 1 << 16) -> DataFrame:
     """file, number, event: events that are not skipped, numbered from 1 in every file. Blocks of events
     are numbered on their own and shifted by those before, so a long file isn't one task."""

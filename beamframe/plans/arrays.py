@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from beamframe.functions import arrays as A
+from beamframe.functions.tables import register_tables
 from beamframe.plans.counting import samples
 from beamframe.plans.registry import query, table
 
@@ -77,6 +78,15 @@ def strip_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.groupBy("vec_id", "run").agg(F.min("i").alias("first"), F.count(F.lit(1)).alias("n"), F.sum("v").alias("q"), F.round(F.sum(F.col("i") * F.col("v")) / F.sum("v"), 6).alias("centroid")).drop("run")
 
 
+@query(f"""WITH {_L}, r AS (SELECT vec_id, i, v, sum(CASE WHEN v > 115 THEN 0 ELSE 1 END) OVER (PARTITION BY vec_id ORDER BY i) AS g FROM x), k AS (SELECT vec_id, min(i) AS first, count(*) AS n, sum(v) AS q, sum(i * v) / sum(v) AS c FROM r WHERE v > 115 GROUP BY vec_id, g)
+SELECT vec_id, first::BIGINT AS first, n, round(q, 6) AS total, round(c, 6) AS centroid FROM k""")
+def strip_groups_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of neighbouring strips by a table function, in SQL text."""
+    register_tables(spark)
+    strips = samples(spark, sf_dir).select("vec_id", F.posexplode("samples").alias("strip", "q"))
+    return spark.sql("SELECT vec_id, first, n, round(total, 6) AS total, round(centroid, 6) AS centroid FROM strip_groups(TABLE(SELECT * FROM {s} WHERE q > 115), key => 'vec_id', position => 'strip', charge => 'q')", s=strips)
+
+
 @query("SELECT vec_id, round(list_sum(list_transform(range(1, 7), lambda i: embedding[i]::DOUBLE ** 2 * 25 * (i - 1))) / list_sum(list_transform(range(1, 7), lambda i: embedding[i]::DOUBLE ** 2)), 6) AS seed_time FROM embeddings")
 def seed_mean_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Charge-weighted mean time of a strip's six samples, 25 ns apart."""

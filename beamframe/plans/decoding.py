@@ -106,3 +106,12 @@ def scaler_readouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.concat(F.transform(numbers, lambda i: (F.col("o_orderkey") * i) % 97), F.transform(numbers, lambda i: (F.col("o_custkey") * i) % 101))
     s = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event"), D.scaler_block(words, 2).alias("s"))
     return s.select("event", F.get("s.gated", F.lit(2)).alias("gated"), F.get("s.ungated", F.lit(2)).alias("ungated"), F.round("s.live", 9).alias("live"))
+
+
+@query("""SELECT page_id, split_part(split_part(url, '?', 1), '#', 1) AS plain, regexp_extract(url, '[?&]([^=&#]*)=', 1) AS name FROM pages""")
+def decoded_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percent-encoded channel names as plain text; here page addresses are encoded first. A name with a bad
+    escape stays as it came."""
+    u = table(spark, sf_dir, "pages").select("page_id", F.url_encode("url").alias("u"))
+    plain = F.coalesce(F.try_url_decode("u"), F.col("u"))
+    return u.select("page_id", F.regexp_extract(plain, "^[^?#]*", 0).alias("plain"), F.regexp_extract(plain, "[?&]([^=&#]*)=", 1).alias("name"))

@@ -253,3 +253,35 @@ def smeared_energies(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("l_extendedprice")
     smeared = e + 0.026 * F.sqrt(e * 1000) * C.gaussian_noise(key, 3)
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("event"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.round(smeared, 4).alias("smeared"))
+
+
+_BORDER = """p AS (SELECT p_partkey AS id, p_partkey // 512 AS layer, p_partkey % 512 AS k FROM part),
+m AS (SELECT id, layer, CASE WHEN k < 256 THEN 0 ELSE 1 + (k - 256) % 4 END AS sector, CASE WHEN k < 256 THEN k % 16 WHEN (k - 256) % 4 = 0 THEN 16.5 + 2 * ((k - 256) // 44) WHEN (k - 256) % 4 = 2 THEN -1.5 - 2 * ((k - 256) // 44) ELSE -1.0 + 2 * ((k - 256) // 4 % 11) END::DOUBLE AS x,
+CASE WHEN k < 256 THEN k // 16 WHEN (k - 256) % 4 = 1 THEN 16.5 + 2 * ((k - 256) // 44) WHEN (k - 256) % 4 = 3 THEN -1.5 - 2 * ((k - 256) // 44) ELSE -1.0 + 2 * ((k - 256) // 4 % 11) END::DOUBLE AS y, CASE WHEN k < 256 THEN 1.0 ELSE 2.0 END::DOUBLE AS s FROM p)"""
+
+
+@query(f"""WITH {_BORDER}, b AS (SELECT min(x) - 0.5 AS x1, max(x) + 0.5 AS x2, min(y) - 0.5 AS y1, max(y) + 0.5 AS y2 FROM m WHERE sector = 0),
+d AS (SELECT a.layer, a.id, c.id AS near, a.sector AS sa, c.sector AS sc, a.s AS ua, c.s AS uc, c.x - a.x AS dx, c.y - a.y AS dy, a.x, a.y, b.* FROM m a JOIN m c ON a.layer = c.layer AND a.id <> c.id AND abs(a.x - c.x) <= 2.02 AND abs(a.y - c.y) <= 2.02, b),
+t AS (SELECT *, CASE WHEN dx <> 0 THEN least((x1 - x) / dx, (x2 - x) / dx) WHEN x BETWEEN x1 AND x2 THEN -1e9 ELSE 1e9 END AS ax, CASE WHEN dx <> 0 THEN greatest((x1 - x) / dx, (x2 - x) / dx) WHEN x BETWEEN x1 AND x2 THEN 1e9 ELSE -1e9 END AS ex,
+CASE WHEN dy <> 0 THEN least((y1 - y) / dy, (y2 - y) / dy) WHEN y BETWEEN y1 AND y2 THEN -1e9 ELSE 1e9 END AS ay, CASE WHEN dy <> 0 THEN greatest((y1 - y) / dy, (y2 - y) / dy) WHEN y BETWEEN y1 AND y2 THEN 1e9 ELSE -1e9 END AS ey FROM d),
+u AS (SELECT layer, id, near, dx, dy, CASE WHEN sa = sc THEN 1 / ua ELSE greatest(0, least(1, ex, ey) - greatest(0, ax, ay)) / 1.0 + (1 - greatest(0, least(1, ex, ey) - greatest(0, ax, ay))) / CASE WHEN sa = 0 THEN uc ELSE ua END END AS unit FROM t)
+SELECT layer, id, near, round(dx * unit, 6) AS dx, round(dy * unit, 6) AS dy FROM u WHERE abs(dx * unit) <= 1.01 AND abs(dy * unit) <= 1.01""")
+def border_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours in layers of a fine central sector and four coarse ones around it, measured across its border."""
+    k, j = F.col("k"), F.col("k") - 256
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.floor(F.col("p_partkey") / 512).alias("layer"), (F.col("p_partkey") % 512).alias("k"))
+    side, out, along = j % 4, 2 * F.floor(j / 44), -1.0 + 2 * (F.floor(j / 4) % 11)
+    at = lambda fine, plus, minus: F.when(k < 256, fine).when(side == plus, 16.5 + out).when(side == minus, -1.5 - out).otherwise(along).cast("double")
+    size = F.when(k < 256, 1.0).otherwise(2.0)
+    m = part.select("id", "layer", F.when(k < 256, 0).otherwise(1 + side).alias("sector"), at(k % 16, 0, 2).alias("x"), at(F.floor(k / 16), 1, 3).alias("y"), size.alias("sx"), size.alias("sy"))
+    n = M.border_neighbours(m, 0, ["layer"])
+    return n.select("layer", "id", "near", F.round("dx", 6).alias("dx"), F.round("dy", 6).alias("dy"))
+
+
+@query(f"""WITH RECURSIVE {_H}, r AS (SELECT event, x, y, x AS rx, y AS ry FROM h UNION SELECT r.event, r.x, r.y, h.x, h.y FROM r JOIN h ON h.event = r.event AND abs(h.x - r.rx) + abs(h.y - r.ry) = 1)
+SELECT event, x, y, min(s).x AS island_x, min(s).y AS island_y, count(*) AS n_hits FROM (SELECT event, x, y, {{'x': rx, 'y': ry}} AS s FROM r) GROUP BY 1, 2, 3""")
+def island_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits with the first hit of their island and the island's size, by joins: no event is one task's."""
+    labels = M.island_labels(grid_hits(spark, sf_dir), ["event"], "x", "y")
+    sizes = labels.groupBy("event", "island_x", "island_y").agg(F.count(F.lit(1)).alias("n_hits"))
+    return labels.join(sizes, ["event", "island_x", "island_y"]).select("event", "x", "y", "island_x", "island_y", "n_hits")

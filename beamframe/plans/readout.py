@@ -154,3 +154,23 @@ def cross_talk_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of doubtful hits at characteristic distances from larger ones."""
     c = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("plane"), F.col("l_quantity").alias("centre")).agg(F.max("l_extendedprice").alias("peak"), (F.min("l_extendedprice") < 30000).alias("pure"))
     return R.mark_cross_talk(c, ["plane"], [7.0, 20.0], 2.0)
+
+
+_SYNC = """e AS (SELECT o_orderkey AS event, o_custkey % 8 AS kind, o_custkey, o_orderkey FROM orders), t AS (SELECT event, CASE kind WHEN 0 THEN o_custkey % 20 WHEN 1 THEN o_custkey % 30 END AS run, CASE WHEN kind = 0 THEN o_orderkey END AS counter,
+CASE kind WHEN 0 THEN 1700000000 + o_orderkey WHEN 1 THEN 1600000000 + o_orderkey END AS unix_time, CASE kind WHEN 0 THEN CASE WHEN o_orderkey % 3 = 0 THEN 31 ELSE o_orderkey % 3 END WHEN 1 THEN 17 END AS event_tag, CASE WHEN kind = 1 THEN o_custkey % 256 END AS run_type FROM e)"""
+
+
+@query(f"""WITH {_SYNC} SELECT event, last_value(run IGNORE NULLS) OVER w AS run, last_value(counter IGNORE NULLS) OVER w AS counter, last_value(unix_time IGNORE NULLS) OVER w AS unix_time, last_value(event_tag IGNORE NULLS) OVER w AS event_tag, last_value(run_type IGNORE NULLS) OVER w AS run_type FROM t
+WINDOW w AS (ORDER BY event ROWS UNBOUNDED PRECEDING)""")
+def sync_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run, counter, time and run type as sync banks and control events left them, for every event."""
+    t = lambda x: F.lit(x).cast("bigint")
+    arr = lambda *w: F.array(*[F.expr(x).cast("bigint") for x in w])
+    bank = lambda node, parent, depth, tag, kind, words: F.struct(F.lit(node).alias("node"), F.lit(parent).alias("parent"), F.lit(depth).alias("depth"), tag.alias("tag"), F.lit(kind).alias("type"), words.alias("words"))
+    none = F.lit(None).cast("array<bigint>")
+    kind = F.col("o_custkey") % 8
+    sync = F.array(bank(0, -1, 0, t(0x1F), 0x10, none), bank(1, 0, 1, t(0x27), 0x10, none), bank(2, 1, 2, t(R.SYNC_HEAD), 1, arr("0", "o_custkey % 20", "o_orderkey", "1700000000 + o_orderkey", "o_orderkey % 3")))
+    control = F.array(bank(0, -1, 0, t(0x11), 0x10, none), bank(1, 0, 1, t(0x11), 1, arr("1600000000 + o_orderkey", "o_custkey % 30", "o_custkey")))
+    other = F.array(bank(0, -1, 0, t(0x80), 0x10, none), bank(1, 0, 1, t(R.TRIGGER_BANK), 1, arr("o_orderkey", "7", "7")))
+    trees = table(spark, sf_dir, "orders").select(F.lit("run").alias("file"), F.col("o_orderkey").alias("event"), F.explode(F.when(kind == 0, sync).when(kind == 1, control).otherwise(other)).alias("b"))
+    return R.sync_snapshots(trees.select("file", "event", "b.*"), 4096).drop("file")

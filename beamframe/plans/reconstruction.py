@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from beamframe.functions.tables import register_tables
 from beamframe.operators import clusters, counting, fits, waveforms
 from beamframe.plans.counting import samples
 from beamframe.plans.joins import grid_hits
@@ -37,6 +38,14 @@ def island_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("event", "cluster", "n_blocks", *[F.round(n, 5).alias(n) for n in ("energy", "x", "y")])
 
 
+@query()
+def grid_clusters_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same clusters by a table function, in SQL text."""
+    register_tables(spark)
+    columns = "event, cluster, n_blocks, round(energy, 5) AS energy, round(x, 5) AS x, round(y, 5) AS y"
+    return spark.sql(f"SELECT {columns} FROM grid_clusters(TABLE({{h}}), key => 'event', x => 'x', y => 'y', energy => 'e', centre => 903.0D, least => 50.0D, corners => true)", h=grid_hits(spark, sf_dir))
+
+
 @query()
 def gaussian_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A Gaussian on every label's spectrum of vector components."""

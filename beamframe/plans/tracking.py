@@ -107,3 +107,34 @@ def plane_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = h.withColumn("x", F.col("x") + 0.3 * F.col("plane"))
     s = K.calibrate_planes(c, moved, "event", K.TrackConfig(PLANES), store=stored)
     return s.select("plane", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
+_FOUR = ", ".join(f"p{k} AS (SELECT event, hit, x, y FROM h WHERE plane = {k} UNION ALL SELECT DISTINCT event, NULL::BIGINT, NULL::DOUBLE, NULL::DOUBLE FROM h)" for k in range(4))
+_POINTS = "[{'z': 6000.0, 'x': cx, 'y': cy, 'w': 1 / 9.0}, " + ", ".join(f"{{'z': {4000.0 + 500 * k}, 'x': x{k}, 'y': y{k}, 'w': 1 / 0.64}}" for k in range(4)) + "]"
+
+
+@query(f"""WITH e AS (SELECT vec_id, vec_id // 64 AS event, vec_id // 16 AS cluster, embedding[1]::DOUBLE * 900 AS ex, embedding[2]::DOUBLE * 900 AS ey, embedding[3]::DOUBLE * 9 AS hx, embedding[4]::DOUBLE * 9 AS hy FROM embeddings),
+c AS (SELECT event, cluster, ex AS cx, ey AS cy FROM e WHERE vec_id % 16 = 0),
+h AS (SELECT e.event, vec_id AS hit, vec_id % 4 AS plane, cx * (4000 + 500 * (vec_id % 4)) / 6000 + hx AS x, cy * (4000 + 500 * (vec_id % 4)) / 6000 + hy AS y FROM e JOIN c USING (cluster) WHERE vec_id % 16 > 0), {_FOUR},
+m AS (SELECT c.event, c.cluster, cx, cy, {", ".join(f"p{k}.hit AS h{k}, p{k}.x AS x{k}, p{k}.y AS y{k}" for k in range(4))} FROM c JOIN p0 ON p0.event = c.event JOIN p1 ON p1.event = c.event JOIN p2 ON p2.event = c.event JOIN p3 ON p3.event = c.event
+  WHERE {" AND ".join(f"(p{k}.hit IS NULL OR (abs(p{k}.x - cx * {4000 + 500 * k} / 6000) < 60 AND abs(p{k}.y - cy * {4000 + 500 * k} / 6000) < 60))" for k in range(4))} AND (p0.hit IS NOT NULL)::INT + (p1.hit IS NOT NULL)::INT + (p2.hit IS NOT NULL)::INT + (p3.hit IS NOT NULL)::INT >= 3),
+q AS (SELECT *, list_filter({_POINTS}, lambda p: p.x IS NOT NULL) AS pts FROM m),
+s AS (SELECT *, list_sum(list_transform(pts, lambda p: p.w)) AS sw, list_sum(list_transform(pts, lambda p: p.w * p.z)) AS sz, list_sum(list_transform(pts, lambda p: p.w * p.z * p.z)) AS szz, list_sum(list_transform(pts, lambda p: p.w * p.x)) AS sx, list_sum(list_transform(pts, lambda p: p.w * p.y)) AS sy,
+  list_sum(list_transform(pts, lambda p: p.w * p.z * p.x)) AS szx, list_sum(list_transform(pts, lambda p: p.w * p.z * p.y)) AS szy FROM q),
+l AS (SELECT *, (sw * szx - sz * sx) / (sw * szz - sz * sz) AS bx, (sw * szy - sz * sy) / (sw * szz - sz * sz) AS by_ FROM s), a AS (SELECT *, (sx - bx * sz) / sw AS ax, (sy - by_ * sz) / sw AS ay FROM l),
+r AS (SELECT *, list_sum(list_transform(pts, lambda p: p.w * ((ax + bx * p.z - p.x) ** 2 + (ay + by_ * p.z - p.y) ** 2))) / (2 * len(pts) - 4) AS chi2, list_bool_and(list_transform(pts[2:], lambda p: p.w * ((ax + bx * p.z - p.x) ** 2 + (ay + by_ * p.z - p.y) ** 2) <= 9)) AS near FROM a)
+SELECT event, cluster, round(chi2, 6) AS chi2_dof, (len(pts) - 1)::BIGINT AS n_planes, h0, h1, h2, h3 FROM r WHERE chi2 <= 3.5 AND near QUALIFY row_number() OVER (PARTITION BY event, cluster ORDER BY chi2) = 1""")
+def combination_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cluster's best track of all combinations of hits of three or four planes, without a seed."""
+    c, h = tracks(spark, sf_dir)
+    t = K.combined_tracks(c, h, "event", K.TrackConfig(PLANES))
+    hit = lambda k: F.get(F.transform(F.filter("hits", lambda q: q.plane == k), lambda q: q.hit), F.lit(0)).alias(f"h{k}")
+    return t.select("event", "cluster", F.round("chi2_dof", 6).alias("chi2_dof"), F.col("n_planes").cast("bigint").alias("n_planes"), *[hit(k) for k in range(4)])
+
+
+@query()
+def unbiased_plane_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planes' efficiencies by the best combination of the other planes' hits (tested by nested loops)."""
+    c, h = tracks(spark, sf_dir)
+    found = K.unbiased_efficiency(c, h, "event", K.TrackConfig(PLANES))
+    return found.select("test", "den", "num", F.round("efficiency", 6).alias("efficiency"))

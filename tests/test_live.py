@@ -167,7 +167,7 @@ def test_back_off_doubles_and_starts_again():
     assert b.due(0) and b.failed(0) == 3
 
 
-def test_offsets_stop_at_whole_events(tmp_path):
+def test_offsets_stop_at_whole_events(spark, tmp_path):
     body = [np.array([2, 200 << 16 | 1 << 8, n], ">u4").tobytes() for n in range(6)]
     (tmp_path / "a").write_bytes(b"".join(body[:3]) + body[3][:9])
     from pyspark.sql.types import _parse_datatype_string
