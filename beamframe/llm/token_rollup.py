@@ -3,17 +3,21 @@
 Changes to a corpus arrive as batches of signed events: an insert adds a document's count, a delete
 takes it back, a revision carries the old and the new count (and keys, if they change). A batch is
 reduced to additive deltas by source, language and tokenizer version, with map-side combining, and
-committed once under its batch id. The deltas are written to a folder of their own; the commit itself is
-a small marker file, named by the batch and created without overwriting, that names that folder. Only
-folders named by markers are read, and a batch whose marker is there is not applied again. Totals are
-the sum of the committed deltas, so the order of batches does not matter, and a retried, repeated or
-cut-off batch changes nothing.
+committed once under its batch id. Deltas are written to a folder of their own; the commit is an empty
+file whose name tells the batch and that folder, so it is there or not, whole, and one listing tells all
+commits without opening any. Only folders named by commits are read, and of several commits of one batch
+(writers that did not know of each other, or came again) one: they hold the same deltas. Totals are the sum
+of the committed deltas, so the order of batches does not matter, and a retried, repeated or cut-off batch
+changes nothing; a writer that dies, at any point, leaves nothing to be mended.
+
+`compact` sums all commits into a base, with a table of the batches that it holds, and then deletes what the
+base has taken over. Readers take the newest base and the commits that are not in it. One process compacts
+at a time; commits may go on meanwhile.
 
 Defined cases: a null source, language or version is a key of its own; a null count or text counts as
 0 tokens (the document still counts); an op that is null or unknown raises; repeated rows count each;
-totals that reach zero documents and tokens are left out; an empty batch commits and adds nothing; an
-empty marker (its writer died while writing it) is not read, and committing that batch raises until the
-marker is deleted; extra columns are ignored."""
+totals that reach zero documents and tokens are left out; an empty batch commits and adds nothing; deltas
+without a commit (their writer died) are not read; extra columns are ignored."""
 
 from __future__ import annotations
 
@@ -23,7 +27,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -71,57 +74,72 @@ class TokenRollup:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _marker(self, batch_id: str) -> str:
+    @staticmethod
+    def _checked(batch_id: str) -> str:
         if not re.fullmatch(r"[\w.-]+", batch_id):
             raise ValueError(f"batch id {batch_id!r} is not a plain name")
-        return f"{self.path}/commits/{batch_id}.commit"
+        return batch_id
 
-    def _named(self) -> dict[str, str]:
-        """Batch id -> name of the folder of its deltas, from the markers; empty for a cut-off one."""
+    def _listed(self) -> tuple[str | None, dict[str, list[str]]]:
+        """The newest base, and batch id -> folders of its deltas, from the names of the commits."""
         folder, fs = file_system(self.spark, f"{self.path}/commits")
-        if not fs.exists(folder):
-            return {}
-        out = {}
-        for status in fs.listStatus(folder):
-            stream = fs.open(status.getPath())
-            try:
-                name = bytes(stream.readNBytes(200)).decode()
-            finally:
-                stream.close()
-            out[status.getPath().getName().removesuffix(".commit")] = name
-        return out
+        bases, batches = [], {}
+        for status in fs.listStatus(folder) if fs.exists(folder) else []:
+            kind, _, rest = status.getPath().getName().partition("~")
+            if m := re.fullmatch(r"(.+)~([0-9a-f]{32})\.commit", rest):
+                if kind == "base":
+                    bases.append((int(m[1]), rest.removesuffix(".commit")))
+                else:
+                    batches.setdefault(m[1], []).append(rest.removesuffix(".commit"))
+        return max(bases, default=(0, None))[1], {b: sorted(f) for b, f in batches.items()}
+
+    def _mark(self, name: str) -> None:
+        marker, fs = file_system(self.spark, f"{self.path}/commits/{name}.commit")
+        fs.mkdirs(marker.getParent())
+        fs.create(marker, False).close()
+
+    def _in_base(self, base: str | None) -> DataFrame:
+        return self.spark.read.schema("batch string").parquet(f"{self.path}/bases/{base}/batches") if base else self.spark.createDataFrame([], "batch string")
 
     def committed(self, batch_id: str) -> bool:
-        self._marker(batch_id)
-        name = self._named().get(batch_id)
-        if name == "":
-            raise RuntimeError(f"the commit of batch {batch_id} was cut off: delete {self._marker(batch_id)} and deliver the batch again")
-        return name is not None
+        base, batches = self._listed()
+        return self._checked(batch_id) in batches or not self._in_base(base).where(F.col("batch") == batch_id).isEmpty()
 
     def commit(self, batch_id: str, events: DataFrame) -> bool:
         """Apply a batch once; False if it was there already. A crash before the marker leaves nothing."""
         if self.committed(batch_id):
             return False
-        name = f"{batch_id}-{uuid.uuid4().hex}"
+        name = f"{batch_id}~{uuid.uuid4().hex}"
         deltas(events).write.parquet(f"{self.path}/deltas/{name}")
-        marker, fs = file_system(self.spark, self._marker(batch_id))
-        fs.mkdirs(marker.getParent())
-        try:
-            stream = fs.create(marker, False)  # fails where another writer was first
-        except Py4JJavaError:
-            if not fs.exists(marker):
-                raise
-            delete_path(self.spark, f"{self.path}/deltas/{name}")
-            return False
-        stream.write(bytearray(name.encode()))
-        stream.close()
+        self._mark(f"batch~{name}")
         return True
 
+    def _committed(self, base: str | None, batches: dict[str, list[str]]) -> tuple[DataFrame, list[str]]:
+        """All committed deltas, and the batches among them that the base doesn't hold."""
+        listed = self.spark.createDataFrame([(b,) for b in batches], "batch string")
+        new = sorted(r.batch for r in listed.join(self._in_base(base), "batch", "left_anti").collect()) if base and batches else sorted(batches)
+        folders = [f"{self.path}/deltas/{batches[b][0]}" for b in new] + ([f"{self.path}/bases/{base}/totals"] if base else [])
+        rows = self.spark.read.schema(DELTAS).parquet(*folders) if folders else self.spark.createDataFrame([], DELTAS)
+        return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 OR tokens <> 0"), new
+
     def totals(self) -> DataFrame:
         """source, lang, tokenizer_version, docs, tokens over all committed batches."""
-        folders = [f"{self.path}/deltas/{name}" for name in self._named().values() if name]
-        rows = self.spark.read.schema(DELTAS).parquet(*folders) if folders else self.spark.createDataFrame([], DELTAS)
-        return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 OR tokens <> 0")
+        return self._committed(*self._listed())[0]
+
+    def compact(self) -> None:
+        """Put all commits into a new base, then delete their files and the bases before."""
+        base, batches = self._listed()
+        rows, new = self._committed(base, batches)
+        name = f"{int(base.split('~')[0]) + 1 if base else 1}~{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/bases/{name}/totals")
+        self._in_base(base).unionByName(self.spark.createDataFrame([(b,) for b in new], "batch string")).coalesce(1).write.parquet(f"{self.path}/bases/{name}/batches")
+        self._mark(f"base~{name}")
+        for folder in (f for b in batches.values() for f in b):
+            delete_path(self.spark, f"{self.path}/commits/batch~{folder}.commit")
+            delete_path(self.spark, f"{self.path}/deltas/{folder}")
+        if base:
+            delete_path(self.spark, f"{self.path}/commits/base~{base}.commit")
+            delete_path(self.spark, f"{self.path}/bases/{base}")
 
 
 def events_of(counts: DataFrame, op: str, version: str, n_tokens: str | Column = "n_tokens", old_version: str | None = None, old_n_tokens: Column | None = None) -> DataFrame:
@@ -140,7 +158,8 @@ def events_of(counts: DataFrame, op: str, version: str, n_tokens: str | Column =
 def maintain(store: TokenRollup, docs: DataFrame, version: str, vocab: str | None = None) -> DataFrame:
     """A corpus' life in the store: documents are inserted with a rough count (characters / 4), each is
     revised to its true count, and what was inserted under another version is deleted again. The
-    second batch is delivered twice, as after a retry. Only true counts of `version` are left."""
+    second batch is delivered again, as after a retry, and once more after the store was compacted. Only true
+    counts of `version` are left."""
     rough = docs.select("source", "lang", F.floor(F.coalesce(F.length("text"), F.lit(0)) / 4).alias("rough"))
     counts = count_tokens(docs, vocab, keep=F.floor(F.coalesce(F.length("text"), F.lit(0)) / 4))
     store.commit("load", events_of(rough, "insert", "rough", "rough"))
@@ -148,5 +167,7 @@ def maintain(store: TokenRollup, docs: DataFrame, version: str, vocab: str | Non
     revised = events_of(counts, "revise", version, "n_tokens", version, F.col("kept"))
     store.commit("count", revised)
     store.commit("count", revised)
+    store.compact()
+    store.commit("count", revised)
     store.commit("withdraw", events_of(rough, "delete", "rough", "rough"))
     return store.totals()

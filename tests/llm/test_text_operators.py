@@ -384,16 +384,40 @@ def test_unknown_events_raise(spark, op):
         token_rollup.deltas(e).collect()
 
 
-def test_a_commit_that_was_cut_off_is_not_read(spark, tmp_path):
+def test_writers_that_die_or_race_count_once(spark, tmp_path):
     store = token_rollup.TokenRollup(spark, f"{tmp_path}/rollup")
     e = spark.createDataFrame([("insert", "a", "en", "v", 1, None, None, None, None, "clash")], token_rollup.EVENTS + ", docs string")
-    (tmp_path / "rollup" / "commits").mkdir(parents=True)
-    (tmp_path / "rollup" / "commits" / "b.commit").write_text("")
-    assert store.totals().collect() == []
-    with pytest.raises(RuntimeError, match="cut off"):
-        store.commit("b", e)
-    token_rollup.deltas(e).write.parquet(f"{tmp_path}/rollup/deltas/b-orphan")  # a writer that died before its marker
-    assert store.commit("c", e) and [(r.docs, r.tokens) for r in store.totals().collect()] == [(1, 1)]
+    name = "b~" + "0" * 32
+    token_rollup.deltas(e).write.parquet(f"{tmp_path}/rollup/deltas/{name}")  # died before its marker
+    assert store.totals().collect() == [] and not store.committed("b")
+    assert store.commit("b", e) and [(r.docs, r.tokens) for r in store.totals().collect()] == [(1, 1)]
+    store._mark(f"batch~{name}")  # it was not dead: both have committed
+    assert [(r.docs, r.tokens) for r in store.totals().collect()] == [(1, 1)] and not store.commit("b", e)
+
+
+def test_a_compacted_store_counts_and_remembers(spark, tmp_path):
+    store = token_rollup.TokenRollup(spark, f"{tmp_path}/rollup")
+    e = lambda n: spark.createDataFrame([("insert", "a", "en", "v", n, None, None, None, None)], token_rollup.EVENTS)
+    store.compact()
+    for round_ in range(3):
+        for k in range(3):
+            assert store.commit(f"b{round_}{k}", e(10**k))
+        before = [tuple(r) for r in store.totals().collect()]
+        store.compact()
+        assert [tuple(r) for r in store.totals().collect()] == before == [("a", "en", "v", 3 * (round_ + 1), 111 * (round_ + 1))]
+        assert not any(store.commit(f"b{r}{k}", e(5)) for r in range(round_ + 1) for k in range(3))
+        assert [f.name for f in (tmp_path / "rollup" / "deltas").iterdir()] == [] and len(list((tmp_path / "rollup" / "bases").iterdir())) == 1
+    # a compaction that dies before its marker, and one that dies before it deletes, change nothing
+    assert store.commit("late", e(1000))
+    store.spark.range(1).write.parquet(f"{tmp_path}/rollup/bases/9~{'f' * 32}/totals")
+    base, batches = store._listed()
+    assert base.startswith("4~") and list(batches) == ["late"]
+    delete, token_rollup.delete_path = token_rollup.delete_path, lambda *_: None
+    try:
+        store.compact()
+    finally:
+        token_rollup.delete_path = delete
+    assert [tuple(r) for r in store.totals().collect()] == [("a", "en", "v", 10, 1333)]
 
 
 def test_rollup_through_its_whole_life(spark, none):
