@@ -274,6 +274,22 @@ def with_pulses(df: DataFrame, samples: str, cfg: PulseConfig = PulseConfig()) -
     return df.mapInPandas(run, schema)
 
 
+def with_pedestals(df: DataFrame, samples: str, cfg: PulseConfig = PulseConfig()) -> DataFrame:
+    """Add ped_mean, ped_rms, ped_used, ped_slope, ped_quality and the window (ped_from, ped_to) that was chosen."""
+    schema = StructType([*df.schema.fields, *(StructField(f"ped_{n}", t) for n, t in (("mean", DoubleType()), ("rms", DoubleType()), ("used", IntegerType()), ("slope", DoubleType()), ("quality", IntegerType()), ("from", IntegerType()), ("to", IntegerType())))])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for x in pdf[samples]:
+                x = np.asarray(x if x is not None else [], float)
+                ped, a, b = choose_pedestal(x, smooth(x, cfg.order), cfg) if len(x) > 2 * cfg.order else (NO_PEDESTAL, 0, 0)
+                rows.append((ped.mean, ped.rms, ped.used, ped.slope, ped.quality, a, b))
+            yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(rows, columns=schema.names[-7:])], axis=1)
+
+    return df.mapInPandas(run, schema)
+
+
 def with_firmware_pulses(df: DataFrame, samples: str, pedestal: str, cfg: FirmwareConfig = FirmwareConfig()) -> DataFrame:
     """Add fw_pulses by the emulator, with each row's own pedestal."""
     schema = StructType([*df.schema.fields, StructField("fw_pulses", FIRMWARE_PULSES)])

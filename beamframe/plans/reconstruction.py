@@ -22,6 +22,36 @@ def waveform_pulses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("vec_id", "ped_mean", "ped_slope", "ped_quality", "p.pos", F.round("p.time", 6).alias("time"), F.round("p.height", 6).alias("height"), F.round("p.integral", 6).alias("integral"), "p.saturated", "p.quality")
 
 
+_CLIP = "CASE WHEN {x}.done THEN {x}.d ELSE list_filter({x}.d, lambda p: abs(p.v - {x}.mean) < greatest({x}.rms, 1.0)) END"
+_MEAN = "list_avg(list_transform({d}, lambda p: p.v))"
+_RMS = "list_aggregate(list_transform({d}, lambda p: p.v), 'stddev_pop')"
+
+
+def _round(before: str, after: str) -> str:
+    """SQL of one round of clipping: a full round ends it, as do fewer than five samples."""
+    k = f"SELECT *, {_CLIP.format(x=before)} AS near FROM {before}"
+    full, few = "len(near) = len(d)", "len(near) < 5"
+    return f"""{after} AS (SELECT vec_id, side, near AS d, CASE WHEN done OR {full} OR {few} THEN mean ELSE {_MEAN.format(d="near")} END AS mean, CASE WHEN done OR {full} OR {few} THEN rms ELSE {_RMS.format(d="near")} END AS rms,
+CASE WHEN done THEN q WHEN {full} THEN 0 WHEN {few} THEN 4 ELSE q END AS q, done OR {full} OR {few} AS done FROM ({k}))"""
+
+
+@query(f"""WITH s AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda v: 100.0 + round(500 * v)) AS s FROM embeddings),
+y AS (SELECT vec_id, list_transform(range(1, 65), lambda i: (s[i] + CASE WHEN i > 1 AND i < 64 THEN (1 - 1::DOUBLE / 3) * (s[i - 1] + s[i + 1]) ELSE 0 END + CASE WHEN i > 2 AND i < 63 THEN (1 - 2::DOUBLE / 3) * (s[i - 2] + s[i + 2]) ELSE 0 END)
+  / (1 + CASE WHEN i > 1 AND i < 64 THEN 2 * (1 - 1::DOUBLE / 3) ELSE 0 END + CASE WHEN i > 2 AND i < 63 THEN 2 * (1 - 2::DOUBLE / 3) ELSE 0 END)) AS y FROM s),
+w AS (SELECT vec_id, side, list_transform(range(30), lambda i: {{'v': y[i + 1 + side], 'at': i}}) AS d FROM y, (VALUES (0), (34)) t(side)),
+m AS (SELECT *, list_median(list_transform(d, lambda p: p.v)) AS mean FROM w),
+r0 AS (SELECT vec_id, side, d, mean, 1.4826 * list_median(list_transform(d, lambda p: abs(p.v - mean))) AS rms, 1 AS q, FALSE AS done FROM m), {_round("r0", "r1")}, {_round("r1", "r2")}, {_round("r2", "r3")},
+f AS (SELECT vec_id, side, mean, rms, len(d) AS used, list_avg(list_transform(d, lambda p: p.at)) AS c, d, q | CASE WHEN rms < 1.0 THEN 2 ELSE 0 END | CASE WHEN side > 0 THEN 32 ELSE 0 END AS quality FROM r3),
+g AS (SELECT *, CASE WHEN used > 1 THEN list_sum(list_transform(d, lambda p: (p.at - c) * p.v)) / list_sum(list_transform(d, lambda p: (p.at - c) ** 2)) ELSE 0 END AS slope FROM f),
+b AS (SELECT h.vec_id, ((h.quality & 5) > 0 OR 2 * h.used < 30) AND (t.rms < h.rms OR (t.rms = h.rms AND t.used > h.used)) AS tail FROM g h JOIN g t ON h.vec_id = t.vec_id AND h.side = 0 AND t.side = 34)
+SELECT vec_id, round(mean, 6) AS mean, round(rms, 6) AS rms, used, round(slope, 6) AS slope, quality, side AS first FROM g JOIN b USING (vec_id) WHERE (side = 34) = tail""")
+def waveform_pedestals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The robust pedestal of every waveform, from its leading samples or the quieter trailing ones."""
+    p = waveforms.with_pedestals(samples(spark, sf_dir).select("vec_id", "samples"), "samples")
+    long = lambda c: F.col(c).cast("bigint")
+    return p.select("vec_id", F.round("ped_mean", 6).alias("mean"), F.round("ped_rms", 6).alias("rms"), long("ped_used").alias("used"), F.round("ped_slope", 6).alias("slope"), long("ped_quality").alias("quality"), long("ped_from").alias("first"))
+
+
 @query()
 def firmware_pulses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the digitiser's firmware would report of every waveform."""
