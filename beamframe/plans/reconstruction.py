@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from beamframe.functions.tables import register_tables
 from beamframe.operators import clusters, counting, fits, waveforms
 from beamframe.plans.counting import samples
-from beamframe.plans.joins import grid_hits
+from beamframe.plans.joins import _H, grid_hits
 from beamframe.plans.registry import query, table
 from beamframe.plans.scratch import stored
 
@@ -88,7 +88,34 @@ def firmware_pulses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("vec_id", F.explode("fw_pulses").alias("p")).select("vec_id", "p.cross", "p.coarse", "p.fine", "p.time", "p.integral", "p.quality")
 
 
-@query()
+_SHARE = "CASE WHEN {d} < 0.01 THEN 0.78 ELSE 0.78 * exp(-({d} * {d}) / (2 * 0.36 * 0.36)) END"
+_TOP = "PARTITION BY event, isl, tx, ty"
+
+
+def _refined(before: str, after: str) -> str:
+    """SQL of one round: parts of the hits, their sum around each maximum, its centroid, new weights from there."""
+    part = f"SELECT *, CASE WHEN own THEN e ELSE w / greatest(sum(w) OVER (PARTITION BY event, isl, x, y), 1e-300) * e END AS part FROM {before}"
+    total = f"SELECT *, sum(CASE WHEN near AND part > 0 THEN part END) OVER ({_TOP}) AS tot FROM ({part})"
+    logs = f"SELECT *, CASE WHEN near AND part > 0 THEN greatest(0, 3.6 + ln(part / tot)) ELSE 0 END AS lw FROM ({total})"
+    sums = f"SELECT *, sum(lw) OVER ({_TOP}) AS sw, sum(lw * x) OVER ({_TOP}) AS sx, sum(lw * y) OVER ({_TOP}) AS sy FROM ({logs})"
+    way = f"SELECT *, sqrt((x - CASE WHEN sw > 0 THEN sx / sw ELSE tx END) ** 2 + (y - CASE WHEN sw > 0 THEN sy / sw ELSE ty END) ** 2) AS d FROM ({sums})"
+    return f"{after} AS (SELECT event, isl, tx, ty, te, split, x, y, e, near, own, CASE WHEN split THEN {_SHARE.format(d='d')} * tot ELSE 1.0 END AS w FROM ({way}))"
+
+
+_CLUSTERS = f"""WITH RECURSIVE {_H}, r AS (SELECT event, x, y, x AS rx, y AS ry FROM h UNION SELECT r.event, r.x, r.y, h.x, h.y FROM r JOIN h ON h.event = r.event AND abs(h.x - r.rx) <= 1 AND abs(h.y - r.ry) <= 1),
+lab AS (SELECT event, x, y, min(s) AS isl, count(*) AS size FROM (SELECT event, x, y, {{'x': rx, 'y': ry}} AS s FROM r) GROUP BY 1, 2, 3), g AS (SELECT h.*, isl, size FROM h JOIN lab USING (event, x, y)),
+m AS (SELECT a.* FROM g a WHERE a.e >= 903 AND NOT EXISTS (SELECT 1 FROM g b WHERE b.event = a.event AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND b.e > a.e)), n AS (SELECT *, count(*) OVER (PARTITION BY event, isl) AS nt FROM m),
+tops AS (SELECT event, isl, x AS tx, y AS ty, e AS te, nt >= 2 AND size < 100 AND nt < 10 AS split FROM n QUALIFY (nt >= 2 AND size < 100 AND nt < 10) OR row_number() OVER (PARTITION BY event, isl ORDER BY e DESC, x, y) = 1),
+q AS (SELECT t.*, g.x, g.y, g.e, abs(g.x - tx) <= 1 AND abs(g.y - ty) <= 1 AS near, g.x = tx AND g.y = ty AS own, sqrt((g.x - tx) ** 2 + (g.y - ty) ** 2) AS d FROM tops t JOIN g ON g.event = t.event AND g.isl = t.isl),
+w0 AS (SELECT * EXCLUDE (d), CASE WHEN split THEN {_SHARE.format(d="d")} * te ELSE 1.0 END AS w FROM q), {", ".join(_refined(f"w{k}", f"w{k + 1}") for k in range(6))},
+s1 AS (SELECT *, w / greatest(sum(w) OVER (PARTITION BY event, isl, x, y), 1e-300) AS share FROM w6), s2 AS (SELECT *, CASE WHEN share < 0.01 THEN 0 ELSE share END AS kept FROM s1),
+s3 AS (SELECT *, kept / greatest(sum(kept) OVER (PARTITION BY event, isl, x, y), 1e-300) * e AS part FROM s2), s4 AS (SELECT *, sum(part) OVER ({_TOP}) AS total FROM s3),
+s5 AS (SELECT *, CASE WHEN near AND part > 0 THEN greatest(0, 3.6 + ln(part / total)) ELSE 0 END AS lw FROM s4),
+c AS (SELECT event, tx, ty, max(total) AS energy, count(*) FILTER (part > 0) AS n_blocks, CASE WHEN sum(lw) > 0 THEN sum(lw * x) / sum(lw) ELSE tx END AS cx, CASE WHEN sum(lw) > 0 THEN sum(lw * y) / sum(lw) ELSE ty END AS cy FROM s5 GROUP BY event, isl, tx, ty HAVING max(total) >= 50 AND count(*) FILTER (part > 0) >= 1)
+SELECT event, row_number() OVER (PARTITION BY event ORDER BY energy DESC, cx, cy) - 1 AS cluster, n_blocks, round(energy, 5) AS energy, round(cx, 5) AS x, round(cy, 5) AS y FROM c"""
+
+
+@query(_CLUSTERS)
 def island_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of connected hits, split among their maxima."""
     cfg = clusters.IslandConfig(least_centre=903.0, least_cluster=50.0, corners=True)  # the energies here are all alike
@@ -96,7 +123,7 @@ def island_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("event", "cluster", "n_blocks", *[F.round(n, 5).alias(n) for n in ("energy", "x", "y")])
 
 
-@query()
+@query(_CLUSTERS)
 def grid_clusters_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same clusters by a table function, in SQL text."""
     register_tables(spark)

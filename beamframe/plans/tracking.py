@@ -88,7 +88,22 @@ def _efficiency(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
     return found.select("test", "den", "num", *[F.round(n, 6).alias(n) for n in ("efficiency", "dx", "dy")])
 
 
-@query()
+_FIT = """s AS (SELECT *, list_sum(list_transform(pts, lambda p: p.w)) AS sw, list_sum(list_transform(pts, lambda p: p.w * p.z)) AS sz, list_sum(list_transform(pts, lambda p: p.w * p.z * p.z)) AS szz, list_sum(list_transform(pts, lambda p: p.w * p.x)) AS sx, list_sum(list_transform(pts, lambda p: p.w * p.y)) AS sy,
+  list_sum(list_transform(pts, lambda p: p.w * p.z * p.x)) AS szx, list_sum(list_transform(pts, lambda p: p.w * p.z * p.y)) AS szy FROM q),
+l AS (SELECT *, (sw * szx - sz * sx) / (sw * szz - sz * sz) AS bx, (sw * szy - sz * sy) / (sw * szz - sz * sz) AS by_ FROM s), a AS (SELECT *, (sx - bx * sz) / sw AS ax, (sy - by_ * sz) / sw AS ay FROM l),
+r AS (SELECT *, list_sum(list_transform(pts, lambda p: p.w * ((ax + bx * p.z - p.x) ** 2 + (ay + by_ * p.z - p.y) ** 2))) / (2 * len(pts) - 4) AS chi2, list_bool_and(list_transform(pts[2:], lambda p: p.w * ((ax + bx * p.z - p.x) ** 2 + (ay + by_ * p.z - p.y) ** 2) <= 9)) AS near FROM a)"""
+_TRACKS = """e AS (SELECT vec_id, vec_id // 64 AS event, vec_id // 16 AS cluster, embedding[1]::DOUBLE * 900 AS ex, embedding[2]::DOUBLE * 900 AS ey, embedding[3]::DOUBLE * 9 AS hx, embedding[4]::DOUBLE * 9 AS hy FROM embeddings),
+c AS (SELECT event, cluster, ex AS cx, ey AS cy FROM e WHERE vec_id % 16 = 0),
+h AS (SELECT e.event, vec_id AS hit, vec_id % 4 AS plane, cx * (4000 + 500 * (vec_id % 4)) / 6000 + hx AS x, cy * (4000 + 500 * (vec_id % 4)) / 6000 + hy AS y, 4000.0 + 500 * (vec_id % 4) AS z FROM e JOIN c USING (cluster) WHERE vec_id % 16 > 0)"""
+
+
+@query(f"""WITH {_TRACKS}, n AS (SELECT c.event, c.cluster, cx, cy, t.test, h.plane, h.hit, h.x, h.y, h.z, (h.x - cx * h.z / 6000) ** 2 + (h.y - cy * h.z / 6000) ** 2 AS d2 FROM c JOIN h ON h.event = c.event JOIN (VALUES (0), (1), (2), (3)) t(test) ON t.test <> h.plane
+  WHERE (h.x - cx * h.z / 6000) ** 2 + (h.y - cy * h.z / 6000) ** 2 < 9 * ((3 * h.z / 6000) ** 2 + 0.64)),
+k AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY event, cluster, test, plane ORDER BY d2, hit) = 1),
+q AS (SELECT event, cluster, test, list_prepend({{'z': 6000.0::DOUBLE, 'x': any_value(cx), 'y': any_value(cy), 'w': (1 / 9.0)::DOUBLE}}, list({{'z': z::DOUBLE, 'x': x, 'y': y, 'w': (1 / 0.64)::DOUBLE}} ORDER BY plane)) AS pts FROM k GROUP BY event, cluster, test HAVING count(*) = 3), {_FIT},
+o AS (SELECT event, cluster, test, ax + bx * (4000 + 500 * test) AS px, ay + by_ * (4000 + 500 * test) AS py FROM r WHERE chi2 <= 3.5 AND near),
+f AS (SELECT o.event, o.cluster, o.test, arg_min({{'dx': x - px, 'dy': y - py}}, {{'r': (x - px) ** 2 + (y - py) ** 2, 'h': hit}}) AS d FROM o JOIN h ON h.event = o.event AND h.plane = o.test WHERE (x - px) ** 2 + (y - py) ** 2 < 9 * 0.64 GROUP BY 1, 2, 3)
+SELECT test, count(*) AS den, count(d) AS num, round(100.0 * count(d) / count(*), 6) AS efficiency, round(avg(d.dx), 6) AS dx, round(avg(d.dy), 6) AS dy FROM o LEFT JOIN f USING (event, cluster, test) GROUP BY test""")
 def target_seed_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Planes' efficiencies by tracks from the target (tested by brute force)."""
     return _efficiency(spark, sf_dir, K.TARGET_SEED)
@@ -113,16 +128,11 @@ _FOUR = ", ".join(f"p{k} AS (SELECT event, hit, x, y FROM h WHERE plane = {k} UN
 _POINTS = "[{'z': 6000.0, 'x': cx, 'y': cy, 'w': 1 / 9.0}, " + ", ".join(f"{{'z': {4000.0 + 500 * k}, 'x': x{k}, 'y': y{k}, 'w': 1 / 0.64}}" for k in range(4)) + "]"
 
 
-@query(f"""WITH e AS (SELECT vec_id, vec_id // 64 AS event, vec_id // 16 AS cluster, embedding[1]::DOUBLE * 900 AS ex, embedding[2]::DOUBLE * 900 AS ey, embedding[3]::DOUBLE * 9 AS hx, embedding[4]::DOUBLE * 9 AS hy FROM embeddings),
-c AS (SELECT event, cluster, ex AS cx, ey AS cy FROM e WHERE vec_id % 16 = 0),
-h AS (SELECT e.event, vec_id AS hit, vec_id % 4 AS plane, cx * (4000 + 500 * (vec_id % 4)) / 6000 + hx AS x, cy * (4000 + 500 * (vec_id % 4)) / 6000 + hy AS y FROM e JOIN c USING (cluster) WHERE vec_id % 16 > 0), {_FOUR},
+@query(f"""WITH {_TRACKS}, {_FOUR},
 m AS (SELECT c.event, c.cluster, cx, cy, {", ".join(f"p{k}.hit AS h{k}, p{k}.x AS x{k}, p{k}.y AS y{k}" for k in range(4))} FROM c JOIN p0 ON p0.event = c.event JOIN p1 ON p1.event = c.event JOIN p2 ON p2.event = c.event JOIN p3 ON p3.event = c.event
-  WHERE {" AND ".join(f"(p{k}.hit IS NULL OR (abs(p{k}.x - cx * {4000 + 500 * k} / 6000) < 60 AND abs(p{k}.y - cy * {4000 + 500 * k} / 6000) < 60))" for k in range(4))} AND (p0.hit IS NOT NULL)::INT + (p1.hit IS NOT NULL)::INT + (p2.hit IS NOT NULL)::INT + (p3.hit IS NOT NULL)::INT >= 3),
+  WHERE (p0.hit IS NOT NULL)::INT + (p1.hit IS NOT NULL)::INT + (p2.hit IS NOT NULL)::INT + (p3.hit IS NOT NULL)::INT >= 3),
 q AS (SELECT *, list_filter({_POINTS}, lambda p: p.x IS NOT NULL) AS pts FROM m),
-s AS (SELECT *, list_sum(list_transform(pts, lambda p: p.w)) AS sw, list_sum(list_transform(pts, lambda p: p.w * p.z)) AS sz, list_sum(list_transform(pts, lambda p: p.w * p.z * p.z)) AS szz, list_sum(list_transform(pts, lambda p: p.w * p.x)) AS sx, list_sum(list_transform(pts, lambda p: p.w * p.y)) AS sy,
-  list_sum(list_transform(pts, lambda p: p.w * p.z * p.x)) AS szx, list_sum(list_transform(pts, lambda p: p.w * p.z * p.y)) AS szy FROM q),
-l AS (SELECT *, (sw * szx - sz * sx) / (sw * szz - sz * sz) AS bx, (sw * szy - sz * sy) / (sw * szz - sz * sz) AS by_ FROM s), a AS (SELECT *, (sx - bx * sz) / sw AS ax, (sy - by_ * sz) / sw AS ay FROM l),
-r AS (SELECT *, list_sum(list_transform(pts, lambda p: p.w * ((ax + bx * p.z - p.x) ** 2 + (ay + by_ * p.z - p.y) ** 2))) / (2 * len(pts) - 4) AS chi2, list_bool_and(list_transform(pts[2:], lambda p: p.w * ((ax + bx * p.z - p.x) ** 2 + (ay + by_ * p.z - p.y) ** 2) <= 9)) AS near FROM a)
+{_FIT}
 SELECT event, cluster, round(chi2, 6) AS chi2_dof, (len(pts) - 1)::BIGINT AS n_planes, h0, h1, h2, h3 FROM r WHERE chi2 <= 3.5 AND near QUALIFY row_number() OVER (PARTITION BY event, cluster ORDER BY chi2) = 1""")
 def combination_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every cluster's best track of all combinations of hits of three or four planes, without a seed."""
