@@ -31,7 +31,8 @@ null turn comes first and is not voided by regenerations; a null sequence number
 of a turn with equal sequence numbers are folded in the order of message, kind, role and text; messages
 that began with equal sequence numbers are rendered in the order of role and text; a delta, edit or
 regeneration without a message opens one with an empty role; a null or unknown kind raises; repeated
-rows are messages each; extra columns are ignored; an empty table gives no rows."""
+rows are messages each; `streamed_events` numbers turns of up to 2^60, a turn beyond raises; extra columns
+are ignored; an empty table gives no rows."""
 
 from __future__ import annotations
 

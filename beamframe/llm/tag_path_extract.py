@@ -58,9 +58,9 @@ P_SCOPE = frozenset("button caption object table td th template".split())
 # --- fixed values: what is not main text ---------------------------------------------------------
 BOILERPLATE_TAGS = frozenset("nav footer aside menu dialog form button select fieldset input template svg math canvas object audio video map search".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-HEADER_NAMES = frozenset("header masthead topbar banner".split())
+HEADER_NAMES = frozenset("header masthead topbar".split())
 BOILERPLATE_NAMES = re.compile(
-    r"(?:ad|ads|adv|adbox|adslot|adunit|adsense|adsbygoogle|advert\w*|sponsor\w*|promo|promos|promoted|promotion|cookie\w*|consent|gdpr|notice|notices|notification\w*|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|paywall"
+    r"(?:ad|ads|adv|adbox|adslot|adunit|adsense|adsbygoogle|advert\w*|sponsor\w*|promo|promos|promoted|promotion|banner|banners|cookie\w*|consent|gdpr|notice|notices|notification\w*|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|paywall"
     r"|sidebar\w*|sidenav|rail|related|recommended|recommendations|trending|nav|navbar|navigation|menu|menus|submenu|breadcrumb\w*|pager|pagination|toolbar|footer\w*|copyright|disclaimer|share|sharing|sharebar|social"
     r"|comment|comments|commentlist|commentbox|commentform|reply|replies|disqus\w*|respond|search|searchbox|skiplink)"
 )
@@ -115,6 +115,7 @@ def _kind(tag: str, attrs: str) -> tuple[str, str]:
                 words = [w.lower() for w in _WORD.findall(name)]
                 if not words or words[0] in ("no", "has", "with", "without", "is"):
                     continue
+                words += [a + b for a, b in zip(words, words[1:], strict=False)]  # side-bar, pop-up
                 # an article's classes often name its subjects, after a first word
                 if tag not in ("html", "body", "main") and any(BOILERPLATE_NAMES.fullmatch(w) for w in (words[:1] if tag == "article" else words)):
                     kind = "other"

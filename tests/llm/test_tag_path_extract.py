@@ -31,6 +31,8 @@ C = "Short one."
         f"<div class='cookie-banner'><p>{A}</p></div><div role=alert>{B}</div><article class='post category-social tag-ads'><h1>Title</h1><div class='ad-slot'>Buy, buy, buy.</div>"
         f"<p>{A}</p><div hidden><p>{B}</p></div><div style='display: none'>{B}</div><p>{B}</p><ul class=share-buttons><li>Share.</li></ul><p>{C}</p>"
         f"<article class='comment depth-2'><p>{A}</p></article></article>",
+        # names in parts, an advert between paragraphs, a link to skip to, a notice inside
+        f"<a class='skip-link' href='#m'>Skip to the text.</a><div id='m'><h1>Title</h1><p>{A}</p><div class='side-bar'><p>{B}</p></div><ins class='adsbygoogle'>Buy this, now.</ins><div class='top-banner'>Sale, today only!</div><p>{B}</p><p>{C}</p><div class='pop-up'><p>{A}</p></div><p class='disclaimer'>{A}</p></div>",
         # a table as layout, links without a list, nothing closed
         f"<table><tr><td><a href=1>One</a> <a href=2>Two</a> <a href=3>Three</a><td><h1>Title</h1><p>{A}<p>{B}<p>{C}</table>",
     ],
