@@ -58,7 +58,7 @@ class PhraseConfig:
     inside: int = 80
     top: int = 2000
     scale: int = 2_000_000
-    block_bytes: int = 4 << 20
+    block_bytes: int = 3 << 20
     sieve_bits: int = 25
 
 
