@@ -237,7 +237,7 @@ def island_labels(hits: DataFrame, keys: Sequence[str], x: str, y: str, corners:
 
     Every cell takes the least label of its neighbours, then the label of the cell that its label names, so
     labels run over an island in few rounds. Rounds are joins on cells, each stored; they end when nothing
-    changes, and no island or event has to fit in a task."""
+    changes, and no island or event has to fit in a task. Hits whose key is null are not connected."""
     steps = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i or j) and (corners or not (i and j))]
     cells = stored(hits.select(*keys, F.col(x).alias("x"), F.col(y).alias("y")).distinct(), "cells")
     beside = cells.withColumn("_s", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps])))
@@ -246,11 +246,14 @@ def island_labels(hits: DataFrame, keys: Sequence[str], x: str, y: str, corners:
     edges = stored(beside.join(cells.select(*keys, F.col("x").alias("nx"), F.col("y").alias("ny")), [*keys, "nx", "ny"]), "cell-edges")
     cur = cells.withColumn("label", F.struct("x", "y"))
     while True:
-        met = edges.join(named(cur, "nx", "ny", "_label"), [*keys, "nx", "ny"]).groupBy(*keys, "x", "y").agg(F.min("_label").alias("_label"))
-        least = cur.join(met, [*keys, "x", "y"], "left").select(*keys, "x", "y", F.col("label").alias("_was"), F.least("label", F.coalesce("_label", "label")).alias("label"))
-        least = stored(least.withColumn("tx", F.col("label.x")).withColumn("ty", F.col("label.y")), "labels")
-        jumped = least.join(named(least, "tx", "ty", "_far"), [*keys, "tx", "ty"], "left")
-        cur = stored(jumped.select(*keys, "x", "y", "_was", F.least("label", F.coalesce("_far", "label")).alias("label")), "labels")
+        # a cell's own label, those of its neighbours, and the one of the cell that its label names
+        own = cur.select(*keys, "x", "y", "label", F.col("label").alias("_was"))
+        none = F.lit(None).cast(cur.schema["label"].dataType).alias("_was")
+        beside = edges.join(named(cur, "nx", "ny", "_label"), [*keys, "nx", "ny"]).select(*keys, "x", "y", F.col("_label").alias("label"), none)
+        named_by = cur.select(*keys, "x", "y", F.col("label.x").alias("tx"), F.col("label.y").alias("ty"))
+        far = named_by.join(named(cur, "tx", "ty", "_far"), [*keys, "tx", "ty"]).select(*keys, "x", "y", F.col("_far").alias("label"), none)
+        met = own.unionByName(beside).unionByName(far).groupBy(*keys, "x", "y")
+        cur = stored(met.agg(F.min("label").alias("label"), F.max("_was").alias("_was")), "labels")
         if cur.where("label <> _was").isEmpty():
             return cur.select(*keys, "x", "y", F.col("label.x").alias("island_x"), F.col("label.y").alias("island_y"))
         cur = cur.drop("_was")
