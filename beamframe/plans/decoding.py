@@ -34,7 +34,7 @@ def sparsified_adc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.where("value IS NOT NULL")
 
 
-@query("SELECT o_orderkey AS event, ((o_custkey % 65536) * 4294967296 + o_orderkey * 40503)::BIGINT AS ticks, round(((o_custkey % 65536) * 4294967296 + o_orderkey * 40503)::BIGINT * 4e-9, 6) AS seconds FROM orders")
+@query("WITH t AS (SELECT o_orderkey AS event, ((o_custkey % 65536) * 4294967296 + (o_orderkey * 40503) % 4294967296)::BIGINT AS ticks FROM orders) SELECT event, ticks, round(ticks * 4e-9, 6) AS seconds FROM t")
 def wide_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """48-bit ticks from two words, and seconds."""
     t = D.timestamp_48(F.col("o_orderkey") * 40503, F.col("o_custkey"))
