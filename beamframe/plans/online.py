@@ -106,9 +106,10 @@ g AS (SELECT user_id, event_id, k, ms AS begun, ms, 0::BIGINT AS flush, 1::BIGIN
 UNION ALL SELECT e.user_id, e.event_id, e.k, CASE WHEN g.n >= 8 OR e.ms - g.begun >= 7200000 THEN e.ms ELSE g.begun END, e.ms, g.flush + CASE WHEN g.n >= 8 OR e.ms - g.begun >= 7200000 THEN 1 ELSE 0 END, CASE WHEN g.n >= 8 OR e.ms - g.begun >= 7200000 THEN 1 ELSE g.n + 1 END, '' FROM g JOIN e ON e.user_id = g.user_id AND e.k = g.k + 1)"""
 
 
-@query(f"""WITH RECURSIVE {_FLUSHED}, w AS (SELECT user_id, flush, count(*) AS n_rows, min(event_id) AS first, max(event_id) AS last, min(begun) AS begun FROM g GROUP BY 1, 2)
-SELECT user_id, flush, n_rows, first, last, CASE WHEN n_rows = 8 THEN 'size' ELSE 'age' END AS reason FROM w
-WHERE n_rows = 8 OR begun + 7200000 <= (SELECT epoch_ms(max(ts)) FROM events) - 600000""")
+@query(f"""WITH RECURSIVE {_FLUSHED}, w AS (SELECT user_id, flush, count(*) AS n_rows, min(event_id) AS first, max(event_id) AS last, min(begun) AS begun FROM g GROUP BY 1, 2),
+c AS (SELECT *, flush < max(flush) OVER (PARTITION BY user_id) AS followed FROM w)
+SELECT user_id, flush, n_rows, first, last, CASE WHEN n_rows = 8 THEN 'size' ELSE 'age' END AS reason FROM c
+WHERE n_rows = 8 OR followed OR begun + 7200000 <= (SELECT epoch_ms(max(ts)) FROM events) - 600000""")
 def stream_timed_flush(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups flushed at eight rows or two hours after the first one: by a later row or, where none comes, by the
     timer that the watermark reaches."""
