@@ -14,7 +14,7 @@ from beamframe.plans.registry import query, table
 from beamframe.plans.scratch import stored
 
 
-_CLIP = "CASE WHEN {x}.done THEN {x}.d ELSE list_filter({x}.d, lambda p: abs(p.v - {x}.mean) < greatest({x}.rms, 1.0)) END"
+_CLIP = "CASE WHEN {x}.done THEN {x}.d ELSE list_filter({x}.d, lambda p: abs(p.v - {x}.mean) < greatest({x}.rms, 1.0) - 1e-9) END"
 _MEAN = "list_avg(list_transform({d}, lambda p: p.v))"
 _RMS = "list_aggregate(list_transform({d}, lambda p: p.v), 'stddev_pop')"
 
@@ -33,14 +33,14 @@ y AS (SELECT vec_id, list_transform(range(1, 65), lambda i: (s[i] + CASE WHEN i
 w AS (SELECT vec_id, side, list_transform(range(30), lambda i: {{'v': y[i + 1 + side], 'at': i}}) AS d FROM y, (VALUES (0), (34)) t(side)),
 m AS (SELECT *, list_median(list_transform(d, lambda p: p.v)) AS mean FROM w),
 r0 AS (SELECT vec_id, side, d, mean, 1.4826 * list_median(list_transform(d, lambda p: abs(p.v - mean))) AS rms, 1 AS q, FALSE AS done FROM m), {_round("r0", "r1")}, {_round("r1", "r2")}, {_round("r2", "r3")},
-f AS (SELECT vec_id, side, mean, rms, len(d) AS used, list_avg(list_transform(d, lambda p: p.at)) AS c, d, q | CASE WHEN rms < 1.0 THEN 2 ELSE 0 END | CASE WHEN side > 0 THEN 32 ELSE 0 END AS quality FROM r3),
+f AS (SELECT vec_id, side, mean, rms, len(d) AS used, list_avg(list_transform(d, lambda p: p.at)) AS c, d, q | CASE WHEN rms < 1.0 - 1e-9 THEN 2 ELSE 0 END | CASE WHEN side > 0 THEN 32 ELSE 0 END AS quality FROM r3),
 g AS (SELECT *, CASE WHEN used > 1 THEN list_sum(list_transform(d, lambda p: (p.at - c) * p.v)) / list_sum(list_transform(d, lambda p: (p.at - c) ** 2)) ELSE 0 END AS slope FROM f),
-b AS (SELECT h.vec_id, ((h.quality & 5) > 0 OR 2 * h.used < 30) AND (t.rms < h.rms OR (t.rms = h.rms AND t.used > h.used)) AS tail FROM g h JOIN g t ON h.vec_id = t.vec_id AND h.side = 0 AND t.side = 34),
+b AS (SELECT h.vec_id, ((h.quality & 5) > 0 OR 2 * h.used < 30) AND (t.rms < h.rms - 1e-9 OR (t.rms <= h.rms + 1e-9 AND t.used > h.used)) AS tail FROM g h JOIN g t ON h.vec_id = t.vec_id AND h.side = 0 AND t.side = 34),
 ped AS (SELECT vec_id, mean, rms, used, slope, quality, side FROM g JOIN b USING (vec_id) WHERE (side = 34) = tail)"""
 
-# samples are numbered from 1 here; t[k] is the turn from sample k to the next
+# samples are numbered from 1 here; values closer than 1e-9 are equal, as in the operator; t[k] is the turn from sample k to the next
 _PULSES = """base AS (SELECT vec_id, mean, rms, slope, quality, side, s AS x, list_transform(y, lambda v: v - mean) AS y, list_transform(s, lambda v: v - mean) AS z, greatest(5 * rms, 10.0) AS least, greatest(0.1, 0.5 * rms) AS tol FROM ped JOIN y USING (vec_id) JOIN s USING (vec_id)),
-turns AS (SELECT *, list_transform(range(1, 64), lambda k: CASE WHEN abs(y[k + 1] - y[k]) < tol THEN 0 ELSE sign(y[k + 1] - y[k])::INT END) AS t FROM base),
+turns AS (SELECT *, list_transform(range(1, 64), lambda k: CASE WHEN abs(y[k + 1] - y[k]) < tol - 1e-9 THEN 0 ELSE sign(y[k + 1] - y[k])::INT END) AS t FROM base),
 places AS (SELECT *, unnest(range(2, 64)) AS i FROM turns),
 flat AS (SELECT *, CASE WHEN t[i] = 0 THEN coalesce(list_min(list_filter(range(i, 64), lambda k: t[k] <> 0)), 64) ELSE i END AS f FROM places WHERE t[i - 1] >= 0 AND t[i] <= 0 AND NOT (t[i - 1] = 0 AND t[i] = 0)),
 ends AS (SELECT *, (i + f) // 2 AS top, 2 + (f - i) // 2 AS reach, 1 + coalesce(list_max(list_filter(range(1, i), lambda k: t[k] <= 0)), 0) AS l, coalesce(list_min(list_filter(range(f, 64), lambda k: t[k] > 0)), 64) AS r FROM flat WHERE f < 64 AND t[f] <= 0),
@@ -50,13 +50,13 @@ walk AS (
   SELECT vec_id, min(i) AS i, []::STRUCT(l BIGINT, r BIGINT, h DOUBLE)[] AS seen, 0 AS n, NULL::BIGINT AS found FROM cand GROUP BY vec_id
   UNION ALL
   SELECT vec_id, nxt, CASE WHEN ok THEN list_append(seen, {'l': l, 'r': r, 'h': h}) ELSE seen END, n + ok::INT, CASE WHEN ok THEN i END FROM (
-    SELECT c.*, w.seen, w.n, least(c.over, c.high) >= c.least AND len(list_filter(w.seen, lambda p: c.l <= p.r AND c.r >= p.l AND c.over < 0.3 * p.h)) = 0 AS ok
+    SELECT c.*, w.seen, w.n, least(c.over, c.high) >= c.least - 1e-9 AND len(list_filter(w.seen, lambda p: c.l <= p.r AND c.r >= p.l AND c.over < 0.3 * p.h - 1e-9)) = 0 AS ok
     FROM walk w JOIN linked c ON c.vec_id = w.vec_id AND c.i = w.i WHERE w.n < 8)),
 top AS (SELECT b.*, c.top, c.reach, c.l, c.r, c.i FROM walk w JOIN cand c ON c.vec_id = w.vec_id AND c.i = w.found JOIN base b ON b.vec_id = w.vec_id),
-weak AS (SELECT *, list_min(list_transform(range(greatest(top - reach, 1), least(top + reach, 64) + 1), lambda k: {'a': -z[k], 'b': abs(k - top), 'c': k})).c AS k, list_transform(y, lambda v: v < 0.1 * y[top] OR v < rms OR v * y[top] < 0) AS w FROM top),
-stops AS (SELECT *, coalesce(list_max(list_filter(range(l, top - 1), lambda j: w[j] AND w[j + 1])), l) AS from_, coalesce(list_min(list_filter(range(top + 2, r + 1), lambda j: w[j] AND w[j - 1])), r) AS to_, z[k - 1] - 2 * z[k] + z[k + 1] AS bend FROM weak),
+weak AS (SELECT *, list_min(list_transform(range(greatest(top - reach, 1), least(top + reach, 64) + 1), lambda k: {'a': -z[k], 'b': abs(k - top), 'c': k})).c AS k, list_transform(y, lambda v: v < 0.1 * y[top] - 1e-9 OR v < rms - 1e-9 OR v * y[top] < 0) AS w FROM top),
+stops AS (SELECT *, coalesce(list_max(list_filter(range(l, top - 1), lambda j: w[j] AND w[j + 1])), l) AS from_, coalesce(list_min(list_filter(range(top + 2, r + 1), lambda j: w[j] AND w[j - 1])), r) AS to_, x[k - 1] - 2 * x[k] + x[k + 1] AS bend FROM weak),
 cut AS (SELECT *, coalesce(list_min(list_filter(range(from_, top), lambda j: NOT w[j])), top) AS lo, coalesce(list_max(list_filter(range(top + 1, to_ + 1), lambda j: NOT w[j])), top) AS hi,
-  CASE WHEN k > 1 AND k < 64 AND bend < -1e-3 THEN greatest(-1, least(1, 0.5 * (z[k - 1] - z[k + 1]) / bend)) ELSE 0 END AS shift FROM stops),
+  CASE WHEN k > 1 AND k < 64 AND bend < -1e-3 THEN greatest(-1, least(1, 0.5 * (x[k - 1] - x[k + 1]) / bend)) ELSE 0 END AS shift FROM stops),
 piled AS (SELECT c.*, EXISTS (SELECT 1 FROM cut o WHERE o.vec_id = c.vec_id AND o.i <> c.i AND c.lo <= o.hi + 2 AND c.hi >= o.lo - 2) AS pile FROM cut c),
 inside AS (SELECT vec_id, bool_or(k - 1 >= side AND k - 1 < side + 30) AS ins FROM cut GROUP BY vec_id)"""
 
