@@ -115,16 +115,15 @@ def event_info(nodes: DataFrame, physics_base: int = 0x80) -> DataFrame:
     word = lambda i: F.get("words", F.lit(i))
     ti = (F.col("tag") == TRIGGER_INTERFACE) & (F.col("type") == WORDS)
     first = lambda value, ok: F.min_by(value, F.when(ok, node))
-    inside = nodes.select("file", "event", F.col("node").alias("parent"), F.col("tag").alias("parent_tag"), F.col("depth").alias("parent_depth"))
-    x = nodes.join(inside, ["file", "event", "parent"], "left")
-    run_info = (F.col("tag") == RUN_INFO) & (F.col("type") == WORDS) & (F.col("parent_tag") == MASTER_CRATE) & (F.col("parent_depth") == 1)
+    masters = F.collect_list(F.when((F.col("tag") == MASTER_CRATE) & (F.col("depth") == 1), node))
+    run_infos = F.collect_list(F.when((F.col("tag") == RUN_INFO) & (F.col("type") == WORDS), F.struct("node", "parent", word(1).alias("run"), word(3).alias("unix_time"))))
     tag = F.max(F.when(F.col("depth") == 0, F.col("tag")))
-    g = x.groupBy("file", "event").agg(
+    g = nodes.groupBy("file", "event").agg(
         tag.alias("tag"), first(word(0), F.col("tag") == TRIGGER_BANK).alias("event_number"),
         first(F.struct(word(1).alias("number"), word(2).alias("low"), word(3).alias("high")), ti).alias("ti"),
-        first(word(5), ti & (F.coalesce(word(5), F.lit(0)) != 0)).alias("trigger_bits"),
-        first(F.struct(word(1).alias("run"), word(3).alias("unix_time")), run_info).alias("r"),
+        first(word(5), ti & (F.coalesce(word(5), F.lit(0)) != 0)).alias("trigger_bits"), masters.alias("masters"), run_infos.alias("run_infos"),
     )
+    g = g.withColumn("r", F.array_min(F.filter("run_infos", lambda b: F.array_contains("masters", b["parent"]))))  # nodes differ
     return g.select("file", "event", "tag", F.when(F.col("tag") >= physics_base, F.col("tag") - physics_base).alias("trigger_type"), "event_number", F.col("ti.number").alias("trigger_number"), timestamp_48(F.col("ti.low"), F.col("ti.high")).alias("timestamp"), "trigger_bits", "r.run", "r.unix_time")
 
 

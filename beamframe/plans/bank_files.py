@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from beamframe.operators import readout as R
 from beamframe.plans.readout import bank_trees
 from beamframe.plans.registry import query, table
-from beamframe.scratch import scratch_path
+from beamframe.scratch import scratch_path, stored
 from beamframe.sources import bank_source as S
 from beamframe.sources import banks as B
 from beamframe.streaming.live import live_banks
@@ -66,7 +66,7 @@ def bank_file_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of the events of each segment that are no monitoring events; top banks only, no payload."""
     path, index = run_files(spark, sf_dir)
     top = S.read_events(spark, path, index, "file string, event bigint, depth int, tag int").where("depth = 0 AND tag >= 128")
-    info = top.select("file", "event", (F.col("tag") - 128).alias("trigger_type"))
+    info = stored(top.select("file", "event", (F.col("tag") - 128).alias("trigger_type")), "event-kinds")  # read twice
     return R.event_index(info, F.col("trigger_type") == 2, block=1000).select(segment(), "number", "event")
 
 

@@ -9,7 +9,8 @@ Events follow one another without marks, so a file can only be cut where an even
 a row for every range of about `range_bytes` of a file: its first event, how many events it has, and
 its place. With an index a partition is a range, and files may be of any size; without one it is a file,
 which is read as a stream of events all the same. Only one range's rows of the index, not of its events,
-reach the planner: a row for every `range_bytes` of data.
+reach the planner: a row for every `range_bytes` of data. Where more than 256 ranges are left, neighbours are
+read by one task, so that small ranges of a large run don't become as many tasks.
 
 Filters on `file` and `event` choose ranges (and skip events inside them by their first words), filters
 on `tag` choose banks: payloads of other tags are passed over and never decoded. All three are taken
@@ -25,6 +26,7 @@ in a filter select nothing."""
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import uuid
@@ -34,11 +36,12 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -47,6 +50,8 @@ from beamframe.sources import banks
 INDEX = "file string, first_event bigint, n_events bigint, begin bigint, size bigint"
 EVENTS = "file string, event bigint, payload binary"
 CHUNK = 4 << 20
+TASKS, TASK_BYTES = 256, 64 << 20  # more ranges are put together, up to so many bytes or a 256th of all
+BLOCK_EVENTS, BLOCK_WORDS = 4096, 1 << 18  # decoded at once
 
 
 def open_path(path: str) -> tuple[pafs.FileSystem, str]:
@@ -166,6 +171,21 @@ class Bounds:
         return True
 
 
+def joined_ranges(ranges: list[Range]) -> list[Range]:
+    """Neighbouring ranges of a file put together, if there are many."""
+    if len(ranges) <= TASKS or any(r.size is None for r in ranges):
+        return ranges
+    most = min(TASK_BYTES, sum(r.size for r in ranges) // TASKS)
+    out: list[Range] = []
+    for r in ranges:
+        last = out[-1] if out else None
+        if last and last.file == r.file and last.begin + last.size == r.begin and last.size + r.size <= most:
+            out[-1] = Range(r.file, last.first_event, last.begin, last.size + r.size, last.n_events + r.n_events)
+        else:
+            out.append(r)
+    return out
+
+
 class BankReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict[str, str]):
         self.columns = schema.names
@@ -192,45 +212,63 @@ class BankReader(DataSourceReader):
         else:
             ranges = [Range(f, 0, 0, None, None) for f in bank_files(self.path)]
         kept = [r for r in ranges if (b.files is None or r.file in b.files) and (b.high is None or r.first_event <= b.high) and (r.n_events is None or r.first_event + r.n_events > b.low)]
-        return sorted(kept, key=lambda r: (r.file, r.begin))
+        return joined_ranges(sorted(kept, key=lambda r: (r.file, r.begin)))
 
     def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # no ranges are left
             return
-        b, rows = self.bounds, []
+        b = self.bounds
         fs, _ = open_path(self.path)
         last = b.high if b.high is not None else 1 << 62
         with fs.open_input_file(partition.file) as f:
             end = f.size() if partition.size is None else partition.begin + partition.size
-            event = partition.first_event
-            wanted = (b.low <= e <= last for e in iter(_counter(event), None))
-            for _, _, words in events_of(f, partition.begin, end, wanted):
-                if words is not None:
-                    rows += self.nodes(partition.file, event, words)
-                event += 1
-                if len(rows) >= 10_000:
-                    yield self.batch(rows)
-                    rows = []
-                if event > last:
-                    break
-        if rows:
-            yield self.batch(rows)
-
-    def nodes(self, file: str, event: int, words: np.ndarray) -> Iterator[tuple]:
-        """Rows of one event's banks that the filters ask for, in the columns that are wanted."""
+            wanted = (b.low <= e <= last for e in iter(_counter(partition.first_event), None))
+            numbered = enumerate((w for _, _, w in events_of(f, partition.begin, end, wanted)), partition.first_event)
+            yield from self.batches(partition.file, itertools.takewhile(lambda e: e[0] <= last, numbered))
+
+    def batches(self, file: str, events: Iterable[tuple[int, np.ndarray | None]]) -> Iterator[pa.RecordBatch]:
+        """Banks of numbered events that the filters ask for; events without words are passed over."""
+        numbers, held, size = [], [], 0
+        for event, words in events:
+            if words is not None:
+                numbers.append(event)
+                held.append(words)
+                size += len(words)
+            if len(held) >= BLOCK_EVENTS or size >= BLOCK_WORDS:
+                yield from self.batch(file, numbers, held)
+                numbers, held, size = [], [], 0
+        if held:
+            yield from self.batch(file, numbers, held)
+
+    def batch(self, file: str, numbers: list[int], held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        words = np.concatenate(held).astype(np.int64)
+        ends = np.cumsum([len(w) for w in held])
+        found = banks.scan_events(words, np.append(0, ends[:-1]), ends)
         tags = self.bounds.tags
-        for _, node, parent, depth, tag, kind, num, begin, end, broken in banks.scan(words):
-            if tags is None or tag in tags:
-                row = {"file": file, "event": event, "node": node, "parent": parent, "depth": depth, "tag": tag, "type": kind, "num": num, "broken": broken}
-                if "words" in self.columns:
-                    row["words"] = self.payload(kind, words[begin:end])
-                yield tuple(row[c] for c in self.columns)
+        if tags is not None:
+            kept = np.isin(found["tag"], list(tags))
+            found = {n: c[kept] for n, c in found.items()}
+        n = len(found["node"])
+        if not n:
+            return
+        columns = []
+        for name, kind in zip(self.columns, self.arrow.types, strict=True):
+            if name == "file":
+                columns.append(pa.DictionaryArray.from_arrays(pa.array(np.zeros(n, np.int32)), [file]).cast(kind))
+            elif name == "event":
+                columns.append(pa.array(np.array(numbers, np.int64)[found["event"]], kind))
+            elif name == "words":
+                bodies = [self.payload(k, words[a:b]) for k, a, b in zip(found["type"].tolist(), found["begin"].tolist(), found["end"].tolist(), strict=True)]
+                none = np.array([w is None for w in bodies])
+                offsets = np.append(0, np.cumsum([0 if w is None else len(w) for w in bodies])).astype(np.int32)
+                body = np.concatenate([np.zeros(0, np.int64), *(w for w in bodies if w is not None)])
+                columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(body), mask=pa.array(none)).cast(kind))
+            else:
+                columns.append(pa.array(found[name]).cast(kind))
+        yield pa.RecordBatch.from_arrays(columns, schema=self.arrow)
 
     def payload(self, kind: int, words: np.ndarray) -> np.ndarray | None:
-        return None if kind in (*banks.BANKS, *banks.SEGMENTS, *banks.TAG_SEGMENTS) else words.astype(np.int64)
-
-    def batch(self, rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), self.arrow.types, strict=True)], schema=self.arrow)
+        return None if kind in (*banks.BANKS, *banks.SEGMENTS, *banks.TAG_SEGMENTS) else words
 
 
 def _counter(start: int):
@@ -251,27 +289,35 @@ class Written(WriterCommitMessage):
     moves: list[tuple[str, str]]
 
 
-class BankWriter(DataSourceWriter):
+class BankWriter(DataSourceArrowWriter):
     """Events (file, event, payload) into one file per name and task. Files get their names when all tasks
     are done, so a task that is repeated, or a job that fails, leaves nothing."""
 
     def __init__(self, options: dict[str, str], overwrite: bool):
         self.path, self.overwrite, self.job = options["path"], overwrite, uuid.uuid4().hex
 
-    def write(self, iterator: Iterator) -> WriterCommitMessage:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         fs, at = open_path(self.path)
         moves: list[tuple[str, str]] = []
         out = name = None
         fs.create_dir(f"{at}/_{self.job}", recursive=True)
-        for row in iterator:
-            if row["file"] != name:
-                if out is not None:
-                    out.close()
-                name = row["file"]
-                temporary = f"{at}/_{self.job}/{uuid.uuid4().hex}"
-                moves.append((temporary, f"{at}/{name}"))
-                out = fs.open_output_stream(temporary)
-            out.write(row["payload"])
+        for batch in iterator:
+            files, payload = batch.column("file"), batch.column("payload").cast(pa.large_binary())
+            if files.null_count or payload.null_count:
+                raise ValueError("an event to be written has no file or no payload")
+            _, place, data = payload.buffers()
+            place = np.frombuffer(place, np.int64)[payload.offset : payload.offset + len(payload) + 1]
+            new = np.flatnonzero(pc.not_equal(files[1:], files[:-1]).to_numpy(zero_copy_only=False)) + 1
+            for begin, end in itertools.pairwise([0, *new.tolist(), len(files)] if len(files) else []):
+                if files[begin].as_py() != name:
+                    if out is not None:
+                        out.close()
+                    name = files[begin].as_py()
+                    temporary = f"{at}/_{self.job}/{uuid.uuid4().hex}"
+                    moves.append((temporary, f"{at}/{name}"))
+                    out = fs.open_output_stream(temporary)
+                if place[end] > place[begin]:
+                    out.write(data[int(place[begin]) : int(place[end])])
         if out is not None:
             out.close()
         return Written(moves)
@@ -343,28 +389,98 @@ def encode_tree(nodes: Sequence[tuple[int, int, int, int, int, Sequence[int] | N
     return b""
 
 
-def encoded_events(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys and payload, one row per event, from bank rows (keys, node, parent, tag, type, num, words)."""
-    tree = F.sort_array(F.collect_list(F.struct("node", "parent", "tag", "type", "num", "words"))).alias("tree")
-    trees = nodes.select(*keys, "node", "parent", F.col("tag").cast("bigint").alias("tag"), F.col("type").cast("bigint").alias("type"), F.col("num").cast("bigint").alias("num"), "words")
+def encode_trees(event: np.ndarray, node: np.ndarray, parent: np.ndarray, tag: np.ndarray, kind: np.ndarray, num: np.ndarray, sizes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Bank rows of many events (ascending, their nodes as well; `sizes` of the rows' words, which follow one another) as
+    big-endian words and the place where each event begins; None if an event isn't one plain tree."""
+    n = len(node)
+    new = np.append(True, event[1:] != event[:-1]) if n else np.zeros(0, bool)
+    containers, segments, tag_segments = ((*banks.BANKS, *banks.SEGMENTS, *banks.TAG_SEGMENTS), banks.SEGMENTS, banks.TAG_SEGMENTS)
+    key = event << 32 | node
+    if not n or node.min() < 0 or node.max() >= 1 << 32 or (key[1:] <= key[:-1]).any() or ((parent < 0) != new).any() or (parent >= node).any():
+        return None
+    up = np.minimum(np.searchsorted(key, event << 32 | np.maximum(parent, 0)), n - 1)
+    inside = ~new
+    holds = np.isin(kind, containers)
+    if (key[up] != (event << 32 | parent))[inside].any() or not holds[up[inside]].all():
+        return None
+    above = np.where(inside, kind[up], 0)
+    short, shorter = np.isin(above, segments), np.isin(above, tag_segments)
+    head = np.where(short | shorter, 1, 2)
+    depth, at = np.zeros(n, np.int64), np.where(inside, up, -1)
+    while (at >= 0).any():
+        depth += at >= 0
+        at = np.where((at >= 0) & inside[at], up[at], -1)
+    levels = [np.flatnonzero(depth == d) for d in range(depth.max() + 1)]
+    body = np.where(holds, 0, sizes)
+    for rows in levels[:0:-1]:
+        np.add.at(body, up[rows], head[rows] + body[rows])
+    whole = head + body
+    before = np.zeros(n, np.int64)  # words of a bank's earlier siblings
+    order = np.flatnonzero(inside)[np.argsort(up[inside], kind="stable")]
+    if len(order):
+        total = np.cumsum(whole[order]) - whole[order]
+        fresh = np.append(True, up[order][1:] != up[order][:-1])
+        before[order] = total - total[fresh][np.cumsum(fresh) - 1]
+    start = np.zeros(n, np.int64)
+    start[new] = np.cumsum(whole[new]) - whole[new]
+    for rows in levels[1:]:
+        start[rows] = start[up[rows]] + head[up[rows]] + before[rows]
+    one = np.where(short, tag << 24 | kind << 16 | body, np.where(shorter, tag << 20 | kind << 16 | body, body + 1))
+    two = tag << 16 | kind << 8 | num
+    long = head == 2
+    data = np.repeat(~holds, sizes)
+    used = words[data]
+    if any(len(v) and (v.min() < 0 or v.max() >= 1 << 32) for v in (one, two[long], used)):
+        return None
+    out = np.zeros(int(whole[new].sum()), np.int64)
+    out[start] = one
+    out[start[long] + 1] = two[long]
+    first = np.cumsum(sizes) - sizes
+    out[(np.repeat(start + head - first, sizes) + np.arange(len(words)))[data]] = used
+    return out.astype(">u4"), start[new]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf["payload"] = [encode_tree([(b["node"], b["parent"], b["tag"], b["type"], b["num"], None if b["words"] is None else list(b["words"])) for b in t]) for t in pdf["tree"]]
-            yield pdf.drop(columns="tree")
+
+def encoded_events(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys and payload, one row per event, from bank rows (keys, node, parent, tag, type, num, words).
+
+    The trees of a batch are laid out together; a batch with a tree that is no plain one goes event by event."""
+    numbers = ("node", "parent", "tag", "type", "num")
+    tree = F.sort_array(F.collect_list(F.struct(*numbers, "words"))).alias("tree")
+    trees = nodes.select(*keys, *[F.col(c).cast("bigint").alias(c) for c in numbers], "words")
+
+    def payloads(tree: pa.ListArray) -> pa.Array:
+        rows, n = tree.flatten(), tree.value_lengths().to_numpy()
+        columns = [rows.field(c) for c in numbers]
+        words = rows.field("words")
+        got = None
+        if not rows.null_count and not any(c.null_count for c in columns) and n.all():
+            sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy().astype(np.int64)
+            flat = words.flatten()
+            if not flat.null_count:
+                got = encode_trees(np.repeat(np.arange(len(n)), n), *[c.to_numpy() for c in columns], sizes, flat.to_numpy().astype(np.int64))
+        if got is None or 4 * len(got[0]) >= 1 << 31:
+            return pa.array([encode_tree([(b["node"], b["parent"], b["tag"], b["type"], b["num"], b["words"]) for b in t]) for t in tree.to_pylist()], pa.binary())
+        place = np.append(4 * got[1], 4 * len(got[0])).astype(np.int32)
+        return pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(place), pa.py_buffer(got[0])])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), payloads(b.column("tree"))], [*keys, "payload"])
 
     grouped = trees.groupBy(*keys).agg(tree)
-    schema = StructType([f for f in grouped.schema if f.name in keys]).add("payload", "binary")
-    return grouped.mapInPandas(run, schema)
+    schema = StructType([grouped.schema[k] for k in keys]).add("payload", "binary")
+    return grouped.mapInArrow(run, schema)
 
 
 def write_events(events: DataFrame, path: str, file: str, event: str) -> None:
     """Write events(file, event, payload) as bank files named by the column `file`, in the order of `event`.
 
-    A file is written by one task, as its events have to follow one another: a run is cut into files."""
+    A file is written by one task, as its events have to follow one another: a run is cut into files. These are
+    dealt out over many partitions, so that few of them meet in one."""
     use_bank_files(events.sparkSession)
     rows = events.select(F.col(file).cast("string").alias("file"), F.col(event).cast("bigint").alias("event"), "payload")
-    rows.repartition("file").sortWithinPartitions("file", "event").write.format("banks").option("path", path).mode("append").save()
+    n = max(64, int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows.repartition(n, "file").sortWithinPartitions("file", "event").write.format("banks").option("path", path).mode("append").save()
 
 
 def read_events(spark: SparkSession, path: str, index: str | None = None, columns: str | None = None) -> DataFrame:

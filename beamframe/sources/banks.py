@@ -60,6 +60,66 @@ def scan(words: np.ndarray) -> Iterator[tuple[int, int, int, int, int, int, int,
         event += 1
 
 
+def scan_events(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
+    """What `scan` says of each of many events (words[start:end] of one array), as columns in the same order;
+    event counts from 0, begin and end are places in `words`.
+
+    Regions of a level are read together, a bank of each at a time. A region's banks are numbered in a row, then
+    those inside its first container, and so on, so numbers follow from how many banks each region has in all."""
+    words = words.astype(np.int64)
+    starts, ends = (np.asarray(v, np.int64) for v in (starts, ends))
+    filled = np.flatnonzero(ends > starts)
+    event, at = filled, starts[filled]
+    stop_at = np.minimum(at + 1 + words[at], ends[filled])
+    up, kind = np.full(len(at), -1), np.zeros(len(at), np.int64)  # bank above (a row), kind of header (0 bank, 1 segment, 2 tag segment)
+    levels, found, n_rows = [], [], 0  # per level: bank above and number of banks of each region
+    while len(at):
+        region, sizes = np.arange(len(at)), np.zeros(len(at), np.int64)
+        parts = []
+        while len(region):
+            p, end, k = at[region], stop_at[region], kind[region]
+            ok = np.where(k == 0, p + 1 < end, p < end)
+            region, p, end, k = region[ok], p[ok], end[ok], k[ok]
+            w = words[p]
+            head = np.where(k == 0, words[np.minimum(p + 1, len(words) - 1)], w)
+            begin, stop = p + 1 + (k == 0), p + 1 + np.where(k == 0, w, w & 0xFFFF)
+            tag = np.where(k == 0, head >> 16, np.where(k == 1, head >> 24, head >> 20))
+            typ = np.where(k == 0, head >> 8 & 0x3F, np.where(k == 1, head >> 16 & 0x3F, head >> 16 & 0xF))
+            broken = (stop > end) | (stop < begin)
+            parts.append((region, sizes[region], tag, typ, np.where(k == 0, head & 0xFF, 0), begin, np.minimum(np.maximum(stop, begin), end), broken))
+            sizes[region] += 1
+            at[region] = stop
+            region = region[~broken]
+        levels.append((up, sizes))
+        if not parts:
+            break
+        region, place, tag, typ, num, begin, end, broken = (np.concatenate(c) for c in zip(*parts, strict=True))
+        found.append((event[region], np.full(len(region), len(levels) - 1), up[region], region, place, tag, typ, num, begin, end, broken))
+        inner = np.where(np.isin(typ, BANKS), 0, np.where(np.isin(typ, SEGMENTS), 1, np.where(np.isin(typ, TAG_SEGMENTS), 2, -1)))
+        inside = np.flatnonzero((inner >= 0) & ~broken)
+        inside = inside[np.lexsort((place[inside], region[inside]))]
+        event, at, stop_at, up, kind = event[region[inside]], begin[inside], end[inside], n_rows + inside, inner[inside]
+        n_rows += len(region)
+    if not found:
+        return {n: np.zeros(0, bool if n == "broken" else np.int64) for n in ("event", "node", "parent", "depth", "tag", "type", "num", "begin", "end", "broken")}
+    event, depth, up, region, place, tag, typ, num, begin, end, broken = (np.concatenate(c) for c in zip(*found, strict=True))
+    whole = [sizes.copy() for _, sizes in levels]  # banks of a region and all inside it
+    for k in range(len(levels) - 1, 0, -1):
+        np.add.at(whole[k - 1], region[levels[k][0]], whole[k])
+    first = [np.zeros(len(levels[0][1]), np.int64)]  # the number of a region's first bank in its event
+    for k in range(1, len(levels)):
+        above = region[levels[k][0]]  # ascending, containers of a region in order
+        before = np.cumsum(whole[k]) - whole[k]
+        new = np.append(True, above[1:] != above[:-1]) if len(above) else np.zeros(0, bool)
+        group = before[new][np.cumsum(new) - 1]
+        first.append(first[k - 1][above] + levels[k - 1][1][above] + before - group)
+    node = np.concatenate([f[region[depth == k]] for k, f in enumerate(first)]) + place
+    order = np.lexsort((node, event))
+    parent = np.where(up >= 0, node[up], -1)
+    out = {"event": event, "node": node, "parent": parent, "depth": depth, "tag": tag, "type": typ, "num": num, "begin": begin, "end": end, "broken": broken}
+    return {n: c[order] for n, c in out.items()}
+
+
 def read_banks(spark: SparkSession, path: str, tags: list[int] | None = None, pattern: str = "*") -> DataFrame:
     """One row per bank: place in the tree, and the words of data banks (null for containers)."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select(F.col("path").alias("file"), "content")

@@ -130,16 +130,9 @@ class LiveReader(DataSourceStreamReader):
     def read(self, partition: S.Range | None) -> Iterator[pa.RecordBatch]:
         if partition is None:
             return
-        event, rows = partition.first_event, []
         with self._retried(lambda: self.station.open(partition.file)) as f:
-            for _, _, words in S.events_of(f, partition.begin, partition.begin + partition.size):
-                rows += self.rows.nodes(partition.file, event, words)
-                event += 1
-                if len(rows) >= 10_000:
-                    yield self.rows.batch(rows)
-                    rows = []
-        if rows:
-            yield self.rows.batch(rows)
+            events = (words for _, _, words in S.events_of(f, partition.begin, partition.begin + partition.size))
+            yield from self.rows.batches(partition.file, enumerate(events, partition.first_event))
 
     def commit(self, end: dict) -> None:
         pass  # the run's files stay
