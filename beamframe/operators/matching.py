@@ -157,7 +157,7 @@ def border_neighbours(modules: DataFrame, centre: str | int, keys: Sequence[str]
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     a = m.withColumn("_s", F.explode(around)).withColumn("_cx", cell("x") + F.col("_s.i")).withColumn("_cy", cell("y") + F.col("_s.j"))
     theirs = [F.col(n).alias(f"_{n}") for n in ("sector", "x", "y", "sx", "sy")]
-    x = a.join(m.select(*keys, F.col("id").alias("near"), *theirs, cell("x").alias("_cx"), cell("y").alias("_cy")), [*keys, "_cx", "_cy"]).where("id <> near")
+    x = _dealt(a, m.select(*keys, F.col("id").alias("near"), *theirs, cell("x").alias("_cx"), cell("y").alias("_cy")), [*keys, "_cx", "_cy"]).where("id <> near")
     dx, dy = F.col("_x") - F.col("x"), F.col("_y") - F.col("y")
     share = share_inside(F.col("x"), F.col("y"), dx, dy, tuple(F.col(n) for n in ("_x1", "_x2", "_y1", "_y2")))
 
@@ -203,7 +203,7 @@ def grid_neighbours(modules: DataFrame, corners: bool = False) -> DataFrame:
     m = modules.select("id", "sector", "row", "col")
     shifted = m.withColumn("s", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps])))
     asked = shifted.select("id", "sector", (F.col("row") + F.col("s.i")).alias("row"), (F.col("col") + F.col("s.j")).alias("col"))
-    return asked.join(m.withColumnRenamed("id", "near"), ["sector", "row", "col"]).select("id", "near")
+    return _dealt(asked, m.withColumnRenamed("id", "near"), ["sector", "row", "col"]).select("id", "near")
 
 
 def local_maxima(hits: DataFrame, keys: Sequence[str], x: str, y: str, energy: str, least: float, strict: bool = False) -> DataFrame:
