@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -95,7 +96,11 @@ def flush_by_size_or_age(stream: DataFrame, key: str, order: str, time: str, siz
 
 
 class Snapshots(StatefulProcessor):
-    """The latest value of every channel of a key, in one map; every marked row gets the whole map."""
+    """The latest value of every channel of a key, in one map; every marked row gets the whole map.
+
+    A key's rows of one batch are held as three numbers each; the result leaves in tables of about `SLICE` rows."""
+
+    SLICE = 1 << 17
 
     def __init__(self, key: str, order: str, channel: str, value: str):
         self.key, self.order, self.channel, self.value = key, order, channel, value
@@ -103,19 +108,44 @@ class Snapshots(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.known = handle.getMapState("known", "channel string", "value double")
 
+    def _columns(self, rows: Iterator[pd.DataFrame], names: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Order, number of the channel (-1: none) and value; new channels are added to `names`."""
+        at, number, value = [], [], []
+        for part in rows:
+            codes, found = pd.factorize(part[self.channel])
+            numbers = np.array([*(names.setdefault(c, len(names)) for c in found), -1], np.int32)
+            at.append(part[self.order].astype(np.int64).to_numpy())
+            number.append(numbers[codes])
+            value.append(part[self.value].to_numpy(float, na_value=np.nan))
+        return np.concatenate(at), np.concatenate(number), np.concatenate(value)
+
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        known = {k[0]: v[0] for k, v in self.known.iterator()}
-        changed, out = set(), []
-        for at, channel, value in _in_order(rows, [self.order, self.channel, self.value]):
-            if channel is None:
-                out += [(key[0], at, c, v) for c, v in known.items()]
-            elif value is not None:
-                known[channel] = value
-                changed.add(channel)
-        for c in changed:
-            self.known.updateValue((c,), (known[c],))
-        if out:
-            yield pd.DataFrame(out, columns=[self.key, self.order, self.channel, self.value])
+        latest = {k[0]: v[0] for k, v in self.known.iterator()}
+        names = {c: i for i, c in enumerate(latest)}
+        at, number, value = self._columns(rows, names)
+        channels = np.array([*names, None], object)[:-1]
+        held = np.full(len(names), np.nan)
+        held[: len(latest)] = list(latest.values())
+        changed = np.zeros(len(names), bool)
+        order = np.argsort(at, kind="stable")
+        step = max(1, self.SLICE // max(1, len(names)))
+        for i in range(0, len(order), step):
+            own = order[i : i + step]
+            marks = np.flatnonzero(number[own] < 0)
+            read = np.flatnonzero((number[own] >= 0) & ~np.isnan(value[own]))
+            read = read[np.argsort(number[own[read]], kind="stable")]
+            which, first = np.unique(number[own[read]], return_index=True)
+            seen = np.repeat(held[:, None], len(marks), axis=1)
+            for c, places in zip(which, np.split(read, first[1:]), strict=False):
+                k = np.searchsorted(places, marks) - 1
+                seen[c] = np.where(k >= 0, value[own[places[k]]], held[c])
+                held[c] = value[own[places[-1]]]
+                changed[c] = True
+            c, m = np.nonzero(~np.isnan(seen))
+            if len(c):
+                yield pd.DataFrame({self.key: key[0], self.order: at[own[marks[m]]], self.channel: channels[c], self.value: seen[c, m]})
+        for c in np.flatnonzero(changed):
+            self.known.updateValue((channels[c],), (float(held[c]),))
 
     def close(self) -> None:
         pass
