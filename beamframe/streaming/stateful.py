@@ -3,26 +3,25 @@
 Flushing by size or age, snapshots of all channels, and throttled rings. State is kept by key in RocksDB,
 rows of a key inside a batch are put in order, and what is emitted depends on the rows, not on how they
 are split into batches. State and results commit together with the checkpoint, so a batch that is
-delivered again finds the state that it found the first time."""
+delivered again finds the state that it found the first time. Many keys of few rows are handled as rows,
+as a table for each key costs more than its work; few keys of many rows as tables."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _in_order(rows: Iterator[pd.DataFrame], columns: list[str]) -> list[tuple]:
-    """A key's rows of one batch, as plain Python values, by their first column."""
-    out = [tuple(None if pd.isna(v) else v.item() if hasattr(v, "item") else v for v in r) for part in rows for r in part[columns].itertuples(index=False)]
-    return sorted(out, key=lambda r: r[0])
+def _in_order(rows: Iterator[Row], columns: list[str]) -> list[tuple]:
+    """A key's rows of one batch by their first column."""
+    return sorted((tuple(r[c] for c in columns) for r in rows), key=lambda r: r[0])
 
 
 class Flush(StatefulProcessor):
@@ -39,12 +38,15 @@ class Flush(StatefulProcessor):
         self.waiting = handle.getListState("waiting", "item bigint")
         self.group = handle.getValueState("group", "number bigint, begun bigint")
 
-    def _flushed(self, key: tuple, number: int, items: list[int], reason: str) -> dict[str, Any]:
-        return {self.key: key[0], "flush": number, "n_rows": len(items), "first": items[0], "last": items[-1], "reason": reason}
+    def _flushed(self, key: tuple, number: int, items: list[int], reason: str) -> Row:
+        return Row(**{self.key: key[0], "flush": number, "n_rows": len(items), "first": items[0], "last": items[-1], "reason": reason})
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        items = [v[0] for v in self.waiting.get()] if self.waiting.exists() else []
-        number, begun = self.group.get() if self.group.exists() else (0, 0)
+    def _held(self) -> tuple[list[int], int, int]:
+        group = self.group.get()
+        return ([v[0] for v in self.waiting.get()], *group) if group else ([], 0, 0)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        items, number, begun = self._held()
         before = begun if items else None
         clock = timerValues.getCurrentProcessingTimeInMs() if self.by_clock else 0
         out = []
@@ -69,16 +71,14 @@ class Flush(StatefulProcessor):
                 self.handle.deleteTimer(before + self.age)
             if after is not None:
                 self.handle.registerTimer(after + self.age)
-        if out:
-            yield pd.DataFrame(out)
+        yield from out
 
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        items = [v[0] for v in self.waiting.get()] if self.waiting.exists() else []
-        number, begun = self.group.get() if self.group.exists() else (0, 0)
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        items, number, begun = self._held()
         if items and expiredTimerInfo.getExpiryTimeInMs() >= begun + self.age:
             self.waiting.clear()
             self.group.update((number + 1, begun))
-            yield pd.DataFrame([self._flushed(key, number, items, "age")])
+            yield self._flushed(key, number, items, "age")
 
     def close(self) -> None:
         pass
@@ -92,7 +92,7 @@ def flush_by_size_or_age(stream: DataFrame, key: str, order: str, time: str, siz
     rows = rows.select(key, F.col(order).cast("bigint").alias(order), time, F.unix_millis(F.col(time)).alias("time_in_ms"))
     kind = stream.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, flush bigint, n_rows bigint, first bigint, last bigint, reason string"
-    return rows.groupBy(key).transformWithStateInPandas(Flush(key, order, "time_in_ms", size, age_ms, late is None), schema, "Append", "EventTime" if late else "ProcessingTime")
+    return rows.groupBy(key).transformWithState(Flush(key, order, "time_in_ms", size, age_ms, late is None), schema, "Append", "EventTime" if late else "ProcessingTime")
 
 
 class Snapshots(StatefulProcessor):
@@ -169,20 +169,22 @@ class Ring(StatefulProcessor):
         self.ring = handle.getListState("ring", "seq bigint, item bigint, at bigint", self.ttl)
         self.last = handle.getValueState("last", "seq bigint, at bigint")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        ring = list(self.ring.get()) if self.ring.exists() else []
-        seq, last = self.last.get() if self.last.exists() else (0, None)
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        held = self.last.get()
+        ring = list(self.ring.get()) if held else []
+        seq, last = held or (0, None)
+        pushed = Row(self.key, "slot", "seq", self.order, "evicted")
         out = []
         for item, at in _in_order(rows, [self.order, self.at]):
             if last is None or at - last >= self.gap:
                 seq, last = seq + 1, at
                 ring.append((seq, item, at))
-                out.append((key[0], seq % self.n, seq, item, ring[-self.n - 1][1] if len(ring) > self.n else None))
+                out.append(pushed(key[0], seq % self.n, seq, item, ring[-self.n - 1][1] if len(ring) > self.n else None))
                 ring = ring[-self.n :]
         if out:
             self.ring.put(ring)
             self.last.update((seq, last))
-            yield pd.DataFrame(out, columns=[self.key, "slot", "seq", self.order, "evicted"]).astype({"evicted": "Int64"})
+        yield from out
 
     def close(self) -> None:
         pass
@@ -195,7 +197,7 @@ def throttled_ring(stream: DataFrame, key: str, order: str, at: str, n: int, gap
     kind = stream.schema[key].dataType.simpleString()
     rows = stream.select(key, F.col(order).cast("bigint").alias(order), F.col(at).cast("bigint").alias("ring_at"))
     schema = f"{key} {kind}, slot bigint, seq bigint, {order} bigint, evicted bigint"
-    return rows.groupBy(key).transformWithStateInPandas(Ring(key, order, "ring_at", n, gap, ttl_ms), schema, "Append", "ProcessingTime" if ttl_ms else "None")
+    return rows.groupBy(key).transformWithState(Ring(key, order, "ring_at", n, gap, ttl_ms), schema, "Append", "ProcessingTime" if ttl_ms else "None")
 
 
 def ring_content(pushed: DataFrame, key: str, order: str) -> DataFrame:
