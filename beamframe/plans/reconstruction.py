@@ -8,12 +8,19 @@ from pyspark.sql import functions as F
 
 from beamframe.functions.tables import register_tables
 from beamframe.operators import clusters, counting, fits, waveforms
+from beamframe.operators.tracking import spread_over
 from beamframe.plans.counting import samples
 from beamframe.plans.joins import _H, grid_hits
 from beamframe.plans.registry import query, table
 from beamframe.plans.scratch import stored
 
 
+def dealt_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Waveforms dealt out over tasks: pulse search and fits take milliseconds a row, and few bytes make few tasks."""
+    s = samples(spark, sf_dir)
+    return s.repartition(spread_over(s), "vec_id")
+
+
 _CLIP = "CASE WHEN {x}.done THEN {x}.d ELSE list_filter({x}.d, lambda p: abs(p.v - {x}.mean) < greatest({x}.rms, 1.0) - 1e-9) END"
 _MEAN = "list_avg(list_transform({d}, lambda p: p.v))"
 _RMS = "list_aggregate(list_transform({d}, lambda p: p.v), 'stddev_pop')"
@@ -66,7 +73,7 @@ SELECT p.vec_id, round(p.mean, 6) AS ped_mean, round(p.slope, 6) AS ped_slope, (
 round(list_sum(y[lo:hi]), 6) AS integral, (x[k] >= 4095)::BIGINT AS saturated, CASE WHEN k IS NOT NULL THEN pile::BIGINT END AS quality FROM ped p LEFT JOIN inside USING (vec_id) LEFT JOIN piled c USING (vec_id)""")
 def waveform_pulses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pedestal and pulses of every waveform, with their quality bits."""
-    p = waveforms.with_pulses(samples(spark, sf_dir).select("vec_id", "samples"), "samples")
+    p = waveforms.with_pulses(dealt_samples(spark, sf_dir).select("vec_id", "samples"), "samples")
     p = p.select("vec_id", F.round("ped_mean", 6).alias("ped_mean"), F.round("ped_slope", 6).alias("ped_slope"), "ped_quality", F.explode_outer("pulses").alias("p"))
     long = lambda c: F.col(c).cast("bigint").alias(c.removeprefix("p."))
     return p.select("vec_id", "ped_mean", "ped_slope", long("ped_quality"), long("p.pos"), F.round("p.time", 6).alias("time"), F.round("p.height", 6).alias("height"), F.round("p.integral", 6).alias("integral"), long("p.saturated"), long("p.quality"))
@@ -75,7 +82,7 @@ def waveform_pulses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_PEDESTALS} SELECT vec_id, round(mean, 6) AS mean, round(rms, 6) AS rms, used, round(slope, 6) AS slope, quality, side AS first FROM ped")
 def waveform_pedestals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The robust pedestal of every waveform, from its leading samples or the quieter trailing ones."""
-    p = waveforms.with_pedestals(samples(spark, sf_dir).select("vec_id", "samples"), "samples")
+    p = waveforms.with_pedestals(dealt_samples(spark, sf_dir).select("vec_id", "samples"), "samples")
     long = lambda c: F.col(c).cast("bigint")
     return p.select("vec_id", F.round("ped_mean", 6).alias("mean"), F.round("ped_rms", 6).alias("rms"), long("ped_used").alias("used"), F.round("ped_slope", 6).alias("slope"), long("ped_quality").alias("quality"), long("ped_from").alias("first"))
 
@@ -83,7 +90,7 @@ def waveform_pedestals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def firmware_pulses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the digitiser's firmware would report of every waveform."""
-    s = samples(spark, sf_dir).select("vec_id", "samples", F.lit(90.0).alias("pedestal"))
+    s = dealt_samples(spark, sf_dir).select("vec_id", "samples", F.lit(90.0).alias("pedestal"))
     p = waveforms.with_firmware_pulses(s, "samples", "pedestal")
     return p.select("vec_id", F.explode("fw_pulses").alias("p")).select("vec_id", "p.cross", "p.coarse", "p.fine", "p.time", "p.integral", "p.quality")
 
@@ -172,8 +179,9 @@ def channel_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def deconvolved_pulses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piled-up pulses taken apart by a fit of their channel's template."""
-    p = waveforms.with_pulses(samples(spark, sf_dir).select("vec_id", "label", "samples"), "samples", waveforms.PulseConfig(order=1, n_pedestal=20))
-    d = waveforms.with_deconvolution(waveforms.with_templates(p, *pulse_templates(spark, sf_dir), ["label"]), "samples")
+    s = waveforms.with_templates(samples(spark, sf_dir).select("vec_id", "label", "samples"), *pulse_templates(spark, sf_dir), ["label"])
+    p = waveforms.with_pulses(s.repartition(spread_over(s), "vec_id"), "samples", waveforms.PulseConfig(order=1, n_pedestal=20))
+    d = waveforms.with_deconvolution(p, "samples")
     x = d.select("vec_id", "state", F.explode("pulses").alias("p")).where("state > 0")
     return x.select("vec_id", "state", "p.pos", "p.quality", F.round("p.height", 3).alias("height"), F.round("p.time", 3).alias("time"))
 
@@ -181,7 +189,7 @@ def deconvolved_pulses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def pulse_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rise, fall and power of waveforms with a single pulse."""
-    p = waveforms.with_pulses(samples(spark, sf_dir).select("vec_id", "samples"), "samples", waveforms.PulseConfig(order=1, n_pedestal=20, min_height=60))
+    p = waveforms.with_pulses(dealt_samples(spark, sf_dir).select("vec_id", "samples"), "samples", waveforms.PulseConfig(order=1, n_pedestal=20, min_height=60))
     s = waveforms.with_shape(p, "samples", free_power=True).where("shape IS NOT NULL")
     return s.select("vec_id", *[F.round(F.col("shape").getField(n), 2).alias(n) for n in ("amplitude", "start", "rise", "fall", "power")])
 
