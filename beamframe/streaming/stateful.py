@@ -20,15 +20,17 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def _in_order(rows: Iterator[Row], columns: list[str]) -> list[tuple]:
-    """A key's rows of one batch by their first column."""
-    return sorted((tuple(r[c] for c in columns) for r in rows), key=lambda r: r[0])
+    """A key's rows of one batch by their first column, then the others, so that ties don't follow how the rows
+    came in; nulls are last."""
+    return sorted((tuple(r[c] for c in columns) for r in rows), key=lambda r: [(v is None, v) for v in r])
 
 
 class Flush(StatefulProcessor):
     """Rows of a key wait until there are `size` of them, or the first has waited `age` milliseconds.
 
     With event time, age is told by the rows' own times and by the watermark; with processing time by the
-    clock. A timer is set when a group begins, so a group that no later row follows is flushed as well."""
+    clock. A timer is set when a group begins, so a group that no later row follows is flushed as well. A row
+    without a time ends no group by age, and a group that begins with one has no age: it is flushed by size."""
 
     def __init__(self, key: str, order: str, time_ms: str, size: int, age_ms: int, by_clock: bool):
         self.key, self.order, self.time_ms, self.size, self.age, self.by_clock = key, order, time_ms, size, age_ms, by_clock
@@ -38,10 +40,11 @@ class Flush(StatefulProcessor):
         self.waiting = handle.getListState("waiting", "item bigint")
         self.group = handle.getValueState("group", "number bigint, begun bigint")
 
-    def _flushed(self, key: tuple, number: int, items: list[int], reason: str) -> Row:
-        return Row(**{self.key: key[0], "flush": number, "n_rows": len(items), "first": items[0], "last": items[-1], "reason": reason})
+    def _flushed(self, key: tuple, number: int, items: list[int | None], reason: str) -> Row:
+        known = [i for i in items if i is not None] or [None]
+        return Row(**{self.key: key[0], "flush": number, "n_rows": len(items), "first": known[0], "last": known[-1], "reason": reason})
 
-    def _held(self) -> tuple[list[int], int, int]:
+    def _held(self) -> tuple[list[int | None], int, int | None]:
         group = self.group.get()
         return ([v[0] for v in self.waiting.get()], *group) if group else ([], 0, 0)
 
@@ -52,7 +55,7 @@ class Flush(StatefulProcessor):
         out = []
         for item, at in _in_order(rows, [self.order, self.time_ms]):
             now = clock if self.by_clock else at
-            if items and now - begun >= self.age:
+            if items and None not in (now, begun) and now - begun >= self.age:
                 out.append(self._flushed(key, number, items, "age"))
                 items, number = [], number + 1
             begun = now if not items else begun
@@ -75,7 +78,7 @@ class Flush(StatefulProcessor):
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
         items, number, begun = self._held()
-        if items and expiredTimerInfo.getExpiryTimeInMs() >= begun + self.age:
+        if items and begun is not None and expiredTimerInfo.getExpiryTimeInMs() >= begun + self.age:
             self.waiting.clear()
             self.group.update((number + 1, begun))
             yield self._flushed(key, number, items, "age")
@@ -87,9 +90,11 @@ class Flush(StatefulProcessor):
 def flush_by_size_or_age(stream: DataFrame, key: str, order: str, time: str, size: int, age_ms: int, late: str | None = None) -> DataFrame:
     """key, flush, n_rows, first, last, reason of every group that was flushed.
 
-    `late` makes it event time, with that watermark on the column `time`; without it the clock decides."""
+    `late` makes it event time, with that watermark on the column `time`; without it the clock decides. Rows that
+    come later than the watermark, or from before 1970, where it starts, are flushed like others: the column
+    itself stays behind, as Spark drops what it finds late by it."""
     rows = stream.withWatermark(time, late) if late else stream
-    rows = rows.select(key, F.col(order).cast("bigint").alias(order), time, F.unix_millis(F.col(time)).alias("time_in_ms"))
+    rows = rows.select(key, F.col(order).cast("bigint").alias(order), F.unix_millis(F.col(time)).alias("time_in_ms"))
     kind = stream.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, flush bigint, n_rows bigint, first bigint, last bigint, reason string"
     return rows.groupBy(key).transformWithState(Flush(key, order, "time_in_ms", size, age_ms, late is None), schema, "Append", "EventTime" if late else "ProcessingTime")
